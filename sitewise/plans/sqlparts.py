@@ -50,7 +50,7 @@ DAILY = """daily AS (
 # W1 + W2: rate over the days since the previous record of the station
 DRATE = """drate AS (
   SELECT SITECODE, DATE, station, count / "interval" AS value,
-         'daily_abun_rate' AS value_type, "interval"
+         'daily_abun_rate' AS value_type, "interval", count
   FROM (SELECT *, date_diff('day', lag(DATE) OVER (PARTITION BY station ORDER BY DATE), DATE)
                   AS "interval" FROM daily)
   WHERE "interval" IS NOT NULL)"""

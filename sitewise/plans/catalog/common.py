@@ -19,3 +19,15 @@ def clean(spark: SparkSession, d: str) -> DataFrame:
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
     return daily_counts(clean(spark, d), ["SITECODE", "station"], "DATE", "VALUE", out="count")
+
+
+def monthly_by_group(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly count per station and functional group (series with missing
+    months): observations joined to groups, nulls dropped."""
+    from pyspark.sql import functions as F
+
+    from sitewise.functions.dates import month_start
+    from sitewise.operators.enrich import enrich
+    e = enrich(clean(spark, d), standin.groups(spark, d), how="inner")
+    return (e.groupBy("station", "IM_GROUP", month_start("DATE").alias("DATETIME"))
+            .agg(F.sum("VALUE").alias("counts")))

@@ -31,3 +31,16 @@ def monthly_by_group(spark: SparkSession, d: str) -> DataFrame:
     e = enrich(clean(spark, d), standin.groups(spark, d), how="inner")
     return (e.groupBy("station", "IM_GROUP", month_start("DATE").alias("DATETIME"))
             .agg(F.sum("VALUE").alias("counts")))
+
+
+def site_monthly(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly total per site (nulls skipped), every month present (missing
+    months 0): the regular series for smoothing and seasonal work."""
+    from pyspark.sql import functions as F
+
+    from sitewise.functions.dates import month_start
+    from sitewise.functions.nulls import r_sum
+    from sitewise.operators.calendar import complete_months
+    m = (clean(spark, d).groupBy("SITECODE", month_start("DATE").alias("DATETIME"))
+         .agg(r_sum("VALUE", na_rm=True).alias("counts")))
+    return complete_months(m, ["SITECODE"], "DATETIME", fill={"counts": 0})

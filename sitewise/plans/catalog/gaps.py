@@ -10,7 +10,8 @@ from sitewise.operators.filters import Taxa, select_taxa
 from sitewise.operators.gaps import missing_days, missing_runs, spread_over_gaps, top_missing_runs
 from sitewise.plans.catalog.common import clean, daily, monthly_by_group
 from sitewise.plans.registry import r6, register
-from sitewise.plans.sqlparts import CLEAN, DAILY, GROUPS, OBS, calendar_sql, with_
+from sitewise.plans.sqlparts import (CLEAN, DAILY, GROUPS, OBS, calendar_sql, runs_sql,
+                                     spread_sql, with_)
 from sitewise.sources import standin
 
 GKEYS = ["station", "IM_GROUP"]
@@ -71,19 +72,7 @@ def c1_complete_days(spark, d):
     return complete_days(daily(spark, d), ["SITECODE", "station"], "DATE")
 
 
-# Missing days (C6) and their runs (C7) as SQL.
-RUNS = """dayf AS (SELECT station, DATE, bool_or(VALUE IS NULL) AS anynull FROM clean GROUP BY ALL),
-dcal AS (""" + calendar_sql("dayf", ["station"], "DATE", unit="day") + """),
-miss AS (SELECT c.station, c.DATE FROM dcal c LEFT JOIN dayf d USING (station, DATE)
-         WHERE coalesce(d.anynull, true)),
-brk AS (SELECT *, CASE WHEN date_diff('day', lag(DATE) OVER (PARTITION BY station ORDER BY DATE), DATE) = 1
-                       THEN 0 ELSE 1 END AS b FROM miss),
-seq AS (SELECT station, DATE, sum(b) OVER (PARTITION BY station ORDER BY DATE
-                                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS seq_id
-        FROM brk),
-runs AS (SELECT *, min(DATE) OVER r AS STARTDATE, max(DATE) OVER r AS ENDDATE, count(*) OVER r AS duration,
-                date_diff('day', DATE, max(DATE) OVER r) + 1 AS next_meas
-         FROM seq WINDOW r AS (PARTITION BY station, seq_id))"""
+RUNS = runs_sql("station")
 BR = with_(OBS, CLEAN, RUNS) + "\n"
 
 
@@ -112,23 +101,9 @@ def c8_top_missing_runs(spark, d):
 
 
 def _spread_sql(zero_fill: bool) -> str:
-    x = "CASE WHEN counts IS NULL AND duration IS NULL THEN 0 ELSE counts END" if zero_fill else "counts"
-    return with_(OBS, CLEAN, GROUPS, RUNS) + f""",
-cnt AS (SELECT station, DATE, coalesce(sum(VALUE), 0) AS counts
-        FROM clean JOIN grp ON FIELDNAME = IM_SPEC WHERE IM_GROUP = '{TAXON}' GROUP BY ALL),
-gcal AS ({calendar_sql("cnt", ["station"], "DATE", unit="day")}),
-ends AS (SELECT station, DATE + 1 AS DATE, duration AS prev_dur FROM runs WHERE DATE = ENDDATE),
-grid AS (SELECT g.station, g.DATE, c.counts, r.duration, e.prev_dur
-         FROM gcal g LEFT JOIN cnt c USING (station, DATE) LEFT JOIN runs r USING (station, DATE)
-                     LEFT JOIN ends e USING (station, DATE)),
-sh AS (SELECT *, CASE WHEN coalesce(duration, 0) <= {MAX_GAP}
-                      THEN first_value(({x}) IGNORE NULLS) OVER (PARTITION BY station ORDER BY DATE
-                             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / (coalesce(duration, 0) + 1)
-                 END AS shared FROM grid),
-spread AS (SELECT station, DATE, coalesce(duration, 0) AS duration,
-                  CASE WHEN prev_dur IS NOT NULL THEN lag(shared) OVER (PARTITION BY station ORDER BY DATE)
-                       ELSE shared END AS counts FROM sh)
-"""
+    cnt = f"""SELECT station, DATE, coalesce(sum(VALUE), 0) AS counts
+        FROM clean JOIN grp ON FIELDNAME = IM_SPEC WHERE IM_GROUP = '{TAXON}' GROUP BY ALL"""
+    return with_(OBS, CLEAN, GROUPS, RUNS) + ",\n" + spread_sql("station", cnt, zero_fill, MAX_GAP) + "\n"
 
 
 def _spread(spark, d, zero_fill: bool):

@@ -80,3 +80,83 @@ def calendar_sql(src: str, keys: list[str], idx: str, unit: str = "month",
     sel = f"last_day({d})" if anchor == "end" else d
     return (f"SELECT {ks}, {sel} AS {out} FROM "
             f"(SELECT {ks}, {lo} AS lo, {hi} AS hi FROM {src} GROUP BY {ks})")
+
+
+def runs_sql(key: str) -> str:
+    """Missing days (C6) of ``clean`` per key and their runs."""
+    return f"""dayf AS (SELECT {key}, DATE, bool_or(VALUE IS NULL) AS anynull FROM clean GROUP BY ALL),
+dcal AS ({calendar_sql("dayf", [key], "DATE", unit="day")}),
+miss AS (SELECT c.{key}, c.DATE FROM dcal c LEFT JOIN dayf d USING ({key}, DATE)
+         WHERE coalesce(d.anynull, true)),
+brk AS (SELECT *, CASE WHEN date_diff('day', lag(DATE) OVER (PARTITION BY {key} ORDER BY DATE), DATE) = 1
+                       THEN 0 ELSE 1 END AS b FROM miss),
+seq AS (SELECT {key}, DATE, sum(b) OVER (PARTITION BY {key} ORDER BY DATE
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS seq_id
+        FROM brk),
+runs AS (SELECT *, min(DATE) OVER r AS STARTDATE, max(DATE) OVER r AS ENDDATE, count(*) OVER r AS duration,
+                date_diff('day', DATE, max(DATE) OVER r) + 1 AS next_meas
+         FROM seq WINDOW r AS (PARTITION BY {key}, seq_id))"""
+
+
+def spread_sql(key: str, cnt: str, zero_fill: bool, max_gap: int = 3) -> str:
+    """Daily grid with catches shared over short gaps (C9); needs ``runs``."""
+    x = "CASE WHEN counts IS NULL AND duration IS NULL THEN 0 ELSE counts END" if zero_fill else "counts"
+    return f"""cnt AS ({cnt}),
+gcal AS ({calendar_sql("cnt", [key], "DATE", unit="day")}),
+ends AS (SELECT {key}, DATE + 1 AS DATE, duration AS prev_dur FROM runs WHERE DATE = ENDDATE),
+grid AS (SELECT g.{key}, g.DATE, c.counts, r.duration, e.prev_dur
+         FROM gcal g LEFT JOIN cnt c USING ({key}, DATE) LEFT JOIN runs r USING ({key}, DATE)
+                     LEFT JOIN ends e USING ({key}, DATE)),
+sh AS (SELECT *, CASE WHEN coalesce(duration, 0) <= {max_gap}
+                      THEN first_value(({x}) IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY DATE
+                             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / (coalesce(duration, 0) + 1)
+                 END AS shared FROM grid),
+spread AS (SELECT {key}, DATE, coalesce(duration, 0) AS duration,
+                  CASE WHEN prev_dur IS NOT NULL THEN lag(shared) OVER (PARTITION BY {key} ORDER BY DATE)
+                       ELSE shared END AS counts FROM sh)"""
+
+
+NORMAL_MEANVAR_SQL = "dn * (ln(2 * pi()) + ln(greatest(dq / dn - pow(ds / dn, 2), 1e-8)) + 1)"
+POISSON_SQL = "CASE WHEN ds > 0 THEN 2 * ds * (ln(dn) - ln(ds)) ELSE 0 END"
+
+
+def changepoint_sql(p: str, ser: str, cost: str, beta_sql: str, min_seg: int = 2) -> str:
+    """Exact optimal partitioning as a recursive CTE (prefix ``p``).
+
+    ``ser``: CTE with (g, k, d, y): group, series, date, value.
+    ``cost``: segment cost of one series over dn, ds, dq (count, sum and
+    sum of squares in the segment; may use k).
+    ``beta_sql``: per-series penalty over n (and k).
+    Defines ``{p}grid`` (g, d, t), ``{p}fin`` (g, t, cost, prev) and
+    ``{p}locs`` (g, loc).
+    """
+    return f"""{p}grid AS (SELECT g, d, row_number() OVER (PARTITION BY g ORDER BY d) AS t
+               FROM (SELECT DISTINCT g, d FROM {ser})),
+{p}keys AS (SELECT DISTINCT g, k FROM {ser}),
+{p}pre AS (SELECT gr.g, ks.k, gr.t, count(s.y) OVER w AS n, coalesce(sum(s.y) OVER w, 0) AS s,
+                  coalesce(sum(s.y * s.y) OVER w, 0) AS q
+           FROM {p}grid gr JOIN {p}keys ks ON ks.g = gr.g
+           LEFT JOIN {ser} s ON s.g = gr.g AND s.k = ks.k AND s.d = gr.d
+           WINDOW w AS (PARTITION BY gr.g, ks.k ORDER BY gr.t ROWS UNBOUNDED PRECEDING)),
+{p}pre0 AS (SELECT * FROM {p}pre UNION ALL SELECT g, k, 0, 0, 0, 0 FROM {p}keys),
+{p}beta AS (SELECT g, sum({beta_sql}) AS b FROM (SELECT g, k, count(*) AS n FROM {ser} GROUP BY ALL) GROUP BY g),
+{p}cm AS (SELECT g, t, list(cost ORDER BY j) AS cs FROM (
+           SELECT g, t, j,
+                  CASE WHEN min(dn) >= {min_seg} THEN sum(CASE WHEN dn > 0 THEN {cost} END)
+                       ELSE 'inf'::DOUBLE END AS cost
+           FROM (SELECT b.g, b.t, a.t AS j, a.k, b.n - a.n AS dn, b.s - a.s AS ds, b.q - a.q AS dq
+                 FROM {p}pre0 a JOIN {p}pre0 b ON a.g = b.g AND a.k = b.k AND a.t < b.t)
+           GROUP BY g, t, j)
+         GROUP BY g, t),
+{p}r AS (SELECT g, b, 0::BIGINT AS t, [-b]::DOUBLE[] AS f, []::BIGINT[] AS prev FROM {p}beta
+         UNION ALL
+         SELECT g, b, t + 1, list_append(f, v.c), list_append(prev, v.j)
+         FROM (SELECT r.*, (SELECT struct_pack(c := min(cc), j := arg_min(j, cc))
+                            FROM (SELECT j, r.f[j + 1] + r.b + cm.cs[j + 1] AS cc
+                                  FROM unnest(range(0, r.t + 1)) u(j))) AS v
+               FROM {p}r r JOIN {p}cm cm ON cm.g = r.g AND cm.t = r.t + 1)),
+{p}fin AS (SELECT g, t, f[t + 1] AS cost, prev FROM {p}r QUALIFY t = max(t) OVER (PARTITION BY g)),
+{p}walk AS (SELECT g, prev, prev[t] AS s FROM {p}fin
+            UNION ALL SELECT g, prev, prev[s] FROM {p}walk WHERE s > 0),
+{p}locs AS (SELECT w.g, gr.d AS loc FROM {p}walk w JOIN {p}grid gr ON gr.g = w.g AND gr.t = w.s
+            WHERE w.s > 0)"""

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Window, WindowSpec
+from pyspark.sql import functions as F
 
 from sitewise.functions._util import as_list
 
@@ -23,7 +24,15 @@ def running(keys, idx: str) -> WindowSpec:
 
 
 def ahead(keys, idx: str) -> WindowSpec:
-    return by_key(keys, idx).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    """Rows from the current one to the end of the series, as a running
+    frame in descending order: ``last(x, ignorenulls)`` over it is the next
+    non-null value.  (A frame up to UNBOUNDED FOLLOWING is recomputed for
+    every row, O(n^2) per series; a running frame is O(n).)"""
+    ks = as_list(keys)
+    if not ks:
+        raise ValueError("a series window needs at least one key column")
+    return (Window.partitionBy(*ks).orderBy(F.col(idx).desc())
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def whole(keys, idx: str) -> WindowSpec:

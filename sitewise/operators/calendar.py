@@ -1,9 +1,11 @@
 """Calendar completion.
 
-A calendar is built per key from that key's own bounds: one ``groupBy`` for
-the bounds, ``explode(sequence(...))`` for the dates, then a join on key and
-date.  The calendar has one row per key and period, so it grows with the
-number of series and their span, never with the number of raw rows.
+Completion is a single pass per key (``gap_fill``): the next date of each
+row comes from ``lead`` over the key's window, and the missing periods up to
+it are emitted with ``posexplode``.  Nothing is joined back, so the data is
+read once and stays hash-partitioned by its keys for every later window.
+The output has one row per key and period: it grows with the number of
+series and their span, not with the raw rows.
 """
 
 from __future__ import annotations
@@ -38,31 +40,61 @@ def bounds(df: DataFrame, keys, idx: str, lo=None, hi=None, to_month: bool = Fal
 
 
 def day_calendar(df: DataFrame, keys, idx: str = "DATE", lo=None, hi=None) -> DataFrame:
+    """Every day between each key's first and last date (one row per key
+    and day), from the key's bounds."""
     ks = as_list(keys)
     return (bounds(df, ks, idx, lo, hi)
             .select(*ks, F.explode(F.sequence("_lo", "_hi", _step("DAY"))).alias(idx)))
 
 
-def month_calendar(df: DataFrame, keys, idx: str = "DATE", anchor: str = "start") -> DataFrame:
-    """Every month between a key's first and last month; dated the first
-    (``anchor='start'``) or the last day (``'end'``).  Month ends come from
-    month starts, so 31st-day overflow cannot happen."""
+FILLED = "_filled"
+
+
+def gap_fill(df: DataFrame, keys, idx: str, unit: str = "day", anchor: str = "start",
+             flag: str | None = None) -> DataFrame:
+    """The rows of ``df`` plus one row for every day (or month) missing
+    between consecutive rows of the same key; new rows have null values.
+
+    One pass: ``lead(idx)`` over the key's window gives the next date, and
+    ``posexplode`` of the dates up to it emits the row itself (position 0)
+    and the missing periods.  No calendar is joined back to the data, so
+    the data is neither scanned twice nor shuffled on (key, date); the
+    result keeps the key partitioning of the window.  Rows should be unique
+    per key and date.  Months: ``idx`` holds month starts (``anchor='start'``)
+    or month ends (``'end'``).
+    """
     ks = as_list(keys)
-    cal = (bounds(df, ks, idx, to_month=True)
-           .select(*ks, F.explode(F.sequence("_lo", "_hi", _step("MONTH"))).alias(idx)))
-    if anchor == "end":
-        cal = cal.withColumn(idx, F.last_day(idx))
-    elif anchor != "start":
-        raise ValueError("anchor is 'start' or 'end'")
-    return cal
+    d = col(idx)
+    nxt = F.lead(d).over(by_key(ks, idx))
+    if unit == "day":
+        last = F.date_sub("_next", 1)
+        seq = F.when(F.col("_next").isNotNull() & (last > d), F.sequence(d, last, _step("DAY")))
+    elif unit == "month":
+        s0, last = F.trunc(d, "month"), F.add_months(F.trunc("_next", "month"), -1)
+        seq = F.when(F.col("_next").isNotNull() & (last > s0), F.sequence(s0, last, _step("MONTH")))
+        if anchor == "end":
+            seq = F.transform(seq, lambda x: F.last_day(x))
+        elif anchor != "start":
+            raise ValueError("anchor is 'start' or 'end'")
+    else:
+        raise ValueError("unit is 'day' or 'month'")
+    other = [c for c in df.columns if c not in ks and c != idx]
+    g = (df.withColumn("_next", nxt)
+         .select(*ks, idx, *other, F.posexplode(F.coalesce(seq, F.array(d))).alias("_pos", "_d")))
+    first = F.col("_pos") == 0
+    out = g.select(*ks, F.when(first, d).otherwise(F.col("_d")).alias(idx),
+                   *[F.when(first, F.col(c)).alias(c) for c in other],
+                   (~first).alias(flag or FILLED))
+    return out if flag else out.drop(FILLED)
 
 
 def complete_days(df: DataFrame, keys, idx: str = "DATE", lo=None, hi=None,
                   fill: dict | None = None) -> DataFrame:
-    """Every day between a key's first and last date, data rows joined on
-    (C1).  Days without data have nulls (or ``fill``)."""
-    ks = as_list(keys)
-    out = day_calendar(df, ks, idx, lo, hi).join(df, ks + [idx], "left")
+    """Every day between a key's first and last row (C1); rows outside
+    [lo, hi] are left out first.  Days without data have nulls (or
+    ``fill``)."""
+    from sitewise.operators.filters import between_dates
+    out = gap_fill(between_dates(df, idx, lo, hi), keys, idx, "day")
     return out.fillna(fill) if fill else out
 
 
@@ -70,27 +102,24 @@ def complete_months(df: DataFrame, keys, idx: str = "DATE", fill: dict | None =
                     anchor: str = "start") -> DataFrame:
     """Every month of each key (C2, C3).  ``idx`` must hold month starts
     (``anchor='start'``) or month ends (``'end'``)."""
-    ks = as_list(keys)
-    out = month_calendar(df, ks, idx, anchor).join(df, ks + [idx], "left")
+    out = gap_fill(df, keys, idx, "month", anchor)
     return out.fillna(fill) if fill else out
 
 
 def missing_months(df: DataFrame, keys, idx: str = "DATE", anchor: str = "start") -> DataFrame:
     """Calendar months of a key with no row in the data."""
     ks = as_list(keys)
-    return month_calendar(df, ks, idx, anchor).join(df.select(*ks, idx), ks + [idx], "left_anti")
+    g = gap_fill(df.select(*ks, idx).dropDuplicates(ks + [idx]), ks, idx, "month", anchor, flag="_m")
+    return g.filter(F.col("_m")).drop("_m")
 
 
 def all_dates_present(df: DataFrame, keys, idx: str = "DATE", anchor: str = "start") -> DataFrame:
     """Per key: months in the calendar, months missing, and whether all are
     present (J10)."""
     ks = as_list(keys)
-    n_months = (bounds(df, ks, idx, to_month=True)
-                .select(*ks, (F.months_between("_hi", "_lo").cast("int") + 1).alias("n_months")))
-    miss = (missing_months(df, ks, idx, anchor).groupBy(*ks)
-            .agg(F.count(F.lit(1)).alias("n_missing")))
-    return (n_months.join(miss, ks, "left")
-            .withColumn("n_missing", F.coalesce("n_missing", F.lit(0)).cast("long"))
+    g = gap_fill(df.select(*ks, idx).dropDuplicates(ks + [idx]), ks, idx, "month", anchor, flag="_m")
+    return (g.groupBy(*ks).agg(F.count(F.lit(1)).alias("n_months"),
+                               F.count_if(F.col("_m")).alias("n_missing"))
             .withColumn("all_present", F.col("n_missing") == 0))
 
 
@@ -122,8 +151,8 @@ def interpolate_linear(df: DataFrame, keys, idx: str = "date", v: str = "value",
     back, fwd = running(ks, idx), ahead(ks, idx)
     d0 = F.last(seen_d, ignorenulls=True).over(back)
     y0 = F.last(x, ignorenulls=True).over(back)
-    d1 = F.first(seen_d, ignorenulls=True).over(fwd)
-    y1 = F.first(x, ignorenulls=True).over(fwd)
+    d1 = F.last(seen_d, ignorenulls=True).over(fwd)
+    y1 = F.last(x, ignorenulls=True).over(fwd)
     line = y0 + (y1 - y0) * F.datediff(col(idx), d0) / F.datediff(d1, d0)
     return (full.withColumn(missing, x.isNull())
             .withColumn(v, F.when(x.isNull(), line).otherwise(x)))

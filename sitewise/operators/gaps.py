@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from sitewise.functions._util import as_list, col
 from sitewise.operators._window import ahead, by_key, running
-from sitewise.operators.calendar import day_calendar
+from sitewise.operators.calendar import gap_fill
+from sitewise.operators.filters import between_dates
 
 
 def missing_days(df: DataFrame, keys, idx: str = "DATE", v: str = "VALUE",
@@ -22,14 +23,14 @@ def missing_days(df: DataFrame, keys, idx: str = "DATE", v: str = "VALUE",
     null value in any record of that day (C6).  One row per key and day.
 
     Raw rows are first reduced to one row per key and day (partial
-    aggregation before the shuffle), then set against the day calendar.
+    aggregation before the shuffle); the missing days then come from a
+    single gap-fill pass over each key's days.
     """
     ks = as_list(keys)
-    day = df.groupBy(*ks, idx).agg(F.bool_or(col(v).isNull()).alias("_anynull"))
-    cal = day_calendar(day, ks, idx, lo, hi)
-    return (cal.join(day, ks + [idx], "left")
-            .filter(F.coalesce(F.col("_anynull"), F.lit(True)))
-            .select(*ks, idx))
+    day = (between_dates(df, idx, lo, hi).groupBy(*ks, idx)
+           .agg(F.bool_or(col(v).isNull()).alias("_anynull")))
+    g = gap_fill(day, ks, idx, "day", flag="_f")
+    return g.filter(F.col("_f") | F.col("_anynull")).select(*ks, idx)
 
 
 def missing_runs(miss: DataFrame, keys, idx: str = "DATE") -> DataFrame:
@@ -66,7 +67,7 @@ def spread_over_gaps(counts: DataFrame, runs: DataFrame, keys, idx: str = "DATE"
 
     ``counts``: one row per key and sampled day; ``runs``: output of
     ``missing_runs``.  The grid runs from the key's first to last counted
-    day, clipped to [lo, hi].  Then, from the columns of one frame:
+    day inside [lo, hi].  Then, from the columns of one frame:
 
     1. a day in a run of length d <= ``max_gap``, and the day that ends it,
        get the next count / (d + 1), so the run plus its next day keep the
@@ -75,26 +76,34 @@ def spread_over_gaps(counts: DataFrame, runs: DataFrame, keys, idx: str = "DATE"
        after a long run is null too (it is the day after a run end);
     3. with ``zero_fill``, a sampled day (not in a run) without a count is 0
        rather than taking the next day's count.
+
+    The grid, the run facts and the run ends are unioned and merged per key
+    and day with window functions, all under one hash partitioning by the
+    keys: no join on (key, day), so no reshuffle between the steps.
     """
     ks = as_list(keys)
-    facts = runs.select(*ks, F.col(runs_idx).alias(idx), "duration", "ENDDATE")
+    grid = gap_fill(between_dates(counts.select(*ks, idx, v), idx, lo, hi), ks, idx, "day")
+    grid = grid.withColumn("_g", F.lit(True))
+    facts = runs.select(*ks, F.col(runs_idx).alias(idx), "duration")
     ends = (runs.filter(F.col(runs_idx) == F.col("ENDDATE"))
             .select(*ks, F.date_add(runs_idx, 1).alias(idx), F.col("duration").alias("_prev_dur")))
-    grid = (day_calendar(counts, ks, idx, lo, hi)
-            .join(counts.select(*ks, idx, v), ks + [idx], "left")
-            .join(facts, ks + [idx], "left")
-            .join(ends, ks + [idx], "left"))
+    u = (grid.unionByName(facts, allowMissingColumns=True)
+         .unionByName(ends, allowMissingColumns=True)
+         .repartition(*ks))
+    wd = by_key(ks + [idx])
+    u = (u.withColumns({c: F.first(c, ignorenulls=True).over(wd) for c in ("duration", "_prev_dur")})
+         .filter(F.col("_g").isNotNull()))
     x = col(v)
     if zero_fill:
         x = F.when(x.isNull() & F.col("duration").isNull(), F.lit(0)).otherwise(x)
     dur = F.coalesce(F.col("duration"), F.lit(0))
-    filled = F.first(x, ignorenulls=True).over(ahead(ks, idx))
+    filled = F.last(x, ignorenulls=True).over(ahead(ks, idx))
     shared = F.when(dur <= max_gap, filled / (dur + 1))
     after = F.col("_prev_dur").isNotNull()
     if not null_after_long_gap:
         after = after & (F.col("_prev_dur") <= max_gap)
     w = by_key(ks, idx)
-    return (grid.withColumn("_shared", shared)
+    return (u.withColumn("_shared", shared)
             .withColumn(v, F.when(after, F.lag("_shared").over(w)).otherwise(F.col("_shared")))
             .withColumn("duration", dur)
-            .drop("_shared", "_prev_dur"))
+            .drop("_shared", "_prev_dur", "_g"))

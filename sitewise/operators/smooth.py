@@ -64,4 +64,4 @@ def seasonal_diff(df: DataFrame, keys, idx: str, v: str, lag: int = 12,
 def fill_next(df: DataFrame, keys, idx: str, cols: list[str]) -> DataFrame:
     """Replace nulls by the next non-null value of the same series."""
     w = ahead(keys, idx)
-    return df.withColumns({c: F.first(c, ignorenulls=True).over(w) for c in cols})
+    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})

@@ -78,15 +78,7 @@ def penalty_value(penalty, cost: str, n: int, factor: float = 1.0) -> float:
     raise ValueError(f"unknown penalty {penalty!r}")
 
 
-def solve(series: list[tuple[np.ndarray, np.ndarray]], costs: list[str], betas: list[float],
-          min_seg: int = MIN_SEG, prune: bool | None = None):
-    """Optimal segmentation of one group.
-
-    ``series``: per series (sorted dates as datetime64[D], values).  Returns
-    (grid, changepoint indices into the grid (1-based ends of left
-    segments), optimal cost).
-    """
-    grid = np.unique(np.concatenate([d for d, _ in series]))
+def _prefix(series, grid):
     T_ = len(grid)
     K = len(series)
     N = np.zeros((K, T_ + 1))
@@ -99,27 +91,63 @@ def solve(series: list[tuple[np.ndarray, np.ndarray]], costs: list[str], betas:
         S[k] = np.cumsum(np.bincount(pos, weights=y, minlength=T_ + 1))
         Q[k] = np.cumsum(np.bincount(pos, weights=y * y, minlength=T_ + 1))
         mus[k] = y.mean() if len(y) else 0.0
+    return N, S, Q, mus
+
+
+# Largest cost matrix (grid^2 x series) built in one piece; beyond it the
+# program goes row by row (and may prune).
+MATRIX_CELLS = 4_000_000
+
+
+def solve(series: list[tuple[np.ndarray, np.ndarray]], costs: list[str], betas: list[float],
+          min_seg: int = MIN_SEG, prune: bool | None = None):
+    """Optimal segmentation of one group.
+
+    ``series``: per series (sorted dates as datetime64[D], values).  Returns
+    (grid, changepoint indices into the grid (1-based ends of left
+    segments), optimal cost).
+    """
+    grid = np.unique(np.concatenate([d for d, _ in series]))
+    T_ = len(grid)
+    K = len(series)
+    N, S, Q, mus = _prefix(series, grid)
     beta = float(sum(betas))
     if prune is None:
         prune = T_ > 400
     F_ = np.full(T_ + 1, np.inf)
     F_[0] = -beta
     prev = np.zeros(T_ + 1, dtype=np.int64)
-    cand = np.array([0], dtype=np.int64)
-    for t in range(1, T_ + 1):
-        s = cand if prune else np.arange(t)
-        dn = N[:, [t]] - N[:, s]
-        feasible = (dn >= min_seg).all(axis=0)
-        c = np.zeros(len(s))
+    if not prune and (T_ + 1) ** 2 * K <= MATRIX_CELLS:
+        # C[s, t]: cost of segment (s, t], inf where a series has < min_seg points
+        C = np.zeros((T_ + 1, T_ + 1))
+        ok = np.ones((T_ + 1, T_ + 1), dtype=bool)
         for k in range(K):
-            c += segment_cost(costs[k], dn[k], S[k, t] - S[k, s], Q[k, t] - Q[k, s], mus[k])
-        tot = np.where(feasible, F_[s] + c + beta, np.inf)
-        j = int(np.argmin(tot)) if len(tot) else 0
-        F_[t] = tot[j] if len(tot) else np.inf
-        prev[t] = s[j] if len(s) else 0
-        if prune:
-            keep = ~feasible | (F_[s] + c <= F_[t])
-            cand = np.append(s[keep], t)
+            dn = N[k][None, :] - N[k][:, None]
+            ok &= dn >= min_seg
+            C += segment_cost(costs[k], dn, S[k][None, :] - S[k][:, None],
+                              Q[k][None, :] - Q[k][:, None], mus[k])
+        C = np.where(ok, C, np.inf)
+        for t in range(1, T_ + 1):
+            tot = F_[:t] + C[:t, t]
+            j = int(np.argmin(tot))
+            F_[t] = tot[j] + beta
+            prev[t] = j
+    else:
+        cand = np.array([0], dtype=np.int64)
+        for t in range(1, T_ + 1):
+            s = cand if prune else np.arange(t)
+            dn = N[:, [t]] - N[:, s]
+            feasible = (dn >= min_seg).all(axis=0)
+            c = np.zeros(len(s))
+            for k in range(K):
+                c += segment_cost(costs[k], dn[k], S[k, t] - S[k, s], Q[k, t] - Q[k, s], mus[k])
+            tot = np.where(feasible, F_[s] + c + beta, np.inf)
+            j = int(np.argmin(tot)) if len(tot) else 0
+            F_[t] = tot[j] if len(tot) else np.inf
+            prev[t] = s[j] if len(s) else 0
+            if prune:
+                keep = ~feasible | (F_[s] + c <= F_[t])
+                cand = np.append(s[keep], t)
     cps = []
     b = prev[T_] if np.isfinite(F_[T_]) else 0
     while b > 0:
@@ -163,21 +191,24 @@ def changepoint_fit(df: DataFrame, keys, idx: str, v: str, series: str | None =
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         gval = str(pdf[ks[0]].iloc[0])
+        d_all = pdf["_d"].to_numpy(dtype="datetime64[D]")
+        y_all = pdf["_y"].to_numpy(dtype=float)
+        names = pdf[sc].to_numpy(dtype=object)
         parts, costs, betas = [], [], []
-        for name, g in pdf.groupby(sc, sort=True):
-            g = g.sort_values("_d")
-            d = pd.to_datetime(g["_d"]).to_numpy().astype("datetime64[D]")
-            y = g["_y"].to_numpy(dtype=float)
-            c = _pick(cost, name, gval, default="normal_meanvar")
-            p = _pick(penalty, name, gval, default="bic")
+        for name in sorted(set(names)):
+            sel = names == name
+            order = np.argsort(d_all[sel], kind="stable")
+            d, y = d_all[sel][order], y_all[sel][order]
+            c = _pick(cost, name if series else None, gval, default="normal_meanvar")
+            p = _pick(penalty, name if series else None, gval, default="bic")
             parts.append((d, y))
             costs.append(c)
             betas.append(penalty_value(p, c, len(y), penalty_factor))
         grid, cps, total = solve(parts, costs, betas, min_seg)
-        locs = [pd.Timestamp(grid[i - 1]).date() for i in cps]
-        row = {k: pdf[k].iloc[0] for k in ks}
-        row.update(cpt_type=kind, cost=total, n_cpts=len(cps), n_grid=len(grid), locs=locs)
-        return pd.DataFrame([row])[[f.name for f in schema.fields]]
+        row = {k: [pdf[k].iloc[0]] for k in ks}
+        row.update(cpt_type=[kind], cost=[total], n_cpts=[len(cps)], n_grid=[len(grid)],
+                   locs=[[grid[i - 1].astype(object) for i in cps]])
+        return pd.DataFrame(row)[[f.name for f in schema.fields]]
 
     return src.groupBy(*ks).applyInPandas(one, schema)
 

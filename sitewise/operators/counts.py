@@ -36,6 +36,29 @@ def daily_species(df: DataFrame, keys, idx: str = "DATE", v: str = "VALUE",
             .drop("_n"))
 
 
+def daily_facts(df: DataFrame, keys, idx: str = "DATE", v: str = "VALUE",
+                field: str = "FIELDNAME", taxon=None, out: str = "counts",
+                n_out: str = "n_species") -> DataFrame:
+    """One aggregate per key and day for the gap pipeline: whether any value
+    of the day is null (all rows), and the taxon's daily total and species
+    number (as ``daily_species`` on the taxon rows; ``has_taxon`` says
+    whether the taxon was seen).  Missing days and taxon counts then come
+    from the same aggregate, so the rows are scanned and shuffled once.
+    """
+    t = F.lit(True) if taxon is None else F.coalesce(taxon, F.lit(False))
+    x, f = col(v), col(field)
+    tx = F.when(t, x)
+    agg = (df.groupBy(*as_list(keys), idx)
+           .agg(F.bool_or(x.isNull()).alias("_anynull"),
+                F.count_if(t).alias("_nt"),
+                F.coalesce(F.sum(tx), F.lit(0.0)).alias(out),
+                (F.count_distinct(F.when(t, f)) +
+                 F.coalesce(F.max(F.when(t & f.isNull(), 1)), F.lit(0))).alias("_n")))
+    return (agg.withColumn("has_taxon", F.col("_nt") > 0)
+            .withColumn(n_out, F.when(F.col(out) == 0, F.lit(0)).otherwise(F.col("_n")))
+            .drop("_nt", "_n"))
+
+
 def monthly_totals(df: DataFrame, keys, idx: str = "DATE", v: str = "counts",
                    out_idx: str = "DATETIME") -> DataFrame:
     """Monthly sum (nulls skipped, 0 when none) and number of null days,

@@ -71,3 +71,15 @@ def select_taxa(df: DataFrame, spec, common_col: str = "DESC_COMMON",
     if t.where is not None:
         return df.filter(t.where if isinstance(t.where, Column) else F.expr(t.where))
     return df
+
+
+def taxa_predicate(spec, common_col: str = "DESC_COMMON", group_col: str = "IM_GROUP", **kw) -> Column:
+    """The row predicate of a taxon spec (True for every row when None)."""
+    t = resolve_taxa(spec, **kw)
+    if t.common_name is not None:
+        return F.col(common_col) == t.common_name
+    if t.group is not None:
+        return F.col(group_col) == t.group
+    if t.where is not None:
+        return t.where if isinstance(t.where, Column) else F.expr(t.where)
+    return F.lit(True)

@@ -9,6 +9,7 @@ from sitewise.operators.enrich import enrich
 from sitewise.operators.filters import Taxa, select_taxa
 from sitewise.operators.gaps import missing_days, missing_runs, spread_over_gaps, top_missing_runs
 from sitewise.plans.catalog.common import clean, daily, monthly_by_group
+from sitewise.plans.site import site_daily
 from sitewise.plans.registry import r6, register
 from sitewise.plans.sqlparts import (CLEAN, DAILY, GROUPS, OBS, calendar_sql, runs_sql,
                                      spread_sql, with_)
@@ -107,10 +108,9 @@ def _spread_sql(zero_fill: bool) -> str:
 
 
 def _spread(spark, d, zero_fill: bool):
-    e = enrich(clean(spark, d), standin.groups(spark, d), how="left")
-    counts = daily_species(select_taxa(e, Taxa(group=TAXON)), ["station"], "DATE")
-    out = spread_over_gaps(counts, _runs(spark, d), ["station"], "DATE", "counts",
-                           max_gap=MAX_GAP, zero_fill=zero_fill)
+    """The site pipeline's daily grid, keyed by station, for one group."""
+    out = site_daily(clean(spark, d), ["station"], taxa=Taxa(group=TAXON),
+                     groups=standin.groups(spark, d), max_gap=MAX_GAP, zero_fill=zero_fill)
     return out.select("station", "DATE", "counts", "duration")
 
 

@@ -196,3 +196,20 @@ def o2_last_rows(spark, d):
 def o4_random_rows(spark, d):
     """A random sample of 10 daily rates (a sampling operator)."""
     return (st.daily_abundance_rate(clean(spark, d)).orderBy(F.rand(42)).limit(10))
+
+
+_SER_K8 = BMR + """, europe AS (SELECT 'T' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS SITECODE FROM nation
+                 JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'),
+ser AS (SELECT SITECODE AS g, station AS k, date AS d, value AS y FROM mrate
+        WHERE value IS NOT NULL AND SITECODE IN (SELECT SITECODE FROM europe)),
+"""
+
+
+@register("k8_selected_series", _SER_K8 + changepoint_sql("j", "ser", NORMAL_MEANVAR_SQL, "0.5 * ln(n)")
+          + "\nSELECT g AS SITECODE, 'joint' AS cpt_type, loc FROM jlocs")
+def k8_selected_series(spark, d):
+    """Shared changepoints of the series chosen for the fit: the stations of
+    the sites of one region (selection by semi join before the fit)."""
+    from sitewise.operators.filters import filter_in
+    m = filter_in(_mrate(spark, d), "SITECODE", standin.region_sites(spark, d, "EUROPE"))
+    return changepoints(m, ["SITECODE"], "date", "value", series="station", **_JKW)

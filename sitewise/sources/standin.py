@@ -25,7 +25,19 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_scan(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan that arrives in fewer splits than the session has
+    cores (a small file written as one row group is read by one task, and
+    everything up to the first shuffle would run on one core).  The check
+    is on the planned number of splits; a large input has many and is left
+    as it is, so on a cluster this adds no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def site_code(nationkey) -> F.Column:

@@ -34,9 +34,12 @@ def test_missing_and_all_present(spark):
 
 
 def test_complete_days_between_bounds(spark):
-    df = spark.createDataFrame([("A", D(2000, 1, 30), 1.0), ("A", D(2000, 2, 2), 2.0)], "k string, d date, v double")
-    assert complete_days(df, ["k"], "d").count() == 4
-    assert complete_days(df, ["k"], "d", lo="2000-01-31", hi="2000-02-01").count() == 2
+    df = spark.createDataFrame([("A", D(2000, 1, 30), 1.0), ("A", D(2000, 2, 1), 2.0), ("A", D(2000, 2, 3), 3.0)],
+                               "k string, d date, v double")
+    assert complete_days(df, ["k"], "d").count() == 5
+    # rows outside [lo, hi] are left out first; the calendar spans the rows inside
+    got = rows(complete_days(df, ["k"], "d", lo="2000-01-31", hi="2000-02-03"), "d", "v")
+    assert got == [(D(2000, 2, 1), 2.0), (D(2000, 2, 2), None), (D(2000, 2, 3), 3.0)]
 
 
 def test_interpolation_on_day_axis(spark):

@@ -14,7 +14,7 @@ def test_entry_and_registry(spark):
     assert df.count() > 0
     assert set(df.columns) == {"SITECODE", "station", "date", "value", "value_type"}
     q, o = E.queries(), E.oracle_sql()
-    assert set(o) <= set(q) and len(q) >= 80
+    assert set(o) <= set(q) and len(q) >= 87
     missing = sorted(set(q) - set(o))
     assert missing == ["o4_random_rows"]
 

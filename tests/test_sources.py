@@ -69,3 +69,10 @@ def test_traits_code_cut_and_report_round_trip(spark):
     out = os.path.join(tempfile.mkdtemp(prefix="sitewise-test-"), "report")
     write_report(read_traits(spark, p), out)
     assert spark.read.option("header", True).csv(out).first().IM_CODE == "123"
+
+
+def test_dimension_reader_explicit_text_schema(spark):
+    from sitewise.sources.readers import GROUPS_SCHEMA, read_dimension
+    _, p = _write("IM_SPEC,IM_GROUP,DESC_COMMON,DESC_LATIN\n0001,G,Heart and Dart,Agrotis exclamationis\n", "groups.csv")
+    g = read_dimension(spark, p, GROUPS_SCHEMA).first()
+    assert g.IM_SPEC == "0001" and g.IM_GROUP == "G"     # text stays text: no leading-zero loss

@@ -116,3 +116,45 @@ def spread_over_gaps(counts: DataFrame, runs: DataFrame, keys, idx: str = "DATE"
             .withColumn(v, F.when(after, F.lag("_shared").over(w)).otherwise(F.col("_shared")))
             .withColumn("duration", dur)
             .drop("_shared", "_prev_dur", "_g"))
+
+
+def share_over_gaps(facts: DataFrame, keys, idx: str = "DATE", v: str = "counts",
+                    anynull: str = "_anynull", has: str = "has_taxon", max_gap: int = 3,
+                    zero_fill: bool = True, null_after_long_gap: bool = True) -> DataFrame:
+    """``spread_over_gaps`` in one chain of windows over a per-day aggregate
+    (``counts.daily_facts``), with the same rules.
+
+    The aggregate is gap-filled to every day of the key; unsampled days
+    (absent, or with a null value) form runs numbered by a running count of
+    run starts; run lengths, the taxon's first and last day (the grid) and
+    the shared catch are columns of that one frame.  Nothing is joined or
+    unioned, so the plan keeps one hash partitioning by the keys from the
+    aggregate to the result.
+    """
+    ks = as_list(keys)
+    w = by_key(ks, idx)
+    g = gap_fill(facts.select(*ks, idx, v, anynull, has), ks, idx, "day", flag="_f")
+    seen = F.coalesce(F.col(has), F.lit(False))
+    g = g.withColumn("_miss", F.col("_f") | F.coalesce(F.col(anynull), F.lit(False)))
+    start = F.col("_miss") & ~F.coalesce(F.lag("_miss").over(w), F.lit(False))
+    g = g.withColumn("_run", F.sum(start.cast("int")).over(running(ks, idx)))
+    wk = by_key(ks)
+    g = g.withColumns({
+        "_dur": F.when(F.col("_miss"), F.count(F.lit(1)).over(by_key(ks + ["_run", "_miss"]))),
+        "_lo": F.min(F.when(seen, F.col(idx))).over(wk),
+        "_hi": F.max(F.when(seen, F.col(idx))).over(wk),
+    })
+    x = F.when(seen, F.col(v))
+    if zero_fill:
+        x = F.when(x.isNull() & ~F.col("_miss"), F.lit(0.0)).otherwise(x)
+    dur = F.coalesce(F.col("_dur"), F.lit(0))
+    filled = F.last(x, ignorenulls=True).over(ahead(ks, idx))
+    g = g.withColumns({"_shared": F.when(dur <= max_gap, filled / (dur + 1)),
+                       "_prev_dur": F.lag("_dur").over(w)})
+    after = F.col("_prev_dur").isNotNull() & ~F.col("_miss")
+    if not null_after_long_gap:
+        after = after & (F.col("_prev_dur") <= max_gap)
+    out = F.when(after, F.when(F.col(idx) > F.col("_lo"), F.lag("_shared").over(w))).otherwise(F.col("_shared"))
+    return (g.withColumn(v, out)
+            .filter(F.col(idx).between(F.col("_lo"), F.col("_hi")))
+            .select(*ks, idx, v, dur.alias("duration")))

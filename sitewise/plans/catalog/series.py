@@ -16,7 +16,8 @@ from sitewise.plans.catalog.common import clean, site_monthly
 from sitewise.plans.catalog.season import _DEC_SQL, SMON, _comp_sql, MA
 from sitewise.plans.catalog.station import BASE, INTERP
 from sitewise.plans.registry import r6, register
-from sitewise.plans.sqlparts import (CLEAN, DAILY, DRATE, MRATE, NORMAL_MEANVAR_SQL, OBS, POISSON_SQL,
+from sitewise.plans.sqlparts import (CLEAN, DAILY, DRATE, MRATE, NORMAL_MEANVAR_SQL, NORMAL_VAR_SQL, OBS,
+                                     POISSON_SQL,
                                      WEATHER, calendar_sql, changepoint_sql, runs_sql, spread_sql,
                                      with_)
 from sitewise.sources import standin
@@ -99,6 +100,14 @@ def _mrate(spark, d):
     return st.monthly_abundance_rate(clean(spark, d))
 
 
+@register("k5_normal_var_numeric_penalty", _SER_UNI + changepoint_sql("u", "ser", NORMAL_VAR_SQL, "10.0")
+          + "\nSELECT g AS station, 'uni' AS cpt_type, loc FROM ulocs")
+def k5_normal_var_numeric_penalty(spark, d):
+    """Changes in variance around each station's overall mean, with a fixed
+    penalty of 10 per changepoint."""
+    return changepoints(_mrate(spark, d), ["station"], "date", "value", cost="normal_var", penalty=10.0)
+
+
 @register("k1_changepoints", _UNI + "SELECT g AS station, 'uni' AS cpt_type, loc FROM ulocs")
 def k1_changepoints(spark, d):
     """Changepoints in mean and variance of each station's monthly rate."""

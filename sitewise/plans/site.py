@@ -19,7 +19,7 @@ from sitewise.operators.calendar import complete_days, complete_months
 from sitewise.operators.counts import daily_facts, monthly_totals
 from sitewise.operators.enrich import enrich
 from sitewise.operators.filters import between_dates, taxa_predicate
-from sitewise.operators.gaps import missing_days_from_facts, missing_runs, spread_over_gaps
+from sitewise.operators.gaps import share_over_gaps
 from sitewise.operators.season import classical_decompose, standardise
 
 
@@ -31,7 +31,9 @@ def site_daily(clean: DataFrame, keys=("SITECODE",), taxa=None, groups: DataFram
 
     Unsampled days are found from all species; the taxon only selects what
     is counted.  Both come from one aggregate per key and day
-    (``daily_facts``), so the observations are scanned and shuffled once.
+    (``daily_facts``), and the sharing is one chain of windows over it
+    (``share_over_gaps``): the observations are scanned once and the plan
+    has one shuffle for the aggregate and one for the key windows.
     """
     ks = as_list(keys)
     df = between_dates(clean, "DATE", lo, hi)
@@ -43,8 +45,7 @@ def site_daily(clean: DataFrame, keys=("SITECODE",), taxa=None, groups: DataFram
     counts = facts.filter(F.col("has_taxon")).select(*ks, "DATE", "counts", "n_species")
     if not avg_missing_data:
         return complete_days(counts, ks, "DATE")
-    runs = missing_runs(missing_days_from_facts(facts, ks, "DATE"), ks, "DATE")
-    return spread_over_gaps(counts, runs, ks, "DATE", "counts", max_gap=max_gap, zero_fill=zero_fill)
+    return share_over_gaps(facts, ks, "DATE", "counts", max_gap=max_gap, zero_fill=zero_fill)
 
 
 def multi_site(clean: DataFrame, keys=("SITECODE",), **kw) -> DataFrame:

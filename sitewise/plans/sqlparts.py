@@ -118,6 +118,7 @@ spread AS (SELECT {key}, DATE, coalesce(duration, 0) AS duration,
 
 NORMAL_MEANVAR_SQL = "dn * (ln(2 * pi()) + ln(greatest(dq / dn - pow(ds / dn, 2), 1e-8)) + 1)"
 POISSON_SQL = "CASE WHEN ds > 0 THEN 2 * ds * (ln(dn) - ln(ds)) ELSE 0 END"
+NORMAL_VAR_SQL = "dn * (ln(2 * pi()) + ln(greatest((dq - 2 * mu * ds + dn * mu * mu) / dn, 1e-8)) + 1)"
 
 
 def changepoint_sql(p: str, ser: str, cost: str, beta_sql: str, min_seg: int = 2) -> str:
@@ -125,7 +126,8 @@ def changepoint_sql(p: str, ser: str, cost: str, beta_sql: str, min_seg: int = 2
 
     ``ser``: CTE with (g, k, d, y): group, series, date, value.
     ``cost``: segment cost of one series over dn, ds, dq (count, sum and
-    sum of squares in the segment; may use k).
+    sum of squares in the segment) and mu (mean of the whole series); may
+    use k.
     ``beta_sql``: per-series penalty over n (and k).
     Defines ``{p}grid`` (g, d, t), ``{p}fin`` (g, t, cost, prev) and
     ``{p}locs`` (g, loc).
@@ -139,13 +141,15 @@ def changepoint_sql(p: str, ser: str, cost: str, beta_sql: str, min_seg: int = 2
            LEFT JOIN {ser} s ON s.g = gr.g AND s.k = ks.k AND s.d = gr.d
            WINDOW w AS (PARTITION BY gr.g, ks.k ORDER BY gr.t ROWS UNBOUNDED PRECEDING)),
 {p}pre0 AS (SELECT * FROM {p}pre UNION ALL SELECT g, k, 0, 0, 0, 0 FROM {p}keys),
+{p}mu AS (SELECT g, k, avg(y) AS mu FROM {ser} GROUP BY ALL),
 {p}beta AS (SELECT g, sum({beta_sql}) AS b FROM (SELECT g, k, count(*) AS n FROM {ser} GROUP BY ALL) GROUP BY g),
 {p}cm AS (SELECT g, t, list(cost ORDER BY j) AS cs FROM (
            SELECT g, t, j,
                   CASE WHEN min(dn) >= {min_seg} THEN sum(CASE WHEN dn > 0 THEN {cost} END)
                        ELSE 'inf'::DOUBLE END AS cost
-           FROM (SELECT b.g, b.t, a.t AS j, a.k, b.n - a.n AS dn, b.s - a.s AS ds, b.q - a.q AS dq
-                 FROM {p}pre0 a JOIN {p}pre0 b ON a.g = b.g AND a.k = b.k AND a.t < b.t)
+           FROM (SELECT b.g, b.t, a.t AS j, a.k, b.n - a.n AS dn, b.s - a.s AS ds, b.q - a.q AS dq, m.mu
+                 FROM {p}pre0 a JOIN {p}pre0 b ON a.g = b.g AND a.k = b.k AND a.t < b.t
+                 JOIN {p}mu m ON m.g = a.g AND m.k = a.k)
            GROUP BY g, t, j)
          GROUP BY g, t),
 {p}r AS (SELECT g, b, 0::BIGINT AS t, [-b]::DOUBLE[] AS f, []::BIGINT[] AS prev FROM {p}beta

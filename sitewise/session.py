@@ -26,6 +26,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "sitewise", extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
     conf = dict(LOCAL_CONF)
+    mem = os.environ.get("SITEWISE_DRIVER_MEMORY")
+    if mem:
+        conf["spark.driver.memory"] = mem
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from sitewise.operators.calendar import (all_dates_present, complete_days, complete_months,
                                          fill_month_median, missing_months)
-from sitewise.operators.counts import daily_species, monthly_totals, zero_day_summary
-from sitewise.operators.enrich import enrich
-from sitewise.operators.filters import Taxa, select_taxa
-from sitewise.operators.gaps import missing_days, missing_runs, spread_over_gaps, top_missing_runs
+from sitewise.operators.counts import monthly_totals, zero_day_summary
+from sitewise.operators.filters import Taxa
+from sitewise.operators.gaps import missing_days, missing_runs, top_missing_runs
 from sitewise.plans.catalog.common import clean, daily, monthly_by_group
 from sitewise.plans.site import site_daily
 from sitewise.plans.registry import r6, register

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitewise.operators.changepoint import (attach_segment_mean, changepoint_fit, changepoints,
-                                            joint_with_uni, per_series, segment_stats)
+from sitewise.operators.changepoint import (attach_segment_mean, changepoints, joint_with_uni,
+                                            per_series, segment_stats)
 from sitewise.operators.spectrum import periodogram
 from sitewise.operators.stack import stack_series
 from sitewise.operators.counts import monthly_mean
@@ -13,7 +13,7 @@ from sitewise.operators.weather import weather_for_stations
 from sitewise.plans import site
 from sitewise.plans import station as st
 from sitewise.plans.catalog.common import clean, site_monthly
-from sitewise.plans.catalog.season import _DEC_SQL, SMON, _comp_sql, MA
+from sitewise.plans.catalog.season import MA, SMON, _comp_sql
 from sitewise.plans.catalog.station import BASE, INTERP
 from sitewise.plans.registry import r6, register
 from sitewise.plans.sqlparts import (CLEAN, DAILY, DRATE, MRATE, NORMAL_MEANVAR_SQL, NORMAL_VAR_SQL, OBS,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from sitewise.operators.calendar import complete_months
 from sitewise.operators.rates import with_interval
 from sitewise.plans import station as st

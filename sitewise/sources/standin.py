@@ -41,10 +41,12 @@ def spread_scan(df: DataFrame) -> DataFrame:
     everything up to the first shuffle would run on one core).  The check
     is on the planned number of splits; a large input has many and is left
     as it is, so on a cluster this adds no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. Spark Connect): leave the scan as it is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def site_code(nationkey) -> F.Column:

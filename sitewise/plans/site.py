@@ -21,6 +21,7 @@ from sitewise.operators.enrich import enrich
 from sitewise.operators.filters import between_dates, taxa_predicate
 from sitewise.operators.gaps import share_over_gaps
 from sitewise.operators.season import classical_decompose, standardise
+from sitewise.session import cut_lineage
 
 
 def site_daily(clean: DataFrame, keys=("SITECODE",), taxa=None, groups: DataFrame | None = None,
@@ -48,9 +49,13 @@ def site_daily(clean: DataFrame, keys=("SITECODE",), taxa=None, groups: DataFram
     return share_over_gaps(facts, ks, "DATE", "counts", max_gap=max_gap, zero_fill=zero_fill)
 
 
-def multi_site(clean: DataFrame, keys=("SITECODE",), **kw) -> DataFrame:
+def multi_site(clean: DataFrame, keys=("SITECODE",), checkpoint_daily: bool = False, **kw) -> DataFrame:
+    """``checkpoint_daily`` writes the daily grid (the costly part) under the
+    session's checkpoint folder, so the monthly steps restart from it."""
     ks = as_list(keys)
     daily = site_daily(clean, ks, **kw)
+    if checkpoint_daily:
+        daily = cut_lineage(daily)
     monthly = monthly_totals(daily, ks, "DATE", "counts", out_idx="DATETIME").drop("NA_per_mo")
     monthly = complete_months(monthly, ks, "DATETIME", fill={"counts": 0})
     dec = classical_decompose(monthly, ks, "DATETIME", "counts")

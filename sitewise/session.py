@@ -57,3 +57,12 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A path under the session's checkpoint folder, for written tables that
     cut lineage (never a machine-local folder on a cluster)."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def cut_lineage(df, eager: bool = True):
+    """Materialise ``df`` under the session's checkpoint folder and return a
+    frame that reads it back, so a lost executor later recomputes from
+    there, not from the raw scan.  A reliable checkpoint (``checkpoint``),
+    never a local one."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)

@@ -104,3 +104,14 @@ def test_one_chain_equals_general_path(spark):
             for x, y in zip(a, b):
                 assert x[:2] == y[:2] and x[3] == y[3]
                 assert (x[2] is None and y[2] is None) or abs(x[2] - y[2]) < 1e-12, (x, y)
+
+
+def test_multi_site_with_checkpointed_daily_grid(spark):
+    from conftest import SF_SMALL
+    from sitewise.plans.catalog.common import clean
+    from sitewise.plans.site import multi_site
+    a = rows(multi_site(clean(spark, SF_SMALL), ["SITECODE"]), "SITECODE", "DATETIME", "decomp_deseason")
+    b = rows(multi_site(clean(spark, SF_SMALL), ["SITECODE"], checkpoint_daily=True),
+             "SITECODE", "DATETIME", "decomp_deseason")
+    assert len(a) > 0 and len(a) == len(b)
+    assert all(x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-9 for x, y in zip(a, b))

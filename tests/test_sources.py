@@ -76,3 +76,15 @@ def test_dimension_reader_explicit_text_schema(spark):
     _, p = _write("IM_SPEC,IM_GROUP,DESC_COMMON,DESC_LATIN\n0001,G,Heart and Dart,Agrotis exclamationis\n", "groups.csv")
     g = read_dimension(spark, p, GROUPS_SCHEMA).first()
     assert g.IM_SPEC == "0001" and g.IM_GROUP == "G"     # text stays text: no leading-zero loss
+
+
+def test_fortnightly_series_pivot_21(spark):
+    from sitewise.sources.readers import read_fortnightly_series
+    text = ("DATE,VARIABLE,sign_if_LT_LOD,VALUE\n05-Jan-93,PO4P,,1.5\n19-Jan-93,PO4P,<,0.5\n"
+            "17-Mar-20,PO4P,,2.0\n17-Mar-21,PO4P,,9.0\n05-Jan-93,NO3N,,7.0\n")
+    _, p = _write(text, "po4p.csv")
+    got = sorted((r.DATETIME, r.VALUE) for r in read_fortnightly_series(spark, p, variable="PO4P").collect())
+    assert got == [(dt.date(1921, 3, 17), 9.0), (dt.date(1993, 1, 5), 1.5), (dt.date(1993, 1, 19), 0.5),
+                   (dt.date(2020, 3, 17), 2.0)]
+    w = read_fortnightly_series(spark, p, variable="PO4P", start="1989-12-31", end="1999-02-21")
+    assert w.count() == 2

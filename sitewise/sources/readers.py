@@ -23,7 +23,8 @@ TRAITS_SCHEMA = ("IM_CODE string, Genus string, species string, COMMON_NAME stri
 ANNUAL_SCHEMA = "YEAR int, SITE string, DETERMINAND string, ANNUAL_AVG_ABUNDANCE double"
 FORTNIGHTLY_SCHEMA = "DATE string, VARIABLE string, sign_if_LT_LOD string, VALUE double"
 
-# Dataset name -> file name under the data root.
+# Dataset name -> file name of the long observation file under
+# the data root (S2); pass ``datasets=`` to read_observations for others.
 DATASETS = {"moth": "ECN_IM1.csv", "butterfly": "ECN_IB1.csv"}
 
 
@@ -35,14 +36,16 @@ def _reader(spark: SparkSession, schema: str, fmt: str):
 
 
 def read_observations(spark: SparkSession, path: str | None = None, fmt: str = "csv",
-                      dataset: str | None = None, root: str | None = None) -> DataFrame:
+                      dataset: str | None = None, root: str | None = None,
+                      datasets: dict | None = None) -> DataFrame:
     """Long observation rows (S1); ``dataset`` picks the file by name."""
     if dataset is not None:
-        if dataset not in DATASETS:
-            raise ValueError(f"unknown dataset {dataset!r}; expected one of {sorted(DATASETS)}")
+        names = DATASETS if datasets is None else datasets
+        if dataset not in names:
+            raise ValueError(f"unknown dataset {dataset!r}; expected one of {sorted(names)}")
         if root is None:
             raise ValueError("root is needed with dataset")
-        path = f"{root.rstrip('/')}/{DATASETS[dataset]}"
+        path = f"{root.rstrip('/')}/{names[dataset]}"
     if path is None:
         raise ValueError("path or dataset is needed")
     return _reader(spark, OBS_SCHEMA, fmt).load(path)

@@ -170,6 +170,37 @@ def _pick(spec, *names, default=None):
     return spec
 
 
+def _grouped_fit(pdf: pd.DataFrame, ks, sc, series, cost, penalty, penalty_factor, min_seg):
+    """Fit one group from its rows (``_d``, ``_y``, series column ``sc``).
+    Returns the per-series arrays, the grid, the changepoint dates and the
+    optimal cost."""
+    gval = str(pdf[ks[0]].iloc[0])
+    d_all = pdf["_d"].to_numpy(dtype="datetime64[D]")
+    y_all = pdf["_y"].to_numpy(dtype=float)
+    names = pdf[sc].to_numpy(dtype=object)
+    parts, costs, betas, labels = [], [], [], []
+    for name in sorted(set(names)):
+        sel = names == name
+        order = np.argsort(d_all[sel], kind="stable")
+        d, y = d_all[sel][order], y_all[sel][order]
+        c = _pick(cost, name if series else None, gval, default="normal_meanvar")
+        p = _pick(penalty, name if series else None, gval, default="bic")
+        parts.append((d, y))
+        costs.append(c)
+        betas.append(penalty_value(p, c, len(y), penalty_factor))
+        labels.append(name)
+    grid, cps, total = solve(parts, costs, betas, min_seg)
+    locs = grid[[i - 1 for i in cps]] if cps else grid[:0]
+    return labels, parts, grid, locs, total
+
+
+def _source(df: DataFrame, ks, idx, v, series):
+    sc = series or "_series"
+    src = df.select(*ks, F.col(idx).alias("_d"), F.col(v).cast("double").alias("_y"),
+                    (F.col(series).cast("string") if series else F.lit("")).alias(sc))
+    return src.filter(F.col("_y").isNotNull() & F.col("_d").isNotNull()), sc
+
+
 def changepoint_fit(df: DataFrame, keys, idx: str, v: str, series: str | None = None,
                     cost="normal_meanvar", penalty="bic", penalty_factor: float = 1.0,
                     min_seg: int = MIN_SEG, cpt_type: str | None = None) -> DataFrame:
@@ -183,36 +214,72 @@ def changepoint_fit(df: DataFrame, keys, idx: str, v: str, series: str | None =
     """
     ks = as_list(keys)
     kind = cpt_type or ("joint" if series else "uni")
-    sc = series or "_series"
-    src = df.select(*ks, F.col(idx).alias("_d"), F.col(v).cast("double").alias("_y"),
-                    (F.col(series).cast("string") if series else F.lit("")).alias(sc))
-    src = src.filter(F.col("_y").isNotNull() & F.col("_d").isNotNull())
+    src, sc = _source(df, ks, idx, v, series)
     schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in ks] + FIT_FIELDS)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        gval = str(pdf[ks[0]].iloc[0])
-        d_all = pdf["_d"].to_numpy(dtype="datetime64[D]")
-        y_all = pdf["_y"].to_numpy(dtype=float)
-        names = pdf[sc].to_numpy(dtype=object)
-        parts, costs, betas = [], [], []
-        for name in sorted(set(names)):
-            sel = names == name
-            order = np.argsort(d_all[sel], kind="stable")
-            d, y = d_all[sel][order], y_all[sel][order]
-            c = _pick(cost, name if series else None, gval, default="normal_meanvar")
-            p = _pick(penalty, name if series else None, gval, default="bic")
-            parts.append((d, y))
-            costs.append(c)
-            betas.append(penalty_value(p, c, len(y), penalty_factor))
-        grid, cps, total = solve(parts, costs, betas, min_seg)
+        _, _, grid, locs, total = _grouped_fit(pdf, ks, sc, series, cost, penalty, penalty_factor, min_seg)
         row = {k: [pdf[k].iloc[0]] for k in ks}
-        row.update(cpt_type=[kind], cost=[total], n_cpts=[len(cps)], n_grid=[len(grid)],
-                   locs=[[grid[i - 1].astype(object) for i in cps]])
+        row.update(cpt_type=[kind], cost=[total], n_cpts=[len(locs)], n_grid=[len(grid)],
+                   locs=[[x.astype(object) for x in locs]])
         return pd.DataFrame(row)[[f.name for f in schema.fields]]
 
     return src.groupBy(*ks).applyInPandas(one, schema)
 
 
+def fit_segments(df: DataFrame, keys, idx: str, v: str, series: str | None = None,
+                 cost="normal_meanvar", penalty="bic", penalty_factor: float = 1.0,
+                 min_seg: int = MIN_SEG, cpt_type: str | None = None) -> DataFrame:
+    """The fitted rows themselves, each with its segment number (changepoints
+    dated before it) and the fit type.  The grouped call returns what it was
+    given, so later per-segment aggregates and windows reuse its
+    partitioning: no join or union of changepoints back onto the rows."""
+    ks = as_list(keys)
+    kind = cpt_type or ("joint" if series else "uni")
+    src, sc = _source(df, ks, idx, v, series)
+    fields = [T.StructField(k, df.schema[k].dataType) for k in ks]
+    if series:
+        fields.append(T.StructField(series, T.StringType()))
+    fields += [T.StructField(idx, T.DateType()), T.StructField(v, T.DoubleType()),
+               T.StructField("segment", T.LongType()), T.StructField("cpt_type", T.StringType())]
+    schema = T.StructType(fields)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        labels, parts, _, locs, _ = _grouped_fit(pdf, ks, sc, series, cost, penalty, penalty_factor, min_seg)
+        frames = []
+        for name, (d, y) in zip(labels, parts):
+            f = {k: pdf[k].iloc[0] for k in ks}
+            if series:
+                f[series] = name
+            f.update({idx: d.astype(object), v: y,
+                      "segment": np.searchsorted(locs, d, side="left").astype(np.int64), "cpt_type": kind})
+            frames.append(pd.DataFrame(f))
+        return pd.concat(frames, ignore_index=True)[[x.name for x in schema.fields]]
+
+    return src.groupBy(*ks).applyInPandas(one, schema)
+
+
+def shared_changepoints_per_series(df: DataFrame, keys, series: str, idx: str, v: str,
+                                   **kw) -> DataFrame:
+    """Shared changepoints of each group, one row per series of the group and
+    changepoint (J12), emitted by the grouped fit itself."""
+    ks = as_list(keys)
+    src, sc = _source(df, ks, idx, v, series)
+    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in ks] +
+                          [T.StructField(series, T.StringType()), T.StructField("cpt_type", T.StringType()),
+                           T.StructField("loc", T.DateType())])
+    cost, penalty = kw.get("cost", "normal_meanvar"), kw.get("penalty", "bic")
+    factor, min_seg = kw.get("penalty_factor", 1.0), kw.get("min_seg", MIN_SEG)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        labels, _, _, locs, _ = _grouped_fit(pdf, ks, sc, series, cost, penalty, factor, min_seg)
+        rows = [{**{k: pdf[k].iloc[0] for k in ks}, series: name, "cpt_type": "joint", "loc": x.astype(object)}
+                for name in labels for x in locs]
+        return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+
+    return src.groupBy(*ks).applyInPandas(one, schema)
+
+
 def changepoints(df: DataFrame, keys, idx: str, v: str, **kw) -> DataFrame:
     """Changepoint table (keys, cpt_type, loc): univariate per key (K1, K2)
     or shared by the series of a group (K3)."""
@@ -252,11 +319,16 @@ def with_segments(df: DataFrame, cpts: DataFrame, keys, idx: str, seg: str = "se
             .filter(F.col("_m") == 0).drop("_m"))
 
 
-def segment_stats(df: DataFrame, cpts: DataFrame, keys, idx: str, v: str,
-                  cost: str = "normal_meanvar") -> DataFrame:
-    """Per segment: first and last date, n, mean, sd and cost (K7)."""
+def segment_stats(df: DataFrame, cpts: DataFrame | None, keys, idx: str, v: str,
+                  cost: str = "normal_meanvar", **fit) -> DataFrame:
+    """Per segment: first and last date, n, mean, sd and cost (K7).  With
+    ``cpts=None`` the changepoints are fitted here (``fit_segments``, same
+    ``cost``)."""
     ks = as_list(keys)
-    seg = with_segments(df.filter(F.col(v).isNotNull()), cpts, ks, idx)
+    if cpts is None:
+        seg = fit_segments(df, ks, idx, v, cost=cost, **fit)
+    else:
+        seg = with_segments(df.filter(F.col(v).isNotNull()), cpts, ks, idx)
     y = F.col(v)
     out = (seg.groupBy(*ks, "segment")
            .agg(F.min(idx).alias("start"), F.max(idx).alias("end"), F.count(y).alias("n"),
@@ -273,9 +345,10 @@ def segment_stats(df: DataFrame, cpts: DataFrame, keys, idx: str, v: str,
     return out.withColumn("cost", c).drop("_s", "_q")
 
 
-def attach_segment_mean(df: DataFrame, cpts: DataFrame, keys, idx: str, v: str,
-                        out: str = "cpts") -> DataFrame:
-    """Each row with the mean of its segment (K1's table with segment means)."""
+def attach_segment_mean(df: DataFrame, cpts: DataFrame | None, keys, idx: str, v: str,
+                        out: str = "cpts", **fit) -> DataFrame:
+    """Each row with the mean of its segment (K1's table with segment means).
+    With ``cpts=None`` the changepoints are fitted here (``fit_segments``)."""
     ks = as_list(keys)
-    seg = with_segments(df, cpts, ks, idx)
+    seg = fit_segments(df, ks, idx, v, **fit) if cpts is None else with_segments(df, cpts, ks, idx)
     return seg.withColumn(out, F.avg(v).over(by_key(ks + ["segment"])))

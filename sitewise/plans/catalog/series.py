@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitewise.operators.changepoint import (attach_segment_mean, changepoints, joint_with_uni,
-                                            per_series, segment_stats)
+                                            segment_stats, shared_changepoints_per_series)
 from sitewise.operators.spectrum import periodogram
 from sitewise.operators.stack import stack_series
 from sitewise.operators.counts import monthly_mean
@@ -149,9 +149,7 @@ def k3_joint_changepoints(spark, d):
 FROM jlocs l JOIN jkeys k ON k.g = l.g""")
 def j12_joint_per_series(spark, d):
     """The shared changepoints of a site repeated for each of its stations."""
-    m = _mrate(spark, d)
-    c = changepoints(m, ["SITECODE"], "date", "value", series="station", **_JKW)
-    return per_series(c, m.filter(F.col("value").isNotNull()), ["SITECODE"], "station")
+    return shared_changepoints_per_series(_mrate(spark, d), ["SITECODE"], "station", "date", "value", **_JKW)
 
 
 @register("k4_joint_with_uni", _SER_J + changepoint_sql("j", "ser", NORMAL_MEANVAR_SQL, "0.5 * ln(n)") + ",\n"
@@ -177,9 +175,7 @@ SELECT station, segment, min(date) AS start, max(date) AS "end", count(y) AS n,
 FROM seg GROUP BY station, segment""")
 def k7_segment_stats(spark, d):
     """Per segment of each station: dates, n, mean, sd and cost."""
-    m = _mrate(spark, d)
-    c = changepoints(m, ["station"], "date", "value")
-    return segment_stats(m, c, ["station"], "date", "value")
+    return segment_stats(_mrate(spark, d), None, ["station"], "date", "value")
 
 
 @register("j13_segment_means", _UNI + f""", seg AS (
@@ -189,9 +185,8 @@ SELECT station, date, {r6('value')}, segment, {r6('avg(value) OVER (PARTITION BY
 FROM seg""")
 def j13_segment_means(spark, d):
     """Each monthly rate with the mean of its changepoint segment."""
-    m = _mrate(spark, d).filter(F.col("value").isNotNull()).select("station", "date", "value")
-    c = changepoints(m, ["station"], "date", "value")
-    return attach_segment_mean(m, c, ["station"], "date", "value")
+    m = _mrate(spark, d).select("station", "date", "value")
+    return attach_segment_mean(m, None, ["station"], "date", "value").drop("cpt_type")
 
 
 @register("o2_last_rows", BM + f"SELECT station, date, {r6('value')} FROM mrate ORDER BY date DESC, station LIMIT 10")

@@ -89,3 +89,16 @@ def test_spark_changepoints_and_segments(spark):
     assert [r.n for r in st] == [20, 20] and abs(st[1].mean - st[0].mean - 10) < 0.1
     fit = changepoint_fit(df.withColumn("g", F.lit("all")), ["g"], "d", "v", series="k").first()
     assert fit.n_cpts == 1 and fit.locs == [dt.date(2000, 1, 20)] and fit.cpt_type == "joint"
+
+
+def test_fused_segments_equal_general_path(spark):
+    from sitewise.operators.changepoint import attach_segment_mean, fit_segments
+    df = _frame(spark)
+    c = changepoints(df, ["k"], "d", "v")
+    general = {(r.k, r.d): (r.segment, r.cpts) for r in attach_segment_mean(df, c, ["k"], "d", "v").collect()}
+    fused = {(r.k, r.d): (r.segment, r.cpts) for r in attach_segment_mean(df, None, ["k"], "d", "v").collect()}
+    assert general.keys() == fused.keys()
+    assert all(general[x][0] == fused[x][0] and abs(general[x][1] - fused[x][1]) < 1e-12 for x in general)
+    st = segment_stats(df, None, ["k"], "d", "v").filter("k = 'B'").orderBy("segment").collect()
+    assert [r.n for r in st] == [20, 20]
+    assert fit_segments(df, ["k"], "d", "v").count() == 80

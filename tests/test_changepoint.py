@@ -51,10 +51,29 @@ def test_pruning_matches_full_program():
     assert any(abs(c - 150) <= 3 for c in a[1]) and any(abs(c - 300) <= 3 for c in a[1])
 
 
-def test_joint_with_one_series_is_univariate():
-    y = np.array([1, 2, 1, 2, 9, 8, 9, 8, 9, 1, 2, 1], dtype=float)
-    d = _days(len(y))
-    assert solve([(d, y)], ["normal_meanvar"], [1.0])[1:] == solve([(d, y), ], ["normal_meanvar"], [1.0])[1:]
+def test_joint_with_one_series_is_univariate(spark):
+    rng = np.random.default_rng(5)
+    rows_ = []
+    for g in ("a", "b", "c"):
+        y = np.concatenate([rng.normal(0, 1, 15), rng.normal(4, 1, 15)])
+        rows_ += [(g, dt.date(2000, 1, 1) + dt.timedelta(days=i), float(v)) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows_, "g string, d date, v double")
+    uni = {r.g: (r.locs, round(r.cost, 9)) for r in changepoint_fit(df, ["g"], "d", "v").collect()}
+    joint = {r.g: (r.locs, round(r.cost, 9))
+             for r in changepoint_fit(df.withColumn("s", F.lit("only")), ["g"], "d", "v", series="s").collect()}
+    assert uni == joint and all(len(x[0]) >= 1 for x in uni.values())
+
+
+def test_toy_series_through_the_joint_call(spark):
+    """The notebook's toy input: series 1..10 and 1..100 on one index."""
+    rows_ = [("toy", "s10", dt.date(2000, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(1, 11)]
+    rows_ += [("toy", "s100", dt.date(2000, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(1, 101)]
+    df = spark.createDataFrame(rows_, "g string, s string, d date, v double")
+    fit = changepoint_fit(df, ["g"], "d", "v", series="s").first()
+    assert fit.n_grid == 100
+    for loc in fit.locs:          # every split leaves >= 2 points of the short series on each side
+        left = sum(1 for r in rows_ if r[1] == "s10" and r[2] <= loc)
+        assert left >= 2 and 10 - left >= 2
 
 
 def test_joint_series_of_different_rate_need_two_points_each():

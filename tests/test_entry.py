@@ -29,3 +29,22 @@ def test_oracle_agreement_small(spark, name):
     from oracle_check import compare, duck
     r = compare(spark, duck(SF_SMALL), name, E.queries()[name], E.oracle_sql()[name], SF_SMALL)
     assert r["status"] == "ok", r
+
+
+def test_grouped_queries_run_outside_the_repo():
+    """Executors import nothing from the repo: the grouped pandas functions
+    travel by value.  Run from another folder, in a fresh JVM."""
+    import subprocess
+    import tempfile
+    script = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as E
+print("ROWS", E.queries()["k1_changepoints"](spark, {SF_SMALL!r}).count(),
+      E.queries()["d12_periodogram"](spark, {SF_SMALL!r}).count())
+"""
+    r = subprocess.run([sys.executable, "-c", script], cwd=tempfile.mkdtemp(prefix="sitewise-out-"),
+                       capture_output=True, text=True, timeout=600)
+    assert "ROWS" in r.stdout, r.stderr[-2000:]

@@ -19,7 +19,6 @@ from sitewise.functions.nulls import r_median
 from sitewise.operators._window import ahead, by_key, running
 
 
-
 def _step(unit: str) -> Column:
     return F.expr(f"INTERVAL 1 {unit}")
 

@@ -3,7 +3,9 @@
 A trap that is not emptied for some days holds the catch of all of them.
 ``missing_days`` finds those days, ``missing_runs`` groups them into runs
 (gaps and islands), and ``spread_over_gaps`` shares the catch of the next
-emptying over the run.  All windows are partitioned by the series keys.
+emptying over the run.  ``share_over_gaps`` does the same from one per-day
+aggregate in a single chain of windows (what the site pipeline uses).  All
+windows are partitioned by the series keys.
 """
 
 from __future__ import annotations

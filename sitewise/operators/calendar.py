@@ -58,9 +58,10 @@ def gap_fill(df: DataFrame, keys, idx: str, unit: str = "day", anchor: str = "st
     ``posexplode`` of the dates up to it emits the row itself (position 0)
     and the missing periods.  No calendar is joined back to the data, so
     the data is neither scanned twice nor shuffled on (key, date); the
-    result keeps the key partitioning of the window.  Rows should be unique
-    per key and date.  Months: ``idx`` holds month starts (``anchor='start'``)
-    or month ends (``'end'``).
+    result keeps the key partitioning of the window.  Several rows on one
+    date (or in one month) are all kept, with no filler between them.
+    Months: ``idx`` holds month starts (``anchor='start'``) or month ends
+    (``'end'``); other days of a month are kept as they are.
     """
     ks = as_list(keys)
     d = col(idx)
@@ -108,7 +109,7 @@ def complete_months(df: DataFrame, keys, idx: str = "DATE", fill: dict | None =
 def missing_months(df: DataFrame, keys, idx: str = "DATE", anchor: str = "start") -> DataFrame:
     """Calendar months of a key with no row in the data."""
     ks = as_list(keys)
-    g = gap_fill(df.select(*ks, idx).dropDuplicates(ks + [idx]), ks, idx, "month", anchor, flag="_m")
+    g = gap_fill(df.select(*ks, idx), ks, idx, "month", anchor, flag="_m")
     return g.filter(F.col("_m")).drop("_m")
 
 
@@ -116,8 +117,8 @@ def all_dates_present(df: DataFrame, keys, idx: str = "DATE", anchor: str = "sta
     """Per key: months in the calendar, months missing, and whether all are
     present (J10)."""
     ks = as_list(keys)
-    g = gap_fill(df.select(*ks, idx).dropDuplicates(ks + [idx]), ks, idx, "month", anchor, flag="_m")
-    return (g.groupBy(*ks).agg(F.count(F.lit(1)).alias("n_months"),
+    g = gap_fill(df.select(*ks, idx), ks, idx, "month", anchor, flag="_m")
+    return (g.groupBy(*ks).agg(F.count_distinct(F.trunc(idx, "month")).alias("n_months"),
                                F.count_if(F.col("_m")).alias("n_missing"))
             .withColumn("all_present", F.col("n_missing") == 0))
 

@@ -22,10 +22,11 @@ def between_dates(df: DataFrame, idx: str = "DATE", lo=None, hi=None) -> DataFra
 
 def filter_in(df: DataFrame, column: str, values) -> DataFrame:
     """Membership filter (P9).  A Python list becomes ``isin`` (pushed to
-    the scan); a DataFrame with that column becomes a left semi join, which
-    the planner broadcasts only when its measured size allows."""
+    the scan); a DataFrame with that column becomes a left semi join (which
+    ignores repeated values, so no ``distinct`` shuffle first); the planner
+    broadcasts it only when its measured size allows."""
     if isinstance(values, DataFrame):
-        return df.join(values.select(column).distinct(), column, "left_semi")
+        return df.join(values.select(column), column, "left_semi")
     return df.filter(col(column).isin(list(values)))
 
 

@@ -58,3 +58,11 @@ def test_fill_month_median(spark):
     out = {r.m: (r.v, r.missing) for r in fill_month_median(df, ["k"], "m", "v").collect()}
     assert out[D(2001, 2, 1)] == (7.0, True) and out[D(2002, 2, 1)] == (7.0, True)
     assert out[D(2001, 1, 1)] == (3.0, False)
+
+
+def test_repeated_rows_do_not_change_the_calendar(spark):
+    df = spark.createDataFrame([("A", D(2000, 1, 1)), ("A", D(2000, 1, 1)), ("A", D(2000, 1, 15)),
+                                ("A", D(2000, 4, 1))], "k string, m date")
+    assert rows(missing_months(df, ["k"], "m"), "k", "m") == [("A", D(2000, 2, 1)), ("A", D(2000, 3, 1))]
+    r = all_dates_present(df, ["k"], "m").first()
+    assert (r.n_months, r.n_missing, r.all_present) == (4, 2, False)

@@ -170,7 +170,7 @@ def _pick(spec, *names, default=None):
     return spec
 
 
-def _grouped_fit(pdf: pd.DataFrame, ks, sc, series, cost, penalty, penalty_factor, min_seg):
+def _grouped_fit(pdf: pd.DataFrame, ks, sc, series, cost, penalty, penalty_factor, min_seg, prune=None):
     """Fit one group from its rows (``_d``, ``_y``, series column ``sc``).
     Returns the per-series arrays, the grid, the changepoint dates and the
     optimal cost."""
@@ -189,7 +189,7 @@ def _grouped_fit(pdf: pd.DataFrame, ks, sc, series, cost, penalty, penalty_facto
         costs.append(c)
         betas.append(penalty_value(p, c, len(y), penalty_factor))
         labels.append(name)
-    grid, cps, total = solve(parts, costs, betas, min_seg)
+    grid, cps, total = solve(parts, costs, betas, min_seg, prune)
     locs = grid[[i - 1 for i in cps]] if cps else grid[:0]
     return labels, parts, grid, locs, total
 
@@ -203,14 +203,16 @@ def _source(df: DataFrame, ks, idx, v, series):
 
 def changepoint_fit(df: DataFrame, keys, idx: str, v: str, series: str | None = None,
                     cost="normal_meanvar", penalty="bic", penalty_factor: float = 1.0,
-                    min_seg: int = MIN_SEG, cpt_type: str | None = None) -> DataFrame:
+                    min_seg: int = MIN_SEG, cpt_type: str | None = None,
+                    prune: bool | None = None) -> DataFrame:
     """One row per group: the optimal cost, number of changepoints, grid
     length and the changepoint dates (``locs``).
 
     ``keys`` define the groups; ``series`` (optional) names the series
     within a group, fitted jointly (K3).  ``cost`` and ``penalty`` may be
     maps from a series or group value (as text) to a name, ``'*'`` being the
-    default (K2).  Null values are left out.
+    default (K2).  Null values are left out.  ``prune``: PELT pruning
+    (None = for grids over 400 points; False = the exact program always).
     """
     ks = as_list(keys)
     kind = cpt_type or ("joint" if series else "uni")
@@ -218,7 +220,8 @@ def changepoint_fit(df: DataFrame, keys, idx: str, v: str, series: str | None =
     schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in ks] + FIT_FIELDS)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, grid, locs, total = _grouped_fit(pdf, ks, sc, series, cost, penalty, penalty_factor, min_seg)
+        _, _, grid, locs, total = _grouped_fit(pdf, ks, sc, series, cost, penalty, penalty_factor,
+                                               min_seg, prune)
         row = {k: [pdf[k].iloc[0]] for k in ks}
         row.update(cpt_type=[kind], cost=[total], n_cpts=[len(locs)], n_grid=[len(grid)],
                    locs=[[x.astype(object) for x in locs]])

@@ -13,6 +13,7 @@ from sitewise.operators.rates import (ceil_rate, daily_rate, max_active, monthly
                                       range_change, threshold_report, with_active_count,
                                       with_interval)
 from sitewise.plans import station as st
+from sitewise.plans import trap
 from sitewise.plans.catalog.common import clean, daily, obs
 from sitewise.plans.registry import r6, register
 from sitewise.plans.sqlparts import (CLEAN, DAILY, DRATE, MRATE, OBS, TRAITS, WEATHER, with_)
@@ -45,9 +46,7 @@ _RATE_T = BD + """, drt AS (SELECT station AS TRAPCODE, DATE, value AS VALUE, "i
 
 
 def _trap_rate(spark, d, inclusive=True):
-    return (daily_rate(daily(spark, d), ["station"], "DATE", "count", out="VALUE",
-                       max_interval=THRESHOLD, inclusive=inclusive)
-            .select(F.col("station").alias("TRAPCODE"), "DATE", "VALUE", "interval"))
+    return trap.trap_daily_rate(trap.trap_daily_counts(clean(spark, d)), THRESHOLD, inclusive)
 
 
 @register("w3_daily_rate_threshold", _RATE_T.format(op="<=") +
@@ -70,7 +69,7 @@ def w3_daily_rate_threshold_lt(spark, d):
 FROM drt GROUP BY TRAPCODE, date_trunc('month', DATE)""")
 def g5_monthly_mean_rate(spark, d):
     """Mean daily rate per trap and month, dated the first."""
-    return monthly_mean_rate(_trap_rate(spark, d), ["TRAPCODE"], "DATE", "VALUE")
+    return trap.trap_monthly(_trap_rate(spark, d))
 
 
 @register("g5_weather_monthly", with_(WEATHER) + f"""SELECT SITECODE, FIELDNAME,

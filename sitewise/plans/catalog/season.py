@@ -13,6 +13,7 @@ from sitewise.operators.season import (classical_decompose, deseason_ma_scaled,
 from sitewise.operators.smooth import (MA_2X12, MA_12, detrend, fill_next, moving_average,
                                        seasonal_diff)
 from sitewise.plans import station as st
+from sitewise.plans import trap
 from sitewise.plans.catalog.common import clean, site_monthly
 from sitewise.plans.catalog.reports import _trap_rate
 from sitewise.operators.rates import monthly_mean_rate
@@ -197,8 +198,7 @@ SELECT TRAPCODE, DATE, month, {r6('VALUE')}, {r6('avg')}, {r6('deseason')}, {r6(
 FROM t4 WHERE deseason / ssd IS NOT NULL""")
 def d9_standardise_month(spark, d):
     """Monthly trap rate: month mean out, divided by the month's sd."""
-    m = monthly_mean_rate(_trap_rate(spark, d), ["TRAPCODE"], "DATE", "VALUE")
-    return standardise_month(m, ["TRAPCODE"], "DATE", "VALUE")
+    return trap.trap_standardised(clean(spark, d), max_interval=5)
 
 
 @register("d10_subseries", BS + f"""SELECT SITECODE, DATETIME, year(DATETIME) AS year, month(DATETIME) AS month,

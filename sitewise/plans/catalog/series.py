@@ -217,3 +217,20 @@ def k8_selected_series(spark, d):
     from sitewise.operators.filters import filter_in
     m = filter_in(_mrate(spark, d), "SITECODE", standin.region_sites(spark, d, "EUROPE"))
     return changepoints(m, ["SITECODE"], "date", "value", series="station", **_JKW)
+
+
+@register("k3_trap_weather_joint")
+def k3_trap_weather_joint(spark, d):
+    """Shared changepoints of each site's monthly standardised trap series and
+    its daily weather (series of different sampling rate on one grid),
+    penalty 0.5 ln n per series as in the other joint queries.  Exact
+    program, no pruning.  No SQL: a recursive oracle over a daily grid
+    of about 2,400 steps per site is too slow; the solver is checked against
+    exhaustive search in tests."""
+    from sitewise.functions.keys import site_of
+    from sitewise.plans import trap
+    std = trap.trap_standardised(clean(spark, d), max_interval=5)
+    stacked = trap.with_site_weather(std, standin.weather(spark, d), "1-URGENT")
+    stacked = stacked.withColumn("site", F.when(F.col("kind") == "trap", site_of("id")).otherwise(F.col("id")))
+    return changepoints(stacked, ["site"], "index", "value", series="id", prune=False, **_JKW)
+

@@ -121,3 +121,42 @@ def test_fused_segments_equal_general_path(spark):
     st = segment_stats(df, None, ["k"], "d", "v").filter("k = 'B'").orderBy("segment").collect()
     assert [r.n for r in st] == [20, 20]
     assert fit_segments(df, ["k"], "d", "v").count() == 80
+
+
+def brute_joint(series, costs, betas, min_seg=2):
+    """Exhaustive search over split sets of the union grid, for a joint fit."""
+    grid = np.unique(np.concatenate([d for d, _ in series]))
+    T_ = len(grid)
+    best = (math.inf, None)
+    for m in range(T_):
+        for cps in itertools.combinations(range(1, T_), m):
+            b = (0,) + cps + (T_,)
+            tot = sum(betas) * m
+            ok = True
+            for i in range(len(b) - 1):
+                lo, hi = grid[b[i] - 1] if b[i] > 0 else None, grid[b[i + 1] - 1]
+                for (d, y), c in zip(series, costs):
+                    sel = (d <= hi) & ((d > lo) if lo is not None else True)
+                    if sel.sum() < min_seg:
+                        ok = False
+                        break
+                    seg = y[sel]
+                    tot += float(segment_cost(c, len(seg), seg.sum(), (seg ** 2).sum(), y.mean()))
+                if not ok:
+                    break
+            if ok and tot < best[0] - 1e-9:
+                best = (tot, list(cps))
+    return best
+
+
+def test_joint_daily_and_sparse_series_equal_exhaustive_search():
+    rng = np.random.default_rng(9)
+    d1 = _days(13)                                   # daily
+    y1 = np.concatenate([rng.normal(0, 1, 7), rng.normal(5, 1, 6)])
+    d2 = _days(5, step=3)                            # every third day
+    y2 = np.array([1.0, 1.2, 8.0, 8.5, 8.1])
+    for beta in (0.5, 2.0, 6.0):
+        grid, cps, total = solve([(d1, y1), (d2, y2)], ["normal_meanvar", "poisson_meanvar"], [beta, beta],
+                                 prune=False)
+        b_total, b_cps = brute_joint([(d1, y1), (d2, y2)], ["normal_meanvar", "poisson_meanvar"], [beta, beta])
+        assert abs(total - b_total) < 1e-6 and cps == b_cps

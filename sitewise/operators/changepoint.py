@@ -133,14 +133,21 @@ def solve(series: list[tuple[np.ndarray, np.ndarray]], costs: list[str], betas:
             F_[t] = tot[j] + beta
             prev[t] = j
     else:
+        # series with the same cost are evaluated together, one NumPy call each
+        by_cost = {}
+        for k, c in enumerate(costs):
+            by_cost.setdefault(c, []).append(k)
+        by_cost = {c: np.array(ix) for c, ix in by_cost.items()}
         cand = np.array([0], dtype=np.int64)
         for t in range(1, T_ + 1):
             s = cand if prune else np.arange(t)
             dn = N[:, [t]] - N[:, s]
             feasible = (dn >= min_seg).all(axis=0)
             c = np.zeros(len(s))
-            for k in range(K):
-                c += segment_cost(costs[k], dn[k], S[k, t] - S[k, s], Q[k, t] - Q[k, s], mus[k])
+            for name, ix in by_cost.items():
+                part = segment_cost(name, dn[ix], S[ix, t][:, None] - S[ix][:, s],
+                                    Q[ix, t][:, None] - Q[ix][:, s], mus[ix][:, None])
+                c += np.where(feasible, part, 0.0).sum(axis=0)
             tot = np.where(feasible, F_[s] + c + beta, np.inf)
             j = int(np.argmin(tot)) if len(tot) else 0
             F_[t] = tot[j] if len(tot) else np.inf
@@ -195,10 +202,19 @@ def _grouped_fit(pdf: pd.DataFrame, ks, sc, series, cost, penalty, penalty_facto
 
 
 def _source(df: DataFrame, ks, idx, v, series):
+    """The points of each series, hash-partitioned by the group keys into as
+    many partitions as the session has cores.  This exchange is the one the
+    grouping needs anyway; giving it a number keeps AQE from coalescing the
+    small input of this CPU-heavy stage into a few tasks."""
     sc = series or "_series"
     src = df.select(*ks, F.col(idx).alias("_d"), F.col(v).cast("double").alias("_y"),
                     (F.col(series).cast("string") if series else F.lit("")).alias(sc))
-    return src.filter(F.col("_y").isNotNull() & F.col("_d").isNotNull()), sc
+    src = src.filter(F.col("_y").isNotNull() & F.col("_d").isNotNull())
+    try:
+        n = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # no SparkContext view (e.g. Spark Connect)
+        return src, sc
+    return src.repartition(n, *ks), sc
 
 
 def changepoint_fit(df: DataFrame, keys, idx: str, v: str, series: str | None = None,

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from sitewise.operators.counts import (daily_counts, daily_species, date_bounds, month_medians,
                                        monthly_mean, pivot_fields, series_mean, species_by_trap,
                                        value_range)
-from sitewise.operators.rates import (ceil_rate, daily_rate, max_active, monthly_mean_rate,
-                                      range_change, threshold_report, with_active_count,
-                                      with_interval)
+from sitewise.operators.rates import (ceil_rate, max_active, range_change, threshold_report,
+                                      with_active_count, with_interval)
 from sitewise.plans import station as st
 from sitewise.plans import trap
 from sitewise.plans.catalog.common import clean, daily, obs

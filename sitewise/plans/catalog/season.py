@@ -6,20 +6,18 @@ from pyspark.sql import functions as F
 
 from sitewise.functions.nulls import r_sd
 from sitewise.operators._window import by_key
+from sitewise.operators.calendar import complete_months
 from sitewise.operators.rates import with_interval
 from sitewise.operators.season import (classical_decompose, deseason_ma_scaled, deseason_median,
                                        season_table, seasonal_component, standardise,
-                                       standardise_month, subseries)
+                                       subseries)
 from sitewise.operators.smooth import (MA_2X12, MA_12, detrend, fill_next, moving_average,
                                        seasonal_diff)
 from sitewise.plans import station as st
 from sitewise.plans import trap
 from sitewise.plans.catalog.common import clean, site_monthly
-from sitewise.plans.catalog.reports import _trap_rate
-from sitewise.operators.rates import monthly_mean_rate
 from sitewise.plans.registry import r6, register
 from sitewise.plans.sqlparts import (CLEAN, DAILY, DRATE, MRATE, OBS, calendar_sql, with_)
-from sitewise.operators.calendar import complete_months
 
 SMON = """smon0 AS (SELECT SITECODE, date_trunc('month', DATE)::DATE AS DATETIME,
                    coalesce(sum(VALUE), 0) AS counts FROM clean GROUP BY ALL),

@@ -44,4 +44,8 @@ def periodogram(df: DataFrame, keys, idx: str, v: str) -> DataFrame:
         return out[[f.name for f in schema.fields]]
 
     src = df.select(*ks, idx, v).filter(F.col(v).isNotNull())
+    try:   # one partition per core for the Python stage; AQE would coalesce small input to a few
+        src = src.repartition(df.sparkSession.sparkContext.defaultParallelism, *ks)
+    except Exception:  # no SparkContext view (e.g. Spark Connect)
+        pass
     return src.groupBy(*ks).applyInPandas(one, schema)

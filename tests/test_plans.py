@@ -69,3 +69,12 @@ def test_scan_reads_only_needed_columns(spark):
     plan = _plan(E.queries()["g6_monthly_rate"](spark, SF_SMALL))
     li = [m for m in re.findall(r"FileScan parquet \[([^\]]*)\]", plan) if "l_shipdate" in m][0]
     assert "l_extendedprice" not in li and "l_discount" not in li and "l_tax" not in li
+
+
+def test_scan_spread_only_when_fewer_splits_than_cores(spark):
+    from sitewise.sources.standin import spread_scan
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(0, 1000, numPartitions=cores * 2)
+    assert "RoundRobinPartitioning" not in _plan(spread_scan(many))     # a large input is left alone
+    one = spark.range(0, 1000, numPartitions=1)
+    assert "RoundRobinPartitioning" in _plan(spread_scan(one))

@@ -28,3 +28,90 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .line_dedup import dedup_lines
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+_WORDS = ("regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
+b AS (SELECT DISTINCT item_id::VARCHAR AS item, {_WORDS.format('text')} AS w FROM benchmark
+      WHERE item_id IS NOT NULL AND text IS NOT NULL),
+bw AS (SELECT DISTINCT item, least(len(w), 13) AS l, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS s
+       FROM b, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS t(i) WHERE len(w) > 0),
+dw AS (SELECT doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') AS s
+       FROM d, (SELECT DISTINCT l FROM bw) AS ls, unnest(range(1, len(w) - l + 2)) AS t(i)),
+m AS (SELECT doc_id, i, l, item FROM dw JOIN bw USING (l, s)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM m, unnest(range(i, i + l)) AS t(p) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items,
+          array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM m GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+@register("op1_decontaminate", OP1_SQL)
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import decontaminate
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    return digest_pieces(pack(table(spark, sf_dir, "documents")))
+
+
+def digest_pieces(pieces: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset", "source")
+
+
+@register("op3_langid")
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@register("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .suffix_dedup import remove_repeats
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+    return quality(table(spark, sf_dir, "documents"))
+
+
+SHARD_BYTES = 1 << 20
+
+OP10_SQL = f"""
+WITH k AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
+           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+n AS (SELECT d, h >> (60 - d) AS p, sum(n_bytes) AS b, count(*) AS m
+      FROM k, unnest(range(0, 61)) AS t(d) GROUP BY ALL),
+leaf AS (SELECT doc_id, min(n_bytes) AS n_bytes, min(k.h) AS h, min(n.d) AS depth
+         FROM k JOIN n ON n.p = k.h >> (60 - n.d) WHERE n.b <= {SHARD_BYTES} OR n.m = 1 GROUP BY doc_id)
+SELECT doc_id, n_bytes, left(lpad(bin(h), 60, '0'), depth::INT) AS shard, depth::INT AS depth FROM leaf"""
+
+
+@register("op10_sharding", OP10_SQL)
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign_shards
+    return assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)

@@ -1,26 +1,73 @@
-"""Corpus pipeline: documents through the cleaning stages, each stage's
-result written and read again as the next one's documents."""
+"""Corpus pipeline: documents through the cleaning stages and into packed
+sequences, each stage's result written and read again as the next one's
+documents.  A stage works on all rows its predecessor kept.  Ids name
+documents: rows that share one share the verdict of a stage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitewise.llm.catalog import digest_pieces
+from sitewise.llm.decontam import decontaminate, words
+from sitewise.llm.langid import identify
+from sitewise.llm.line_dedup import dedup_lines
 from sitewise.llm.near_dup import near_duplicates
-from sitewise.llm.scratch import materialise
+from sitewise.llm.packing import pack
+from sitewise.llm.scratch import broadcast_if_small, materialise
 
-# Language ID by a trained network, fuzzy line groups, MinHash and packing by
+# Language ID by a trained network, SimHash and MinHash groups and packing by
 # a tokenizer are not SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
+MIN_SCORE = 0.5  # of the predicted language
+
+
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Documents whose id is not among ``ids``; null ids stay."""
+    ids = materialise(ids.select("doc_id").distinct(), f"{name}-out")
+    return docs.join(broadcast_if_small(ids), "doc_id", "left_anti").select(docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language, or without a clear one, go; a missing
+    label is filled with the prediction."""
+    found = materialise(identify(docs).select(F.col("doc_id").alias("pid"), "lang_pred", "score"), "lang")
+    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < MIN_SCORE))
+    kept = _without(docs, bad.select(F.col("pid").alias("doc_id")), "lang")
+    unlabelled = kept.where(F.col("lang").isNull() & F.col("doc_id").isNotNull())
+    label = found.groupBy("pid").agg(F.max_by("lang_pred", "score").alias("lang_pred"))
+    named = (unlabelled.join(label, F.col("doc_id") == F.col("pid"), "left")
+             .withColumn("lang", F.col("lang_pred")).select(docs.columns))
+    return kept.where(F.col("lang").isNotNull() | F.col("doc_id").isNull()).unionByName(named)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go, and documents of which no word is left."""
+    out = dedup_lines(docs, carry=docs.columns)
+    out = out.where((F.col("n_removed") == 0) | (F.size(words(F.col("text"))) > 0))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    same = F.col("n_removed") == 0
+    return out.select(*[F.when(same, F.col(f"rest.{c}")).otherwise(new.get(c, F.col(f"rest.{c}"))).alias(c) for c in docs.columns])
+
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (the smallest id)."""
-    out = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti")
+    """One document of each near-duplicate group stays, the smallest id."""
+    return _without(docs, near_duplicates(docs).where(~F.col("kept")), "near")
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontaminate(docs, items).where("contaminated"), "bench")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
+    return digest_pieces(pack(docs))
 
 
-STAGES = [("near_dup", near_dup)]
+STAGES = [("language", language), ("lines", lines), ("near_dup", near_dup), ("benchmark", benchmark), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

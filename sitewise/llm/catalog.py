@@ -115,3 +115,62 @@ SELECT doc_id, n_bytes, left(lpad(bin(h), 60, '0'), depth::INT) AS shard, depth:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
     return assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+@register("op9_training_order")
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ordering import write_order
+    from .scratch import scratch_path
+    return write_order(table(spark, sf_dir, "documents"), scratch_path(spark, "order"))
+
+
+def _op2_sql() -> str:
+    from .licenses import STOP_WORDS, TEMPLATES
+    rows = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(TEMPLATES))
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return f"""
+WITH tp AS (SELECT * FROM (VALUES {rows}) AS v(template, license, txt)),
+tw AS (SELECT template, license, word, count(*) AS tf
+       FROM (SELECT template, license, unnest({_WORDS.format('txt')}) AS word FROM tp) GROUP BY ALL),
+idf AS (SELECT word, ln((1.0 + {len(TEMPLATES)}) / (1.0 + count(*))) + 1.0 AS idf FROM tw GROUP BY word),
+tv AS (SELECT template, license, tw.word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS w
+       FROM tw JOIN idf USING (word)),
+anchor AS (SELECT list(DISTINCT word) AS a FROM tw WHERE word NOT IN ({stop})),
+d AS (SELECT doc_id, concat_ws('/', source, lang) AS dir,
+      concat_ws('/', source, lang, doc_id::VARCHAR) AS path, text,
+      coalesce(regexp_matches(text, '^[^\\n]*[Ll]icen[sc]e'), false) AS is_file FROM documents),
+ln AS (SELECT doc_id, pos, {_WORDS.format('raw')} AS w FROM (
+       SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM d)
+       UNION ALL SELECT doc_id, -1, {_WORDS.format('text')} FROM d WHERE is_file),
+u AS (SELECT doc_id, pos, w FROM ln, anchor WHERE list_has_any(w, a)),
+uw AS (SELECT doc_id, pos, word, count(*) AS tf FROM (SELECT doc_id, pos, unnest(w) AS word FROM u) GROUP BY ALL),
+uv AS (SELECT doc_id, pos, uw.word, idf, tf * coalesce(idf, ln(1.0 + {len(TEMPLATES)}) + 1.0) AS v FROM uw LEFT JOIN idf USING (word)),
+un AS (SELECT doc_id, pos, sqrt(sum(v * v)) AS norm FROM uv GROUP BY ALL),
+sc AS (SELECT doc_id, pos, template, license, round(sum(v * w) / any_value(norm), 9) AS score
+       FROM uv JOIN tv USING (word) JOIN un USING (doc_id, pos) GROUP BY doc_id, pos, template, license),
+b AS (SELECT * FROM sc WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, template) = 1),
+own AS (SELECT doc_id, license, score FROM b WHERE pos >= 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) = 1),
+f AS (SELECT doc_id, license, score FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) = 1),
+dl AS (SELECT dir, license, score FROM d JOIN f USING (doc_id) WHERE is_file
+       QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
+nd AS (SELECT x.dir, dl.license, dl.score, dl.dir AS from_dir FROM (SELECT DISTINCT dir FROM d) x
+       JOIN dl ON x.dir = dl.dir OR starts_with(x.dir, dl.dir || '/')
+       QUALIFY row_number() OVER (PARTITION BY x.dir ORDER BY length(dl.dir) DESC) = 1)
+SELECT d.doc_id, d.path, coalesce(own.license, nd.license) AS license,
+       CASE WHEN own.license IS NOT NULL THEN own.score ELSE nd.score END AS score,
+       CASE WHEN own.license IS NOT NULL THEN 'own' WHEN nd.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN own.license IS NULL THEN nd.from_dir END AS from_dir
+FROM d LEFT JOIN own USING (doc_id) LEFT JOIN nd ON nd.dir = d.dir"""
+
+
+@register("op2_licenses", _op2_sql())
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path of their own: source and language are taken as
+    directories, and a document whose first line names a licence stands for
+    the licence file of its directory."""
+    from pyspark.sql import functions as F
+
+    from .licenses import scan
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")),
+                license_file=F.col("text").rlike(r"^[^\n]*[Ll]icen[sc]e"))

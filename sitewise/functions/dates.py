@@ -13,16 +13,15 @@ def parse_2digit_date(c, pivot: int = 69, fmt: str = "d-MMM-yy") -> Column:
 
     Two-digit years ``>= pivot`` belong to the 1900s, the rest to the 2000s
     (pivot 69 is the usual C-library rule, pivot 21 the phosphate loader's).
-    Bad text gives null, never an error (``try_to_date``).  Spark reads
-    ``yy`` into 2000-2099, so years at or above the pivot move back a
-    century; a 29 February that does not exist in the earlier century is
-    null, as the text is not a valid date there.
+    The century is put in front of the last two characters, and the text is
+    parsed once.  Bad text gives null, never an error (``try_to_date``), as
+    does a 29 February of a year that has none.
     """
-    d = F.try_to_date(col(c), fmt)
-    back = F.add_months(d, -1200)
-    return (F.when(F.year(d) >= 2000 + pivot,
-                   F.when(F.dayofmonth(back) == F.dayofmonth(d), back))
-            .otherwise(d))
+    text = F.trim(col(c))
+    yy = F.right(text, F.lit(2))
+    century = F.when(yy >= f"{pivot:02d}", F.lit("19")).otherwise(F.lit("20"))
+    head = F.left(text, F.length(text) - 2)
+    return F.try_to_date(F.concat(head, century, yy), fmt.replace("yy", "yyyy"))
 
 
 def year_end(year) -> Column:

@@ -22,11 +22,14 @@ Shared changepoints (K3) use the grid of all dates of the group: each series
 contributes its own points, so series sampled monthly, fortnightly or yearly
 share one set of locations.
 
-Spark does the per-key work (one row per series point, after aggregation to
-the series' own rate); the dynamic program runs once per group in a grouped
-pandas function.  A group holds the points of its series only: its size is
-bounded by (grid length x series in the group), both chosen by the caller
-(the series selected, K8), never by the raw data volume.
+Univariate fits run one series per task, in a grouped pandas function; a
+series is bounded by its calendar.  A joint fit is split, as one group may
+hold any number of series: tasks keyed by (group, bucket of series, tile of
+end dates) sum the segment costs of their series, and one task per group runs
+the program over the few summed rows of each end date, in date order, holding
+one value per date.  Costs are added along one fixed binary tree over
+``LEAVES`` hash classes of series, so the number of buckets and the tile size
+never change a result.  The program is exact at every size: nothing is pruned.
 """
 
 from __future__ import annotations
@@ -94,13 +97,42 @@ def _prefix(series, grid):
     return N, S, Q, mus
 
 
-# Largest cost matrix (grid^2 x series) built in one piece; beyond it the
-# program goes row by row (and may prune).
-MATRIX_CELLS = 4_000_000
+def _costs_to(t: int, prefix, costs: list[str], min_seg: int) -> np.ndarray:
+    """Summed cost of the segments (s, t] for s = 0 .. t-1, inf where a
+    series has too few points."""
+    N, S, Q, mus = prefix
+    dn = N[:, [t]] - N[:, :t]
+    feasible = (dn >= min_seg).all(axis=0)
+    total = np.zeros(t)
+    for k, name in enumerate(costs):
+        part = segment_cost(name, dn[k], S[k, t] - S[k, :t], Q[k, t] - Q[k, :t], mus[k])
+        total += np.where(feasible, part, 0.0)
+    return np.where(feasible, total, np.inf)
+
+
+class _Program:
+    """The dynamic program, fed with one row of costs per end date."""
+
+    def __init__(self, beta: float):
+        self.beta, self.best, self.prev = beta, [-beta], [0]
+
+    def step(self, costs: np.ndarray) -> None:
+        total = np.array(self.best) + costs
+        j = int(np.argmin(total))
+        self.best.append(float(total[j]) + self.beta)
+        self.prev.append(j)
+
+    def changepoints(self) -> tuple[list[int], float]:
+        out = []
+        b = self.prev[-1] if np.isfinite(self.best[-1]) else 0
+        while b > 0:
+            out.append(b)
+            b = self.prev[b]
+        return sorted(out), self.best[-1]
 
 
 def solve(series: list[tuple[np.ndarray, np.ndarray]], costs: list[str], betas: list[float],
-          min_seg: int = MIN_SEG, prune: bool | None = None):
+          min_seg: int = MIN_SEG):
     """Optimal segmentation of one group.
 
     ``series``: per series (sorted dates as datetime64[D], values).  Returns
@@ -108,59 +140,12 @@ def solve(series: list[tuple[np.ndarray, np.ndarray]], costs: list[str], betas:
     segments), optimal cost).
     """
     grid = np.unique(np.concatenate([d for d, _ in series]))
-    T_ = len(grid)
-    K = len(series)
-    N, S, Q, mus = _prefix(series, grid)
-    beta = float(sum(betas))
-    if prune is None:
-        prune = T_ > 400
-    F_ = np.full(T_ + 1, np.inf)
-    F_[0] = -beta
-    prev = np.zeros(T_ + 1, dtype=np.int64)
-    if not prune and (T_ + 1) ** 2 * K <= MATRIX_CELLS:
-        # C[s, t]: cost of segment (s, t], inf where a series has < min_seg points
-        C = np.zeros((T_ + 1, T_ + 1))
-        ok = np.ones((T_ + 1, T_ + 1), dtype=bool)
-        for k in range(K):
-            dn = N[k][None, :] - N[k][:, None]
-            ok &= dn >= min_seg
-            C += segment_cost(costs[k], dn, S[k][None, :] - S[k][:, None],
-                              Q[k][None, :] - Q[k][:, None], mus[k])
-        C = np.where(ok, C, np.inf)
-        for t in range(1, T_ + 1):
-            tot = F_[:t] + C[:t, t]
-            j = int(np.argmin(tot))
-            F_[t] = tot[j] + beta
-            prev[t] = j
-    else:
-        # series with the same cost are evaluated together, one NumPy call each
-        by_cost = {}
-        for k, c in enumerate(costs):
-            by_cost.setdefault(c, []).append(k)
-        by_cost = {c: np.array(ix) for c, ix in by_cost.items()}
-        cand = np.array([0], dtype=np.int64)
-        for t in range(1, T_ + 1):
-            s = cand if prune else np.arange(t)
-            dn = N[:, [t]] - N[:, s]
-            feasible = (dn >= min_seg).all(axis=0)
-            c = np.zeros(len(s))
-            for name, ix in by_cost.items():
-                part = segment_cost(name, dn[ix], S[ix, t][:, None] - S[ix][:, s],
-                                    Q[ix, t][:, None] - Q[ix][:, s], mus[ix][:, None])
-                c += np.where(feasible, part, 0.0).sum(axis=0)
-            tot = np.where(feasible, F_[s] + c + beta, np.inf)
-            j = int(np.argmin(tot)) if len(tot) else 0
-            F_[t] = tot[j] if len(tot) else np.inf
-            prev[t] = s[j] if len(s) else 0
-            if prune:
-                keep = ~feasible | (F_[s] + c <= F_[t])
-                cand = np.append(s[keep], t)
-    cps = []
-    b = prev[T_] if np.isfinite(F_[T_]) else 0
-    while b > 0:
-        cps.append(int(b))
-        b = prev[b]
-    return grid, sorted(cps), float(F_[T_])
+    prefix = _prefix(series, grid)
+    program = _Program(float(sum(betas)))
+    for t in range(1, len(grid) + 1):
+        program.step(_costs_to(t, prefix, costs, min_seg))
+    cps, total = program.changepoints()
+    return grid, cps, total
 
 
 FIT_FIELDS = [T.StructField("cpt_type", T.StringType()), T.StructField("cost", T.DoubleType()),
@@ -168,7 +153,8 @@ FIT_FIELDS = [T.StructField("cpt_type", T.StringType()), T.StructField("cost", T
               T.StructField("locs", T.ArrayType(T.DateType()))]
 
 
-def _pick(spec, *names, default=None):
+def _pick(spec, names, default=None):
+    """Entry of a map under the first of ``names`` it has, else its ``'*'``."""
     if isinstance(spec, dict):
         for n in names:
             if n is not None and str(n) in spec:
@@ -177,126 +163,176 @@ def _pick(spec, *names, default=None):
     return spec
 
 
-def _grouped_fit(pdf: pd.DataFrame, ks, sc, series, cost, penalty, penalty_factor, min_seg, prune=None):
-    """Fit one group from its rows (``_d``, ``_y``, series column ``sc``).
-    Returns the per-series arrays, the grid, the changepoint dates and the
-    optimal cost."""
-    gval = str(pdf[ks[0]].iloc[0])
-    d_all = pdf["_d"].to_numpy(dtype="datetime64[D]")
-    y_all = pdf["_y"].to_numpy(dtype=float)
-    names = pdf[sc].to_numpy(dtype=object)
-    parts, costs, betas, labels = [], [], [], []
-    for name in sorted(set(names)):
-        sel = names == name
+def _series_of(pdf: pd.DataFrame, keyed: bool, cost, penalty, penalty_factor):
+    """The series of some rows (``_s``, ``_d``, ``_y``, ``_kv``), in name
+    order with a null name last: names, points, costs and penalties.  A map
+    is looked up under the series, all key values joined by ``|``, then each
+    key value."""
+    names = pdf["_s"].to_numpy(dtype=object)
+    d_all, y_all = pdf["_d"].to_numpy(dtype="datetime64[D]"), pdf["_y"].to_numpy(dtype=float)
+    keys = list(pdf["_kv"].iloc[0])
+    under = ["|".join(str(k) for k in keys), *keys]
+    known = {None if x is None or x != x else x for x in names}
+    out = []
+    for name in sorted(known, key=lambda x: (x is None, x or "")):
+        sel = np.array([x is None or x != x for x in names]) if name is None else names == name
         order = np.argsort(d_all[sel], kind="stable")
         d, y = d_all[sel][order], y_all[sel][order]
-        c = _pick(cost, name if series else None, gval, default="normal_meanvar")
-        p = _pick(penalty, name if series else None, gval, default="bic")
-        parts.append((d, y))
-        costs.append(c)
-        betas.append(penalty_value(p, c, len(y), penalty_factor))
-        labels.append(name)
-    grid, cps, total = solve(parts, costs, betas, min_seg, prune)
-    locs = grid[[i - 1 for i in cps]] if cps else grid[:0]
-    return labels, parts, grid, locs, total
+        look = ([name] if keyed else []) + under
+        c = _pick(cost, look, "normal_meanvar")
+        out.append((name, (d, y), c, penalty_value(_pick(penalty, look, "bic"), c, len(y), penalty_factor)))
+    return out
 
 
 def _source(df: DataFrame, ks, idx, v, series):
-    """The points of each series, hash-partitioned by the group keys into as
-    many partitions as the session has cores.  This exchange is the one the
-    grouping needs anyway; giving it a number keeps AQE from coalescing the
-    small input of this CPU-heavy stage into a few tasks."""
-    sc = series or "_series"
+    """Keys and the points as ``_d``, ``_y`` with the series ``_s``."""
     src = df.select(*ks, F.col(idx).alias("_d"), F.col(v).cast("double").alias("_y"),
-                    (F.col(series).cast("string") if series else F.lit("")).alias(sc))
-    src = src.filter(F.col("_y").isNotNull() & F.col("_d").isNotNull())
-    try:
-        n = df.sparkSession.sparkContext.defaultParallelism
-    except Exception:  # no SparkContext view (e.g. Spark Connect)
-        return src, sc
-    return src.repartition(n, *ks), sc
+                    (F.col(series).cast("string") if series else F.lit("")).alias("_s"),
+                    F.array(*[F.col(k).cast("string") for k in ks]).alias("_kv"))
+    return src.filter(F.col("_y").isNotNull() & ~F.isnan("_y") & F.col("_d").isNotNull())
 
 
 def changepoint_fit(df: DataFrame, keys, idx: str, v: str, series: str | None = None,
                     cost="normal_meanvar", penalty="bic", penalty_factor: float = 1.0,
                     min_seg: int = MIN_SEG, cpt_type: str | None = None,
-                    prune: bool | None = None) -> DataFrame:
+                    buckets: int = 8, tile: int = 512) -> DataFrame:
     """One row per group: the optimal cost, number of changepoints, grid
     length and the changepoint dates (``locs``).
 
     ``keys`` define the groups; ``series`` (optional) names the series
-    within a group, fitted jointly (K3).  ``cost`` and ``penalty`` may be
-    maps from a series or group value (as text) to a name, ``'*'`` being the
-    default (K2).  Null values are left out.  ``prune``: PELT pruning
-    (None = for grids over 400 points; False = the exact program always).
+    within a group, fitted jointly (K3), a null name being a series of its
+    own.  ``cost`` and ``penalty`` may be maps from a series or group value
+    (as text; several keys joined by ``|``) to a name, ``'*'`` being the
+    default (K2).  Null values are left out.  ``buckets`` (a power of two up
+    to ``LEAVES``) and ``tile`` spread a joint fit and change no result.
     """
     ks = as_list(keys)
     kind = cpt_type or ("joint" if series else "uni")
-    src, sc = _source(df, ks, idx, v, series)
+    src = _source(df, ks, idx, v, series)
+    if series:
+        fit = _joint_fit(src, ks, cost, penalty, penalty_factor, min_seg, buckets, tile)
+        return fit.select(*ks, F.lit(kind).alias("cpt_type"), "cost", "n_cpts", "n_grid", "locs")
     schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in ks] + FIT_FIELDS)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, grid, locs, total = _grouped_fit(pdf, ks, sc, series, cost, penalty, penalty_factor,
-                                               min_seg, prune)
+        [(_, points, c, beta)] = _series_of(pdf, False, cost, penalty, penalty_factor)
+        grid, cps, total = solve([points], [c], [beta], min_seg)
         row = {k: [pdf[k].iloc[0]] for k in ks}
-        row.update(cpt_type=[kind], cost=[total], n_cpts=[len(locs)], n_grid=[len(grid)],
-                   locs=[[x.astype(object) for x in locs]])
+        row.update(cpt_type=[kind], cost=[total], n_cpts=[len(cps)], n_grid=[len(grid)],
+                   locs=[[grid[i - 1].astype(object) for i in cps]])
         return pd.DataFrame(row)[[f.name for f in schema.fields]]
 
     return src.groupBy(*ks).applyInPandas(one, schema)
 
 
-def fit_segments(df: DataFrame, keys, idx: str, v: str, series: str | None = None,
-                 cost="normal_meanvar", penalty="bic", penalty_factor: float = 1.0,
-                 min_seg: int = MIN_SEG, cpt_type: str | None = None) -> DataFrame:
-    """The fitted rows themselves, each with its segment number (changepoints
-    dated before it) and the fit type.  The grouped call returns what it was
-    given, so later per-segment aggregates and windows reuse its
-    partitioning: no join or union of changepoints back onto the rows."""
+# Hash classes of series; fixed, as the order of additions rests on them.
+LEAVES = 64
+
+
+def _tree(parts: list):
+    """Sum along a binary tree; None is an absent leaf."""
+    while len(parts) > 1:
+        parts = [b if a is None else a if b is None else a + b for a, b in zip(parts[::2], parts[1::2])]
+    return parts[0]
+
+
+def _joint_fit(src: DataFrame, ks, cost, penalty, penalty_factor, min_seg, buckets, tile) -> DataFrame:
+    if buckets < 1 or LEAVES % buckets or buckets & (buckets - 1):
+        raise ValueError(f"buckets must be a power of two up to {LEAVES}")
+    per = LEAVES // buckets
+    src = src.withColumn("_g", F.to_json(F.struct(*ks), {"ignoreNullFields": "false"}))
+    leaf = F.pmod(F.xxhash64("_s"), F.lit(LEAVES)).cast("int")
+    src = src.withColumn("_leaf", leaf).withColumn("_b", F.floor(F.col("_leaf") / per).cast("int"))
+    grid = src.groupBy("_g").agg(F.array_sort(F.collect_set("_d")).alias("grid"))
+    tiles = F.explode(F.sequence(F.lit(0), F.floor((F.size("grid") - 1) / tile).cast("int")))
+    todo = src.select("_g", "_b").distinct().join(grid, "_g").select(F.col("_g").alias("_jg"), F.col("_b").alias("_jb"), "grid", tiles.alias("_jt"))
+    points = src.join(grid, "_g").select("_g", "_b", "_leaf", "_s", "_d", "_y", "_kv", tiles.alias("_tile"))
+
+    def block(pdf: pd.DataFrame, job: pd.DataFrame) -> pd.DataFrame:
+        dates = np.array(list(job["grid"].iloc[0]), dtype="datetime64[D]")
+        first = int(job["_jt"].iloc[0]) * tile
+        ends = range(first + 1, min(first + tile, len(dates)) + 1)
+        slot = int(job["_jb"].iloc[0])
+        rows = [[None] * per for _ in ends]
+        beta = [None] * per
+        for number, part in pdf.groupby("_leaf"):
+            of = _series_of(part, True, cost, penalty, penalty_factor)
+            prefix, names = _prefix([p for _, p, _, _ in of], dates), [c for _, _, c, _ in of]
+            beta[number - slot * per] = sum(b for *_, b in of)
+            for row, t in zip(rows, ends):
+                row[number - slot * per] = _costs_to(t, prefix, names, min_seg)
+        total = _tree(beta)
+        return pd.DataFrame({"_g": job["_jg"].iloc[0], "t": list(ends), "_b": slot, "d": [dates[t - 1].astype(object) for t in ends],
+                             "beta": total, "costs": [_tree(r) for r in rows]})
+
+    blocks = points.groupBy("_g", "_b", "_tile").cogroup(todo.groupBy("_jg", "_jb", "_jt")).applyInPandas(
+        block, "_g string, t int, _b int, d date, beta double, costs array<double>")
+
+    def run(frames):
+        state, group, dates, parts, betas, t = None, None, [], [None] * buckets, [None] * buckets, 0
+
+        def step():
+            nonlocal state, parts
+            if state is None:
+                state = _Program(float(_tree(list(betas))))
+            state.step(_tree(parts))
+            parts = [None] * buckets
+
+        def result():
+            cps, total = state.changepoints()
+            return pd.DataFrame({"_g": [group], "cost": [total], "n_cpts": [len(cps)], "n_grid": [len(dates)],
+                                 "locs": [[dates[i - 1] for i in cps]]})
+
+        for frame in frames:
+            for g, end, b, d, beta, costs in frame.itertuples(index=False, name=None):
+                if g != group or end != t:
+                    if group is not None:
+                        step()
+                    if g != group:
+                        if group is not None:
+                            yield result()
+                        state, group, dates, betas = None, g, [], [None] * buckets
+                    t = end
+                    dates.append(d)
+                parts[b], betas[b] = np.asarray(costs), beta
+        if group is not None:
+            step()
+            yield result()
+
+    fit = (blocks.repartition("_g").sortWithinPartitions("_g", "t", "_b")
+           .mapInPandas(run, "_g string, cost double, n_cpts long, n_grid long, locs array<date>"))
+    return fit.join(src.groupBy("_g").agg(*[F.first(k).alias(k) for k in ks]), "_g")
+
+
+def fit_segments(df: DataFrame, keys, idx: str, v: str, series: str | None = None, **fit) -> DataFrame:
+    """All rows and columns of ``df`` with the segment number (changepoints
+    dated before the row; null without a date) and the fit type, from a fit
+    of its non-null values."""
     ks = as_list(keys)
-    kind = cpt_type or ("joint" if series else "uni")
-    src, sc = _source(df, ks, idx, v, series)
-    fields = [T.StructField(k, df.schema[k].dataType) for k in ks]
-    if series:
-        fields.append(T.StructField(series, T.StringType()))
-    fields += [T.StructField(idx, T.DateType()), T.StructField(v, T.DoubleType()),
-               T.StructField("segment", T.LongType()), T.StructField("cpt_type", T.StringType())]
-    schema = T.StructType(fields)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels, parts, _, locs, _ = _grouped_fit(pdf, ks, sc, series, cost, penalty, penalty_factor, min_seg)
-        frames = []
-        for name, (d, y) in zip(labels, parts):
-            f = {k: pdf[k].iloc[0] for k in ks}
-            if series:
-                f[series] = name
-            f.update({idx: d.astype(object), v: y,
-                      "segment": np.searchsorted(locs, d, side="left").astype(np.int64), "cpt_type": kind})
-            frames.append(pd.DataFrame(f))
-        return pd.concat(frames, ignore_index=True)[[x.name for x in schema.fields]]
-
-    return src.groupBy(*ks).applyInPandas(one, schema)
+    found = changepoint_fit(df, ks, idx, v, series=series, **fit)
+    found = found.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)], "cpt_type", F.col("locs").alias("_locs"))
+    same = None
+    for i, k in enumerate(ks):
+        c = df[k].eqNullSafe(F.col(f"_k{i}"))
+        same = c if same is None else same & c
+    out = df.join(found, same, "left")
+    before = F.size(F.filter(F.coalesce("_locs", F.array().cast("array<date>")), lambda x: x < F.col(idx)))
+    return out.withColumn("segment", F.when(F.col(idx).isNotNull(), before.cast("long"))).drop("_locs", *[f"_k{i}" for i in range(len(ks))])
 
 
 def shared_changepoints_per_series(df: DataFrame, keys, series: str, idx: str, v: str,
                                    **kw) -> DataFrame:
     """Shared changepoints of each group, one row per series of the group and
-    changepoint (J12), emitted by the grouped fit itself."""
+    changepoint (J12): the result is the size of the answer itself."""
     ks = as_list(keys)
-    src, sc = _source(df, ks, idx, v, series)
-    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in ks] +
-                          [T.StructField(series, T.StringType()), T.StructField("cpt_type", T.StringType()),
-                           T.StructField("loc", T.DateType())])
-    cost, penalty = kw.get("cost", "normal_meanvar"), kw.get("penalty", "bic")
-    factor, min_seg = kw.get("penalty_factor", 1.0), kw.get("min_seg", MIN_SEG)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels, _, _, locs, _ = _grouped_fit(pdf, ks, sc, series, cost, penalty, factor, min_seg)
-        rows = [{**{k: pdf[k].iloc[0] for k in ks}, series: name, "cpt_type": "joint", "loc": x.astype(object)}
-                for name in labels for x in locs]
-        return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-
-    return src.groupBy(*ks).applyInPandas(one, schema)
+    cpts = changepoints(df, ks, idx, v, series=series, **kw)
+    of = df.filter(F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double")) & F.col(idx).isNotNull()).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)], F.col(series).cast("string").alias(series)).distinct()
+    same = None
+    for i, k in enumerate(ks):
+        c = cpts[k].eqNullSafe(F.col(f"_k{i}"))
+        same = c if same is None else same & c
+    return cpts.join(of, same).select(*ks, series, "cpt_type", "loc")
 
 
 def changepoints(df: DataFrame, keys, idx: str, v: str, **kw) -> DataFrame:
@@ -317,14 +353,6 @@ def joint_with_uni(df: DataFrame, keys, series: str, idx: str, v: str, **kw) ->
     return joint.unionByName(uni)
 
 
-def per_series(cpts: DataFrame, df: DataFrame, keys, series: str) -> DataFrame:
-    """Shared changepoints repeated for every series of the group (J12):
-    the result is (changepoints of a group) x (its series), the size of the
-    answer itself."""
-    ks = as_list(keys)
-    return cpts.join(df.select(*ks, series).distinct(), ks, "inner")
-
-
 def with_segments(df: DataFrame, cpts: DataFrame, keys, idx: str, seg: str = "segment") -> DataFrame:
     """Segment number of each row: changepoints dated before the row's date
     (J13).  Rows and changepoint markers are unioned and counted in one
@@ -344,30 +372,32 @@ def segment_stats(df: DataFrame, cpts: DataFrame | None, keys, idx: str, v: str,
     ``cpts=None`` the changepoints are fitted here (``fit_segments``, same
     ``cost``)."""
     ks = as_list(keys)
+    if cost not in COSTS:
+        raise ValueError(f"unknown cost {cost!r}; expected one of {COSTS}")
     if cpts is None:
-        seg = fit_segments(df, ks, idx, v, cost=cost, **fit)
+        seg = fit_segments(df, ks, idx, v, cost=cost, **fit).filter(F.col(v).isNotNull() & F.col(idx).isNotNull())
     else:
         seg = with_segments(df.filter(F.col(v).isNotNull()), cpts, ks, idx)
     y = F.col(v)
+    seg = seg.withColumn("_mu", F.avg(y).over(by_key(ks)))
     out = (seg.groupBy(*ks, "segment")
            .agg(F.min(idx).alias("start"), F.max(idx).alias("end"), F.count(y).alias("n"),
                 F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"),
-                F.sum(y).alias("_s"), F.sum(y * y).alias("_q")))
-    n, s, q = F.col("n"), F.col("_s"), F.col("_q")
-    if cost == "normal_meanvar":
-        var = F.greatest(q / n - (s / n) * (s / n), F.lit(VAR_FLOOR))
-        c = n * (F.lit(LOG_2PI) + F.log(var) + 1)
-    elif cost == "poisson_meanvar":
+                F.sum(y).alias("_s"), F.sum(y * y).alias("_q"), F.first("_mu").alias("_mu")))
+    n, s, q, mu = F.col("n"), F.col("_s"), F.col("_q"), F.col("_mu")
+    if cost == "poisson_meanvar":
         c = F.when(s > 0, 2 * s * (F.log(n) - F.log(s))).otherwise(F.lit(0.0))
     else:
-        raise ValueError("segment_stats supports normal_meanvar and poisson_meanvar")
-    return out.withColumn("cost", c).drop("_s", "_q")
+        var = q / n - (s / n) * (s / n) if cost == "normal_meanvar" else (q - 2 * mu * s + n * mu * mu) / n
+        c = n * (F.lit(LOG_2PI) + F.log(F.greatest(var, F.lit(VAR_FLOOR))) + 1)
+    return out.withColumn("cost", c).drop("_s", "_q", "_mu")
 
 
 def attach_segment_mean(df: DataFrame, cpts: DataFrame | None, keys, idx: str, v: str,
-                        out: str = "cpts", **fit) -> DataFrame:
-    """Each row with the mean of its segment (K1's table with segment means).
-    With ``cpts=None`` the changepoints are fitted here (``fit_segments``)."""
+                        out: str = "cpts", series: str | None = None, **fit) -> DataFrame:
+    """Each row, with all its columns, and the mean of its segment (K1's
+    table with segment means), per series if there are several.  With
+    ``cpts=None`` the changepoints are fitted here (``fit_segments``)."""
     ks = as_list(keys)
-    seg = fit_segments(df, ks, idx, v, **fit) if cpts is None else with_segments(df, cpts, ks, idx)
-    return seg.withColumn(out, F.avg(v).over(by_key(ks + ["segment"])))
+    seg = fit_segments(df, ks, idx, v, series=series, **fit) if cpts is None else with_segments(df, cpts, ks, idx)
+    return seg.withColumn(out, F.avg(v).over(by_key(ks + ([series] if series else []) + ["segment"])))

@@ -97,8 +97,10 @@ def species_by_trap(df: DataFrame, traps: list, traits: DataFrame | None = None,
                     names=("Genus", "species", "COMMON_NAME", "Family")) -> DataFrame:
     """Number of rows per field name and trap, one column per trap, with the
     trait names beside (G13).  ``traps`` is the column list of the pivot:
-    given, so that Spark needs no extra pass to find it."""
-    wide = df.groupBy(field).pivot(trap, list(traps)).count()
+    given, so that Spark needs no extra pass to find it.  Rows of other traps
+    are counted in the column ``other`` (null if there are none)."""
+    c = F.when(F.col(trap).isin(list(traps)), F.col(trap)).otherwise(F.lit("other"))
+    wide = df.select(field, c.alias(trap)).groupBy(field).pivot(trap, [*traps, "other"]).count()
     if traits is None:
         return wide
     t = traits.select(F.col(code).alias(field), *names)
@@ -107,8 +109,12 @@ def species_by_trap(df: DataFrame, traps: list, traits: DataFrame | None = None,
 
 def pivot_fields(df: DataFrame, keys, names: str, values: str, columns: list) -> DataFrame:
     """Long to wide: one column per field name (G14).  Keys plus name must be
-    unique, as in the long weather table."""
-    return df.groupBy(*as_list(keys)).pivot(names, list(columns)).agg(F.first(values))
+    unique, as in the long weather table; of repeated ones the smallest value
+    is taken.  ``n_other`` counts the rows of fields that are not listed."""
+    ks = as_list(keys)
+    listed = F.col(names).isin(list(columns))
+    return df.groupBy(*ks).agg(*[F.min(F.when(F.col(names) == c, F.col(values))).alias(c) for c in columns],
+                               F.count_if(~F.coalesce(listed, F.lit(False))).alias("n_other"))
 
 
 def series_mean(df: DataFrame, keys, v: str, out: str = "level") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,8 +50,8 @@ class Taxa:
 
 def resolve_taxa(spec, common_names=(), groups=GROUP_LETTERS) -> Taxa:
     """Three-way dispatch of a single text spec, resolved in Python before
-    the plan is built: a known common name, a group letter, else a
-    predicate; None keeps all rows."""
+    the plan is built: a known common name, a group letter, plain words (a
+    common name too), else a predicate; None keeps all rows."""
     if spec is None or isinstance(spec, Taxa):
         return spec or Taxa()
     if isinstance(spec, Column):
@@ -59,6 +60,9 @@ def resolve_taxa(spec, common_names=(), groups=GROUP_LETTERS) -> Taxa:
         return Taxa(common_name=spec)
     if spec in set(groups):
         return Taxa(group=spec)
+    # a predicate needs a comparison, a bracket or a keyword between operands
+    if not re.search(r"[=<>()!]|\b(and|or|not|in|like|rlike|between|is)\b", spec, re.I):
+        return Taxa(common_name=spec)
     return Taxa(where=spec)
 
 

@@ -122,7 +122,7 @@ def spread_over_gaps(counts: DataFrame, runs: DataFrame, keys, idx: str = "DATE"
 
 def share_over_gaps(facts: DataFrame, keys, idx: str = "DATE", v: str = "counts",
                     anynull: str = "_anynull", has: str = "has_taxon", max_gap: int = 3,
-                    zero_fill: bool = True, null_after_long_gap: bool = True) -> DataFrame:
+                    zero_fill: bool = True, null_after_long_gap: bool = True, carry=()) -> DataFrame:
     """``spread_over_gaps`` in one chain of windows over a per-day aggregate
     (``counts.daily_facts``), with the same rules.
 
@@ -131,11 +131,12 @@ def share_over_gaps(facts: DataFrame, keys, idx: str = "DATE", v: str = "counts"
     run starts; run lengths, the taxon's first and last day (the grid) and
     the shared catch are columns of that one frame.  Nothing is joined or
     unioned, so the plan keeps one hash partitioning by the keys from the
-    aggregate to the result.
+    aggregate to the result.  ``carry``: columns of the aggregate to keep as
+    they are (null on days it does not have).
     """
     ks = as_list(keys)
     w = by_key(ks, idx)
-    g = gap_fill(facts.select(*ks, idx, v, anynull, has), ks, idx, "day", flag="_f")
+    g = gap_fill(facts.select(*ks, idx, v, anynull, has, *carry), ks, idx, "day", flag="_f")
     seen = F.coalesce(F.col(has), F.lit(False))
     g = g.withColumn("_miss", F.col("_f") | F.coalesce(F.col(anynull), F.lit(False)))
     start = F.col("_miss") & ~F.coalesce(F.lag("_miss").over(w), F.lit(False))
@@ -159,4 +160,4 @@ def share_over_gaps(facts: DataFrame, keys, idx: str = "DATE", v: str = "counts"
     out = F.when(after, F.when(F.col(idx) > F.col("_lo"), F.lag("_shared").over(w))).otherwise(F.col("_shared"))
     return (g.withColumn(v, out)
             .filter(F.col(idx).between(F.col("_lo"), F.col("_hi")))
-            .select(*ks, idx, v, dur.alias("duration")))
+            .select(*ks, idx, v, dur.alias("duration"), *carry))

@@ -1,51 +1,37 @@
-"""Periodogram of each series.
-
-Per series, ordered by the index: subtract the mean, take the discrete
-Fourier transform, and report spec = 2/N |X_j|^2 at frequencies j/N,
-j = 1..floor(N/2) (no taper, no padding).  One grouped pandas call per
-series key with NumPy's FFT: O(N log N), and one group holds one regular
-series, whose length is fixed by its calendar span, not by the data volume.
-Null values are left out.
+"""Periodogram of each series (D12), on Spark columns.
+
+Per series, ordered by the index: subtract the mean and report
+spec = 2/N |X_j|^2 at frequencies j/N, j = 1..floor(N/2), X_j being the
+discrete Fourier coefficient (no taper, no padding).  A series is one array
+(its length is fixed by its calendar span, not by the data volume); each
+coefficient is two sums over that array.  Null values are left out.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sitewise.functions._util import as_list
 
 
-def periodogram_values(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(x)
-    if n < 2:
-        return np.empty(0), np.empty(0)
-    xc = x - x.mean()
-    X = np.fft.fft(xc)
-    j = np.arange(1, n // 2 + 1)
-    return j / n, 2.0 * np.abs(X[j]) ** 2 / n
+def _sum(x):
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
 
 def periodogram(df: DataFrame, keys, idx: str, v: str) -> DataFrame:
+    """(keys, freq, spec), one row per series and frequency; series of one
+    point have none."""
     ks = as_list(keys)
-    fields = [df.schema[k] for k in ks]
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] +
-                          [T.StructField("freq", T.DoubleType()), T.StructField("spec", T.DoubleType())])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        freq, spec = periodogram_values(pdf[v].to_numpy(dtype=float))
-        out = pd.DataFrame({"freq": freq, "spec": spec})
-        for k in ks:
-            out.insert(len(out.columns) - 2, k, pdf[k].iloc[0])
-        return out[[f.name for f in schema.fields]]
-
-    src = df.select(*ks, idx, v).filter(F.col(v).isNotNull())
-    try:   # one partition per core for the Python stage; AQE would coalesce small input to a few
-        src = src.repartition(df.sparkSession.sparkContext.defaultParallelism, *ks)
-    except Exception:  # no SparkContext view (e.g. Spark Connect)
-        pass
-    return src.groupBy(*ks).applyInPandas(one, schema)
+    value = F.col(v).cast("double")
+    src = df.select(*ks, F.col(idx).alias("_i"), value.alias("_v")).filter(F.col("_v").isNotNull())
+    one = (src.groupBy(*ks).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_a"), F.avg("_v").alias("_m"))
+           .withColumn("_n", F.size("_a")).filter(F.col("_n") >= 2))
+    one = one.select(*ks, "_n", F.transform("_a", lambda p: p["_v"] - F.col("_m")).alias("_x"))
+    freq = one.select("*", F.explode(F.sequence(F.lit(1), F.floor(F.col("_n") / 2).cast("int"))).alias("_j"))
+    angle = F.lit(2 * math.pi) * F.col("_j") / F.col("_n")
+    re = _sum(F.transform("_x", lambda x, t: x * F.cos(angle * t)))
+    im = _sum(F.transform("_x", lambda x, t: x * F.sin(angle * t)))
+    return freq.select(*ks, (F.col("_j") / F.col("_n")).alias("freq"), (F.lit(2.0) / F.col("_n") * (re * re + im * im)).alias("spec"))

@@ -126,16 +126,26 @@ def c10_spread_zero_fill(spark, d):
     return _spread(spark, d, zero_fill=True)
 
 
-@register("g4_monthly_totals", _spread_sql(True) + f"""SELECT station, date_trunc('month', DATE)::DATE AS DATETIME,
+def _spread_all_sql() -> str:
+    cnt = "SELECT station, DATE, coalesce(sum(VALUE), 0) AS counts FROM clean GROUP BY ALL"
+    return with_(OBS, CLEAN, RUNS) + ",\n" + spread_sql("station", cnt, True, MAX_GAP) + "\n"
+
+
+def _spread_all(spark, d):
+    """The daily grid of all taxa together."""
+    return site_daily(clean(spark, d), ["station"], max_gap=MAX_GAP)
+
+
+@register("g4_monthly_totals", _spread_all_sql() + f"""SELECT station, date_trunc('month', DATE)::DATE AS DATETIME,
   {r6('coalesce(sum(counts), 0)', 'counts')}, count(*) FILTER (WHERE counts IS NULL) AS NA_per_mo
 FROM spread GROUP BY station, date_trunc('month', DATE)""")
 def g4_monthly_totals(spark, d):
     """Monthly totals of the shared daily counts, with null days counted."""
-    return monthly_totals(_spread(spark, d, True), ["station"], "DATE", "counts")
+    return monthly_totals(_spread_all(spark, d), ["station"], "DATE", "counts")
 
 
-@register("g17_zero_days", _spread_sql(True) + """SELECT station, count(*) AS n_days,
+@register("g17_zero_days", _spread_all_sql() + """SELECT station, count(*) AS n_days,
   count(*) FILTER (WHERE counts = 0) AS n_zero, count(*) FILTER (WHERE counts != 0) AS n_nonzero,
   count(*) FILTER (WHERE counts IS NULL) AS n_null FROM spread GROUP BY station""")
 def g17_zero_days(spark, d):
-    return zero_day_summary(_spread(spark, d, True), ["station"], "counts")
+    return zero_day_summary(_spread_all(spark, d), ["station"], "counts")

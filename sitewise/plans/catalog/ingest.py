@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sitewise.functions.dates import (month_end, month_start, parse_2digit_date,
@@ -16,7 +18,8 @@ from sitewise.plans.registry import r6, register
 from sitewise.plans.sqlparts import (CLEAN, GROUPS, OBS, TRAITS, WEATHER, parse_date_sql,
                                      with_)
 from sitewise.sources import standin
-from sitewise.sources.readers import trim_trait_code
+from sitewise.sources.readers import (clean_observations, read_annual_series, read_fortnightly_series, read_observations,
+                                      read_weather, trim_trait_code, write_report)
 
 B = with_(OBS)
 BC = with_(OBS, CLEAN)
@@ -56,16 +59,80 @@ def s6_annual_series(spark, d):
     return between_dates(a, "DATETIME", "1996-12-31", "2000-02-21")
 
 
+def _written(spark, df, name: str, fmt: str = "csv") -> str:
+    """Write a stand-in under the session's shared folder (the checkpoint
+    folder, else the warehouse) and return its path: the readers are then
+    used on files as they are on field data."""
+    base = (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+            or spark.conf.get("spark.sql.warehouse.dir"))
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    write_report(df, path, fmt)
+    return path
+
+
+@register("s1_read_observations", BC + f"SELECT SITECODE, station, DATE, FIELDNAME, {r6('VALUE')} FROM clean")
+def s1_read_observations(spark, d):
+    """Observations written as a file, read and cleaned by the reader."""
+    path = _written(spark, obs(spark, d), "observations")
+    return clean_observations(read_observations(spark, path)).select("SITECODE", "station", "DATE", "FIELDNAME", "VALUE")
+
+
+@register("s2_read_dataset", BC + "SELECT SITECODE, count(*) AS n FROM clean GROUP BY SITECODE")
+def s2_read_dataset(spark, d):
+    """The same with the file chosen by dataset name."""
+    path = _written(spark, obs(spark, d), "observations")
+    root, name = path.rsplit("/", 1)
+    df = read_observations(spark, dataset="own", root=root, datasets={"own": name})
+    return clean_observations(df).groupBy("SITECODE").agg(F.count("*").alias("n"))
+
+
+@register("s4_read_weather", with_(WEATHER) + f"SELECT SITECODE, DATE, FIELDNAME, {r6('daily')} FROM weather")
+def s4_read_weather(spark, d):
+    """Weather through a Parquet file."""
+    return read_weather(spark, _written(spark, standin.weather(spark, d), "weather", "parquet"))
+
+
+@register("s6_read_annual", BC + f"""SELECT make_date(year(DATE), 12, 31) AS DATETIME, {r6('sum(VALUE)', 'ANNUAL_AVG_ABUNDANCE')}
+FROM clean WHERE SITECODE = 'T03' GROUP BY year(DATE)
+HAVING make_date(year(DATE), 12, 31) BETWEEN DATE '1996-12-31' AND DATE '2000-02-21'""")
+def s6_read_annual(spark, d):
+    """Annual totals of all sites written, one site and a window read."""
+    a = (clean(spark, d).groupBy(F.year("DATE").alias("YEAR"), F.col("SITECODE").alias("SITE")).agg(F.sum("VALUE").alias("ANNUAL_AVG_ABUNDANCE"))
+         .select("YEAR", "SITE", F.lit("count").alias("DETERMINAND"), "ANNUAL_AVG_ABUNDANCE"))
+    return read_annual_series(spark, _written(spark, a, "annual"), site="T03", determinand="count", start="1996-12-31", end="2000-02-21")
+
+
+@register("s6_read_fortnightly", BC + f"""SELECT DATE AS DATETIME, {r6('avg(VALUE)', 'VALUE')} FROM clean
+WHERE SITECODE = 'T05' GROUP BY DATE HAVING avg(VALUE) IS NOT NULL AND DATE BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'""")
+def s6_read_fortnightly(spark, d):
+    """A series with two-digit years written, read with pivot 21."""
+    f = (clean(spark, d).groupBy("SITECODE", "DATE").agg(F.avg("VALUE").alias("VALUE")).where("VALUE is not null")
+         .select(F.date_format("DATE", "dd-MMM-yy").alias("DATE"), F.col("SITECODE").alias("VARIABLE"),
+                 F.lit("").alias("sign_if_LT_LOD"), "VALUE"))
+    return read_fortnightly_series(spark, _written(spark, f, "fortnightly"), variable="T05", start="1996-01-01", end="1998-12-31")
+
+
 @register("p1_parse_2digit_date", B + f"SELECT SITECODE, LCODE, SDATE, {parse_date_sql('SDATE', 69)} AS DATE FROM obs")
 def p1_parse_2digit_date(spark, d):
     return obs(spark, d).select("SITECODE", "LCODE", "SDATE",
                                 parse_2digit_date("SDATE", 69).alias("DATE"))
 
 
-@register("p2_parse_pivot21", B + f"SELECT SITECODE, LCODE, SDATE, {parse_date_sql('SDATE', 21)} AS DATE FROM obs")
+# The stand-in has the years 95 to 01 only; for the pivot the last two digits
+# are replaced by years on either side of both pivots, by trap code.
+_YEARS = ["20", "21", "68", "69"]
+
+
+@register("p2_parse_pivot21", B + f""", shifted AS (SELECT SITECODE, LCODE,
+  left(SDATE, length(SDATE) - 2) || CASE LCODE % 4 WHEN 0 THEN '20' WHEN 1 THEN '21' WHEN 2 THEN '68' ELSE '69' END AS SDATE FROM obs)
+SELECT SITECODE, LCODE, SDATE, {parse_date_sql('SDATE', 21)} AS DATE, {parse_date_sql('SDATE', 69)} AS DATE_69 FROM shifted""")
 def p2_parse_pivot21(spark, d):
-    return obs(spark, d).select("SITECODE", "LCODE", "SDATE",
-                                parse_2digit_date("SDATE", 21).alias("DATE"))
+    """Century pivot 21 beside 69 on years where they differ."""
+    year = F.element_at(F.array(*[F.lit(y) for y in _YEARS]), (F.col("LCODE") % 4 + 1).cast("int"))
+    text = F.concat(F.expr("substr(SDATE, 1, length(SDATE) - 2)"), year)
+    o = obs(spark, d).withColumn("SDATE", text)
+    return o.select("SITECODE", "LCODE", "SDATE", parse_2digit_date("SDATE", 21).alias("DATE"),
+                    parse_2digit_date("SDATE", 69).alias("DATE_69"))
 
 
 @register("p4_drop_flags", B + f"""SELECT SITECODE, LCODE, SDATE, FIELDNAME, {r6('VALUE')} FROM obs

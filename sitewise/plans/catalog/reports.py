@@ -147,6 +147,7 @@ def g12_max_active(spark, d):
 
 
 _PIVOT = ",\n  ".join(f"nullif(count(*) FILTER (WHERE SITECODE = '{s}'), 0) AS {s}" for s in SITES)
+_PIVOT += ",\n  nullif(count(*) FILTER (WHERE SITECODE NOT IN (" + ", ".join(f"'{s}'" for s in SITES) + ")), 0) AS other"
 
 
 @register("g13_species_by_trap", with_(OBS, TRAITS) + f"""SELECT w.*, t.Genus, t.species, t.COMMON_NAME, t.Family
@@ -164,6 +165,7 @@ def _safe(name: str) -> str:
 
 _WPIV = ",\n  ".join(f"{r6(f'max(daily) FILTER (WHERE FIELDNAME = {chr(39)}{p}{chr(39)})', _safe(p))}"
                      for p in PRIORITIES)
+_WPIV += ",\n  count(*) FILTER (WHERE FIELDNAME NOT IN (" + ", ".join(f"'{p}'" for p in PRIORITIES) + ")) AS n_other"
 
 
 @register("g14_pivot_fields", with_(WEATHER) + f"SELECT SITECODE, DATE, {_WPIV} FROM weather GROUP BY SITECODE, DATE")

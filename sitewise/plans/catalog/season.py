@@ -11,8 +11,7 @@ from sitewise.operators.rates import with_interval
 from sitewise.operators.season import (classical_decompose, deseason_ma_scaled, deseason_median,
                                        season_table, seasonal_component, standardise,
                                        subseries)
-from sitewise.operators.smooth import (MA_2X12, MA_12, detrend, fill_next, moving_average,
-                                       seasonal_diff)
+from sitewise.operators.smooth import detrend, fill_next, moving_average, seasonal_diff
 from sitewise.plans import station as st
 from sitewise.plans import trap
 from sitewise.plans.catalog.common import clean, site_monthly
@@ -28,20 +27,14 @@ BS = with_(OBS, CLEAN, SMON) + "\n"
 K = ["SITECODE"]
 
 
-def conv_sql(v: str, part: str, order: str, weights, sides: int = 2) -> str:
-    """Weighted lag/lead sum, term order as in ``filter_convolution``."""
-    o = len(weights) // 2 if sides == 2 else 0
-    w = f"(PARTITION BY {part} ORDER BY {order})"
-    terms = []
-    for j, wt in enumerate(weights):
-        k = o - j
-        t = v if k == 0 else (f"lead({v}, {k}) OVER {w}" if k > 0 else f"lag({v}, {-k}) OVER {w}")
-        terms.append(f"{t} * {wt!r}::DOUBLE")
-    return "(" + " + ".join(terms) + ")"
-
-
-MA = conv_sql("counts", "SITECODE", "DATETIME", MA_2X12)
-MA12 = conv_sql("counts", "SITECODE", "DATETIME", MA_12, 1)
+_AT = "OVER (PARTITION BY SITECODE ORDER BY DATETIME"
+# Moving averages as SQL frames: 12 whole months and half of the two ends;
+# the 12 months up to and with this one.  Null unless every month is there.
+MA = f"""(CASE WHEN count(counts) {_AT} ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13 THEN
+  (sum(counts) {_AT} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)
+   + 0.5 * lag(counts, 6) {_AT}) + 0.5 * lead(counts, 6) {_AT})) / 12.0 END)"""
+MA12 = f"""(CASE WHEN count(counts) {_AT} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) = 12 THEN
+  avg(counts) {_AT} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) END)"""
 
 
 @register("w5_seasonal_diff", BS + f"""SELECT SITECODE, DATETIME, {r6('counts')},

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitewise.operators.changepoint import (attach_segment_mean, changepoints, joint_with_uni,
+from sitewise.functions.dates import month_start
+from sitewise.operators.changepoint import (attach_segment_mean, changepoint_fit, changepoints, joint_with_uni,
                                             segment_stats, shared_changepoints_per_series)
+from sitewise.operators.smooth import moving_average
 from sitewise.operators.spectrum import periodogram
 from sitewise.operators.stack import stack_series
 from sitewise.operators.counts import monthly_mean
@@ -23,6 +25,7 @@ from sitewise.plans.sqlparts import (CLEAN, DAILY, DRATE, MRATE, NORMAL_MEANVAR_
 from sitewise.sources import standin
 
 BM = with_(OBS, CLEAN, DAILY, DRATE, MRATE)
+BD_RATE = with_(OBS, CLEAN, DAILY, DRATE)
 BMR = BM.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
@@ -38,15 +41,16 @@ def j3_weather_range(spark, d):
 @register("d13_stack_series", BM + ", " + WEATHER + f"""
 SELECT 'moth' AS kind, station AS id, date AS "index", {r6('value')} FROM mrate
 UNION ALL
-SELECT 'weather', SITECODE, date_trunc('month', DATE)::DATE, {r6('avg(daily)', 'value')}
-FROM weather WHERE FIELDNAME = '1-URGENT' GROUP BY SITECODE, date_trunc('month', DATE)""")
+SELECT 'weather', SITECODE || '/' || FIELDNAME, date_trunc('month', DATE)::DATE, {r6('avg(daily)', 'value')}
+FROM weather GROUP BY SITECODE, FIELDNAME, date_trunc('month', DATE)""")
 def d13_stack_series(spark, d):
-    """Monthly moth rate per station stacked with monthly weather per site."""
+    """Monthly moth rate per station stacked with the monthly weather of each
+    site, every field."""
     moth = st.monthly_abundance_rate(clean(spark, d))
-    w = standin.weather(spark, d).filter(F.col("FIELDNAME") == "1-URGENT")
-    wm = monthly_mean(w, ["SITECODE"], "DATE", "daily", na_rm=True, out="value", out_idx="DATE")
+    w = standin.weather(spark, d).withColumn("id", F.concat_ws("/", "SITECODE", "FIELDNAME"))
+    wm = monthly_mean(w, ["id"], "DATE", "daily", na_rm=True, out="value", out_idx="DATE")
     return stack_series({"moth": (moth, "station", "date", "value"),
-                         "weather": (wm, "SITECODE", "DATE", "value")})
+                         "weather": (wm, "id", "DATE", "value")})
 
 
 @register("d12_periodogram", BASE + ", " + INTERP + f""",
@@ -91,6 +95,15 @@ def d14_multi_site(spark, d):
     return site.multi_site(clean(spark, d), ["SITECODE"])
 
 
+@register("d14_site_daily", with_(OBS, CLEAN, runs_sql("SITECODE")) + ",\n" + spread_sql("SITECODE", _D14_CNT, True) + f""",
+sp AS (SELECT SITECODE, DATE, CASE WHEN coalesce(sum(VALUE), 0) = 0 THEN 0
+         ELSE count(DISTINCT FIELDNAME) + max(CASE WHEN FIELDNAME IS NULL THEN 1 ELSE 0 END) END AS n_species FROM clean GROUP BY ALL)
+SELECT s.SITECODE, s.DATE, {r6('s.counts', 'counts')}, s.duration, p.n_species FROM spread s LEFT JOIN sp p USING (SITECODE, DATE)""")
+def d14_site_daily(spark, d):
+    """Shared daily catch of each site with the number of species seen."""
+    return site.site_daily(clean(spark, d), ["SITECODE"]).select("SITECODE", "DATE", "counts", "duration", "n_species")
+
+
 # Changepoints.  Univariate: monthly rate per station, normal mean/var, bic.
 _SER_UNI = BMR + ", ser AS (SELECT station AS g, station AS k, date AS d, value AS y FROM mrate WHERE value IS NOT NULL),\n"
 _UNI = _SER_UNI + changepoint_sql("u", "ser", NORMAL_MEANVAR_SQL, "3 * ln(n)") + "\n"
@@ -179,16 +192,117 @@ def k7_segment_stats(spark, d):
 
 
 @register("j13_segment_means", _UNI + f""", seg AS (
-  SELECT s.g AS station, s.d AS date, s.y AS value,
-         (SELECT count(*) FROM ulocs l WHERE l.g = s.g AND l.loc < s.d) AS segment FROM ser s)
-SELECT station, date, {r6('value')}, segment, {r6('avg(value) OVER (PARTITION BY station, segment)', 'cpts')}
+  SELECT s.SITECODE, s.station, s.date, s.value,
+         (SELECT count(*) FROM ulocs l WHERE l.g = s.station AND l.loc < s.date) AS segment FROM mrate s)
+SELECT SITECODE, station, date, {r6('value')}, segment, {r6('avg(value) OVER (PARTITION BY station, segment)', 'cpts')}
 FROM seg""")
 def j13_segment_means(spark, d):
-    """Each monthly rate with the mean of its changepoint segment."""
-    m = _mrate(spark, d).select("station", "date", "value")
+    """Each monthly rate, null ones too, with the mean of its changepoint
+    segment."""
+    m = _mrate(spark, d).select("SITECODE", "station", "date", "value")
     return attach_segment_mean(m, None, ["station"], "date", "value").drop("cpt_type")
 
 
+_SMOOTH = (with_(OBS, CLEAN, SMON).replace("WITH ", "WITH RECURSIVE ", 1) + f""", sm AS (SELECT *, {MA} AS ma2x12 FROM smon),
+ser AS (SELECT SITECODE AS g, SITECODE AS k, DATETIME AS d, ma2x12 AS y FROM sm WHERE ma2x12 IS NOT NULL),
+""" + changepoint_sql("m", "ser", NORMAL_MEANVAR_SQL, "3 * ln(n)"))
+
+
+@register("j13_smoothed_means", _SMOOTH + f""", seg AS (SELECT sm.*,
+  (SELECT count(*) FROM mlocs l WHERE l.g = sm.SITECODE AND l.loc < sm.DATETIME) AS segment FROM sm)
+SELECT SITECODE, DATETIME, {r6('counts')}, {r6('ma2x12')}, segment,
+       {r6('avg(ma2x12) OVER (PARTITION BY SITECODE, segment)', 'cpts')} FROM seg""")
+def j13_smoothed_means(spark, d):
+    """Segment means of the 2x12 moving average beside every month of the
+    site, the ends without an average too."""
+    m = moving_average(site_monthly(spark, d), ["SITECODE"], "DATETIME", "counts", "2x12")
+    return attach_segment_mean(m, None, ["SITECODE"], "DATETIME", "ma2x12").drop("cpt_type")
+
+
+# More than 400 dates: means of five days over all sites.
+_BIN5 = "DATE '1990-01-01' + (date_diff('day', DATE '1990-01-01', DATE) // 5 * 5)::INT"
+_FIVE = (with_(OBS, CLEAN).replace("WITH ", "WITH RECURSIVE ", 1) + f""", ser AS (SELECT 'all' AS g, 'all' AS k, {_BIN5} AS d,
+  avg(VALUE) AS y FROM clean GROUP BY ALL HAVING avg(VALUE) IS NOT NULL),
+""" + changepoint_sql("f", "ser", NORMAL_MEANVAR_SQL, "0.75 * ln(n)"))
+
+
+def _binned(df, days: int, keys=("SITECODE",)):
+    """Mean value per key and bin of days, dated the first of the bin."""
+    start = F.lit("1990-01-01").cast("date")
+    at = F.date_add(start, (F.floor(F.datediff("DATE", start) / days) * days).cast("int"))
+    return df.groupBy(*keys, at.alias("d")).agg(F.avg("VALUE").alias("y"))
+
+
+@register("k1_five_day_means", _FIVE + "\nSELECT g AS \"all\", 'uni' AS cpt_type, loc FROM flocs")
+def k1_five_day_means(spark, d):
+    """Changepoints of the five-day means of all sites: about 500 dates."""
+    five = _binned(clean(spark, d).withColumn("all", F.lit("all")), 5, ["all"])
+    return changepoints(five, ["all"], "d", "y", penalty="log_n", penalty_factor=0.75)
+
+
+# All sites as one group (the site pipeline's deseasoned series).
+_ALL = _D14.replace("WITH ", "WITH RECURSIVE ", 1) + """, ser AS (SELECT 'all' AS g, SITECODE AS k, DATETIME AS d,
+  decomp_deseason AS y FROM st WHERE decomp_deseason IS NOT NULL),
+"""
+
+
+def _all_sites(spark, d):
+    return site.multi_site(clean(spark, d), ["SITECODE"]).withColumn("all", F.lit("all"))
+
+
+@register("k3_sites_joint", _ALL + changepoint_sql("a", "ser", NORMAL_MEANVAR_SQL, "3 * ln(n)")
+          + f"\nSELECT g AS \"all\", {r6('cost')}, (SELECT count(*) FROM alocs) AS n_cpts, t AS n_grid FROM afin")
+def k3_sites_joint(spark, d):
+    """One joint fit of all sites on the deseasoned series, bic."""
+    return changepoint_fit(_all_sites(spark, d), ["all"], "DATETIME", "decomp_deseason", series="SITECODE").select(
+        "all", "cost", "n_cpts", "n_grid")
+
+
+@register("k3_sites_joint_low", _ALL + changepoint_sql("a", "ser", NORMAL_MEANVAR_SQL, "0.4 * ln(n)")
+          + "\nSELECT g AS \"all\", 'joint' AS cpt_type, loc FROM alocs")
+def k3_sites_joint_low(spark, d):
+    """The same with a penalty low enough to find shared points."""
+    return changepoints(_all_sites(spark, d), ["all"], "DATETIME", "decomp_deseason", series="SITECODE",
+                        penalty="log_n", penalty_factor=0.4)
+
+
+# Series of different rate on one grid: per site annual totals and fortnightly
+# means; monthly totals and fortnightly means.
+_BIN14 = _BIN5.replace("5", "14")
+_FORT = f"SELECT SITECODE AS g, 'fortnightly' AS k, {_BIN14} AS d, avg(VALUE) AS y FROM clean GROUP BY ALL HAVING avg(VALUE) IS NOT NULL"
+
+
+def _two_rates(spark, d, coarse, name):
+    c = clean(spark, d)
+    total = c.groupBy("SITECODE", coarse.alias("d")).agg(F.sum("VALUE").alias("y")).withColumn("rate", F.lit(name))
+    return total.unionByName(_binned(c, 14).withColumn("rate", F.lit("fortnightly")))
+
+
+@register("k3_annual_fortnightly", with_(OBS, CLEAN).replace("WITH ", "WITH RECURSIVE ", 1) + f""", ser AS (
+  SELECT SITECODE AS g, 'annual' AS k, make_date(year(DATE), 12, 31) AS d, sum(VALUE) AS y FROM clean GROUP BY ALL HAVING sum(VALUE) IS NOT NULL
+  UNION ALL {_FORT}),
+""" + changepoint_sql("x", "ser", NORMAL_VAR_SQL, "0.5 * ln(n)") + "\nSELECT g AS SITECODE, 'joint' AS cpt_type, loc FROM xlocs")
+def k3_annual_fortnightly(spark, d):
+    """Changepoints shared by a site's annual totals and fortnightly means,
+    in variance."""
+    both = _two_rates(spark, d, F.make_date(F.year("DATE"), F.lit(12), F.lit(31)), "annual")
+    return changepoints(both, ["SITECODE"], "d", "y", series="rate", cost="normal_var", penalty="log_n", penalty_factor=0.5)
+
+
+@register("k3_monthly_fortnightly", with_(OBS, CLEAN).replace("WITH ", "WITH RECURSIVE ", 1) + f""", ser AS (
+  SELECT SITECODE AS g, 'monthly' AS k, date_trunc('month', DATE)::DATE AS d, sum(VALUE) AS y FROM clean GROUP BY ALL HAVING sum(VALUE) IS NOT NULL
+  UNION ALL {_FORT}),
+""" + changepoint_sql("x", "ser", f"CASE WHEN k = 'monthly' THEN {POISSON_SQL} ELSE {NORMAL_MEANVAR_SQL} END",
+                      "CASE WHEN k = 'monthly' THEN 2 * ln(n) ELSE 3 * ln(n) END")
+          + "\nSELECT g AS SITECODE, 'joint' AS cpt_type, loc FROM xlocs")
+def k3_monthly_fortnightly(spark, d):
+    """Changepoints shared by a site's monthly totals (Poisson) and
+    fortnightly means (normal), bic of each."""
+    both = _two_rates(spark, d, month_start("DATE"), "monthly")
+    return changepoints(both, ["SITECODE"], "d", "y", series="rate", penalty="bic",
+                        cost={"monthly": "poisson_meanvar", "fortnightly": "normal_meanvar"})
+
+
 @register("o2_last_rows", BM + f"SELECT station, date, {r6('value')} FROM mrate ORDER BY date DESC, station LIMIT 10")
 def o2_last_rows(spark, d):
     """The last 10 monthly rates (a head/tail report: the limit is the feature)."""
@@ -196,10 +310,13 @@ def o2_last_rows(spark, d):
             .orderBy(F.desc("date"), F.asc("station")).limit(10))
 
 
-@register("o4_random_rows")
+@register("o4_random_rows", BD_RATE + f"""SELECT SITECODE, DATE, station, {r6('value')}, value_type FROM drate
+ORDER BY md5(concat_ws('|', '42', station, DATE::VARCHAR)), station, DATE LIMIT 10""")
 def o4_random_rows(spark, d):
-    """A random sample of 10 daily rates (a sampling operator)."""
-    return (st.daily_abundance_rate(clean(spark, d)).orderBy(F.rand(42)).limit(10))
+    """A random sample of 10 daily rates (a sampling operator): the first by
+    a digest of key and seed, so a seed always gives the same sample."""
+    r = st.daily_abundance_rate(clean(spark, d))
+    return r.orderBy(F.md5(F.concat_ws("|", F.lit("42"), "station", F.col("DATE").cast("string"))), "station", "DATE").limit(10)
 
 
 _SER_K8 = BMR + """, europe AS (SELECT 'T' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS SITECODE FROM nation
@@ -223,8 +340,7 @@ def k8_selected_series(spark, d):
 def k3_trap_weather_joint(spark, d):
     """Shared changepoints of each site's monthly standardised trap series and
     its daily weather (series of different sampling rate on one grid),
-    penalty 0.5 ln n per series as in the other joint queries.  Exact
-    program, no pruning.  No SQL: a recursive oracle over a daily grid
+    penalty 0.5 ln n per series as in the other joint queries.  No SQL: a recursive oracle over a daily grid
     of about 2,400 steps per site is too slow; the solver is checked against
     exhaustive search in tests."""
     from sitewise.functions.keys import site_of
@@ -232,5 +348,5 @@ def k3_trap_weather_joint(spark, d):
     std = trap.trap_standardised(clean(spark, d), max_interval=5)
     stacked = trap.with_site_weather(std, standin.weather(spark, d), "1-URGENT")
     stacked = stacked.withColumn("site", F.when(F.col("kind") == "trap", site_of("id")).otherwise(F.col("id")))
-    return changepoints(stacked, ["site"], "index", "value", series="id", prune=False, **_JKW)
+    return changepoints(stacked, ["site"], "index", "value", series="id", **_JKW)
 

@@ -28,7 +28,9 @@ def site_daily(clean: DataFrame, keys=("SITECODE",), taxa=None, groups: DataFram
                traits: DataFrame | None = None, lo=None, hi=None, avg_missing_data: bool = True,
                max_gap: int = 3, zero_fill: bool = True) -> DataFrame:
     """Daily grid per key: total and species number of the taxon, with the
-    catch shared over short unsampled runs (C6-C10 composed).
+    catch shared over short unsampled runs (C6-C10 composed): keys, DATE,
+    counts, duration (null if nothing is shared) and n_species (null on days
+    without the taxon).
 
     Unsampled days are found from all species; the taxon only selects what
     is counted.  Both come from one aggregate per key and day
@@ -45,8 +47,9 @@ def site_daily(clean: DataFrame, keys=("SITECODE",), taxa=None, groups: DataFram
     facts = daily_facts(df, ks, "DATE", taxon=pred)
     counts = facts.filter(F.col("has_taxon")).select(*ks, "DATE", "counts", "n_species")
     if not avg_missing_data:
-        return complete_days(counts, ks, "DATE")
-    return share_over_gaps(facts, ks, "DATE", "counts", max_gap=max_gap, zero_fill=zero_fill)
+        return complete_days(counts, ks, "DATE").withColumn("duration", F.lit(None).cast("long"))
+    facts = facts.withColumn("n_species", F.when(F.col("has_taxon"), F.col("n_species")))
+    return share_over_gaps(facts, ks, "DATE", "counts", max_gap=max_gap, zero_fill=zero_fill, carry=["n_species"])
 
 
 def multi_site(clean: DataFrame, keys=("SITECODE",), checkpoint_daily: bool = False, **kw) -> DataFrame:

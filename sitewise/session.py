@@ -7,7 +7,6 @@ that are already present, in particular ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -35,21 +34,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder of the session.
-
-    The cluster names a shared folder in ``spark.checkpoint.dir``; it is used
-    as is.  Only when it is unset (local tests) a scratch folder is created.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    """Return the checkpoint folder of the session: the one already set on
+    the context, else the shared folder the cluster names in
+    ``spark.checkpoint.dir``.  Without either a cluster is refused, as a
+    folder of the driver's own machine would not be seen by the executors."""
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="sitewise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -31,7 +31,7 @@ DATASETS = {"moth": "ECN_IM1.csv", "butterfly": "ECN_IB1.csv"}
 def _reader(spark: SparkSession, schema: str, fmt: str):
     r = spark.read.schema(schema)
     if fmt == "csv":
-        r = r.option("header", True).option("mode", "PERMISSIVE")
+        r = r.option("header", True).option("mode", "PERMISSIVE").option("nullValue", "NA")
     return r.format(fmt)
 
 
@@ -54,16 +54,33 @@ def read_observations(spark: SparkSession, path: str | None = None, fmt: str = "
 def clean_observations(obs: DataFrame, pivot: int = 69, keep_flags: bool = False,
                        sep: str = "-") -> DataFrame:
     """Parse the two-digit date, add the station key and the flag value,
-    and (by default) drop the flag rows.  The text date is kept out."""
+    and (by default) drop the flag rows.  The text date is kept out.  A NaN
+    value is null.  Rows without site, trap or a valid date belong to no
+    series and are left out; ``rejected_observations`` returns them."""
     df = (obs
+          .withColumn("VALUE", F.when(~F.isnan("VALUE"), F.col("VALUE")))
           .withColumn("DATE", parse_2digit_date("SDATE", pivot))
           .withColumn("station", station_key("SITECODE", "LCODE", sep)))
-    df = with_flag_id(df)
+    df = with_flag_id(df).filter(~_rejected("DATE"))
     if not keep_flags:
         df = df.filter(~F.col("FIELDNAME").contains("Q"))
     return df.drop("SDATE")
 
 
+def _rejected(date) -> F.Column:
+    d = F.col(date) if isinstance(date, str) else date
+    return F.col("SITECODE").isNull() | F.col("LCODE").isNull() | d.isNull()
+
+
+def rejected_observations(obs: DataFrame, pivot: int = 69) -> DataFrame:
+    """The rows ``clean_observations`` leaves out, as they came, with the
+    reason."""
+    d = parse_2digit_date("SDATE", pivot)
+    reason = (F.when(F.col("SITECODE").isNull(), F.lit("no site")).when(F.col("LCODE").isNull(), F.lit("no trap"))
+              .otherwise(F.lit("bad date")))
+    return obs.filter(_rejected(d)).withColumn("reason", reason)
+
+
 def read_dimension(spark: SparkSession, path: str, schema: str = GROUPS_SCHEMA,
                    fmt: str = "csv") -> DataFrame:
     """A small text table with an explicit schema (S3).  Joins against it are

@@ -44,11 +44,12 @@ def start_clean_ingest(spark: SparkSession, src_dir: str, out_dir: str, name: st
 def stream_daily_counts(clean_stream: DataFrame, keys=("SITECODE", "station"),
                         lateness: str = "14 days") -> DataFrame:
     """Daily count per station from a stream (G1).  Rows may arrive up to
-    ``lateness`` after their day; a day is emitted once, when final.  Nulls
-    are skipped here (a streaming aggregate keeps sum and count, and the
-    count of nulls beside it says whether the day was complete)."""
+    ``lateness`` after their day; a day is emitted once, when final.  As in
+    the batch count, a day with a null value is null; the number of nulls is
+    given beside it."""
     ts = F.col("DATE").cast("timestamp")
     return (clean_stream.withColumn("_ts", ts).withWatermark("_ts", lateness)
             .groupBy(*keys, F.window("_ts", "1 day").alias("day"))
-            .agg(F.sum("VALUE").alias("count"), F.count_if(F.col("VALUE").isNull()).alias("n_null"))
+            .agg(F.when(F.count_if(F.col("VALUE").isNull()) == 0, F.sum("VALUE")).alias("count"),
+                 F.count_if(F.col("VALUE").isNull()).alias("n_null"))
             .select(*keys, F.to_date(F.col("day.start")).alias("DATE"), "count", "n_null"))

@@ -11,9 +11,11 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from sitewise.session import local_session
-    s = local_session("*", 8, app="sitewise-tests")
+    # the only place that makes a scratch folder: a local session of one machine
+    folder = str(tmp_path_factory.mktemp("checkpoints"))
+    s = local_session("*", 8, app="sitewise-tests", extra={"spark.checkpoint.dir": folder})
     yield s
     s.stop()
 

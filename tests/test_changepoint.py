@@ -42,13 +42,118 @@ def test_dp_equals_exhaustive_search():
             assert abs(total - b_total) < 1e-6 and cps == b_cps
 
 
-def test_pruning_matches_full_program():
+def full_program(series, costs, betas, min_seg=2):
+    """The whole cost matrix, then the program over it: plain and slow."""
+    grid = np.unique(np.concatenate([d for d, _ in series]))
+    n = len(grid)
+    total = np.zeros((n + 1, n + 1))
+    for (d, y), c in zip(series, costs):
+        pos = np.searchsorted(grid, d) + 1
+        N, S, Q = (np.cumsum(np.bincount(pos, weights=w, minlength=n + 1)) for w in (np.ones(len(y)), y, y * y))
+        dn = N[None] - N[:, None]
+        part = segment_cost(c, dn, S[None] - S[:, None], Q[None] - Q[:, None], y.mean())
+        total += np.where(dn >= min_seg, part, np.inf)
+    best, prev = [-sum(betas)], [0]
+    for t in range(1, n + 1):
+        x = np.array(best) + total[:t, t]
+        prev.append(int(np.argmin(x)))
+        best.append(x[prev[-1]] + sum(betas))
+    cps, b = [], prev[n] if np.isfinite(best[n]) else 0
+    while b > 0:
+        cps.append(b)
+        b = prev[b]
+    return sorted(cps), best[n]
+
+
+def _random_group(rng, rates, n):
+    out = []
+    for step in rates:
+        m = -(-n // step)
+        level = np.repeat(rng.uniform(0, 6, 8), -(-m // 8))[:m]
+        out.append((_days(m, step=step), rng.poisson(level).astype(float) + rng.random(m) * rng.choice([0.01, 1.0])))
+    return out
+
+
+def test_exact_beyond_400_dates():
+    """Random fits of 300 to 1,200 dates, all costs, both penalties, one to
+    three rates, against the plain program."""
     rng = np.random.default_rng(3)
-    y = np.concatenate([rng.normal(0, 1, 150), rng.normal(3, 2, 150), rng.normal(-1, 0.5, 150)])
-    a = solve([(_days(len(y)), y)], ["normal_meanvar"], [penalty_value("bic", "normal_meanvar", len(y))], prune=False)
-    b = solve([(_days(len(y)), y)], ["normal_meanvar"], [penalty_value("bic", "normal_meanvar", len(y))], prune=True)
-    assert a[1] == b[1] and abs(a[2] - b[2]) < 1e-6
-    assert any(abs(c - 150) <= 3 for c in a[1]) and any(abs(c - 300) <= 3 for c in a[1])
+    names = ("normal_meanvar", "normal_var", "poisson_meanvar")
+    for trial in range(200):
+        rates = ([1], [1, 14], [1, 14, 30])[trial % 3]
+        n = int(rng.integers(300, 1200 if trial % 20 == 0 else 480))
+        group = _random_group(rng, rates, n)
+        costs = [names[int(rng.integers(3))] for _ in rates]
+        pen = ("bic", "log_n")[trial % 2]
+        betas = [penalty_value(pen, c, len(y), 0.5) for c, (_, y) in zip(costs, group)]
+        grid, cps, total = solve(group, costs, betas)
+        want, cost = full_program(group, costs, betas)
+        assert cps == want and abs(total - cost) < 1e-6 * max(1, abs(cost))
+
+
+def _joint_frame(spark):
+    rng = np.random.default_rng(8)
+    rows_ = []
+    for g in ("x", "y", None):
+        for k in range(20):
+            name = None if k == 7 else f"s{k}"
+            for d, y in zip(*_random_group(rng, [1 + k % 3], 70)[0]):
+                rows_.append((g, 5 if g else None, name, d.astype(object), float(y), "more"))
+    rows_ += [("x", 5, "s1", None, 1.0, "more"), ("x", 5, "s2", dt.date(2000, 1, 5), None, "more")]
+    return spark.createDataFrame(rows_, "g string, h int, s string, d date, v double, extra string")
+
+
+def test_buckets_and_tiles_never_change_a_joint_fit(spark):
+    df = _joint_frame(spark)
+    kw = {"series": "s", "penalty": "log_n", "penalty_factor": 0.3, "cost": {"s3": "poisson_meanvar", "*": "normal_meanvar"}}
+    fits = []
+    for buckets, tile in ((1, 512), (8, 512), (64, 16)):
+        fit = changepoint_fit(df, ["g", "h"], "d", "v", buckets=buckets, tile=tile, **kw).collect()
+        fits.append(sorted((str(r.g), r.cost, r.n_grid, r.locs) for r in fit))
+    assert fits[0] == fits[1] == fits[2] and len(fits[0]) == 3 and any(f[3] for f in fits[0])
+    part = [r for r in df.collect() if r.g == "y" and r.v is not None and r.d is not None]
+    names = sorted({r.s for r in part}, key=lambda x: (x is None, x or ""))
+    group = [(np.array(sorted(r.d for r in part if r.s == n), dtype="datetime64[D]"),
+              np.array([r.v for r in sorted((r for r in part if r.s == n), key=lambda r: r.d)])) for n in names]
+    costs = ["poisson_meanvar" if n == "s3" else "normal_meanvar" for n in names]
+    cps, total = full_program(group, costs, [0.3 * math.log(len(y)) for _, y in group])
+    got = next(f for f in fits[0] if f[0] == "y")
+    grid = np.unique(np.concatenate([d for d, _ in group]))
+    assert got[3] == [grid[c - 1].astype(object) for c in cps] and abs(got[1] - total) < 1e-6
+
+
+def test_segments_keep_all_rows_and_columns(spark):
+    from sitewise.operators.changepoint import attach_segment_mean, shared_changepoints_per_series
+    df = _joint_frame(spark)
+    kw = {"penalty": "log_n", "penalty_factor": 0.3}
+    out = attach_segment_mean(df, None, ["g", "h"], "d", "v", series="s", **kw)
+    assert out.count() == df.count() and set(df.columns) < set(out.columns)
+    assert out.filter("d is null").first().segment is None
+    per = shared_changepoints_per_series(df, ["g", "h"], "s", "d", "v", **kw)
+    assert per.filter("s is null").count() > 0 and per.filter("g is null").count() > 0
+
+
+def test_maps_look_at_every_key(spark):
+    rows_ = [(a, b, dt.date(2000, 1, 1) + dt.timedelta(days=i), float(1 + (i > 9) * 5 + i % 2)) for a in "ab" for b in "uv" for i in range(20)]
+    df = spark.createDataFrame(rows_, "a string, b string, d date, v double")
+    def cost(spec):
+        return {(r.a, r.b): round(r.cost, 6) for r in changepoint_fit(df, ["a", "b"], "d", "v", cost=spec, penalty=5.0).collect()}
+    normal, poisson = cost("normal_meanvar"), cost("poisson_meanvar")
+    mixed = cost({"v": "poisson_meanvar", "a|u": "poisson_meanvar", "*": "normal_meanvar"})
+    assert mixed == {k: (poisson if k[1] == "v" or k == ("a", "u") else normal)[k] for k in normal}
+
+
+def test_segment_stats_of_every_cost(spark):
+    df = _frame(spark)
+    y = np.array([r.v for r in df.filter("k = 'A'").orderBy("d").collect()])
+    for cost in ("normal_meanvar", "normal_var", "poisson_meanvar"):
+        st = segment_stats(df, None, ["k"], "d", "v", cost=cost, penalty=3.0).filter("k = 'A'").orderBy("segment").collect()
+        at = 0
+        for r in st:
+            seg = y[at:at + r.n]
+            assert abs(r.cost - float(segment_cost(cost, len(seg), seg.sum(), (seg ** 2).sum(), y.mean()))) < 1e-6
+            at += r.n
+        assert at == len(y)
 
 
 def test_joint_with_one_series_is_univariate(spark):
@@ -156,7 +261,6 @@ def test_joint_daily_and_sparse_series_equal_exhaustive_search():
     d2 = _days(5, step=3)                            # every third day
     y2 = np.array([1.0, 1.2, 8.0, 8.5, 8.1])
     for beta in (0.5, 2.0, 6.0):
-        grid, cps, total = solve([(d1, y1), (d2, y2)], ["normal_meanvar", "poisson_meanvar"], [beta, beta],
-                                 prune=False)
+        grid, cps, total = solve([(d1, y1), (d2, y2)], ["normal_meanvar", "poisson_meanvar"], [beta, beta])
         b_total, b_cps = brute_joint([(d1, y1), (d2, y2)], ["normal_meanvar", "poisson_meanvar"], [beta, beta])
         assert abs(total - b_total) < 1e-6 and cps == b_cps

@@ -13,10 +13,10 @@ def test_entry_and_registry(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(df.columns) == {"SITECODE", "station", "date", "value", "value_type"}
+    from sitewise.plans import registry
     q, o = E.queries(), E.oracle_sql()
-    assert set(o) <= set(q) and len(q) >= 87
-    missing = sorted(set(q) - set(o))
-    assert missing == ["k3_trap_weather_joint", "o4_random_rows"]
+    assert set(o) <= set(q) and set(registry.QUERIES) <= set(q) and len(registry.QUERIES) >= 95
+    assert sorted(set(registry.QUERIES) - set(o)) == ["k3_trap_weather_joint"]
 
 
 FAST = ["g6_monthly_rate", "c5_interpolate", "c9_spread_over_gaps", "d4_classical_decompose",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sitewise.operators.season import (classical_decompose, deseason_ma, deseason_median,
                                        season_table, seasonal_component, standardise)
 from sitewise.operators.smooth import moving_average, seasonal_diff
-from sitewise.operators.spectrum import periodogram, periodogram_values
+from sitewise.operators.spectrum import periodogram
 
 
 def _series(spark, f, n=48, keys=("A", "B")):
@@ -68,12 +68,12 @@ def test_season_table(spark):
 
 
 def test_periodogram_peak_and_scaling(spark):
-    f, s = periodogram_values(np.cos(2 * np.pi * np.arange(48) / 12))
-    assert abs(f[np.argmax(s)] - 1 / 12) < 1e-12
-    x = np.random.default_rng(1).normal(size=30)
-    f2, s2 = periodogram_values(x)
-    direct = [2 / 30 * abs(np.sum((x - x.mean()) * np.exp(-2j * np.pi * j * np.arange(30) / 30))) ** 2
-              for j in range(1, 16)]
-    assert np.allclose(s2, direct)
+    for n in (2, 3, 30, 31):
+        x = np.random.default_rng(n).normal(size=n)
+        got = periodogram(_series(spark, lambda i, k: float(x[i]), n=n), ["k"], "d", "v").filter("k = 'A'").orderBy("freq").collect()
+        fft = np.fft.fft(x - x.mean())[1:n // 2 + 1]
+        assert np.allclose([r.freq for r in got], np.arange(1, n // 2 + 1) / n)
+        assert np.allclose([r.spec for r in got], 2 / n * np.abs(fft) ** 2)
+    assert periodogram(_series(spark, lambda i, k: 1.0, n=1), ["k"], "d", "v").count() == 0
     pg = periodogram(_series(spark, lambda i, k: np.cos(2 * np.pi * i / 12)), ["k"], "d", "v")
     assert pg.filter("k = 'A'").count() == 24

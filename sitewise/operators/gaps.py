@@ -35,15 +35,6 @@ def missing_days(df: DataFrame, keys, idx: str = "DATE", v: str = "VALUE",
     return g.filter(F.col("_f") | F.col("_anynull")).select(*ks, idx)
 
 
-def missing_days_from_facts(facts: DataFrame, keys, idx: str = "DATE",
-                            anynull: str = "_anynull") -> DataFrame:
-    """``missing_days`` from a per-day aggregate that already holds whether
-    any value of the day is null (``counts.daily_facts``)."""
-    ks = as_list(keys)
-    g = gap_fill(facts.select(*ks, idx, anynull), ks, idx, "day", flag="_f")
-    return g.filter(F.col("_f") | F.col(anynull)).select(*ks, idx)
-
-
 def missing_runs(miss: DataFrame, keys, idx: str = "DATE") -> DataFrame:
     """Group consecutive missing days into runs (C7): ``seq_id`` counts runs
     from 1 within a key; each day carries its run's first and last day,

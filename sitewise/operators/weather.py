@@ -6,22 +6,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.operators.calendar import day_calendar
-
 
 def weather_for_stations(weather: DataFrame, obs: DataFrame, types=None, site: str = "SITECODE",
                          station: str = "station", idx: str = "DATE") -> DataFrame:
     """Range join as an equi-join.
 
-    Each station's range is expanded to its days (one row per station and
-    day, the size of the result itself) and joined to the weather on
-    (site, day).  The join key is spread over sites *and* days, so a site
-    with very many stations does not land in one task, and AQE can split a
-    skewed key; no residual range predicate is evaluated per pair.
+    Each station's range is expanded to its months and joined to the weather
+    on (site, month), the days then being cut to the range: about thirty
+    times fewer rows are shuffled than station-days, the join key is still
+    spread over sites *and* months, and AQE can split a skewed one.
     ``types=None`` keeps every weather field.
     """
     w = weather if types is None else weather.filter(F.col("FIELDNAME").isin(list(types)))
-    days = day_calendar(obs.select(site, station, idx), [site, station], idx)
-    return (days.join(w, [site, idx], "inner")
+    w = w.withColumn("_m", F.trunc(idx, "month"))
+    span = obs.groupBy(site, station).agg(F.min(idx).alias("_lo"), F.max(idx).alias("_hi")).filter(F.col("_lo").isNotNull())
+    months = span.withColumn("_m", F.explode(F.sequence(F.trunc("_lo", "month"), F.trunc("_hi", "month"), F.expr("interval 1 month"))))
+    return (months.join(w, [site, "_m"], "inner").filter(F.col(idx).between(F.col("_lo"), F.col("_hi")))
             .select(F.col(idx).alias("date"), site, station, F.col("daily").alias("value"),
                     F.col("FIELDNAME").alias("value_type")))

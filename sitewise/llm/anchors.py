@@ -27,11 +27,11 @@ def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
     """Hash of every ``k`` bytes (``k`` a power of two), by doubling: a sum
     of random byte values times odd constants, mixed at the end."""
     h, size = _BYTE[b], 1
-    factor = _M2
+    factor = int(_M2)
     while size < k:
-        low = h[:-size] * factor
+        low = h[:-size] * np.uint64(factor)
         low += h[size:]
-        h, size, factor = low, size * 2, factor * _M2 | np.uint64(1)
+        h, size, factor = low, size * 2, factor * int(_M2) % 2**64 | 1
     return mix(h)
 
 

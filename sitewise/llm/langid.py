@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import slices
+
 LENGTH = 256  # bytes in a window
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 8  # of each width
@@ -149,7 +151,7 @@ def predict(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             labels, scores = [], []
             for body, letters in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if not letters:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import broadcast_if_small, drop, is_empty, materialise
+from .scratch import broadcast_if_small, drop, is_empty, materialise, slices
 from .shingles import WordHashes, mix, shingle_set
 
 SKETCH_BITS = 512
@@ -80,7 +80,7 @@ def signatures(docs: DataFrame, rows: int = 4, bands: int = 40, k: int = 5) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             n, keys, band, sketch = [], [], [], []
             for body in batch.column(1).to_pylist():
                 words = (body or b"").lower().split()
@@ -111,7 +111,7 @@ def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
     """docs (id, body binary) -> id, shingles array<long>."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [_as_long(shingle_set(memory.of((b or b"").lower().split()), k))
                     for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))],

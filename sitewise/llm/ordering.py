@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import broadcast_if_small, drop, materialise
+from .scratch import broadcast_if_small, drop, materialise, slices
 from .shingles import mix
 from .tokens import END, chunk_ids, default_path
 
@@ -75,7 +75,7 @@ def sequences(docs: DataFrame, length: int, path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                                               ["part", "number", "n", "record", "pieces"])
 
-        for batch in batches:
+        for batch in slices(batches):
             id_type = batch.schema.field(0).type
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids, at = memory.document(body), 0

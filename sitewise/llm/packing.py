@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import broadcast_if_small, materialise
+from .scratch import broadcast_if_small, materialise, slices
 from .tokens import chunk_ids, default_path
 
 SCALE = 1 << 30  # quantum shares are integers of this sum, about
@@ -75,7 +75,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         memory = chunk_ids(path)
         part = TaskContext.get().partitionId()
         sums: dict = {}
-        for batch in batches:
+        for batch in slices(batches):
             ids, n, before = [], [], []
             for source, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 b = memory.document(body)
@@ -152,7 +152,7 @@ def _pieces(placed: DataFrame, rounds: Rounds, window: int, path: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal out_id
         dtype = chunk_ids(path).dtype
-        for batch in batches:
+        for batch in slices(batches):
             out_id = batch.schema.field(0).type
             rows = []
             for doc, source, n, queue, x, ids in zip(*[c.to_pylist() for c in batch.columns]):

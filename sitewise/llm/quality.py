@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import broadcast_if_small, drop, materialise
+from .scratch import broadcast_if_small, drop, materialise, slices
 from .shingles import WordHashes, grams
 
 # fixed value: the characters that count as symbols
@@ -54,7 +54,7 @@ def counts(docs: DataFrame, k: int = 8) -> DataFrame:
     and lines: distinct normalised lines with a word as (hash, words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             rows, lines = [], []
             for body in batch.column(2).to_pylist():
                 body = body or b""

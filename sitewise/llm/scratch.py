@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Rows a broadcast side may have.  The broadcast tables of this package have
 # a few numbers a row, so this bounds a broadcast to some tens of MB.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -59,5 +59,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches cut into smaller ones, so that what a task holds in
+    Python at a time does not go with the session's batch size."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)

@@ -27,14 +27,13 @@ from pyspark.sql import functions as F
 
 from .anchors import SPAN, anchors, gram_hashes
 from .induced import permuted_lcp, suffix_array
-from .scratch import broadcast_if_small, drop, materialise
+from .scratch import broadcast_if_small, drop, materialise, slices
 from .shingles import _M2, mix
 
 K = 32
 BITMAP_WORDS = 1 << 20
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 HOT_RUNS = 8192  # runs of one anchor that still fit a shard
-WIDE_ROWS = 200_000  # rows with lists that may be broadcast
 LAST = (1 << 63) - 1
 
 
@@ -48,7 +47,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [h for b in batch.column(0).to_pylist() if b is not None for h, *_ in anchors(b, K)]
             if found:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
@@ -71,7 +70,7 @@ def _runs(docs: DataFrame, bitmap) -> DataFrame:
     and the first start), n (starts), for anchors in the bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for doc, th, b in zip(*[c.to_pylist() for c in batch.columns]):
                 for h, c, lo, _, n in anchors(b or b"", K):
@@ -96,18 +95,25 @@ def _window_hashes(b: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return x.view(np.int64), y.view(np.int64)
 
 
+def _among(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The documents that are (left_semi) or are not (left_anti) among rows
+    of a table keyed alike: only ids are broadcast, and only what is left of
+    the texts is shuffled by a join that follows."""
+    return docs.join(broadcast_if_small(materialise(rows.select("doc", "th"), "sd-ids")), ["doc", "th"], how)
+
+
 def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of runs: wanted (doc, th, runs array of h, k, lo, n)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "k", "doc", "pos", "n", "bytes"]
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(r["h"], r["k"], doc, (th << 32) + r["lo"], r["n"], body[r["lo"]:r["lo"] + r["n"] + SPAN - 1])
                     for doc, th, body, runs in zip(*[c.to_pylist() for c in batch.columns]) for r in runs]
             for i in range(0, len(rows), 50_000):
                 cols = list(zip(*rows[i:i + 50_000]))
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], names)
 
-    joined = docs.select("doc", "th", "body").join(broadcast_if_small(wanted, WIDE_ROWS), ["doc", "th"])
+    joined = _among(docs.select("doc", "th", "body"), wanted, "left_semi").join(wanted, ["doc", "th"])
     return joined.select("doc", "th", "body", "runs").mapInArrow(run, "h long, k long, doc long, pos long, n long, bytes binary")
 
 
@@ -145,7 +151,7 @@ def _shard(rows: pd.DataFrame) -> pd.DataFrame:
 def _split_hot(pieces: DataFrame) -> DataFrame:
     """Runs of anchors too frequent for a shard, string by string."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for doc, pos, n, b in zip(*[c.to_pylist() for c in batch.columns]):
                 x, y = _window_hashes(b, n)
                 yield pa.RecordBatch.from_arrays(
@@ -159,7 +165,7 @@ def _split_hot(pieces: DataFrame) -> DataFrame:
 def _cut(docs: DataFrame) -> DataFrame:
     """docs (doc_id, body, whole, spans) -> the counts and what is kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for body, whole, spans in zip(*[c.to_pylist() for c in batch.columns[1:]]):
                 body = body or b""
@@ -227,5 +233,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = materialise(gone, "sd-gone")
     bitmap.destroy()
     drop(runs, classes, mixed, left, wanted, pieces)
-    out = marked.join(broadcast_if_small(gone, WIDE_ROWS), ["doc", "th"], "left")
-    return _cut(out)
+    no_spans = F.lit(None).cast(gone.schema["spans"].dataType).alias("spans")
+    whole = _among(marked, gone, "left_anti").select("doc_id", "body", "whole", no_spans)
+    cut = _among(marked, gone, "left_semi").join(gone, ["doc", "th"]).select("doc_id", "body", "whole", "spans")
+    return _cut(whole.unionByName(cut))

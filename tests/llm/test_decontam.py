@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from corpus_data import both, docs, empty, odd  # noqa: F401  (fixtures)
 from sitewise.llm.decontam import GRAM, decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from corpus_data import empty, odd  # noqa: F401  (fixtures)
 from sitewise.llm.langid import LENGTH, ByteCnn, identify, windows_of
 
 

@@ -3,6 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from corpus_data import docs, empty, odd  # noqa: F401  (fixtures)
 from sitewise.llm.licenses import STOP_WORDS, TEMPLATES, scan
 from test_decontam import words
 

@@ -1,5 +1,6 @@
 from collections import Counter
 
+from corpus_data import both, docs, empty, odd  # noqa: F401  (fixtures)
 from sitewise.llm.near_dup import near_duplicates, odd_sketch, sketch_limit
 from sitewise.llm.components import components
 

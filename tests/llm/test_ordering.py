@@ -3,6 +3,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from corpus_data import both, docs, empty, odd  # noqa: F401  (fixtures)
 from sitewise.llm.ordering import feistel, read_order, write_order
 
 from test_packing import whole_ids

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from corpus_data import both, docs, empty, odd  # noqa: F401  (fixtures)
 from sitewise.llm.packing import Rounds, pack
 
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_data import both, docs, odd  # noqa: F401  (fixtures)
 import corpus_pipeline
 import test_decontam
 import test_near_dup

@@ -1,6 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
+from corpus_data import both, docs, empty, odd  # noqa: F401  (fixtures)
 from sitewise.llm.quality import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

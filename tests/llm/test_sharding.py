@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+from corpus_data import both, docs, empty, odd  # noqa: F401  (fixtures)
 from sitewise.llm.sharding import KEY_BITS, assign_shards, directory, write_shards
 
 

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from corpus_data import both, docs, empty, odd  # noqa: F401  (fixtures)
 from sitewise.llm import induced
 from sitewise.llm.suffix_dedup import remove_repeats
 

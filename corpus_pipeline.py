@@ -44,11 +44,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and documents of which no word is left."""
-    out = dedup_lines(docs, carry=docs.columns)
+    out = dedup_lines(docs, carry=[c for c in docs.columns if c != "text"])
     out = out.where((F.col("n_removed") == 0) | (F.size(words(F.col("text"))) > 0))
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
-    same = F.col("n_removed") == 0
-    return out.select(*[F.when(same, F.col(f"rest.{c}")).otherwise(new.get(c, F.col(f"rest.{c}"))).alias(c) for c in docs.columns])
+    chars = F.when(F.col("n_removed") == 0, F.col("rest.n_chars")).otherwise(F.length("text"))
+    new = {"text": F.col("text"), "n_chars": chars.cast(docs.schema["n_chars"].dataType)}
+    return out.select(*[new.get(c, F.col(f"rest.{c}")).alias(c) for c in docs.columns])
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import slices
+from .scratch import broadcast_if_small, materialise, slices
 
 LENGTH = 256  # bytes in a window
 WIDTHS = (2, 3, 4, 5)
@@ -125,8 +125,13 @@ def train(docs: DataFrame, labelled: Column, *, per_label: int = 600, max_sample
     raw = F.col("text").cast("binary")
     h = F.xxhash64(F.lit(11), "text")
     at = F.pmod(h, F.greatest(F.length(raw) - LENGTH + 1, F.lit(1))).cast("int") + 1
-    sample = (docs.where(labelled & F.col("lang").isNotNull() & (F.length(raw) > 0))
-              .select("lang", h.alias("h"), F.substring(raw, at, F.lit(LENGTH)).alias("b")))
+    labelled = labelled & F.col("lang").isNotNull() & (F.length(raw) > 0)
+    # hashes are even: a multiple of the rows wanted passes, whatever the size
+    often = docs.where(labelled).groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"))
+    often = broadcast_if_small(materialise(often, "lang-counts"))
+    sample = docs.where(labelled).select("lang", h.alias("h"), F.substring(raw, at, F.lit(LENGTH)).alias("b"))
+    sample = sample.join(often, F.col("lang") == F.col("l")).where(F.col("h") / 2.0**64 + 0.5 < 4.0 * per_label / F.col("n"))
+    sample = sample.select("lang", "h", "b").distinct()  # a text with many copies counts once
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "b"))
     sample = sample.withColumn("r", rank).where(F.col("r") <= per_label)
     rows = sample.orderBy("r", "h", "b", "lang").limit(max_sample).select("lang", "b").collect()

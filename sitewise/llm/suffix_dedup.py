@@ -31,7 +31,8 @@ from .scratch import broadcast_if_small, drop, materialise, slices
 from .shingles import _M2, mix
 
 K = 32
-BITMAP_WORDS = 1 << 20
+BITMAP_WORDS = 1 << 18
+BROADCAST = 100_000  # rows a broadcast may have here
 SHARD_BYTES = 1 << 19
 HOT_RUNS = 8192  # runs of one anchor that still fit a shard
 LAST = (1 << 63) - 1
@@ -55,12 +56,12 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.select("body").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _bitmap(repeated: DataFrame) -> np.ndarray:
+def _bitmap(repeated: DataFrame, words: int) -> np.ndarray:
     """Bitmap of fixed size of the anchors that occur again."""
-    word = F.shiftrightunsigned("h", 38).bitwiseAND(F.lit(BITMAP_WORDS - 1))
+    word = F.shiftrightunsigned("h", 38).bitwiseAND(F.lit(words - 1))
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))")
     rows = repeated.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
-    out = np.zeros(BITMAP_WORDS, np.uint64)
+    out = np.zeros(words, np.uint64)
     out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
     return out
 
@@ -74,7 +75,7 @@ def _runs(docs: DataFrame, bitmap) -> DataFrame:
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for doc, th, b in zip(*[c.to_pylist() for c in batch.columns]):
                 for h, c, lo, _, n in anchors(b or b"", K):
-                    w = bits[(h >> np.uint64(38)) & np.uint64(BITMAP_WORDS - 1)]
+                    w = bits[(h >> np.uint64(38)) & np.uint64(len(bits) - 1)]
                     ok = (w >> ((h >> np.uint64(32)) & np.uint64(63)) & np.uint64(1)).astype(bool)
                     if ok.any():
                         for col, x in zip(cols, (h[ok].view(np.int64), c[ok].view(np.int64),
@@ -99,7 +100,7 @@ def _among(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """The documents that are (left_semi) or are not (left_anti) among rows
     of a table keyed alike: only ids are broadcast, and only what is left of
     the texts is shuffled by a join that follows."""
-    return docs.join(broadcast_if_small(materialise(rows.select("doc", "th"), "sd-ids")), ["doc", "th"], how)
+    return docs.join(broadcast_if_small(materialise(rows.select("doc", "th"), "sd-ids"), BROADCAST), ["doc", "th"], how)
 
 
 def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -191,7 +192,8 @@ def _cut(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-                   shard_bytes: int = SHARD_BYTES, hot_runs: int = HOT_RUNS) -> DataFrame:
+                   shard_bytes: int = SHARD_BYTES, hot_runs: int = HOT_RUNS,
+                   bitmap_words: int = BITMAP_WORDS) -> DataFrame:
     """Remove every byte covered by a 100-byte string that also starts
     earlier (smaller id, or same document, earlier start), judged on the
     input: doc_id, n_bytes, n_removed, n_spans, kept (binary); one row per
@@ -207,18 +209,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body")))
     several = docs.where(F.length("body") >= SPAN).groupBy("t1", "t2").agg(F.min("doc").alias("rep"), F.max("doc").alias("top"))
     several = materialise(several.where("top > rep").select("t1", "t2", "rep"), "sd-copies")
-    marked = docs.join(broadcast_if_small(several), ["t1", "t2"], "left").withColumn("whole", F.coalesce(F.col("doc") > F.col("rep"), F.lit(False)))
+    marked = docs.join(broadcast_if_small(several, BROADCAST), ["t1", "t2"], "left").withColumn("whole", F.coalesce(F.col("doc") > F.col("rep"), F.lit(False)))
     first = marked.where(~F.col("whole") & (F.length("body") >= SPAN))
 
-    bitmap = spark.sparkContext.broadcast(_bitmap(_counts(first).where("n > 1")))
-    runs = materialise(_runs(first, bitmap), "sd-runs")
+    # the bitmap lets few others pass while it is mostly empty; beyond that
+    # all bits are set and a join picks the runs
+    repeated = materialise(_counts(first).where("n > 1").select("h"), "sd-repeated")
+    few = repeated.count() <= bitmap_words * 8
+    bits = _bitmap(repeated, bitmap_words) if few else np.full(bitmap_words, ~np.uint64(0))
+    bitmap = spark.sparkContext.broadcast(bits)
+    runs = _runs(first, bitmap)
+    runs = materialise(runs if few else runs.join(repeated, "h", "left_semi"), "sd-runs")
     classes = runs.groupBy("h", "c").agg(F.min(F.struct("doc", "pos")).alias("first"), F.first("n").alias("n"), F.count("*").alias("m"))
     classes = materialise(classes, "sd-classes")
-    again = broadcast_if_small(materialise(classes.where("m > 1").select("h", "c", "first"), "sd-again"))
+    again = broadcast_if_small(materialise(classes.where("m > 1").select("h", "c", "first"), "sd-again"), BROADCAST)
     same = runs.join(again, ["h", "c"]).where(F.struct("doc", "pos") != F.col("first")).select("doc", "pos", "n")
 
     mixed = materialise(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "sd-mixed")
-    left = classes.join(broadcast_if_small(mixed), "h").select(
+    left = classes.join(broadcast_if_small(mixed, BROADCAST), "h").select(
         "h", "k", "first.doc", F.shiftright("first.pos", 32).alias("th"), F.col("first.pos").bitwiseAND(F.lit(0xFFFFFFFF)).alias("lo"), "n")
     left = materialise(left, "sd-left")
     total = left.where(F.col("k") <= hot_runs).agg(F.sum(F.col("n") + SPAN)).first()[0] or 0
@@ -232,7 +240,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .agg(F.collect_list(F.struct(F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF)).alias("lo"), "n")).alias("spans")))
     gone = materialise(gone, "sd-gone")
     bitmap.destroy()
-    drop(runs, classes, mixed, left, wanted, pieces)
+    drop(repeated, runs, classes, mixed, left, wanted, pieces)
     no_spans = F.lit(None).cast(gone.schema["spans"].dataType).alias("spans")
     whole = _among(marked, gone, "left_anti").select("doc_id", "body", "whole", no_spans)
     cut = _among(marked, gone, "left_semi").join(gone, ["doc", "th"]).select("doc_id", "body", "whole", "spans")

@@ -77,8 +77,8 @@ def sequences(docs: DataFrame, length: int, path: str) -> DataFrame:
 
         for batch in slices(batches):
             id_type = batch.schema.field(0).type
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, at = memory.document(body), 0
+            for doc, ids in zip(batch.column(0).to_pylist(), memory.documents(batch.column(1).to_pylist())):
+                at = 0
                 while at < len(ids):
                     take = min(full - len(buffer), len(ids) - at)
                     pieces.append({"doc_id": doc, "start": at // width, "length": take // width, "offset": len(buffer) // width})

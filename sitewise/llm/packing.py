@@ -76,10 +76,9 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         part = TaskContext.get().partitionId()
         sums: dict = {}
         for batch in slices(batches):
-            ids, n, before = [], [], []
-            for source, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                b = memory.document(body)
-                ids.append(b)
+            n, before = [], []
+            ids = memory.documents(batch.column(2).to_pylist())
+            for source, b in zip(batch.column(1).to_pylist(), ids):
                 n.append(len(b) // memory.dtype.itemsize)
                 before.append(sums.get(source, 0))
                 sums[source] = before[-1] + n[-1]

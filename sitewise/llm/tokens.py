@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import sys
+import types
 
 import numpy as np
 
@@ -14,43 +17,77 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class ChunkIds(dict):
+# a full stop or comma between a letter and white space is a word of its own
+# for the tokenizer; set apart here, fewer different chunks are left
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
+
+
+class ChunkIds:
     """Ids of the chunks between ASCII white space, as bytes of one integer
-    type; emptied at ``limit`` chunks, as it only saves time.  The tokenizer
-    splits at white space before it merges, so the ids of a text are those of
-    its chunks in order."""
+    type.  The tokenizer lower-cases, and splits at white space before it
+    merges, so the ids of a text are those of its chunks in order.  Chunks
+    are remembered in two generations of ``limit`` each; that only saves
+    time."""
 
     def __init__(self, path: str, limit: int = 300_000):
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.limit = limit
-        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.limit, self.new, self.old = limit, {}, {}
+        vocabulary = self.tok.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.end = np.array([END], self.dtype).tobytes()
 
-    def document(self, body: bytes | None) -> bytes:
-        """Ids of one text, with the closing id."""
-        chunks = (body or b"").split()
-        new = list({c for c in chunks if c not in self})
-        if new:
-            if len(self) + len(new) > self.limit:
-                self.clear()
-                new = list(set(chunks))
-            for at in range(0, len(new), 4096):
-                part = new[at:at + 4096]
-                got = self.tok.encode_batch_fast([c.decode("utf-8", "replace") for c in part],
-                                                 add_special_tokens=False)
-                for c, e in zip(part, got):
-                    self[c] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join([*map(self.__getitem__, chunks), self.end])
-
+    def _encode(self, chunks: list[bytes]) -> None:
+        """Words of letters only are encoded as one text and cut at the ids
+        that end a word; all other chunks one by one."""
+        words, other = [], []
+        for c in chunks:
+            (words if c.decode("utf-8", "replace").isalpha() else other).append(c)
+        for at in range(0, len(words), 4096):
+            part = words[at:at + 4096]
+            ids = np.array(self.tok.encode(b" ".join(part).decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype)
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+            if len(cut) != len(part):
+                other += part
+                continue
+            raw, start = ids.tobytes(), 0
+            for c, stop in zip(part, cut.tolist()):
+                self.new[c] = raw[start:stop]
+                start = stop
+        for at in range(0, len(other), 4096):
+            part = other[at:at + 4096]
+            got = self.tok.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
+            for c, e in zip(part, got):
+                self.new[c] = np.array(e.ids, self.dtype).tobytes()
 
-_MEMORY: dict[str, ChunkIds] = {}
+    def documents(self, bodies: list[bytes | None]) -> list[bytes]:
+        """Ids of each text, with the closing id."""
+        split = []
+        for b in bodies:
+            b = b or b""
+            # special tokens are told by their exact spelling
+            split.append(b.split() if b"<|" in b else _STOP.sub(rb" \1", b.lower()).split())
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        missing = []
+        for c in {c for chunks in split for c in chunks}:
+            if c not in self.new:
+                if c in self.old:
+                    self.new[c] = self.old[c]
+                else:
+                    missing.append(c)
+        self._encode(missing)
+        look = self.new.__getitem__
+        return [b"".join([*map(look, chunks), self.end]) for chunks in split]
 
 
 def chunk_ids(path: str) -> ChunkIds:
-    """The memory of this Python worker, shared by its tasks."""
-    if path not in _MEMORY:
-        _MEMORY[path] = ChunkIds(path)
-    return _MEMORY[path]
+    """The memory of this Python worker, shared by its tasks (kept outside
+    this module, which may travel by value with each task)."""
+    kept = sys.modules.setdefault("_sitewise_tokens", types.ModuleType("_sitewise_tokens")).__dict__
+    if path not in kept:
+        kept[path] = ChunkIds(path)
+    return kept[path]

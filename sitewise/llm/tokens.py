@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
 
@@ -17,11 +16,6 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-# a full stop or comma between a letter and white space is a word of its own
-# for the tokenizer; set apart here, fewer different chunks are left
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
-
-
 class ChunkIds:
     """Ids of the chunks between ASCII white space, as bytes of one integer
     type.  The tokenizer lower-cases, and splits at white space before it
@@ -29,10 +23,13 @@ class ChunkIds:
     are remembered in two generations of ``limit`` each; that only saves
     time."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
+        # the same merges for words of a-z, which nothing else would change
+        self.simple = Tokenizer(self.tok.model)
+        self.simple.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.limit, self.new, self.old = limit, {}, {}
         vocabulary = self.tok.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
@@ -40,28 +37,51 @@ class ChunkIds:
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.end = np.array([END], self.dtype).tobytes()
 
+    def _put(self, tok, words: list[bytes]) -> list[bytes]:
+        """Encode words of letters in a few texts, cut at the ids that end a
+        word; returns words for which that does not work out."""
+        failed = []
+        groups = [words[i:i + 512] for i in range(0, len(words), 512)]
+        for at in range(0, len(groups), 8):
+            part = groups[at:at + 8]
+            for group, e in zip(part, tok.encode_batch_fast([b" ".join(g).decode() for g in part], add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                cut = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+                if len(cut) != len(group):
+                    failed += group
+                    continue
+                raw, start = ids.tobytes(), 0
+                for c, stop in zip(group, cut.tolist()):
+                    self.new[c] = raw[start:stop]
+                    start = stop
+        return failed
+
     def _encode(self, chunks: list[bytes]) -> None:
-        """Words of letters only are encoded as one text and cut at the ids
-        that end a word; all other chunks one by one."""
-        words, other = [], []
+        """Fill the memory.  A full stop or comma after letters is a word of
+        its own to the tokenizer, so such a chunk is put together."""
+        plain, letters, other, ended = [], [], [], []
         for c in chunks:
-            (words if c.decode("utf-8", "replace").isalpha() else other).append(c)
-        for at in range(0, len(words), 4096):
-            part = words[at:at + 4096]
-            ids = np.array(self.tok.encode(b" ".join(part).decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype)
-            cut = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
-            if len(cut) != len(part):
-                other += part
-                continue
-            raw, start = ids.tobytes(), 0
-            for c, stop in zip(part, cut.tolist()):
-                self.new[c] = raw[start:stop]
-                start = stop
+            # lower-casing may leave marks, which are no letters
+            text = c.decode("utf-8", "replace")
+            text = text if text.isascii() else text.lower()
+            if text[-1] in ".," and text[:-1].isalpha():
+                ended.append(c)
+                c, text = c[:-1], text[:-1]
+                if c in self.new:
+                    continue
+            if text.isalpha():
+                (plain if c.isascii() and c.islower() else letters).append(c)
+            else:
+                other.append(c)
+        other += self._put(self.simple, list(set(plain))) + self._put(self.tok, list(set(letters)))
+        other += [c for c in (b".", b",") if ended and c not in self.new]
         for at in range(0, len(other), 4096):
             part = other[at:at + 4096]
             got = self.tok.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
             for c, e in zip(part, got):
                 self.new[c] = np.array(e.ids, self.dtype).tobytes()
+        for c in ended:
+            self.new[c] = self.new[c[:-1]] + self.new[c[-1:]]
 
     def documents(self, bodies: list[bytes | None]) -> list[bytes]:
         """Ids of each text, with the closing id."""
@@ -69,19 +89,19 @@ class ChunkIds:
         for b in bodies:
             b = b or b""
             # special tokens are told by their exact spelling
-            split.append(b.split() if b"<|" in b else _STOP.sub(rb" \1", b.lower()).split())
+            split.append(b.split() if b"<|" in b else b.lower().split())
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
+        found = [list(map(self.new.get, chunks)) for chunks in split]
         missing = []
-        for c in {c for chunks in split for c in chunks}:
-            if c not in self.new:
-                if c in self.old:
-                    self.new[c] = self.old[c]
-                else:
-                    missing.append(c)
+        for c in {c for chunks, got in zip(split, found) if None in got for c, x in zip(chunks, got) if x is None}:
+            if c in self.old:
+                self.new[c] = self.old[c]
+            else:
+                missing.append(c)
         self._encode(missing)
         look = self.new.__getitem__
-        return [b"".join([*map(look, chunks), self.end]) for chunks in split]
+        return [b"".join([*(map(look, chunks) if None in got else got), self.end]) for chunks, got in zip(split, found)]
 
 
 def chunk_ids(path: str) -> ChunkIds:

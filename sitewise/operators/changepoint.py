@@ -243,12 +243,17 @@ def _joint_fit(src: DataFrame, ks, cost, penalty, penalty_factor, min_seg, bucke
     src = src.withColumn("_g", F.to_json(F.struct(*ks), {"ignoreNullFields": "false"}))
     leaf = F.pmod(F.xxhash64("_s"), F.lit(LEAVES)).cast("int")
     src = src.withColumn("_leaf", leaf).withColumn("_b", F.floor(F.col("_leaf") / per).cast("int"))
-    grid = src.groupBy("_g").agg(F.array_sort(F.collect_set("_d")).alias("grid"))
+    # one row per group; every use takes all of it, so the aggregate is one
+    # exchange however often it is read
+    grid = src.groupBy("_g").agg(F.array_sort(F.collect_set("_d")).alias("grid"), *[F.first(k).alias(k) for k in ks])
     tiles = F.explode(F.sequence(F.lit(0), F.floor((F.size("grid") - 1) / tile).cast("int")))
-    todo = src.select("_g", "_b").distinct().join(grid, "_g").select(F.col("_g").alias("_jg"), F.col("_b").alias("_jb"), "grid", tiles.alias("_jt"))
+    todo = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_jb"))
+    todo = todo.select(F.col("_g").alias("_jg"), "_jb", "grid", tiles.alias("_jt"))
     points = src.join(grid, "_g").select("_g", "_b", "_leaf", "_s", "_d", "_y", "_kv", tiles.alias("_tile"))
 
     def block(pdf: pd.DataFrame, job: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=["_g", "t", "_b", "d", "beta", "costs"], dtype=object)
         dates = np.array(list(job["grid"].iloc[0]), dtype="datetime64[D]")
         first = int(job["_jt"].iloc[0]) * tile
         ends = range(first + 1, min(first + tile, len(dates)) + 1)
@@ -301,7 +306,7 @@ def _joint_fit(src: DataFrame, ks, cost, penalty, penalty_factor, min_seg, bucke
 
     fit = (blocks.repartition("_g").sortWithinPartitions("_g", "t", "_b")
            .mapInPandas(run, "_g string, cost double, n_cpts long, n_grid long, locs array<date>"))
-    return fit.join(src.groupBy("_g").agg(*[F.first(k).alias(k) for k in ks]), "_g")
+    return fit.join(grid, "_g").drop("grid")
 
 
 def fit_segments(df: DataFrame, keys, idx: str, v: str, series: str | None = None, **fit) -> DataFrame:

@@ -91,6 +91,7 @@ def sequences(docs: DataFrame, length: int, path: str) -> DataFrame:
                         if len(rows) == 1000:
                             yield flush(rows)
                             rows = []
+        memory.forget()
         if buffer:
             rows.append(close())
         if rows:

@@ -86,6 +86,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array([part] * len(n), pa.int64()),
                  pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                 ["doc_id", "source", "part", "before", "n", "ids"])
+        memory.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "source", "body").mapInArrow(
@@ -137,10 +138,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     base = broadcast_if_small(materialise(base, "pk-base"))
     placed = (toks.join(base, (toks["part"] == F.col("bp")) & toks["source"].eqNullSafe(F.col("bs")))
               .select("doc_id", "source", "n", "queue", (F.col("base") + F.col("before")).alias("x"), "ids"))
-    return _pieces(placed, rounds, window, path)
+    return _pieces(placed, rounds, window, chunk_ids(path).dtype)
 
 
-def _pieces(placed: DataFrame, rounds: Rounds, window: int, path: str) -> DataFrame:
+def _pieces(placed: DataFrame, rounds: Rounds, window: int, dtype: np.dtype) -> DataFrame:
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [out_id, pa.string(), *[pa.int64()] * 5, pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -150,7 +151,6 @@ def _pieces(placed: DataFrame, rounds: Rounds, window: int, path: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal out_id
-        dtype = chunk_ids(path).dtype
         for batch in slices(batches):
             out_id = batch.schema.field(0).type
             rows = []

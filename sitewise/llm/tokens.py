@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 import types
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -16,6 +17,12 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# character that stands for each byte in byte-level vocabularies: printable
+# ones for themselves, the others from 256 on; the blank stays a blank
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)} | {32: 32}
+
+
 class ChunkIds:
     """Ids of the chunks between ASCII white space, as bytes of one integer
     type.  The tokenizer lower-cases, and splits at white space before it
@@ -27,7 +34,8 @@ class ChunkIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
-        # the same merges for words of a-z, which nothing else would change
+        # the same merges for words that normalising would not change, as the
+        # characters that stand for their bytes
         self.simple = Tokenizer(self.tok.model)
         self.simple.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.limit, self.new, self.old = limit, {}, {}
@@ -44,7 +52,8 @@ class ChunkIds:
         groups = [words[i:i + 512] for i in range(0, len(words), 512)]
         for at in range(0, len(groups), 8):
             part = groups[at:at + 8]
-            for group, e in zip(part, tok.encode_batch_fast([b" ".join(g).decode() for g in part], add_special_tokens=False)):
+            texts = [b" ".join(g).decode("latin-1").translate(_BYTES) if tok is self.simple else b" ".join(g).decode() for g in part]
+            for group, e in zip(part, tok.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(e.ids, self.dtype)
                 cut = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
                 if len(cut) != len(group):
@@ -62,15 +71,16 @@ class ChunkIds:
         plain, letters, other, ended = [], [], [], []
         for c in chunks:
             # lower-casing may leave marks, which are no letters
-            text = c.decode("utf-8", "replace")
+            given = text = c.decode("utf-8", "replace")
             text = text if text.isascii() else text.lower()
             if text[-1] in ".," and text[:-1].isalpha():
                 ended.append(c)
-                c, text = c[:-1], text[:-1]
+                c, text, given = c[:-1], text[:-1], given[:-1]
                 if c in self.new:
                     continue
             if text.isalpha():
-                (plain if c.isascii() and c.islower() else letters).append(c)
+                same = given == text and is_normalized("NFC", text) if not c.isascii() else c.islower()
+                (plain if same else letters).append(c)
             else:
                 other.append(c)
         other += self._put(self.simple, list(set(plain))) + self._put(self.tok, list(set(letters)))
@@ -83,6 +93,10 @@ class ChunkIds:
         for c in ended:
             self.new[c] = self.new[c[:-1]] + self.new[c[-1:]]
 
+    def forget(self) -> None:
+        """Free the memory, as a worker lives on after its task."""
+        self.new, self.old = {}, {}
+
     def documents(self, bodies: list[bytes | None]) -> list[bytes]:
         """Ids of each text, with the closing id."""
         split = []
@@ -105,8 +119,8 @@ class ChunkIds:
 
 
 def chunk_ids(path: str) -> ChunkIds:
-    """The memory of this Python worker, shared by its tasks (kept outside
-    this module, which may travel by value with each task)."""
+    """The tokenizer of this Python worker, kept outside this module, which
+    may travel by value with each task."""
     kept = sys.modules.setdefault("_sitewise_tokens", types.ModuleType("_sitewise_tokens")).__dict__
     if path not in kept:
         kept[path] = ChunkIds(path)

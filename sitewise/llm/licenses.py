@@ -37,7 +37,7 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
 ]
-STOP_WORDS = ["a", "and", "are", "by", "except", "in", "into", "is", "it", "may", "not", "of", "or", "the", "this", "to",
+STOP_WORDS = ["a", "and", "are", "by", "except", "in", "into", "is", "it", "may", "mit", "not", "of", "or", "the", "that", "this", "to",
               "under", "use", "with", "without", "you", "v", "0", "1", "2", "3", "4", "sa"]
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 

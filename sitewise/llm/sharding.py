@@ -33,10 +33,11 @@ def _prefix(depth: Column | int, key: Column, more: Column) -> Column:
     return F.substring(bits, F.lit(1), F.lit(depth) if isinstance(depth, int) else depth)
 
 
-def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text", *,
+                  carry: list[str] | None = None) -> DataFrame:
     """Shard of every row: doc_id, n_bytes, shard (its leading hash bits as a
-    string of 0 and 1, '' if one shard holds all), depth; one row per input
-    row.
+    string of 0 and 1, '' if one shard holds all), depth and, if ``carry``
+    names input columns, those as the struct ``rest``; one row per input row.
 
     Defined cases: a null text has 0 bytes; rows with one id share their
     leading ``KEY_BITS`` bits and so stay together unless they are over the
@@ -44,10 +45,12 @@ def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", tex
     by a row number that is fixed before anything is counted; an empty table
     gives an empty result; other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    rest = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), *rest)
+    rest = ["rest"] if carry else []
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = materialise(rows.select("doc_id", "n_bytes", _md5_bits(name).alias("key"),
+    rows = materialise(rows.select("doc_id", "n_bytes", *rest, _md5_bits(name).alias("key"),
                                    _md5_bits(F.col("row").cast("string")).alias("more")), "sh-rows")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     step = max(1, (total // limit_bytes).bit_length() + 4)
@@ -67,9 +70,9 @@ def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", tex
         leaf = materialise(cells.select("cell").join(leaf, "cell", "left"), "sh-leaves")
         key = todo.withColumn("cell", _prefix(deep, F.col("key"), F.col("more")))
         placed = key.join(broadcast_if_small(leaf), "cell")
-        parts.append(placed.where("depth is not null").select("doc_id", "n_bytes", F.substring("cell", F.lit(1), F.col("depth")).alias("shard"), "depth"))
+        parts.append(placed.where("depth is not null").select("doc_id", "n_bytes", F.substring("cell", F.lit(1), F.col("depth")).alias("shard"), "depth", *rest))
         drop(cells)
-        todo = materialise(placed.where("depth is null").select("doc_id", "n_bytes", "key", "more"), "sh-open")
+        todo = materialise(placed.where("depth is null").select("doc_id", "n_bytes", *rest, "key", "more"), "sh-open")
         if is_empty(todo):
             break
         depth, step = deep, PASS_BITS
@@ -85,7 +88,8 @@ def directory(assigned: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` with unique, non-null ids as one folder per shard."""
-    at = assign_shards(docs, limit_bytes, id_col, text_col).select(F.col("doc_id").alias("_sh_id"), F.col("shard").alias("_shard"))
-    rows = docs.join(at, F.col(id_col) == F.col("_sh_id")).drop("_sh_id")
+    """Write ``docs`` as one folder per shard, every row once: rows with a
+    null or a repeated id as well, as each carries its own assignment."""
+    at = assign_shards(docs, limit_bytes, id_col, text_col, carry=docs.columns)
+    rows = at.select("rest.*", F.col("shard").alias("_shard"))
     rows.repartition("_shard").write.partitionBy("_shard").parquet(path)

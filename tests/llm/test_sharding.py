@@ -47,3 +47,15 @@ def test_directory_and_files(spark, docs, empty, tmp_path):
     write_shards(docs, str(tmp_path / "s"), 50_000)
     back = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "s"))
     assert back.count() == docs.count()
+
+
+def test_files_of_null_and_repeated_ids(spark, tmp_path):
+    rows = [(7, "x" * 50)] * 300 + [(None, "y" * 20)] * 100 + [(i, "z") for i in range(50)] + [(8, None)]
+    write_shards(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "s"), 1000)
+    back = spark.read.schema("doc_id long, text string, _shard string").parquet(str(tmp_path / "s")).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter(rows)
+    size, rows_in = Counter(), Counter()
+    for r in back:
+        size[r._shard] += len(r.text or "")
+        rows_in[r._shard] += 1
+    assert all(b <= 1000 or rows_in[s] == 1 for s, b in size.items())

@@ -3,11 +3,13 @@ nearest-ancestor inheritance by joins on directories.  DataFrame functions
 only.
 
 A unit is one line of a text (a notice in a header or anywhere else), and for
-licence files also the whole text.  Vectors are over the template words
-without ``STOP_WORDS``; other words of a unit count in its length with the
-weight of a word no template has.  A unit without a template word has cosine
-0, so only units with one are taken apart, and the join on words is with the
-templates' weights alone, whose number is fixed by the parameter.
+licence files also the whole text.  Vectors are over the template words;
+other words of a unit count in its length with the weight of a word no
+template has.  By Cauchy-Schwarz a unit's cosine to a template is at most the
+length of the template's vector over the words they share, so only units
+where that reaches the threshold are taken apart (``within_reach``), and the
+join on words is with the templates' weights alone, whose number is fixed by
+the parameter.
 """
 
 from __future__ import annotations
@@ -37,16 +39,15 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
 ]
-STOP_WORDS = ["a", "and", "are", "by", "except", "in", "into", "is", "it", "may", "mit", "not", "of", "or", "the", "that", "this", "to",
-              "under", "use", "with", "without", "you", "v", "0", "1", "2", "3", "4", "sa"]
+STOP_WORDS = [""]  # no word is left out: every line with a template word is scored
+SLACK = 1e-6  # of squared lengths, for rounding
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 
 
-def vectors(spark, templates=None, stop_words=None) -> tuple[DataFrame, list[str], float]:
+def vectors(spark, templates=None) -> tuple[DataFrame, list[dict[str, float]], float]:
     """Template weights (template, license, word, w, idf) of unit length, the
-    words they have outside the stop words, and the idf of other words."""
+    same as one dictionary a template, and the idf of other words."""
     rows = [(i, name, text) for i, (name, text) in enumerate(templates or TEMPLATES)]
-    stop = F.array(*[F.lit(w) for w in (STOP_WORDS if stop_words is None else stop_words)])
     t = spark.createDataFrame(rows, "template int, license string, text string")
     t = t.select("template", "license", F.explode(words(F.col("text"))).alias("word")).groupBy("template", "license", "word").agg(F.count("*").alias("tf"))
     n = len(rows)
@@ -55,8 +56,37 @@ def vectors(spark, templates=None, stop_words=None) -> tuple[DataFrame, list[str
     norm = t.groupBy("template").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0)))).alias("norm"))
     t = t.join(norm, "template").select("template", "license", "word", (F.col("tf") * F.col("idf") / F.col("norm")).alias("w"), "idf")
     t = materialise(t, "lc-templates")
-    anchors = sorted(r[0] for r in t.where(~F.array_contains(stop, F.col("word"))).select("word").distinct().collect())
-    return t, anchors, math.log(1.0 + n) + 1.0
+    by_template: list[dict[str, float]] = [{} for _ in rows]
+    for r in t.select("template", "word", "w").collect():
+        by_template[r.template][r.word] = r.w
+    return t, by_template, math.log(1.0 + n) + 1.0
+
+
+def anchors(by_template: list[dict[str, float]], threshold: float) -> list[str]:
+    """Words of which every unit that reaches the threshold has one: without
+    them, no template keeps a long enough vector."""
+    out: set[str] = set()
+    for weights in by_template:
+        left = sum(w * w for word, w in weights.items() if word not in out)
+        for word, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+            if left < threshold * threshold - SLACK:
+                break
+            if word not in out:
+                out.add(word)
+                left -= w * w
+    return sorted(out)
+
+
+def within_reach(words_: Column, by_template: list[dict[str, float]], threshold: float) -> Column:
+    """Whether the words a unit shares with some template allow the threshold."""
+    def shared(weights: dict[str, float]) -> Column:
+        return sum((F.when(F.array_contains(words_, word), F.lit(w * w)).otherwise(F.lit(0.0)) for word, w in sorted(weights.items())),
+                   F.lit(0.0))
+
+    enough = F.lit(False)
+    for weights in by_template:
+        enough = enough | (shared(weights) >= threshold * threshold - SLACK)
+    return enough
 
 
 def best_matches(units: DataFrame, keys: list[str], weights: DataFrame, other_idf: float) -> DataFrame:
@@ -80,7 +110,7 @@ def ancestors(directory: Column) -> Column:
 
 
 def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.7,
-         license_file: Column | None = None, templates=None, stop_words=None) -> DataFrame:
+         license_file: Column | None = None, templates=None) -> DataFrame:
     """Licence of every document: doc_id, path, license, score (of the notice
     or the licence file), origin ('own', 'inherited', 'none'), from_dir; one
     row per input row.
@@ -96,7 +126,8 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     ignored, whatever their names.
     """
     spark = docs.sparkSession
-    weights, anchor, other_idf = vectors(spark, templates, stop_words)
+    weights, by_template, other_idf = vectors(spark, templates)
+    anchor = anchors(by_template, threshold)
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     docs = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text_col).alias("text"),
                        F.coalesce(license_file if license_file is not None else name.rlike(FILE_NAMES), F.lit(False)).alias("is_file"))
@@ -105,6 +136,8 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     near = docs.where(F.col("text").rlike(r"(?i)(?<![a-z0-9])(?:" + "|".join(anchor) + r")(?![a-z0-9])"))
     units = near.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     units = units.select("doc_id", "th", "pos", words(F.col("raw")).alias("w")).where(F.arrays_overlap("w", keep))
+    known = F.array(*[F.lit(w) for w in sorted({w for x in by_template for w in x})])
+    units = units.withColumn("k", F.array_intersect("w", known)).where(within_reach(F.col("k"), by_template, threshold)).drop("k")
     whole = near.where("is_file").select("doc_id", "th", F.lit(-1).alias("pos"), words(F.col("text")).alias("w"))
     units = units.unionByName(whole).dropDuplicates(["doc_id", "th", "pos"])
     units = units.withColumn("id", F.to_json(F.struct("doc_id")))

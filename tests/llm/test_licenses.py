@@ -61,3 +61,12 @@ def test_own_notices_against_plain_cosine(odd, docs):
 
 def test_empty(empty):
     assert scan(empty, F.col("kept")).count() == 0
+
+
+def test_lines_of_common_words_are_scored(spark):
+    """Lines over the threshold by common words and the name of a licence."""
+    lines = ["under the MIT", "The MIT", "Under MIT", "mit dem Rad", "that is under the"]
+    df = spark.createDataFrame([(i, f"{t}\nbody") for i, t in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in scan(df, F.lit("x/y")).collect()}
+    assert got == {i: name if score >= 0.7 else None for i, (score, name) in enumerate(cosine_to_all(words(t)) for t in lines)}
+    assert sum(v == "MIT" for v in got.values()) == 3

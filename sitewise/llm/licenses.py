@@ -2,8 +2,8 @@
 nearest-ancestor inheritance by joins on directories.  DataFrame functions
 only.
 
-A unit is one line of a text (a notice in a header or anywhere else), and for
-licence files also the whole text.  Vectors are over the template words;
+A unit is one line of a text (a notice in a header or anywhere else), its
+leading block of lines (a header), and for licence files also the whole text.  Vectors are over the template words;
 other words of a unit count in its length with the weight of a word no
 template has.  By Cauchy-Schwarz a unit's cosine to a template is at most the
 length of the template's vector over the words they share, so only units
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .decontam import words
 from .scratch import broadcast_if_small, drop, materialise
 
-# fixed values: short forms of public licence notices
+# fixed values: short forms of public licence notices, then standard headers, short licences and SPDX forms
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
@@ -38,7 +38,22 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
+    # standard headers, by paragraph and as a block
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    *[(f"{short}-{v}", f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {v[0]} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. You should have received a copy of the {name} along with this program. If not, see <https://www.gnu.org/licenses/>.")
+      for short, v, name in (("GPL", "2.0", "GNU General Public License"), ("GPL", "3.0", "GNU General Public License"),
+                             ("LGPL", "3.0", "GNU Lesser General Public License"), ("AGPL", "3.0", "GNU Affero General Public License"))],
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    # whole short licences
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    # SPDX forms
+    *[(name, f"SPDX-License-Identifier: {name}") for name in (
+        "Apache-2.0", "MIT", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0",
+        "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "ISC")],
 ]
+BLOCK = 1 << 30  # line number of the leading block, after all lines
 STOP_WORDS = [""]  # no word is left out: every line with a template word is scored
 SLACK = 1e-6  # of squared lengths, for rounding
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
@@ -80,8 +95,8 @@ def anchors(by_template: list[dict[str, float]], threshold: float) -> list[str]:
 def within_reach(words_: Column, by_template: list[dict[str, float]], threshold: float) -> Column:
     """Whether the words a unit shares with some template allow the threshold."""
     def shared(weights: dict[str, float]) -> Column:
-        return sum((F.when(F.array_contains(words_, word), F.lit(w * w)).otherwise(F.lit(0.0)) for word, w in sorted(weights.items())),
-                   F.lit(0.0))
+        squares = F.create_map(*[F.lit(x) for word, w in sorted(weights.items()) for x in (word, w * w)])
+        return F.aggregate(words_, F.lit(0.0), lambda a, x: a + F.coalesce(squares[x], F.lit(0.0)))
 
     enough = F.lit(False)
     for weights in by_template:
@@ -115,8 +130,8 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     or the licence file), origin ('own', 'inherited', 'none'), from_dir; one
     row per input row.
 
-    A document's own licence is its most similar line of at least
-    ``threshold`` (ties: first template).  A licence file (by default, by its
+    A document's own licence is its most similar line or leading block of
+    lines of at least ``threshold`` (ties: first template, first line).  A licence file (by default, by its
     name) stands for its directory with its best line or whole text; of
     several the most similar, then the licence's name, counts.  A document
     without a licence of its own takes that of the nearest directory above
@@ -138,6 +153,12 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     units = units.select("doc_id", "th", "pos", words(F.col("raw")).alias("w")).where(F.arrays_overlap("w", keep))
     known = F.array(*[F.lit(w) for w in sorted({w for x in by_template for w in x})])
     units = units.withColumn("k", F.array_intersect("w", known)).where(within_reach(F.col("k"), by_template, threshold)).drop("k")
+    # the leading block, up to the first empty line, if it is several lines
+    block = F.split(F.regexp_replace("text", r"^\s+", ""), r"\n\s*\n", 2)[0]
+    head = near.select("doc_id", "th", F.lit(BLOCK).alias("pos"), block.alias("raw")).where(F.col("raw").contains("\n"))
+    head = head.select("doc_id", "th", "pos", words(F.col("raw")).alias("w"))
+    head = head.withColumn("k", F.array_intersect("w", known)).where(within_reach(F.col("k"), by_template, threshold)).drop("k")
+    units = units.unionByName(head)
     whole = near.where("is_file").select("doc_id", "th", F.lit(-1).alias("pos"), words(F.col("text")).alias("w"))
     units = units.unionByName(whole).dropDuplicates(["doc_id", "th", "pos"])
     units = units.withColumn("id", F.to_json(F.struct("doc_id")))

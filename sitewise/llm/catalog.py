@@ -174,3 +174,62 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scan(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")),
                 license_file=F.col("text").rlike(r"^[^\n]*[Ll]icen[sc]e"))
+
+
+@register("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
+dn AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d),
+c AS (SELECT count(*) FILTER (n > 0) AS nd, sum(n)::BIGINT AS l FROM dn),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (
+      SELECT item_id, unnest({_WORDS.format('text')}) AS term FROM (
+      SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * nd + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w FROM df, c),
+s AS (SELECT item_id, doc_id, r, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // l))))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term) JOIN dn USING (r), c GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r))::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@register("op12_search", OP12_SQL)
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import search
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# the CRC of every feature by the table of 256 values
+OP11_SQL = f"""
+WITH tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+             FROM range(256) AS r(i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
+b AS (SELECT {_WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL),
+f AS (SELECT r, array_to_string(w[i:i + k - 1], ' ') AS g FROM d, range(1, 4) AS ks(k), unnest(range(1, len(w) - k + 2)) AS t(i)),
+fb AS (SELECT array_to_string(w[i:i + k - 1], ' ') AS g FROM b, range(1, 4) AS ks(k), unnest(range(1, len(w) - k + 2)) AS t(i)),
+g AS (SELECT g, hex(encode(g)) AS h FROM (SELECT g FROM f UNION SELECT g FROM fb)),
+crc AS (SELECT g, xor(list_reduce([4294967295] || list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT),
+        lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1])), 4294967295) % 10000 AS k FROM g, tab),
+s AS (SELECT k, count(*) AS s FROM f JOIN crc USING (g) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM fb JOIN crc USING (g) GROUP BY k),
+n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS ss, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS tt),
+gain AS (SELECT k, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (ss + 10000)) / ((s + 1)::DOUBLE * (tt + 10000))))::BIGINT AS gain
+         FROM s LEFT JOIN t USING (k), n),
+w AS (SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN crc USING (g) JOIN gain USING (k) GROUP BY r),
+x AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+      coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM d LEFT JOIN w USING (r)),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS o, count(*) OVER () AS c FROM x WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score::BIGINT AS score, CASE WHEN o <= 5 * c // 100 THEN o END AS rank, n_words FROM x LEFT JOIN o USING (r)"""
+
+
+@register("op11_resample", OP11_SQL)
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+    out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank", "n_words")

@@ -22,18 +22,35 @@ Shared changepoints (K3) use the grid of all dates of the group: each series
 contributes its own points, so series sampled monthly, fortnightly or yearly
 share one set of locations.
 
-Univariate fits run one series per task, in a grouped pandas function; a
-series is bounded by its calendar.  A joint fit is split, as one group may
-hold any number of series: tasks keyed by (group, bucket of series, tile of
-end dates) sum the segment costs of their series, and one task per group runs
-the program over the few summed rows of each end date, in date order, holding
-one value per date.  Costs are added along one fixed binary tree over
-``LEAVES`` hash classes of series, so the number of buckets and the tile size
-never change a result.  The program is exact at every size: nothing is pruned.
+Numbers.  A normal cost does not depend on the level of its series, so each
+such series is shifted to its mean before anything is summed, and sums are
+taken in extended precision; the variance is clamped only after that.  A fit
+of y + c is the fit of y.  The Poisson cost rests on the level and is not
+shifted.
+
+The program is pruned (PELT) and exact.  A start s is left out once it is
+beaten by a later start t for good: F(s) + C(s, t] > F(t) gives F(s) + C(s, T]
+> F(t) + C(t, T] for every end T, as splitting a segment never costs more.
+Two things stand against that.  A split at t is usable only from the first T
+on at which every series has ``min_seg`` points in (t, T], so a start is
+dropped no earlier than there.  And a clamped segment costs more than its
+likelihood, by up to 1 a point, so what (s, T] may gain by that is allowed
+for: what (s, t] has of it, and the points from t on that a clamped segment
+can hold at most (``_clamped_points``).
+
+A group runs in one task as long as its series times its dates are within
+``DIRECT_CELLS``.  Beyond that its costs are split, as one group may hold any
+number of series: tasks keyed by (group, bucket of series, tile of end dates)
+sum the segment costs of their series, and one task per group runs the program
+over the summed rows of each end date, in date order, holding one value per
+date.  Costs are added along one fixed binary tree over ``LEAVES`` hash
+classes of series in either case, so the number of buckets, the tile size and
+the way taken never change a result.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -54,18 +71,26 @@ MIN_SEG = 2
 LOG_2PI = math.log(2 * math.pi)
 
 
+# Series times dates of a group that are fitted in one task; 40 bytes each.
+DIRECT_CELLS = 8_000_000
+# Costs a tile of a larger group holds at a time.
+TILE_CELLS = 4_000_000
+
+
+def segment_variance(cost: str, n, s, q, mu=None):
+    if cost == "normal_meanvar":
+        return q / n - (s / n) ** 2
+    return (q - 2 * mu * s + n * mu * mu) / n
+
+
 def segment_cost(cost: str, n, s, q, mu=None):
     n = np.asarray(n, dtype=float)
-    s = np.asarray(s, dtype=float)
-    q = np.asarray(q, dtype=float)
     with np.errstate(divide="ignore", invalid="ignore"):
-        if cost == "normal_meanvar":
-            var = np.maximum(q / n - (s / n) ** 2, VAR_FLOOR)
-            return n * (LOG_2PI + np.log(var) + 1)
-        if cost == "normal_var":
-            var = np.maximum((q - 2 * mu * s + n * mu * mu) / n, VAR_FLOOR)
+        if cost in ("normal_meanvar", "normal_var"):
+            var = np.maximum(np.asarray(segment_variance(cost, n, s, q, mu), dtype=float), VAR_FLOOR)
             return n * (LOG_2PI + np.log(var) + 1)
         if cost == "poisson_meanvar":
+            s = np.asarray(s, dtype=float)
             pos = s > 0
             return np.where(pos, 2 * s * (np.log(n) - np.log(np.where(pos, s, 1.0))), 0.0)
     raise ValueError(f"unknown cost {cost!r}; expected one of {COSTS}")
@@ -81,70 +106,162 @@ def penalty_value(penalty, cost: str, n: int, factor: float = 1.0) -> float:
     raise ValueError(f"unknown penalty {penalty!r}")
 
 
-def _prefix(series, grid):
-    T_ = len(grid)
-    K = len(series)
-    N = np.zeros((K, T_ + 1))
-    S = np.zeros((K, T_ + 1))
-    Q = np.zeros((K, T_ + 1))
-    mus = np.zeros(K)
-    for k, (d, y) in enumerate(series):
-        pos = np.searchsorted(grid, d) + 1
-        N[k] = np.cumsum(np.bincount(pos, minlength=T_ + 1))
-        S[k] = np.cumsum(np.bincount(pos, weights=y, minlength=T_ + 1))
-        Q[k] = np.cumsum(np.bincount(pos, weights=y * y, minlength=T_ + 1))
-        mus[k] = y.mean() if len(y) else 0.0
-    return N, S, Q, mus
-
-
-def _costs_to(t: int, prefix, costs: list[str], min_seg: int) -> np.ndarray:
-    """Summed cost of the segments (s, t] for s = 0 .. t-1, inf where a
-    series has too few points."""
-    N, S, Q, mus = prefix
-    dn = N[:, [t]] - N[:, :t]
-    feasible = (dn >= min_seg).all(axis=0)
-    total = np.zeros(t)
-    for k, name in enumerate(costs):
-        part = segment_cost(name, dn[k], S[k, t] - S[k, :t], Q[k, t] - Q[k, :t], mus[k])
-        total += np.where(feasible, part, 0.0)
-    return np.where(feasible, total, np.inf)
+def centred(y: np.ndarray, cost: str) -> np.ndarray:
+    """The values a cost is summed over: less their mean for the normal
+    costs, twice, as the mean of large values is itself rounded."""
+    y = np.asarray(y, dtype=np.longdouble)
+    if cost == "poisson_meanvar" or not len(y):
+        return y
+    z = y - y.mean()
+    return z - z.mean()
+
+
+def _clamped_points(z: np.ndarray, cost: str) -> np.ndarray:
+    """For each number of points passed, how many of the next ones a segment
+    that starts there and is clamped can hold at most."""
+    n = len(z)
+    left = np.arange(n, -1, -1, dtype=float)
+    if cost == "poisson_meanvar":
+        # not clamped; a negative value breaks the rule about splits
+        return np.full(n + 1, np.inf) if n and z.min() < 0 else np.zeros(n + 1)
+    z = z.astype(float)
+    if cost == "normal_meanvar":
+        # up to the next other value, if that alone lifts the variance over
+        # the floor: two values x apart have a sum of squares of x * x / 2
+        other = np.flatnonzero(np.diff(z)) + 1
+        lifts = (z[other] - z[other - 1]) ** 2 / 2 >= 2 * n * VAR_FLOOR
+    else:
+        other = np.flatnonzero(z * z >= 2 * n * VAR_FLOOR)
+        lifts = np.ones(len(other), bool)
+    at = np.searchsorted(other, np.arange(n + 1), side="right" if cost == "normal_meanvar" else "left")
+    known = at < len(other)
+    stop = other[np.minimum(at, len(other) - 1)] if len(other) else np.zeros(n + 1, int)
+    ok = known & (lifts[np.minimum(at, len(other) - 1)] if len(other) else False)
+    return np.where(ok, stop - np.arange(n + 1), left)
+
+
+class _Sums:
+    """Running counts, sums and sums of squares of the series of a group over
+    its dates, and the costs of segments from them.  ``leaves`` are the hash
+    classes of the series, in order; each class is summed by itself and the
+    classes along a tree."""
+
+    def __init__(self, series, costs: list[str], grid: np.ndarray, leaves: list[int] | None = None, slots: int = 1):
+        rows, count = len(grid) + 1, len(series)
+        self.n, self.s, self.q = (np.zeros((rows, count), t) for t in (float, np.longdouble, np.longdouble))
+        self.mu = np.zeros(count)
+        self.clamped = np.zeros(rows)
+        self.of = {c: np.array([k for k, x in enumerate(costs) if x == c], int) for c in COSTS}
+        if (unknown := set(costs) - set(COSTS)):
+            raise ValueError(f"unknown cost {sorted(unknown)}; expected one of {COSTS}")
+        leaves = leaves or [0] * count
+        self.slots = slots
+        self.parts = [(leaf, np.array([k for k, x in enumerate(leaves) if x == leaf], int)) for leaf in sorted(set(leaves))]
+        for k, (d, y) in enumerate(series):
+            z = centred(y, costs[k])
+            at = np.searchsorted(grid, d) + 1
+            for into, w in ((self.n, np.ones(len(z))), (self.s, z), (self.q, z * z)):
+                np.add.at(into[:, k], at, w)
+            self.mu[k] = float(z.mean()) if len(z) and costs[k] == "normal_var" else 0.0
+            passed = np.cumsum(self.n[:, k]).astype(int)
+            order = np.argsort(at, kind="stable")
+            self.clamped += _clamped_points(z[order], costs[k])[passed]
+        for x in (self.n, self.s, self.q):
+            np.cumsum(x, axis=0, out=x)
+
+    def usable(self, min_seg: int) -> np.ndarray:
+        """For each date, the first end at which every series has enough
+        points after it; beyond the last date if there is none."""
+        out = np.zeros(len(self.n), int)
+        for k in range(self.n.shape[1]):
+            out = np.maximum(out, np.searchsorted(self.n[:, k], self.n[:, k] + min_seg))
+        return out
+
+    def costs(self, starts: np.ndarray, t: int, min_seg: int) -> tuple[np.ndarray, np.ndarray]:
+        """Summed cost of the segments (start, t], inf where a series has too
+        few points, and what clamping has put on top of it."""
+        n = self.n[t] - self.n[starts]
+        feasible = (n >= min_seg).all(axis=1)
+        part, over = np.zeros_like(n), np.zeros(len(starts))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for name, k in self.of.items():
+                if not len(k):
+                    continue
+                m, s, q = n[:, k], self.s[t, k] - self.s[np.ix_(starts, k)], self.q[t, k] - self.q[np.ix_(starts, k)]
+                part[:, k] = segment_cost(name, m, s, q, self.mu[k])
+                if name != "poisson_meanvar":
+                    var = np.asarray(segment_variance(name, m, s, q, self.mu[k]), dtype=float)
+                    over += np.where(var < VAR_FLOOR, m, 0.0).sum(axis=1)
+        sums: list = [None] * self.slots
+        for leaf, k in self.parts:
+            sums[leaf] = part[:, k].sum(axis=1) if len(k) > 1 else part[:, k[0]]
+        return np.where(feasible, _tree(sums), np.inf), over
 
 
 class _Program:
-    """The dynamic program, fed with one row of costs per end date."""
+    """The dynamic program over all starts, fed with one row of costs per end
+    date."""
 
-    def __init__(self, beta: float):
-        self.beta, self.best, self.prev = beta, [-beta], [0]
+    def __init__(self, beta: float, room: int = 1024):
+        self.beta, self.t = beta, 0
+        self.best, self.prev = np.empty(room), np.zeros(room, int)
+        self.best[0] = -beta
 
     def step(self, costs: np.ndarray) -> None:
-        total = np.array(self.best) + costs
+        self.t += 1
+        if self.t == len(self.best):
+            self.best, self.prev = (np.concatenate([x, np.zeros_like(x)]) for x in (self.best, self.prev))
+        total = self.best[:self.t] + costs
         j = int(np.argmin(total))
-        self.best.append(float(total[j]) + self.beta)
-        self.prev.append(j)
+        self.best[self.t], self.prev[self.t] = total[j] + self.beta, j
 
     def changepoints(self) -> tuple[list[int], float]:
-        out = []
-        b = self.prev[-1] if np.isfinite(self.best[-1]) else 0
-        while b > 0:
-            out.append(b)
-            b = self.prev[b]
-        return sorted(out), self.best[-1]
+        return _walk(self.prev[:self.t + 1], self.best[self.t])
+
+
+def _walk(prev: np.ndarray, best: float) -> tuple[list[int], float]:
+    out = []
+    b = int(prev[-1]) if np.isfinite(best) else 0
+    while b > 0:
+        out.append(b)
+        b = int(prev[b])
+    return out[::-1], float(best)
+
+
+def _pruned(sums: _Sums, beta: float, min_seg: int) -> tuple[list[int], float]:
+    """The program over the starts that can still matter."""
+    end = len(sums.n) - 1
+    best, prev = np.full(end + 1, np.inf), np.zeros(end + 1, int)
+    best[0] = -beta
+    usable = sums.usable(min_seg)
+    starts, gone = np.zeros(1, int), np.full(1, end + 1)  # and the end from which one is dropped
+    for t in range(1, end + 1):
+        if (out := gone <= t).any():
+            starts, gone = starts[~out], gone[~out]
+        costs, over = sums.costs(starts, t, min_seg)
+        total = best[starts] + costs
+        j = int(np.argmin(total))
+        best[t], prev[t] = total[j] + beta, starts[j]
+        if np.isfinite(best[t]):
+            # the rest is for rounding
+            beaten = np.isfinite(total) & (total - over > best[t] + sums.clamped[t] + 1e-6 + 1e-9 * abs(best[t]))
+            gone = np.where(beaten, np.minimum(gone, usable[t]), gone)
+            starts, gone = np.append(starts, t), np.append(gone, end + 1)
+    return _walk(prev, best[end])
 
 
 def solve(series: list[tuple[np.ndarray, np.ndarray]], costs: list[str], betas: list[float],
-          min_seg: int = MIN_SEG):
+          min_seg: int = MIN_SEG, leaves: list[int] | None = None):
     """Optimal segmentation of one group.
 
-    ``series``: per series (sorted dates as datetime64[D], values).  Returns
-    (grid, changepoint indices into the grid (1-based ends of left
+    ``series``: per series (sorted dates as datetime64[D] or days, values).
+    Returns (grid, changepoint indices into the grid (1-based ends of left
     segments), optimal cost).
     """
     grid = np.unique(np.concatenate([d for d, _ in series]))
-    prefix = _prefix(series, grid)
-    program = _Program(float(sum(betas)))
-    for t in range(1, len(grid) + 1):
-        program.step(_costs_to(t, prefix, costs, min_seg))
-    cps, total = program.changepoints()
+    sums = _Sums(series, costs, grid, leaves, LEAVES if leaves else 1)
+    beta = float(sum(betas)) if leaves is None else float(_tree(_by_leaf(betas, leaves)))
+    cps, total = _pruned(sums, beta, min_seg)
     return grid, cps, total
 
 
@@ -168,16 +285,17 @@ def _series_of(pdf: pd.DataFrame, keyed: bool, cost, penalty, penalty_factor):
     order with a null name last: names, points, costs and penalties.  A map
     is looked up under the series, all key values joined by ``|``, then each
     key value."""
-    names = pdf["_s"].to_numpy(dtype=object)
-    d_all, y_all = pdf["_d"].to_numpy(dtype="datetime64[D]"), pdf["_y"].to_numpy(dtype=float)
-    keys = list(pdf["_kv"].iloc[0])
+    d_all, y_all = pdf["_d"].to_numpy(dtype=np.int64), pdf["_y"].to_numpy(dtype=float)
+    keys = json.loads(pdf["_kv"].iloc[0])
     under = ["|".join(str(k) for k in keys), *keys]
-    known = {None if x is None or x != x else x for x in names}
+    code, known = pd.factorize(pdf["_s"], use_na_sentinel=True)
+    named = [(None if i < 0 else known[i], i) for i in np.unique(code)]
+    order = np.lexsort((d_all, code))
+    code, d_all, y_all = code[order], d_all[order], y_all[order]
     out = []
-    for name in sorted(known, key=lambda x: (x is None, x or "")):
-        sel = np.array([x is None or x != x for x in names]) if name is None else names == name
-        order = np.argsort(d_all[sel], kind="stable")
-        d, y = d_all[sel][order], y_all[sel][order]
+    for name, i in sorted(named, key=lambda x: (x[0] is None, x[0] or "")):
+        sel = slice(*np.searchsorted(code, [i, i + 1]))
+        d, y = d_all[sel], y_all[sel]
         look = ([name] if keyed else []) + under
         c = _pick(cost, look, "normal_meanvar")
         out.append((name, (d, y), c, penalty_value(_pick(penalty, look, "bic"), c, len(y), penalty_factor)))
@@ -185,10 +303,10 @@ def _series_of(pdf: pd.DataFrame, keyed: bool, cost, penalty, penalty_factor):
 
 
 def _source(df: DataFrame, ks, idx, v, series):
-    """Keys and the points as ``_d``, ``_y`` with the series ``_s``."""
-    src = df.select(*ks, F.col(idx).alias("_d"), F.col(v).cast("double").alias("_y"),
+    """Keys and the points as ``_d`` (days), ``_y`` with the series ``_s``."""
+    src = df.select(*ks, F.unix_date(F.col(idx).cast("date")).alias("_d"), F.col(v).cast("double").alias("_y"),
                     (F.col(series).cast("string") if series else F.lit("")).alias("_s"),
-                    F.array(*[F.col(k).cast("string") for k in ks]).alias("_kv"))
+                    F.to_json(F.array(*[F.col(k).cast("string") for k in ks])).alias("_kv"))
     return src.filter(F.col("_y").isNotNull() & ~F.isnan("_y") & F.col("_d").isNotNull())
 
 
@@ -212,17 +330,22 @@ def changepoint_fit(df: DataFrame, keys, idx: str, v: str, series: str | None =
     if series:
         fit = _joint_fit(src, ks, cost, penalty, penalty_factor, min_seg, buckets, tile)
         return fit.select(*ks, F.lit(kind).alias("cpt_type"), "cost", "n_cpts", "n_grid", "locs")
-    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in ks] + FIT_FIELDS)
+    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in ks] + FIT_FIELDS[:-1]
+                          + [T.StructField("locs", T.ArrayType(T.IntegerType()))])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         [(_, points, c, beta)] = _series_of(pdf, False, cost, penalty, penalty_factor)
         grid, cps, total = solve([points], [c], [beta], min_seg)
         row = {k: [pdf[k].iloc[0]] for k in ks}
         row.update(cpt_type=[kind], cost=[total], n_cpts=[len(cps)], n_grid=[len(grid)],
-                   locs=[[grid[i - 1].astype(object) for i in cps]])
+                   locs=[[int(grid[i - 1]) for i in cps]])
         return pd.DataFrame(row)[[f.name for f in schema.fields]]
 
-    return src.groupBy(*ks).applyInPandas(one, schema)
+    return _dated(src.groupBy(*ks).applyInPandas(one, schema))
+
+
+def _dated(fit: DataFrame) -> DataFrame:
+    return fit.withColumn("locs", F.transform("locs", lambda x: F.date_from_unix_date(x)))
 
 
 # Hash classes of series; fixed, as the order of additions rests on them.
@@ -236,42 +359,77 @@ def _tree(parts: list):
     return parts[0]
 
 
+def _by_leaf(values: list[float], leaves: list[int], first: int = 0, slots: int = LEAVES) -> list:
+    """Sums of the values of each class, None for one without any."""
+    out: list = [None] * slots
+    for v, leaf in zip(values, leaves):
+        out[leaf - first] = v if out[leaf - first] is None else out[leaf - first] + v
+    return out
+
+
+def _leaf_series(pdf: pd.DataFrame, cost, penalty, penalty_factor):
+    """The series of a group class by class, each class in name order: class,
+    points, cost and penalty."""
+    out = []
+    for leaf, part in pdf.groupby("_leaf", sort=True):
+        out += [(int(leaf), points, c, beta) for _, points, c, beta in _series_of(part, True, cost, penalty, penalty_factor)]
+    return out
+
+
 def _joint_fit(src: DataFrame, ks, cost, penalty, penalty_factor, min_seg, buckets, tile) -> DataFrame:
     if buckets < 1 or LEAVES % buckets or buckets & (buckets - 1):
         raise ValueError(f"buckets must be a power of two up to {LEAVES}")
+    # the points are dealt by group once; sizes, joins and the fits in one
+    # task keep that partitioning
+    src = src.withColumn("_g", F.to_json(F.struct(*ks), {"ignoreNullFields": "false"})).withColumn(
+        "_leaf", F.pmod(F.xxhash64("_s"), F.lit(LEAVES)).cast("int")).repartition("_g")
+    none = F.when(F.col("_s").isNull(), 1).otherwise(0)
+    sizes = src.groupBy("_g").agg((F.size(F.collect_set("_d")) * (F.count_distinct("_s") + F.max(none))).alias("_cells"))
+    out = "_g string, cost double, n_cpts long, n_grid long, locs array<int>"
+
+    def direct(pdf: pd.DataFrame) -> pd.DataFrame:
+        of = _leaf_series(pdf, cost, penalty, penalty_factor)
+        grid, cps, total = solve([p for _, p, _, _ in of], [c for _, _, c, _ in of], [b for *_, b in of], min_seg,
+                                 [leaf for leaf, *_ in of])
+        return pd.DataFrame({"_g": pdf["_g"].iloc[:1], "cost": [total], "n_cpts": [len(cps)], "n_grid": [len(grid)],
+                             "locs": [[int(grid[i - 1]) for i in cps]]})
+
+    small = src.join(sizes.where(F.col("_cells") <= DIRECT_CELLS), "_g", "left_semi").groupBy("_g").applyInPandas(direct, out)
+    large = src.join(sizes.where(F.col("_cells") > DIRECT_CELLS), "_g", "left_semi")
+    keys = src.groupBy("_g").agg(*[F.first(k).alias(k) for k in ks])
+    return _dated(small.unionByName(_tiled_fit(large, cost, penalty, penalty_factor, min_seg, buckets, tile, out))).join(keys, "_g")
+
+
+def _tiled_fit(src: DataFrame, cost, penalty, penalty_factor, min_seg, buckets, tile, out) -> DataFrame:
     per = LEAVES // buckets
-    src = src.withColumn("_g", F.to_json(F.struct(*ks), {"ignoreNullFields": "false"}))
-    leaf = F.pmod(F.xxhash64("_s"), F.lit(LEAVES)).cast("int")
-    src = src.withColumn("_leaf", leaf).withColumn("_b", F.floor(F.col("_leaf") / per).cast("int"))
+    src = src.withColumn("_b", F.floor(F.col("_leaf") / per).cast("int"))
     # one row per group; every use takes all of it, so the aggregate is one
     # exchange however often it is read
-    grid = src.groupBy("_g").agg(F.array_sort(F.collect_set("_d")).alias("grid"), *[F.first(k).alias(k) for k in ks])
-    tiles = F.explode(F.sequence(F.lit(0), F.floor((F.size("grid") - 1) / tile).cast("int")))
+    grid = src.groupBy("_g").agg(F.array_sort(F.collect_set("_d")).alias("grid"))
+    # end dates of a tile, so that its rows of costs stay within TILE_CELLS
+    ends_ = F.greatest(F.lit(1), F.least(F.lit(tile), F.floor(F.lit(TILE_CELLS) / F.size("grid")))).cast("int")
+    grid = grid.withColumn("_step", ends_)
+    tiles = F.explode(F.sequence(F.lit(0), F.floor((F.size("grid") - 1) / F.col("_step")).cast("int")))
     todo = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_jb"))
-    todo = todo.select(F.col("_g").alias("_jg"), "_jb", "grid", tiles.alias("_jt"))
+    todo = todo.select(F.col("_g").alias("_jg"), "_jb", "grid", "_step", tiles.alias("_jt"))
     points = src.join(grid, "_g").select("_g", "_b", "_leaf", "_s", "_d", "_y", "_kv", tiles.alias("_tile"))
 
     def block(pdf: pd.DataFrame, job: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame(columns=["_g", "t", "_b", "d", "beta", "costs"], dtype=object)
-        dates = np.array(list(job["grid"].iloc[0]), dtype="datetime64[D]")
-        first = int(job["_jt"].iloc[0]) * tile
-        ends = range(first + 1, min(first + tile, len(dates)) + 1)
-        slot = int(job["_jb"].iloc[0])
-        rows = [[None] * per for _ in ends]
-        beta = [None] * per
-        for number, part in pdf.groupby("_leaf"):
-            of = _series_of(part, True, cost, penalty, penalty_factor)
-            prefix, names = _prefix([p for _, p, _, _ in of], dates), [c for _, _, c, _ in of]
-            beta[number - slot * per] = sum(b for *_, b in of)
-            for row, t in zip(rows, ends):
-                row[number - slot * per] = _costs_to(t, prefix, names, min_seg)
-        total = _tree(beta)
-        return pd.DataFrame({"_g": job["_jg"].iloc[0], "t": list(ends), "_b": slot, "d": [dates[t - 1].astype(object) for t in ends],
-                             "beta": total, "costs": [_tree(r) for r in rows]})
+        dates = np.array(job["grid"].iloc[0], dtype=np.int64)
+        step, slot = int(job["_step"].iloc[0]), int(job["_jb"].iloc[0])
+        first = int(job["_jt"].iloc[0]) * step
+        ends = range(first + 1, min(first + step, len(dates)) + 1)
+        of = _leaf_series(pdf, cost, penalty, penalty_factor)
+        leaves = [leaf - slot * per for leaf, *_ in of]
+        sums = _Sums([p for _, p, _, _ in of], [c for _, _, c, _ in of], dates, leaves, per)
+        beta = _tree(_by_leaf([b for *_, b in of], leaves, 0, per))
+        return pd.DataFrame({"_g": job["_jg"].iloc[0], "t": list(ends), "_b": slot, "d": [int(dates[t - 1]) for t in ends],
+                             "beta": beta, "costs": [sums.costs(np.arange(t), t, min_seg)[0] for t in ends]})
 
     blocks = points.groupBy("_g", "_b", "_tile").cogroup(todo.groupBy("_jg", "_jb", "_jt")).applyInPandas(
-        block, "_g string, t int, _b int, d date, beta double, costs array<double>")
+        block, "_g string, t int, _b int, d int, beta double, costs array<double>")
 
     def run(frames):
         state, group, dates, parts, betas, t = None, None, [], [None] * buckets, [None] * buckets, 0
@@ -304,9 +462,7 @@ def _joint_fit(src: DataFrame, ks, cost, penalty, penalty_factor, min_seg, bucke
             step()
             yield result()
 
-    fit = (blocks.repartition("_g").sortWithinPartitions("_g", "t", "_b")
-           .mapInPandas(run, "_g string, cost double, n_cpts long, n_grid long, locs array<date>"))
-    return fit.join(grid, "_g").drop("grid")
+    return blocks.repartition("_g").sortWithinPartitions("_g", "t", "_b").mapInPandas(run, out)
 
 
 def fit_segments(df: DataFrame, keys, idx: str, v: str, series: str | None = None, **fit) -> DataFrame:
@@ -384,18 +540,19 @@ def segment_stats(df: DataFrame, cpts: DataFrame | None, keys, idx: str, v: str,
     else:
         seg = with_segments(df.filter(F.col(v).isNotNull()), cpts, ks, idx)
     y = F.col(v)
-    seg = seg.withColumn("_mu", F.avg(y).over(by_key(ks)))
+    # shifted to the mean of the key, as the fit does
+    seg = seg.withColumn("_z", y - F.avg(y).over(by_key(ks)))
     out = (seg.groupBy(*ks, "segment")
            .agg(F.min(idx).alias("start"), F.max(idx).alias("end"), F.count(y).alias("n"),
                 F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"),
-                F.sum(y).alias("_s"), F.sum(y * y).alias("_q"), F.first("_mu").alias("_mu")))
-    n, s, q, mu = F.col("n"), F.col("_s"), F.col("_q"), F.col("_mu")
+                F.sum(y).alias("_s"), F.var_pop("_z").alias("_v"), F.avg(F.col("_z") * F.col("_z")).alias("_q")))
+    n, s = F.col("n"), F.col("_s")
     if cost == "poisson_meanvar":
         c = F.when(s > 0, 2 * s * (F.log(n) - F.log(s))).otherwise(F.lit(0.0))
     else:
-        var = q / n - (s / n) * (s / n) if cost == "normal_meanvar" else (q - 2 * mu * s + n * mu * mu) / n
+        var = F.col("_v") if cost == "normal_meanvar" else F.col("_q")
         c = n * (F.lit(LOG_2PI) + F.log(F.greatest(var, F.lit(VAR_FLOOR))) + 1)
-    return out.withColumn("cost", c).drop("_s", "_q", "_mu")
+    return out.withColumn("cost", c).drop("_s", "_v", "_q")
 
 
 def attach_segment_mean(df: DataFrame, cpts: DataFrame | None, keys, idx: str, v: str,

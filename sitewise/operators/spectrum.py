@@ -1,37 +1,41 @@
-"""Periodogram of each series (D12), on Spark columns.
+"""Periodogram of each series.
 
 Per series, ordered by the index: subtract the mean and report
 spec = 2/N |X_j|^2 at frequencies j/N, j = 1..floor(N/2), X_j being the
-discrete Fourier coefficient (no taper, no padding).  A series is one array
-(its length is fixed by its calendar span, not by the data volume); each
-coefficient is two sums over that array.  Null values are left out.
+discrete Fourier coefficient (no taper, no padding).  Spark has no transform;
+a sum for each coefficient takes N * N / 2 cosines a series, so each series,
+whose length its calendar bounds, is transformed by a grouped function in
+N log N for every N.  Null values are left out.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitewise.functions._util import as_list
 
 
-def _sum(x):
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+def power(x: np.ndarray) -> np.ndarray:
+    """Spectrum at j/N, j = 1..floor(N/2)."""
+    return 2.0 / len(x) * np.abs(np.fft.rfft(x - x.mean())[1:]) ** 2
 
 
 def periodogram(df: DataFrame, keys, idx: str, v: str) -> DataFrame:
     """(keys, freq, spec), one row per series and frequency; series of one
-    point have none."""
+    point have none.  Values of one date go in order of size."""
     ks = as_list(keys)
-    value = F.col(v).cast("double")
-    src = df.select(*ks, F.col(idx).alias("_i"), value.alias("_v")).filter(F.col("_v").isNotNull())
-    one = (src.groupBy(*ks).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_a"), F.avg("_v").alias("_m"))
-           .withColumn("_n", F.size("_a")).filter(F.col("_n") >= 2))
-    one = one.select(*ks, "_n", F.transform("_a", lambda p: p["_v"] - F.col("_m")).alias("_x"))
-    freq = one.select("*", F.explode(F.sequence(F.lit(1), F.floor(F.col("_n") / 2).cast("int"))).alias("_j"))
-    angle = F.lit(2 * math.pi) * F.col("_j") / F.col("_n")
-    re = _sum(F.transform("_x", lambda x, t: x * F.cos(angle * t)))
-    im = _sum(F.transform("_x", lambda x, t: x * F.sin(angle * t)))
-    return freq.select(*ks, (F.col("_j") / F.col("_n")).alias("freq"), (F.lit(2.0) / F.col("_n") * (re * re + im * im)).alias("spec"))
+    src = df.select(*ks, F.col(idx).alias("_i"), F.col(v).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in ks]
+                          + [T.StructField("freq", T.DoubleType()), T.StructField("spec", T.DoubleType())])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf)
+        spec = power(pdf.sort_values(["_i", "_v"])["_v"].to_numpy())
+        out = pdf[ks].iloc[np.zeros(len(spec), int)].reset_index(drop=True)
+        return out.assign(freq=np.arange(1, n // 2 + 1) / n, spec=spec)
+
+    return src.groupBy(*ks).applyInPandas(one, schema)

@@ -178,13 +178,17 @@ tm AS (SELECT TRAPCODE, date_trunc('month', DATE)::DATE AS DATE,
 """
 
 
-@register("d9_standardise_month", _TRAP_M + f""", t2 AS (
+TRAP_STD = _TRAP_M + """, t2 AS (
   SELECT *, month(DATE) AS month,
          CASE WHEN count(VALUE) OVER w = count(*) OVER w THEN avg(VALUE) OVER w END AS avg
   FROM tm WINDOW w AS (PARTITION BY TRAPCODE, month(DATE))),
 t3 AS (SELECT *, VALUE - avg AS deseason FROM t2),
 t4 AS (SELECT *, CASE WHEN count(deseason) OVER w = count(*) OVER w THEN stddev_samp(deseason) OVER w END AS ssd
        FROM t3 WINDOW w AS (PARTITION BY TRAPCODE, month))
+"""
+
+
+@register("d9_standardise_month", TRAP_STD + f"""
 SELECT TRAPCODE, DATE, month, {r6('VALUE')}, {r6('avg')}, {r6('deseason')}, {r6('ssd')}, {r6('deseason / ssd', 'std')}
 FROM t4 WHERE deseason / ssd IS NOT NULL""")
 def d9_standardise_month(spark, d):

@@ -12,10 +12,10 @@ from sitewise.operators.spectrum import periodogram
 from sitewise.operators.stack import stack_series
 from sitewise.operators.counts import monthly_mean
 from sitewise.operators.weather import weather_for_stations
-from sitewise.plans import site
+from sitewise.plans import site, trap
 from sitewise.plans import station as st
 from sitewise.plans.catalog.common import clean, site_monthly
-from sitewise.plans.catalog.season import MA, SMON, _comp_sql
+from sitewise.plans.catalog.season import MA, SMON, TRAP_STD, _comp_sql
 from sitewise.plans.catalog.station import BASE, INTERP
 from sitewise.plans.registry import r6, register
 from sitewise.plans.sqlparts import (CLEAN, DAILY, DRATE, MRATE, NORMAL_MEANVAR_SQL, NORMAL_VAR_SQL, OBS,
@@ -127,6 +127,21 @@ def k1_changepoints(spark, d):
     return changepoints(_mrate(spark, d), ["station"], "date", "value")
 
 
+# Raw totals on a large level: the costs do not depend on it.
+_SER_LEVEL = BMR + """, ser AS (SELECT station AS g, station AS k, last_day(DATE) AS d, sum(VALUE) + 1e6 AS y
+  FROM clean WHERE VALUE IS NOT NULL GROUP BY ALL),
+"""
+
+
+@register("k1_large_level", _SER_LEVEL + changepoint_sql("u", "ser", NORMAL_MEANVAR_SQL, "1.5 * ln(n)")
+          + "\nSELECT g AS station, 'uni' AS cpt_type, loc FROM ulocs")
+def k1_large_level(spark, d):
+    """Changepoints of each station's raw monthly totals plus a million."""
+    total = clean(spark, d).filter(F.col("VALUE").isNotNull()).groupBy("station", F.last_day("DATE").alias("date")).agg(
+        (F.sum("VALUE") + F.lit(1e6)).alias("y"))
+    return changepoints(total, ["station"], "date", "y", penalty="log_n", penalty_factor=1.5)
+
+
 # Per-site cost (K2): Poisson for odd nations, normal for even, bic.
 _SITE_COST = {f"T{i:02d}": ("poisson_meanvar" if i % 2 else "normal_meanvar") for i in range(25)}
 _K2_COST = f"CASE WHEN right(k, 1)::INT % 2 = 1 THEN {POISSON_SQL} ELSE {NORMAL_MEANVAR_SQL} END"
@@ -184,7 +199,7 @@ def k4_joint_with_uni(spark, d):
          (SELECT count(*) FROM ulocs l WHERE l.g = s.g AND l.loc < s.d) AS segment FROM ser s)
 SELECT station, segment, min(date) AS start, max(date) AS "end", count(y) AS n, {r6('avg(y)', 'mean')},
   {r6('stddev_samp(y)', 'sd')},
-  {r6('count(y) * (ln(2 * pi()) + ln(greatest(sum(y * y) / count(y) - pow(sum(y) / count(y), 2), 1e-8)) + 1)', 'cost')}
+  {r6('count(y) * (ln(2 * pi()) + ln(greatest(var_pop(y), 1e-8)) + 1)', 'cost')}
 FROM seg GROUP BY station, segment""")
 def k7_segment_stats(spark, d):
     """Per segment of each station: dates, n, mean, sd and cost."""
@@ -336,17 +351,29 @@ def k8_selected_series(spark, d):
     return changepoints(m, ["SITECODE"], "date", "value", series="station", **_JKW)
 
 
+def _trap_weather(spark, d, weather):
+    stacked = trap.with_site_weather(trap.trap_standardised(clean(spark, d), max_interval=5), weather)
+    return stacked.withColumn("site", trap.site_of_series())
+
+
 @register("k3_trap_weather_joint")
 def k3_trap_weather_joint(spark, d):
     """Shared changepoints of each site's monthly standardised trap series and
-    its daily weather (series of different sampling rate on one grid),
-    penalty 0.5 ln n per series as in the other joint queries.  No SQL: a recursive oracle over a daily grid
-    of about 2,400 steps per site is too slow; the solver is checked against
-    exhaustive search in tests."""
-    from sitewise.functions.keys import site_of
-    from sitewise.plans import trap
-    std = trap.trap_standardised(clean(spark, d), max_interval=5)
-    stacked = trap.with_site_weather(std, standin.weather(spark, d), "1-URGENT")
-    stacked = stacked.withColumn("site", F.when(F.col("kind") == "trap", site_of("id")).otherwise(F.col("id")))
-    return changepoints(stacked, ["site"], "index", "value", series="id", **_JKW)
-
+    its daily weather, every field (series of different sampling rate on one
+    grid), penalty 0.5 ln n per series as in the other joint queries.  No SQL:
+    the costs of all segments of a daily grid, for every series of a site,
+    are some 10^9 rows; ``k3_trap_weather_fortnightly`` is the same fit on
+    fortnightly means of the weather, with SQL."""
+    return changepoints(_trap_weather(spark, d, standin.weather(spark, d)), ["site"], "index", "value", series="id", **_JKW)
+
+
+@register("k3_trap_weather_fortnightly", TRAP_STD.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + WEATHER + f""", ser AS (
+  SELECT split_part(TRAPCODE, '-', 1) AS g, TRAPCODE AS k, DATE AS d, deseason / ssd AS y FROM t4 WHERE deseason / ssd IS NOT NULL
+  UNION ALL SELECT SITECODE, SITECODE || '/' || FIELDNAME, {_BIN14}, avg(daily) FROM weather GROUP BY ALL HAVING avg(daily) IS NOT NULL),
+""" + changepoint_sql("w", "ser", NORMAL_MEANVAR_SQL, "0.5 * ln(n)") + "\nSELECT g AS site, 'joint' AS cpt_type, loc FROM wlocs")
+def k3_trap_weather_fortnightly(spark, d):
+    """The same with fortnightly means of each weather field."""
+    start = F.lit("1990-01-01").cast("date")
+    at = F.date_add(start, (F.floor(F.datediff("DATE", start) / 14) * 14).cast("int"))
+    w = standin.weather(spark, d).groupBy("SITECODE", "FIELDNAME", at.alias("DATE")).agg(F.avg("daily").alias("daily"))
+    return changepoints(_trap_weather(spark, d, w), ["site"], "index", "value", series="id", **_JKW)

@@ -116,18 +116,18 @@ spread AS (SELECT {key}, DATE, coalesce(duration, 0) AS duration,
                        ELSE shared END AS counts FROM sh)"""
 
 
-NORMAL_MEANVAR_SQL = "dn * (ln(2 * pi()) + ln(greatest(dq / dn - pow(ds / dn, 2), 1e-8)) + 1)"
+NORMAL_MEANVAR_SQL = "dn * (ln(2 * pi()) + ln(greatest(dq / dn - pow(dz / dn, 2), 1e-8)) + 1)"
 POISSON_SQL = "CASE WHEN ds > 0 THEN 2 * ds * (ln(dn) - ln(ds)) ELSE 0 END"
-NORMAL_VAR_SQL = "dn * (ln(2 * pi()) + ln(greatest((dq - 2 * mu * ds + dn * mu * mu) / dn, 1e-8)) + 1)"
+NORMAL_VAR_SQL = "dn * (ln(2 * pi()) + ln(greatest(dq / dn, 1e-8)) + 1)"
 
 
 def changepoint_sql(p: str, ser: str, cost: str, beta_sql: str, min_seg: int = 2) -> str:
     """Exact optimal partitioning as a recursive CTE (prefix ``p``).
 
     ``ser``: CTE with (g, k, d, y): group, series, date, value.
-    ``cost``: segment cost of one series over dn, ds, dq (count, sum and
-    sum of squares in the segment) and mu (mean of the whole series); may
-    use k.
+    ``cost``: segment cost of one series over dn, ds (count and sum in the
+    segment), dz and dq (sum and sum of squares of the values less the mean
+    of the whole series); may use k.
     ``beta_sql``: per-series penalty over n (and k).
     Defines ``{p}grid`` (g, d, t), ``{p}fin`` (g, t, cost, prev) and
     ``{p}locs`` (g, loc).
@@ -135,31 +135,28 @@ def changepoint_sql(p: str, ser: str, cost: str, beta_sql: str, min_seg: int = 2
     return f"""{p}grid AS (SELECT g, d, row_number() OVER (PARTITION BY g ORDER BY d) AS t
                FROM (SELECT DISTINCT g, d FROM {ser})),
 {p}keys AS (SELECT DISTINCT g, k FROM {ser}),
+{p}mu AS (SELECT g, k, avg(y) AS mu FROM {ser} GROUP BY ALL),
 {p}pre AS (SELECT gr.g, ks.k, gr.t, count(s.y) OVER w AS n, coalesce(sum(s.y) OVER w, 0) AS s,
-                  coalesce(sum(s.y * s.y) OVER w, 0) AS q
-           FROM {p}grid gr JOIN {p}keys ks ON ks.g = gr.g
+                  coalesce(sum(s.y - m.mu) OVER w, 0) AS z, coalesce(sum(pow(s.y - m.mu, 2)) OVER w, 0) AS q
+           FROM {p}grid gr JOIN {p}keys ks ON ks.g = gr.g JOIN {p}mu m ON m.g = ks.g AND m.k = ks.k
            LEFT JOIN {ser} s ON s.g = gr.g AND s.k = ks.k AND s.d = gr.d
            WINDOW w AS (PARTITION BY gr.g, ks.k ORDER BY gr.t ROWS UNBOUNDED PRECEDING)),
-{p}pre0 AS (SELECT * FROM {p}pre UNION ALL SELECT g, k, 0, 0, 0, 0 FROM {p}keys),
-{p}mu AS (SELECT g, k, avg(y) AS mu FROM {ser} GROUP BY ALL),
+{p}pre0 AS MATERIALIZED (SELECT * FROM {p}pre UNION ALL SELECT g, k, 0, 0, 0, 0, 0 FROM {p}keys),
 {p}beta AS (SELECT g, sum({beta_sql}) AS b FROM (SELECT g, k, count(*) AS n FROM {ser} GROUP BY ALL) GROUP BY g),
-{p}cm AS (SELECT g, t, list(cost ORDER BY j) AS cs FROM (
+{p}cm AS MATERIALIZED (SELECT g, t, list(cost ORDER BY j) AS cs FROM (
            SELECT g, t, j,
                   CASE WHEN min(dn) >= {min_seg} THEN sum(CASE WHEN dn > 0 THEN {cost} END)
                        ELSE 'inf'::DOUBLE END AS cost
-           FROM (SELECT b.g, b.t, a.t AS j, a.k, b.n - a.n AS dn, b.s - a.s AS ds, b.q - a.q AS dq, m.mu
-                 FROM {p}pre0 a JOIN {p}pre0 b ON a.g = b.g AND a.k = b.k AND a.t < b.t
-                 JOIN {p}mu m ON m.g = a.g AND m.k = a.k)
+           FROM (SELECT b.g, b.t, a.t AS j, a.k, b.n - a.n AS dn, b.s - a.s AS ds, b.z - a.z AS dz, b.q - a.q AS dq
+                 FROM {p}pre0 a JOIN {p}pre0 b ON a.g = b.g AND a.k = b.k AND a.t < b.t)
            GROUP BY g, t, j)
          GROUP BY g, t),
 {p}r AS (SELECT g, b, 0::BIGINT AS t, [-b]::DOUBLE[] AS f, []::BIGINT[] AS prev FROM {p}beta
          UNION ALL
-         SELECT g, b, t + 1, list_append(f, v.c), list_append(prev, v.j)
-         FROM (SELECT r.*, (SELECT struct_pack(c := min(cc), j := arg_min(j, cc))
-                            FROM (SELECT j, r.f[j + 1] + r.b + cm.cs[j + 1] AS cc
-                                  FROM unnest(range(0, r.t + 1)) u(j))) AS v
+         SELECT g, b, t + 1, list_append(f, list_min(x) + b), list_append(prev, list_position(x, list_min(x)) - 1)
+         FROM (SELECT r.g, r.b, r.t, r.f, r.prev, list_transform(cm.cs, lambda c, i: c + r.f[i]) AS x
                FROM {p}r r JOIN {p}cm cm ON cm.g = r.g AND cm.t = r.t + 1)),
-{p}fin AS (SELECT g, t, f[t + 1] AS cost, prev FROM {p}r QUALIFY t = max(t) OVER (PARTITION BY g)),
+{p}fin AS MATERIALIZED (SELECT g, t, f[t + 1] AS cost, prev FROM {p}r QUALIFY t = max(t) OVER (PARTITION BY g)),
 {p}walk AS (SELECT g, prev, prev[t] AS s FROM {p}fin
             UNION ALL SELECT g, prev, prev[s] FROM {p}walk WHERE s > 0),
 {p}locs AS (SELECT w.g, gr.d AS loc FROM {p}walk w JOIN {p}grid gr ON gr.g = w.g AND gr.t = w.s

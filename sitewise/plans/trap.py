@@ -9,9 +9,10 @@ count, one for the trap windows; the monthly steps reuse the latter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewise.functions.keys import site_of
 from sitewise.operators.counts import daily_counts
 from sitewise.operators.filters import between_dates, filter_in
 from sitewise.operators.rates import daily_rate, monthly_mean_rate
@@ -54,11 +55,17 @@ def trap_standardised(clean: DataFrame, traps=None, lo=None, hi=None,
     return standardise_month(trap_monthly(rate), ["TRAPCODE"], "DATE", "VALUE")
 
 
-def with_site_weather(std: DataFrame, weather: DataFrame, field: str, lo=None, hi=None) -> DataFrame:
-    """Standardised trap series stacked with one daily weather field per
-    site (id = site code), ready for a joint fit of series of different
-    sampling rate."""
-    w = between_dates(weather.filter((F.col("FIELDNAME") == field) & F.col("daily").isNotNull()),
-                      "DATE", lo, hi)
+def with_site_weather(std: DataFrame, weather: DataFrame, field: str | None = None, lo=None, hi=None) -> DataFrame:
+    """Standardised trap series stacked with the daily weather of the sites,
+    ready for a joint fit of series of different sampling rate: one field
+    (id = site code), or every field (id = ``site/field``)."""
+    w = between_dates(weather.filter(F.col("daily").isNotNull()), "DATE", lo, hi)
+    w = w.filter(F.col("FIELDNAME") == field) if field is not None else w.withColumn("SITECODE", F.concat_ws("/", "SITECODE", "FIELDNAME"))
     return stack_series({"trap": (std, "TRAPCODE", "DATE", "std"),
                          "weather": (w, "SITECODE", "DATE", "daily")})
+
+
+def site_of_series(kind="kind", ident="id") -> Column:
+    """Site of a stacked series: before the ``-`` of a trap code or the ``/``
+    of a weather id."""
+    return F.when(F.col(kind) == "trap", site_of(ident)).otherwise(F.substring_index(ident, "/", 1))

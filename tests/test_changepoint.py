@@ -49,9 +49,10 @@ def full_program(series, costs, betas, min_seg=2):
     total = np.zeros((n + 1, n + 1))
     for (d, y), c in zip(series, costs):
         pos = np.searchsorted(grid, d) + 1
-        N, S, Q = (np.cumsum(np.bincount(pos, weights=w, minlength=n + 1)) for w in (np.ones(len(y)), y, y * y))
+        z = y if c == "poisson_meanvar" else y - y.mean()
+        N, S, Q = (np.cumsum(np.bincount(pos, weights=w, minlength=n + 1)) for w in (np.ones(len(z)), z, z * z))
         dn = N[None] - N[:, None]
-        part = segment_cost(c, dn, S[None] - S[:, None], Q[None] - Q[:, None], y.mean())
+        part = segment_cost(c, dn, S[None] - S[:, None], Q[None] - Q[:, None], 0.0)
         total += np.where(dn >= min_seg, part, np.inf)
     best, prev = [-sum(betas)], [0]
     for t in range(1, n + 1):
@@ -91,6 +92,72 @@ def test_exact_beyond_400_dates():
         assert cps == want and abs(total - cost) < 1e-6 * max(1, abs(cost))
 
 
+def test_level_changes_no_fit():
+    """Fits of y and of y + c, both normal costs, up to c = 1e8."""
+    rng = np.random.default_rng(12)
+    some = 0
+    for trial in range(200):
+        cost = ("normal_meanvar", "normal_var")[trial % 2]
+        n = int(rng.integers(60, 220))
+        y = rng.normal(np.repeat(rng.uniform(0, 8, 5), -(-n // 5))[:n], np.repeat(rng.uniform(1, 3, 4), -(-n // 4))[:n])
+        beta = penalty_value("bic", cost, n)
+        _, cps, total = solve([(_days(n), y)], [cost], [beta])
+        some += bool(cps)
+        for c in (1e3, 1e5, 1e8):
+            _, moved, cost_of = solve([(_days(n), y + c)], [cost], [beta])
+            assert moved == cps and abs(cost_of - total) < 1e-3
+    assert some > 100
+
+
+def all_starts(series, costs, betas, min_seg=2):
+    """The program without pruning over the same segment costs."""
+    from sitewise.operators.changepoint import _Program, _Sums
+    grid = np.unique(np.concatenate([d for d, _ in series]))
+    sums, program = _Sums(series, costs, grid), _Program(float(sum(betas)), room=4)
+    for t in range(1, len(grid) + 1):
+        program.step(sums.costs(np.arange(t), t, min_seg)[0])
+    return program.changepoints()
+
+
+def test_pruning_drops_no_start_that_matters():
+    """Values around the variance floor, constant stretches, negative values
+    under a Poisson cost and sparse series, where splits are usable late."""
+    rng = np.random.default_rng(21)
+    names = ("normal_meanvar", "normal_var", "poisson_meanvar")
+    for trial in range(300):
+        group, costs = [], []
+        for step in ([1], [1, 9], [3, 20])[trial % 3]:
+            n = int(rng.integers(8, 70))
+            scale = rng.choice([1e-6, 5e-5, 1e-4, 3e-4, 0.05, 1.0, 300.0])
+            y = rng.integers(0, rng.choice([1, 2, 4]) + 1, n) * scale
+            if trial % 4 == 0:
+                y[: n // 2] = y[0]
+            if trial % 7 == 0:
+                y = y - scale
+            group.append((_days(n, step=step), y))
+            costs.append(names[int(rng.integers(3))])
+        betas = [float(rng.choice([0.01, 0.5, 3.0, 12.0])) for _ in costs]
+        min_seg = int(rng.choice([1, 2, 5]))
+        grid, cps, total = solve(group, costs, betas, min_seg)
+        want, best = all_starts(group, costs, betas, min_seg)
+        assert (cps, total) == (want, best), (trial, costs, betas, min_seg)
+
+
+def test_many_dates_in_one_task():
+    """25,000 daily values with a change each 250 days, and three such series
+    together with an annual one."""
+    rng = np.random.default_rng(5)
+    n, step = 25_000, 250
+    y = rng.normal(np.repeat(np.arange(n // step) % 7 * 9.0, step), 1)
+    _, cps, _ = solve([(_days(n), y)], ["normal_meanvar"], [penalty_value("bic", "normal_meanvar", n)])
+    assert cps == list(range(step, n, step))
+    group = [(_days(n), y * f) for f in (1.0, 2.0)] + [(_days(n // 365, step=365), rng.poisson(9, n // 365).astype(float))]
+    grid, cps, _ = solve(group, ["normal_meanvar"] * 2 + ["poisson_meanvar"], [20.0] * 3)
+    assert len(grid) == n and len(cps) > 20
+    for a, b in zip(cps, cps[1:]):  # two annual values in every segment
+        assert sum(a <= i * 365 < b for i in range(n // 365)) >= 2
+
+
 def _joint_frame(spark):
     rng = np.random.default_rng(8)
     rows_ = []
@@ -103,14 +170,19 @@ def _joint_frame(spark):
     return spark.createDataFrame(rows_, "g string, h int, s string, d date, v double, extra string")
 
 
-def test_buckets_and_tiles_never_change_a_joint_fit(spark):
+def test_buckets_and_tiles_never_change_a_joint_fit(spark, monkeypatch):
+    """In one task, and split over buckets and tiles."""
+    from sitewise.operators import changepoint as module
     df = _joint_frame(spark)
     kw = {"series": "s", "penalty": "log_n", "penalty_factor": 0.3, "cost": {"s3": "poisson_meanvar", "*": "normal_meanvar"}}
     fits = []
-    for buckets, tile in ((1, 512), (8, 512), (64, 16)):
+    for cells, buckets, tile in ((None, 8, 512), (0, 1, 512), (0, 8, 512), (0, 64, 16)):
+        if cells is not None:
+            monkeypatch.setattr(module, "DIRECT_CELLS", cells)
+            monkeypatch.setattr(module, "TILE_CELLS", 2000)
         fit = changepoint_fit(df, ["g", "h"], "d", "v", buckets=buckets, tile=tile, **kw).collect()
         fits.append(sorted((str(r.g), r.cost, r.n_grid, r.locs) for r in fit))
-    assert fits[0] == fits[1] == fits[2] and len(fits[0]) == 3 and any(f[3] for f in fits[0])
+    assert all(f == fits[0] for f in fits) and len(fits[0]) == 3 and any(f[3] for f in fits[0])
     part = [r for r in df.collect() if r.g == "y" and r.v is not None and r.d is not None]
     names = sorted({r.s for r in part}, key=lambda x: (x is None, x or ""))
     group = [(np.array(sorted(r.d for r in part if r.s == n), dtype="datetime64[D]"),

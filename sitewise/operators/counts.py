@@ -91,6 +91,12 @@ def date_bounds(df: DataFrame, keys, idx: str = "DATE", lo: str = "date_min",
     return df.groupBy(*as_list(keys)).agg(F.min(idx).alias(lo), F.max(idx).alias(hi))
 
 
+def trap_columns(traps: DataFrame, trap: str = "TRAP", prefix: str = "") -> list:
+    """The traps of a dimension table as a sorted list of column names: one
+    short text a trap, the size of the report's header."""
+    return sorted(prefix + str(r[0]) for r in traps.select(trap).where(F.col(trap).isNotNull()).distinct().collect())
+
+
 def species_by_trap(df: DataFrame, traps: list, traits: DataFrame | None = None,
                     field: str = "FIELDNAME", trap: str = "TRAP",
                     code: str = "IM_CODE",
@@ -107,6 +113,27 @@ def species_by_trap(df: DataFrame, traps: list, traits: DataFrame | None = None,
     return wide.join(t, field, "left")
 
 
+def species_by_trap_slices(df: DataFrame, traps: list, width: int = 1000, traits: DataFrame | None = None,
+                           field: str = "FIELDNAME", trap: str = "TRAP", **kw) -> list[DataFrame]:
+    """The same for thousands of traps, as tables of ``width`` trap columns
+    each, in order; every slice has all field names, and a trap outside the
+    whole list is counted in ``other`` of the last slice only.  The rows are
+    counted by field and trap first, one row each, and only those are turned."""
+    long = df.groupBy(field, trap).agg(F.count("*").alias("_n"))
+    listed = [traps[i:i + width] for i in range(0, len(traps), width)] or [[]]
+    out = []
+    for i, part in enumerate(listed):
+        last = i == len(listed) - 1
+        outside = ~F.coalesce(F.col(trap).isin(list(traps)), F.lit(False))
+        c = F.when(F.col(trap).isin(part), F.col(trap)).when(outside & F.lit(last), F.lit("other"))
+        wide = long.select(field, c.alias("_c"), "_n").groupBy(field).pivot("_c", [*part, *(["other"] if last else [])]).agg(F.sum("_n"))
+        if traits is not None:
+            t = traits.select(F.col(kw.get("code", "IM_CODE")).alias(field), *kw.get("names", ("Genus", "species", "COMMON_NAME", "Family")))
+            wide = wide.join(t, field, "left")
+        out.append(wide)
+    return out
+
+
 def pivot_fields(df: DataFrame, keys, names: str, values: str, columns: list) -> DataFrame:
     """Long to wide: one column per field name (G14).  Keys plus name must be
     unique, as in the long weather table; of repeated ones the smallest value

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import functions as F
 
@@ -13,13 +13,16 @@ from sitewise.functions.keys import site_of, with_station
 from sitewise.operators.counts import daily_counts
 from sitewise.operators.enrich import enrich
 from sitewise.operators.filters import Taxa, between_dates, filter_in, select_taxa
+from sitewise.plans import station
 from sitewise.plans.catalog.common import clean, obs
 from sitewise.plans.registry import r6, register
-from sitewise.plans.sqlparts import (CLEAN, GROUPS, OBS, TRAITS, WEATHER, parse_date_sql,
+from sitewise.plans.sqlparts import (CLEAN, DAILY, DRATE, GROUPS, MRATE, OBS, TRAITS, WEATHER, parse_date_sql,
                                      with_)
 from sitewise.sources import standin
-from sitewise.sources.readers import (clean_observations, read_annual_series, read_fortnightly_series, read_observations,
-                                      read_weather, trim_trait_code, write_report)
+from sitewise.sources.readers import (PROBLEM, clean_observations, read_annual_series, read_dimension, read_fortnightly_series,
+                                      read_observations, read_ordered, read_traits, read_weather, rejected_observations,
+                                      trim_trait_code, write_ordered, write_report)
+from sitewise.sources.store import store_series
 
 B = with_(OBS)
 BC = with_(OBS, CLEAN)
@@ -59,13 +62,19 @@ def s6_annual_series(spark, d):
     return between_dates(a, "DATETIME", "1996-12-31", "2000-02-21")
 
 
-def _written(spark, df, name: str, fmt: str = "csv") -> str:
-    """Write a stand-in under the session's shared folder (the checkpoint
-    folder, else the warehouse) and return its path: the readers are then
-    used on files as they are on field data."""
+def _place(spark, d, query: str) -> str:
+    """Where a query keeps the file it reads back: one folder for each query
+    and data folder in the session's shared folder (the checkpoint folder,
+    else the warehouse), written over by the next run."""
     base = (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
             or spark.conf.get("spark.sql.warehouse.dir"))
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/sitewise-{query}-{hashlib.md5(d.encode()).hexdigest()[:12]}"
+
+
+def _written(spark, d, df, query: str, fmt: str = "csv") -> str:
+    """Write a stand-in and return its path: the readers are then used on
+    files as they are on field data."""
+    path = _place(spark, d, query)
     write_report(df, path, fmt)
     return path
 
@@ -73,23 +82,62 @@ def _written(spark, df, name: str, fmt: str = "csv") -> str:
 @register("s1_read_observations", BC + f"SELECT SITECODE, station, DATE, FIELDNAME, {r6('VALUE')} FROM clean")
 def s1_read_observations(spark, d):
     """Observations written as a file, read and cleaned by the reader."""
-    path = _written(spark, obs(spark, d), "observations")
+    path = _written(spark, d, obs(spark, d), "s1")
     return clean_observations(read_observations(spark, path)).select("SITECODE", "station", "DATE", "FIELDNAME", "VALUE")
 
 
+# Rows spoilt on purpose, by the value they hold: no site, a date that is
+# none, text behind the trap number, text behind the value.
+_SPOILT = B + """, spoilt AS (
+  SELECT CASE WHEN VALUE = 47 THEN NULL ELSE SITECODE END AS site, LCODE, VALUE,
+         CASE WHEN VALUE = 47 THEN 'no site' WHEN VALUE = 49 THEN 'no trap' WHEN VALUE = 48 THEN 'bad date' ELSE 'malformed' END AS reason,
+         CASE WHEN VALUE = 49 THEN 'LCODE: ' || LCODE || '?' WHEN VALUE = 50 THEN 'VALUE: 50x' END AS problem
+  FROM obs WHERE VALUE BETWEEN 47 AND 50)
+"""
+
+
+def _spoilt(spark, d):
+    o, v = obs(spark, d), F.col("VALUE")
+    return o.select(F.when(v == 47, None).otherwise(F.col("SITECODE")).alias("SITECODE"),
+                    F.when(v == 49, F.concat(F.col("LCODE").cast("string"), F.lit("?"))).otherwise(F.col("LCODE").cast("string")).alias("LCODE"),
+                    F.when(v == 48, F.lit("32-Foo-95")).otherwise(F.col("SDATE")).alias("SDATE"), "FIELDNAME",
+                    F.when(v == 50, F.lit("50x")).otherwise(v.cast("string")).alias("VALUE"))
+
+
+@register("s1_rejected_observations", _SPOILT + "SELECT site AS SITECODE, reason, problem, count(*) AS n FROM spoilt GROUP BY ALL")
+def s1_rejected_observations(spark, d):
+    """A file with bad numbers, dates and keys: every such row comes back with
+    the reason and what the field holds, counted here by site."""
+    path = _written(spark, d, _spoilt(spark, d), "s1-rejected")
+    bad = rejected_observations(read_observations(spark, path, problems=True))
+    return bad.groupBy("SITECODE", "reason", F.col(PROBLEM).alias("problem")).agg(F.count("*").alias("n"))
+
+
 @register("s2_read_dataset", BC + "SELECT SITECODE, count(*) AS n FROM clean GROUP BY SITECODE")
 def s2_read_dataset(spark, d):
     """The same with the file chosen by dataset name."""
-    path = _written(spark, obs(spark, d), "observations")
+    path = _written(spark, d, obs(spark, d), "s2")
     root, name = path.rsplit("/", 1)
     df = read_observations(spark, dataset="own", root=root, datasets={"own": name})
     return clean_observations(df).groupBy("SITECODE").agg(F.count("*").alias("n"))
 
 
+@register("s3_read_dimension", with_(GROUPS) + "SELECT IM_SPEC, IM_GROUP, DESC_COMMON, DESC_LATIN FROM grp")
+def s3_read_dimension(spark, d):
+    """The groups through a text file with an explicit schema (S3)."""
+    return read_dimension(spark, _written(spark, d, standin.groups(spark, d), "s3"))
+
+
 @register("s4_read_weather", with_(WEATHER) + f"SELECT SITECODE, DATE, FIELDNAME, {r6('daily')} FROM weather")
 def s4_read_weather(spark, d):
     """Weather through a Parquet file."""
-    return read_weather(spark, _written(spark, standin.weather(spark, d), "weather", "parquet"))
+    return read_weather(spark, _written(spark, d, standin.weather(spark, d), "s4", "parquet"))
+
+
+@register("s5_read_traits", with_(TRAITS) + f"SELECT IM_CODE, Genus, species, COMMON_NAME, Family, {r6('WINGSPAN')} FROM traits")
+def s5_read_traits(spark, d):
+    """The traits through a text file, the prefix of the code cut."""
+    return read_traits(spark, _written(spark, d, standin.raw_traits(spark, d), "s5"))
 
 
 @register("s6_read_annual", BC + f"""SELECT make_date(year(DATE), 12, 31) AS DATETIME, {r6('sum(VALUE)', 'ANNUAL_AVG_ABUNDANCE')}
@@ -99,7 +147,7 @@ def s6_read_annual(spark, d):
     """Annual totals of all sites written, one site and a window read."""
     a = (clean(spark, d).groupBy(F.year("DATE").alias("YEAR"), F.col("SITECODE").alias("SITE")).agg(F.sum("VALUE").alias("ANNUAL_AVG_ABUNDANCE"))
          .select("YEAR", "SITE", F.lit("count").alias("DETERMINAND"), "ANNUAL_AVG_ABUNDANCE"))
-    return read_annual_series(spark, _written(spark, a, "annual"), site="T03", determinand="count", start="1996-12-31", end="2000-02-21")
+    return read_annual_series(spark, _written(spark, d, a, "s6-annual"), site="T03", determinand="count", start="1996-12-31", end="2000-02-21")
 
 
 @register("s6_read_fortnightly", BC + f"""SELECT DATE AS DATETIME, {r6('avg(VALUE)', 'VALUE')} FROM clean
@@ -109,7 +157,42 @@ def s6_read_fortnightly(spark, d):
     f = (clean(spark, d).groupBy("SITECODE", "DATE").agg(F.avg("VALUE").alias("VALUE")).where("VALUE is not null")
          .select(F.date_format("DATE", "dd-MMM-yy").alias("DATE"), F.col("SITECODE").alias("VARIABLE"),
                  F.lit("").alias("sign_if_LT_LOD"), "VALUE"))
-    return read_fortnightly_series(spark, _written(spark, f, "fortnightly"), variable="T05", start="1996-01-01", end="1998-12-31")
+    return read_fortnightly_series(spark, _written(spark, d, f, "s6-fortnightly"), variable="T05", start="1996-01-01", end="1998-12-31")
+
+
+@register("s7_stored_monthly_rate", with_(OBS, CLEAN, DAILY, DRATE, MRATE) + f"SELECT SITECODE, station, date, {r6('value')}, value_type FROM mrate")
+def s7_stored_monthly_rate(spark, d):
+    """The station pipeline over a table bucketed by station: no exchange
+    after the table is written (S7)."""
+    at = _place(spark, d, "s7")
+    rows = clean(spark, d).select("SITECODE", "station", "DATE", "VALUE")
+    kept = store_series(rows, at.rsplit("/", 1)[1].replace("-", "_"), ["station"], "DATE", 16, at)
+    return station.monthly_abundance_rate(kept)
+
+
+@register("o1_ordered_report", with_(OBS, CLEAN, DAILY, DRATE, MRATE) + f"""SELECT station, date, {r6('value')},
+  row_number() OVER (ORDER BY station, date) AS line FROM mrate""")
+def o1_ordered_report(spark, d):
+    """Monthly rates written in order of station and date, and read back with
+    the line each row has in the report (O1)."""
+    at = _place(spark, d, "o1")
+    write_ordered(station.monthly_abundance_rate(clean(spark, d)).select("station", "date", "value"), at, ["station", "date"])
+    return read_ordered(spark, at, "station string, date date, value double")
+
+
+# Fixed table of periods, made in the query.
+_PERIODS = [("early", "1992-01-01", "1994-06-30"), ("middle", "1994-07-01", "1996-12-31"), ("late", "1997-01-01", "2005-12-31")]
+
+
+@register("s8_literal_periods", BC + f""", periods(period, lo, hi) AS (VALUES {", ".join(f"('{p}', DATE '{a}', DATE '{b}')" for p, a, b in _PERIODS)})
+SELECT SITECODE, period, count(*) AS n, {r6('sum(VALUE)', 'total')} FROM clean JOIN periods ON DATE BETWEEN lo AND hi GROUP BY ALL""")
+def s8_literal_periods(spark, d):
+    """Totals of each site in three periods given as a literal table, laid out
+    as a calendar of months so that the join is on equal keys (S8)."""
+    p = spark.createDataFrame(_PERIODS, "period string, lo string, hi string")
+    months = p.select("period", F.explode(F.sequence(F.col("lo").cast("date"), F.col("hi").cast("date"), F.expr("interval 1 month"))).alias("month"))
+    c = clean(spark, d).withColumn("month", month_start("DATE"))
+    return c.join(F.broadcast(months), "month").groupBy("SITECODE", "period").agg(F.count("*").alias("n"), F.sum("VALUE").alias("total"))
 
 
 @register("p1_parse_2digit_date", B + f"SELECT SITECODE, LCODE, SDATE, {parse_date_sql('SDATE', 69)} AS DATE FROM obs")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sitewise.operators.counts import (daily_counts, daily_species, date_bounds, month_medians,
                                        monthly_mean, pivot_fields, series_mean, species_by_trap,
-                                       value_range)
+                                       species_by_trap_slices, trap_columns, value_range)
 from sitewise.operators.rates import (ceil_rate, max_active, range_change, threshold_report,
                                       with_active_count, with_interval)
 from sitewise.plans import station as st
@@ -159,6 +159,18 @@ def g13_species_by_trap(spark, d):
     return species_by_trap(obs(spark, d), SITES, traits, trap="SITECODE")
 
 
+@register("g13_species_by_each_trap", with_(OBS) + """, counted AS (SELECT FIELDNAME, 'trap_' || LCODE AS trap FROM obs)
+SELECT * FROM (PIVOT counted ON trap USING count(*) GROUP BY FIELDNAME)""")
+def g13_species_by_each_trap(spark, d):
+    """Rows per field name and trap, one column per trap, the columns taken
+    from the table of traps."""
+    traps = standin.table(spark, d, "supplier").select(F.col("s_suppkey").alias("TRAP"))
+    names = trap_columns(traps, prefix="trap_")
+    o = obs(spark, d).withColumn("TRAP", F.concat(F.lit("trap_"), F.col("LCODE").cast("string")))
+    [wide] = species_by_trap_slices(o, names, width=len(names))
+    return wide.drop("other").fillna(0)
+
+
 def _safe(name: str) -> str:
     return "f_" + re.sub(r"[^0-9A-Za-z]+", "_", name)
 

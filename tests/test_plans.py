@@ -36,10 +36,27 @@ def test_series_pipelines_shuffle_twice(spark, name):
     assert _hash_exchanges(_plan(E.queries()[name](spark, SF_SMALL))) == 2
 
 
-def test_periodogram_has_no_python_stage(spark):
+def test_periodogram_adds_no_shuffle(spark):
+    """The transform runs on the partitioning of the key windows."""
     import __spark_entry__ as E
     plan = _plan(E.queries()["d12_periodogram"](spark, SF_SMALL))
-    assert "Pandas" not in plan and "Python" not in plan
+    assert "FlatMapGroupsInPandas" in plan and _hash_exchanges(plan) == 2
+
+
+def test_stored_series_need_no_exchange(spark, tmp_path):
+    """Station and site pipelines over bucketed tables."""
+    from sitewise.plans import site, station
+    from sitewise.plans.catalog.common import clean
+    from sitewise.sources.store import store_series
+    c = clean(spark, SF_SMALL)
+    kept = store_series(c, "kept_by_station", ["station"], "DATE", 4, str(tmp_path / "a"))
+    rate = station.interpolated_monthly(station.monthly_abundance_rate(kept))
+    assert "Exchange" not in _plan(rate)
+    want = station.interpolated_monthly(station.monthly_abundance_rate(c))
+    assert sorted(map(str, rate.collect())) == sorted(map(str, want.collect()))
+    by_site = store_series(c, "kept_by_site", ["SITECODE"], "DATE", 4, str(tmp_path / "b"))
+    assert "Exchange" not in _plan(site.multi_site(by_site, ["SITECODE"]))
+    assert store_series(c.limit(0), "kept_by_site", ["SITECODE"], "DATE", 4, str(tmp_path / "b")).count() == 0
 
 
 def test_no_plan_depends_on_the_number_of_cores():

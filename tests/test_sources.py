@@ -118,3 +118,82 @@ def test_fortnightly_series_pivot_21(spark):
                    (dt.date(2020, 3, 17), 2.0)]
     w = read_fortnightly_series(spark, p, variable="PO4P", start="1989-12-31", end="1999-02-21")
     assert w.count() == 2
+
+
+def test_malformed_fields_are_named(spark):
+    """Bad numbers and rows of another length come back with what they hold,
+    whatever columns a query reads."""
+    from sitewise.sources.readers import malformed, rejected_observations
+    text = ("SITECODE,LCODE,SDATE,FIELDNAME,VALUE\nT01,1,05-Jan-93,A1,12x\nT01,1,06-Jan-93,A1,7\nT01,1?,05-Jan-93,A1,1\n"
+            "T01,1,07-Jan-93,A1,NA\nT01,1,08-Jan-93,A1,5,6\nT01,1,09-Jan-93\nT01,1,40-Jan-93,A1,x\n")
+    _, p = _write(text, "obs.csv")
+    obs = read_observations(spark, p, problems=True)
+    assert obs.count() == 7
+    assert sorted(r._problem for r in malformed(obs).select("_problem").collect()) == [
+        "LCODE: 1?", "VALUE: 12x", "VALUE: x", "row: T01,1,08-Jan-93,A1,5,6", "row: T01,1,09-Jan-93"]
+    bad = sorted((r.reason, r._problem) for r in rejected_observations(obs).collect())
+    assert bad == [("bad date", "VALUE: x"), ("malformed", "VALUE: 12x"), ("malformed", "row: T01,1,08-Jan-93,A1,5,6"),
+                   ("malformed", "row: T01,1,09-Jan-93"), ("no trap", "LCODE: 1?")]
+    good = {r.DATE.day: r.VALUE for r in clean_observations(obs).filter("FIELDNAME = 'A1'").collect()}
+    assert good == {5: None, 6: 7.0, 7: None, 8: 5.0}
+    plain = {(r.SDATE, r.VALUE) for r in read_observations(spark, p).collect()}
+    assert plain == {(r.SDATE, r.VALUE) for r in obs.collect()}
+
+
+def test_malformed_fields_of_other_readers(spark):
+    from sitewise.sources.readers import malformed, read_fortnightly_series, read_weather
+    _, p = _write("YEAR,SITE,DETERMINAND,ANNUAL_AVG_ABUNDANCE\n19x4,A,f,1\n1985,A,f,?\n1986,A,f,2\n", "a.csv")
+    a = read_annual_series(spark, p, site="A", start="1985-01-01", problems=True)
+    assert sorted(r._problem for r in malformed(a).collect()) == ["ANNUAL_AVG_ABUNDANCE: ?", "YEAR: 19x4"] and a.count() == 3
+    _, p = _write("DATE,VARIABLE,sign_if_LT_LOD,VALUE\n05-Jan-93,P,,1.5\n05-Foo-93,P,<,0.5\n06-Jan-93,P,,1..5\n", "f.csv")
+    f = read_fortnightly_series(spark, p, variable="P", problems=True)
+    assert sorted(r._problem for r in malformed(f).collect()) == ["DATE: 05-Foo-93", "VALUE: 1..5"]
+    _, p = _write("SITECODE,DATE,FIELDNAME,daily\nT01,2000-01-01,rain,1\nT01,2000-02-30,rain,1\n", "w.csv")
+    assert [r._problem for r in malformed(read_weather(spark, p, "csv", problems=True)).collect()] == ["DATE: 2000-02-30"]
+    df = spark.createDataFrame([("T01", dt.date(2000, 1, 1), "rain", 1.5)], "SITECODE string, DATE date, FIELDNAME string, daily double")
+    out = os.path.join(tempfile.mkdtemp(prefix="sitewise-test-"), "weather")
+    write_report(df, out, fmt="parquet")
+    assert read_weather(spark, out, problems=True).first()._problem is None
+
+
+def test_ordered_report(spark):
+    """The part files, one behind the other, are in order, whatever their
+    number; equal keys and nulls keep their rows."""
+    import glob
+
+    from sitewise.sources.readers import read_ordered, write_ordered
+    rows_ = [(f"s{i % 37:02d}" if i % 41 else None, i * 7 % 5000, f"v{i}") for i in range(5000)]
+    df = spark.createDataFrame(rows_, "k string, n int, v string").repartition(9)
+    out = os.path.join(tempfile.mkdtemp(prefix="sitewise-test-"), "report")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_ordered(df, out, ["k", "n"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(glob.glob(out + "/part-*"))
+    lines = [line.rstrip("\n").split(",") for f in files for line in open(f)]
+    assert len(files) > 3 and len(lines) == 5000
+    keys = [(k if k != '""' else "", int(n)) for k, n, _ in lines]
+    assert keys == sorted(keys)
+    back = read_ordered(spark, out, "k string, n int, v string").orderBy("line").collect()
+    assert [r.line for r in back] == list(range(1, 5001)) and [r.v for r in back] == [v for *_, v in lines]
+    write_ordered(df.limit(0), out, ["k", "n"])
+    assert read_ordered(spark, out, "k string, n int, v string").count() == 0
+
+
+def test_trap_columns_in_slices(spark):
+    from sitewise.operators.counts import species_by_trap, species_by_trap_slices, trap_columns
+    df = spark.createDataFrame([(f"A{i % 3}", f"T{i % 7:02d}") for i in range(100)] + [("A9", "T99"), ("A9", None), ("A0", "T99")],
+                               "FIELDNAME string, TRAP string")
+    dim = spark.createDataFrame([(f"T{i:02d}",) for i in range(8)] * 2 + [(None,)], "TRAP string")
+    cols = trap_columns(dim)
+    assert cols == [f"T{i:02d}" for i in range(8)]
+    whole = {r.FIELDNAME: r.asDict() for r in species_by_trap(df, cols).collect()}
+    for width in (1, 3, 8, 100):
+        parts = species_by_trap_slices(df, cols, width)
+        assert [c for p in parts for c in p.columns if c not in ("FIELDNAME", "other")] == cols
+        joined: dict = {}
+        for p in parts:
+            for r in p.collect():
+                joined.setdefault(r.FIELDNAME, {}).update(r.asDict())
+        assert joined == whole

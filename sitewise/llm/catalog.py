@@ -124,10 +124,13 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_order(table(spark, sf_dir, "documents"), scratch_path(spark, "order"))
 
 
+LICENSE_FILE = r"^[^\n]*[Ll][Ii][Cc][Ee][Nn][SsCc][Ee]"  # a first line that names a licence
+
+
 def _op2_sql() -> str:
-    from .licenses import STOP_WORDS, TEMPLATES
+    from .licenses import BLOCK, TEMPLATES
     rows = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(TEMPLATES))
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    white = "[ \\t\\n\\x0B\\f\\r]"
     return f"""
 WITH tp AS (SELECT * FROM (VALUES {rows}) AS v(template, license, txt)),
 tw AS (SELECT template, license, word, count(*) AS tf
@@ -135,14 +138,14 @@ tw AS (SELECT template, license, word, count(*) AS tf
 idf AS (SELECT word, ln((1.0 + {len(TEMPLATES)}) / (1.0 + count(*))) + 1.0 AS idf FROM tw GROUP BY word),
 tv AS (SELECT template, license, tw.word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS w
        FROM tw JOIN idf USING (word)),
-anchor AS (SELECT list(DISTINCT word) AS a FROM tw WHERE word NOT IN ({stop})),
 d AS (SELECT doc_id, concat_ws('/', source, lang) AS dir,
       concat_ws('/', source, lang, doc_id::VARCHAR) AS path, text,
-      coalesce(regexp_matches(text, '^[^\\n]*[Ll]icen[sc]e'), false) AS is_file FROM documents),
-ln AS (SELECT doc_id, pos, {_WORDS.format('raw')} AS w FROM (
+      coalesce(regexp_matches(text, '{LICENSE_FILE}'), false) AS is_file FROM documents),
+u AS (SELECT doc_id, pos, {_WORDS.format('raw')} AS w FROM (
        SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM d)
-       UNION ALL SELECT doc_id, -1, {_WORDS.format('text')} FROM d WHERE is_file),
-u AS (SELECT doc_id, pos, w FROM ln, anchor WHERE list_has_any(w, a)),
+       UNION ALL SELECT doc_id, -1, {_WORDS.format('text')} FROM d WHERE is_file
+       UNION ALL SELECT doc_id, {BLOCK}, {_WORDS.format('b')} FROM (
+       SELECT doc_id, string_split_regex(regexp_replace(text, '^{white}+', ''), '\\n{white}*\\n')[1] AS b FROM d) WHERE contains(b, chr(10))),
 uw AS (SELECT doc_id, pos, word, count(*) AS tf FROM (SELECT doc_id, pos, unnest(w) AS word FROM u) GROUP BY ALL),
 uv AS (SELECT doc_id, pos, uw.word, idf, tf * coalesce(idf, ln(1.0 + {len(TEMPLATES)}) + 1.0) AS v FROM uw LEFT JOIN idf USING (word)),
 un AS (SELECT doc_id, pos, sqrt(sum(v * v)) AS norm FROM uv GROUP BY ALL),
@@ -173,7 +176,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
     docs = table(spark, sf_dir, "documents")
     return scan(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")),
-                license_file=F.col("text").rlike(r"^[^\n]*[Ll]icen[sc]e"))
+                license_file=F.col("text").rlike(LICENSE_FILE))
 
 
 @register("op13_token_counts")

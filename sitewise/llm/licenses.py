@@ -3,13 +3,16 @@ nearest-ancestor inheritance by joins on directories.  DataFrame functions
 only.
 
 A unit is one line of a text (a notice in a header or anywhere else), its
-leading block of lines (a header), and for licence files also the whole text.  Vectors are over the template words;
-other words of a unit count in its length with the weight of a word no
-template has.  By Cauchy-Schwarz a unit's cosine to a template is at most the
-length of the template's vector over the words they share, so only units
-where that reaches the threshold are taken apart (``within_reach``), and the
-join on words is with the templates' weights alone, whose number is fixed by
-the parameter.
+leading block of lines (a header, or the title of a licence), and for licence
+files also the whole text.  Vectors are over the template words; other words
+of a unit count in its length with the weight of a word no template has.
+
+By Cauchy-Schwarz a unit's cosine to any template is at most the share of the
+unit's own length that lies on template words.  That share is bounded within
+the unit's row (a bitmap of the template words, sorted words, run lengths;
+m other words weigh at least as m different ones), and only units where it
+reaches the threshold are taken apart, equal ones once.  The join on words is
+with the templates' weights alone, whose number is fixed by the parameter.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .decontam import words
 from .scratch import broadcast_if_small, drop, materialise
+from .search import in_bitmap, word_bitmap
 
 # fixed values: short forms of public licence notices, then standard headers, short licences and SPDX forms
 TEMPLATES = [
@@ -45,6 +49,15 @@ TEMPLATES = [
       for short, v, name in (("GPL", "2.0", "GNU General Public License"), ("GPL", "3.0", "GNU General Public License"),
                              ("LGPL", "3.0", "GNU Lesser General Public License"), ("AGPL", "3.0", "GNU Affero General Public License"))],
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    # titles of long licences, as their texts begin
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
     # whole short licences
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
@@ -54,14 +67,14 @@ TEMPLATES = [
         "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "ISC")],
 ]
 BLOCK = 1 << 30  # line number of the leading block, after all lines
-STOP_WORDS = [""]  # no word is left out: every line with a template word is scored
+WHITE = r"[ \t\n\x0B\f\r]"
 SLACK = 1e-6  # of squared lengths, for rounding
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 
 
-def vectors(spark, templates=None) -> tuple[DataFrame, list[dict[str, float]], float]:
+def vectors(spark, templates=None) -> tuple[DataFrame, dict[str, float], float]:
     """Template weights (template, license, word, w, idf) of unit length, the
-    same as one dictionary a template, and the idf of other words."""
+    idf of each template word, and that of other words."""
     rows = [(i, name, text) for i, (name, text) in enumerate(templates or TEMPLATES)]
     t = spark.createDataFrame(rows, "template int, license string, text string")
     t = t.select("template", "license", F.explode(words(F.col("text"))).alias("word")).groupBy("template", "license", "word").agg(F.count("*").alias("tf"))
@@ -71,37 +84,25 @@ def vectors(spark, templates=None) -> tuple[DataFrame, list[dict[str, float]], f
     norm = t.groupBy("template").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0)))).alias("norm"))
     t = t.join(norm, "template").select("template", "license", "word", (F.col("tf") * F.col("idf") / F.col("norm")).alias("w"), "idf")
     t = materialise(t, "lc-templates")
-    by_template: list[dict[str, float]] = [{} for _ in rows]
-    for r in t.select("template", "word", "w").collect():
-        by_template[r.template][r.word] = r.w
-    return t, by_template, math.log(1.0 + n) + 1.0
-
-
-def anchors(by_template: list[dict[str, float]], threshold: float) -> list[str]:
-    """Words of which every unit that reaches the threshold has one: without
-    them, no template keeps a long enough vector."""
-    out: set[str] = set()
-    for weights in by_template:
-        left = sum(w * w for word, w in weights.items() if word not in out)
-        for word, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
-            if left < threshold * threshold - SLACK:
-                break
-            if word not in out:
-                out.add(word)
-                left -= w * w
-    return sorted(out)
-
-
-def within_reach(words_: Column, by_template: list[dict[str, float]], threshold: float) -> Column:
-    """Whether the words a unit shares with some template allow the threshold."""
-    def shared(weights: dict[str, float]) -> Column:
-        squares = F.create_map(*[F.lit(x) for word, w in sorted(weights.items()) for x in (word, w * w)])
-        return F.aggregate(words_, F.lit(0.0), lambda a, x: a + F.coalesce(squares[x], F.lit(0.0)))
-
-    enough = F.lit(False)
-    for weights in by_template:
-        enough = enough | (shared(weights) >= threshold * threshold - SLACK)
-    return enough
+    idf = {r.word: r.idf for r in t.select("word", "idf").distinct().collect()}
+    return t, idf, math.log(1.0 + n) + 1.0
+
+
+def within_reach(units: DataFrame, keep: list[str], bitmap: Column, idf: dict[str, float], other_idf: float,
+                 threshold: float) -> DataFrame:
+    """Units (keep, w: array of words) whose length lies on template words as
+    far as the threshold needs.  Each step is a column that the next uses more
+    than once, so that none is evaluated per element."""
+    weight = F.create_map(*[F.lit(x) for word, v in sorted(idf.items()) for x in (word, v)])
+    u = units.select(*keep, "w", F.sort_array(F.filter("w", lambda x: in_bitmap(bitmap, F.xxhash64(x)))).alias("_s")).where(F.size("_s") > 0)
+    first = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    u = u.select(*keep, "w", "_s", first.alias("_i"))
+    # a word that only shares its bit weighs nothing here: the bound grows
+    lengths = F.transform("_i", lambda s, j: (F.coalesce(F.get("_i", j + 1), F.size("_s")) - s) * F.coalesce(weight[F.get("_s", s)], F.lit(0.0)))
+    on = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x * x)
+    off = (F.size("w") - F.size("_s")) * other_idf * other_idf
+    t2 = threshold * threshold
+    return u.where(on * (1 - t2) + SLACK >= t2 * off).select(*keep, "w")
 
 
 def best_matches(units: DataFrame, keys: list[str], weights: DataFrame, other_idf: float) -> DataFrame:
@@ -141,28 +142,27 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     ignored, whatever their names.
     """
     spark = docs.sparkSession
-    weights, by_template, other_idf = vectors(spark, templates)
-    anchor = anchors(by_template, threshold)
+    weights, idf, other_idf = vectors(spark, templates)
+    bitmap = word_bitmap(weights.select(F.col("word").alias("term")))
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     docs = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text_col).alias("text"),
                        F.coalesce(license_file if license_file is not None else name.rlike(FILE_NAMES), F.lit(False)).alias("is_file"))
     docs = docs.withColumns({"th": F.xxhash64("text"), "dir": F.regexp_replace(F.col("path"), r"/?[^/]*$", "")})
-    keep = F.array(*[F.lit(w) for w in anchor])
-    near = docs.where(F.col("text").rlike(r"(?i)(?<![a-z0-9])(?:" + "|".join(anchor) + r")(?![a-z0-9])"))
-    units = near.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    units = units.select("doc_id", "th", "pos", words(F.col("raw")).alias("w")).where(F.arrays_overlap("w", keep))
-    known = F.array(*[F.lit(w) for w in sorted({w for x in by_template for w in x})])
-    units = units.withColumn("k", F.array_intersect("w", known)).where(within_reach(F.col("k"), by_template, threshold)).drop("k")
     # the leading block, up to the first empty line, if it is several lines
-    block = F.split(F.regexp_replace("text", r"^\s+", ""), r"\n\s*\n", 2)[0]
-    head = near.select("doc_id", "th", F.lit(BLOCK).alias("pos"), block.alias("raw")).where(F.col("raw").contains("\n"))
-    head = head.select("doc_id", "th", "pos", words(F.col("raw")).alias("w"))
-    head = head.withColumn("k", F.array_intersect("w", known)).where(within_reach(F.col("k"), by_template, threshold)).drop("k")
-    units = units.unionByName(head)
-    whole = near.where("is_file").select("doc_id", "th", F.lit(-1).alias("pos"), words(F.col("text")).alias("w"))
-    units = units.unionByName(whole).dropDuplicates(["doc_id", "th", "pos"])
-    units = units.withColumn("id", F.to_json(F.struct("doc_id")))
-    scored = materialise(best_matches(units, ["id", "th", "pos"], weights, other_idf).where(F.col("score") >= threshold), "lc-scored")
+    head = F.split(F.regexp_replace("text", f"^{WHITE}+", ""), rf"\n{WHITE}*\n", 2)[0]
+    unit = [F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("raw"))),
+            F.when(head.contains("\n"), F.array(F.struct(F.lit(BLOCK).alias("pos"), head.alias("raw")))),
+            F.when(F.col("is_file"), F.array(F.struct(F.lit(-1).alias("pos"), F.col("text").alias("raw"))))]
+    none = F.array().cast("array<struct<pos:int,raw:string>>")
+    units = docs.where("text is not null").select("doc_id", "th", F.explode(F.concat(*[F.coalesce(x, none) for x in unit])).alias("u"))
+    units = units.select("doc_id", "th", "u.pos", words(F.col("u.raw")).alias("w"))
+    units = within_reach(units, ["doc_id", "th", "pos"], bitmap, idf, other_idf, threshold)
+    units = materialise(units.select(F.to_json(F.struct("doc_id")).alias("id"), "th", "pos", "w", F.sha2(F.array_join("w", " "), 256).alias("unit")), "lc-units")
+    # equal units are scored once
+    scored = best_matches(units.groupBy("unit").agg(F.first("w").alias("w")), ["unit"], weights, other_idf)
+    scored = materialise(scored.where(F.col("score") >= threshold), "lc-scored")
+    hits = units.select("id", "th", "pos", "unit").distinct().join(broadcast_if_small(scored), "unit")
+    scored = materialise(hits.select("id", "th", "pos", "license", "score"), "lc-hits")
     pick = F.max_by(F.struct("license", "score"), F.struct("score", -F.col("pos"))).alias("m")
     own = scored.where("pos >= 0").groupBy("id", "th").agg(pick).select("id", "th", F.col("m.license").alias("own"), F.col("m.score").alias("own_score"))
     file = scored.groupBy("id", "th").agg(pick).select("id", "th", F.col("m.license").alias("file"), F.col("m.score").alias("file_score"))
@@ -181,7 +181,7 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
                                      F.col("m.score").alias("dir_score"), F.col("m.up").alias("from_dir")), "lc-above")
     out = marked.join(broadcast_if_small(above), F.col("dir") == F.col("d"), "left")
     has, can = F.col("own").isNotNull(), F.col("dir_license").isNotNull()
-    drop(scored, of_dir)
+    drop(units, scored, of_dir)
     return out.select("doc_id", "path", F.coalesce("own", "dir_license").alias("license"),
                       F.when(has, F.col("own_score")).otherwise(F.col("dir_score")).alias("score"),
                       F.when(has, F.lit("own")).when(can, F.lit("inherited")).otherwise(F.lit("none")).alias("origin"),

@@ -52,7 +52,7 @@ def word_bitmap(vocabulary: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(got.get(i, 0)) for i in range(BITMAP))), ",").cast("array<bigint>")
 
 
-def _has(bitmap: Column, h: Column) -> Column:
+def in_bitmap(bitmap: Column, h: Column) -> Column:
     return F.getbit(bitmap[F.pmod(F.shiftright(h, 6), F.lit(BITMAP)).cast("int")], F.pmod(h, F.lit(64)).cast("int")) == 1
 
 
@@ -65,7 +65,7 @@ def term_counts(docs: DataFrame, bitmap: Column) -> DataFrame:
     ends = [F.when(F.get("_w", F.lit(0)) == "", 1).otherwise(0),
             F.when((F.size("_w") > 1) & (F.get("_w", F.size("_w") - 1) == ""), 1).otherwise(0)]
     d = d.select("row", "doc_id", F.when(F.col("_w").isNull(), 0).otherwise(F.size("_w") - ends[0] - ends[1]).cast("long").alias("n"),
-                 F.sort_array(F.filter("_w", lambda w: _has(bitmap, F.xxhash64(w)))).alias("_s"))
+                 F.sort_array(F.filter("_w", lambda w: in_bitmap(bitmap, F.xxhash64(w)))).alias("_s"))
     at = F.when(F.size("_s") > 0, F.sequence(F.lit(0), F.size("_s") - 1)).otherwise(F.array().cast("array<int>"))
     first = F.filter(at, lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
     d = d.select("row", "doc_id", "n", "_s", first.alias("_i"))

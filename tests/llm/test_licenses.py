@@ -1,24 +1,31 @@
 import math
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from corpus_data import docs, empty, odd  # noqa: F401  (fixtures)
-from sitewise.llm.licenses import STOP_WORDS, TEMPLATES, scan
+from sitewise.llm.licenses import TEMPLATES, scan
 from test_decontam import words
 
 
-def cosine_to_all(w):
+def _template_vectors():
     tf = [Counter(words(t)) for _, t in TEMPLATES]
     df = Counter(x for c in tf for x in c)
     idf = {x: math.log((1 + len(TEMPLATES)) / (1 + n)) + 1 for x, n in df.items()}
-    other = math.log(1 + len(TEMPLATES)) + 1
-    u = {x: n * idf.get(x, other) for x, n in Counter(w).items()}
+    v = [{x: n * idf[x] for x, n in c.items()} for c in tf]
+    return idf, [(c, math.sqrt(sum(a * a for a in c.values()))) for c in v]
+
+
+IDF, VECTORS = _template_vectors()
+
+
+def cosine_to_all(w):
+    u = {x: n * IDF.get(x, math.log(1 + len(TEMPLATES)) + 1) for x, n in Counter(w).items()}
     nu = math.sqrt(sum(v * v for v in u.values()))
     best = (0.0, None)
-    for (name, _), c in zip(TEMPLATES, tf):
-        v = {x: n * idf[x] for x, n in c.items()}
-        s = round(sum(u[x] * v[x] for x in u if x in v) / nu / math.sqrt(sum(a * a for a in v.values())), 9)
+    for (name, _), (v, nv) in zip(TEMPLATES, VECTORS):
+        s = round(sum(u[x] * v[x] for x in u if x in v) / nu / nv, 9)
         best = max(best, (s, name), key=lambda b: b[0])
     return best
 
@@ -43,22 +50,51 @@ def test_scan(spark):
         (None, "Apache-2.0", "inherited", "a/src"), (11, "GPL-2.0", "own", None), (12, None, "none", None)])
 
 
+def own_license(text):
+    """The best of all lines and the leading block, the first of equal ones."""
+    units = (text or "").split("\n")
+    head = re.split(r"\n[ \t\n\x0b\f\r]*\n", (text or "").lstrip(" \t\n\x0b\f\r"), maxsplit=1)[0]
+    if "\n" in head:
+        units = units + [head]
+    best = (0.0, None)
+    for unit in units:
+        if w := words(unit):
+            best = max(best, cosine_to_all(w), key=lambda b: b[0])
+    return best[1] if best[0] >= 0.7 else None
+
+
 def test_own_notices_against_plain_cosine(odd, docs):
     d = docs.unionByName(odd.select("doc_id", "text"), allowMissingColumns=True)
-    stop = set(STOP_WORDS)
-    vocab = {w for _, t in TEMPLATES for w in words(t)} - stop
     got = {(r.doc_id, r.license) for r in scan(d, F.lit("x/y")).where("origin = 'own'").collect()}
-    want = set()
-    for r in d.select("doc_id", "text").collect():
-        best = (0.0, None)
-        for line in (r.text or "").split("\n"):
-            if set(w := words(line)) & vocab:
-                best = max(best, cosine_to_all(w), key=lambda b: b[0])
-        if best[0] >= 0.7:
-            want.add((r.doc_id, best[1]))
+    want = {(r.doc_id, name) for r in d.select("doc_id", "text").collect() if (name := own_license(r.text))}
     assert got == want and len(got) > 0
 
 
+HEADERS = [
+    "This program is free software: you can redistribute it\nand/or modify it under the terms of the GNU General\nPublic License as published by the Free Software\nFoundation, either version 3 of the License, or (at\nyour option) any later version.\n\nint main;",
+    "plain words of a text\nthat has no licence\n\nat all", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C)",
+    "MIT LICENSE\n\nfree text", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions", "\n \n  Released under the MIT License.  \nx",
+    "the the the the license license license of of of\n" + "the work is under version of this file " * 30, None, ""]
+
+
+def test_sql_and_scan_agree_on_headers(spark, tmp_path):
+    """Licences that only the leading block shows, in Spark and in the SQL."""
+    import duckdb
+    from sitewise.llm.catalog import ORACLE, QUERIES
+    df = spark.createDataFrame([(i, t, "en", f"s{i}", 0) for i, t in enumerate(HEADERS)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(ORACLE["op2_licenses"])
+    names = [c[0] for c in want.description]
+    want = sorted(map(str, want.fetchall()))
+    got = QUERIES["op2_licenses"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+    own = {r.doc_id: r.license for r in got if r.origin == "own"}
+    assert own == {i: name for i, t in enumerate(HEADERS) if (name := own_license(t))}
+    assert own[0] == own[2] == "GPL-3.0" and own[4] == "MPL-2.0" and own[5] == "MIT" and 1 not in own and 6 not in own
+
+
 def test_empty(empty):
     assert scan(empty, F.col("kept")).count() == 0
 

@@ -94,15 +94,18 @@ def within_reach(units: DataFrame, keep: list[str], bitmap: Column, idf: dict[st
     far as the threshold needs.  Each step is a column that the next uses more
     than once, so that none is evaluated per element."""
     weight = F.create_map(*[F.lit(x) for word, v in sorted(idf.items()) for x in (word, v)])
-    u = units.select(*keep, "w", F.sort_array(F.filter("w", lambda x: in_bitmap(bitmap, F.xxhash64(x)))).alias("_s")).where(F.size("_s") > 0)
-    first = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
-    u = u.select(*keep, "w", "_s", first.alias("_i"))
+    u = units.select(*keep, "w", F.sort_array(F.filter("w", lambda x: in_bitmap(bitmap, F.xxhash64(x)))).alias("_s"))
+    at = F.when(F.size("_s") > 0, F.sequence(F.lit(0), F.size("_s") - 1)).otherwise(F.array().cast("array<int>"))
+    first = F.filter(at, lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    # a filter is not moved below a column that is not deterministic, where it
+    # would repeat the columns' expressions inside each other
+    u = u.select(*keep, "w", "_s", first.alias("_i"), F.monotonically_increasing_id().alias("_no"))
     # a word that only shares its bit weighs nothing here: the bound grows
     lengths = F.transform("_i", lambda s, j: (F.coalesce(F.get("_i", j + 1), F.size("_s")) - s) * F.coalesce(weight[F.get("_s", s)], F.lit(0.0)))
     on = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x * x)
     off = (F.size("w") - F.size("_s")) * other_idf * other_idf
     t2 = threshold * threshold
-    return u.where(on * (1 - t2) + SLACK >= t2 * off).select(*keep, "w")
+    return u.where((F.col("_no") >= 0) & (on > 0) & (on * (1 - t2) + SLACK >= t2 * off)).select(*keep, "w")
 
 
 def best_matches(units: DataFrame, keys: list[str], weights: DataFrame, other_idf: float) -> DataFrame:

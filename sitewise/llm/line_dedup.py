@@ -2,19 +2,30 @@
 only: SimHash of normalised lines, candidate pairs from pigeonhole blocks,
 edit similarity to verify, one occurrence kept of each connected group.
 
-Votes are summed by an aggregate over (line, word) rows: a word's hash is
-spread over 16 longs of four 16-bit lanes, so 64 counts are 16 sums of whole
-longs.  The 64 bits of a line's SimHash are cut into ``BLOCKS`` blocks.  Two lines
-that differ in at most ``BITS`` bits agree in at least BLOCKS - BITS whole
-blocks, so every choice of that many blocks is a join key and no such pair is
-missed.  Equal normalised lines are one class before anything is paired.  A
-bucket proposes (member, centre) pairs; after each round the verified links
-are contracted, and only pairs still in different components are left for the
-last, exhaustive round, where the bit test runs inside the join.
+A line's features are its words, long ones cut into pieces by their own
+characters, so that scripts without blanks have features too.  The features
+fall into ``CLASSES`` classes by their hash, and each class votes for one block
+of the SimHash.  A changed word takes a feature out of one class and puts one
+into another, so at least CLASSES - 2 blocks stay as they are, whatever the
+line's length, and every choice of that many blocks is a join key.  Few words
+make weak blocks; a line of fewer than ``FEW`` pieces takes the halves of its
+text as blocks instead: one edit leaves the front or the back half alone.
+Either way two lines one word or one edit apart share a key; lines further
+apart share one the less, the more blocks their changes touch.
+
+Votes are summed by an aggregate over (line, word) rows: 16 bits of a word's
+hash are spread over four longs of four 16-bit lanes for its class, so 64
+counts are 16 sums of whole longs.  Equal normalised lines are one class before
+anything is paired.  As one edit in ten characters keeps lengths within a
+tenth, a bucket of lines with a common key is cut into cells of neighbouring
+lengths.  A cell proposes (member, centre) pairs; after each round the verified
+links are contracted, and only pairs still in different components are left
+for the last, exhaustive round.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -23,10 +34,13 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import broadcast_if_small, drop, is_empty, materialise
 
-BLOCKS, BITS = 5, 3
+CLASSES = 4  # of the features, a block of 16 bits each
+FEW = 12  # pieces from which on the SimHash makes the keys
+BOTH = 2  # more pieces up to which the halves do as well
+PIECE = 12  # characters a word may have as one feature
 LANE = 16  # bits of a vote lane in the aggregate
-MOST = (1 << (LANE - 2)) - 1  # words a line may have there
-ROUNDS = 4  # rounds of one centre a bucket before the exhaustive one
+MOST = (1 << (LANE - 2)) - 1  # pieces a line may have there
+ROUNDS = 2  # rounds of one centre a cell before the exhaustive one
 
 
 # ASCII that separates words, and a word character
@@ -38,22 +52,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
 
 
-def simhash(hashes: Column) -> Column:
-    """64-bit SimHash of an array of 64-bit hashes of any length: bit i of
-    the hashes votes for one bit of the result, in the order of the lanes
-    (``line_hashes``)."""
-    half = F.floor(F.size(hashes) / 2)
+def pieces(norm: Column) -> Column:
+    """Features of a normalised line: its words, those of more than
+    ``PIECE`` characters cut behind each character whose hash says so."""
+    def cut(w: Column) -> Column:
+        marked = F.transform(F.split(w, ""), lambda c: F.when(F.pmod(F.xxhash64(c), F.lit(4)) == 0, F.concat(c, F.lit(" "))).otherwise(c))
+        return F.trim(F.array_join(marked, ""))
 
-    def bit(i: int):
-        return lambda a, x: a + F.getbit(x, F.lit(i))
-
-    out = F.lit(0).cast("long")
-    for i in range(64):
-        place = LANE * (i % 4) + i // 4
-        value = (1 << place) - (1 << 64 if place == 63 else 0)
-        votes = F.aggregate(hashes, F.lit(0).cast("long"), bit(i))
-        out = out.bitwiseOR(F.when(votes > half, F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
+    whole = F.split(norm, " ")
+    long = F.transform(whole, lambda w: F.when(F.length(w) > PIECE, cut(w)).otherwise(w))
+    return F.when(norm.rlike(f"[^ ]{{{PIECE + 1}}}"), F.split(F.array_join(long, " "), " ")).otherwise(whole)
 
 
 def _spread(h: Column, shift: int) -> Column:
@@ -63,47 +71,44 @@ def _spread(h: Column, shift: int) -> Column:
     return x.bitwiseOR(F.shiftleft(x, 15)).bitwiseAND(F.lit(0x0001000100010001).cast("long"))
 
 
-def line_hashes(cut: DataFrame, key: list[str]) -> DataFrame:
-    """key and sim of the lines (key, norm) that have a word of more than
-    three characters: their SimHash over those words."""
-    ones = 0x0001000100010001
-    rows = cut.select(*key, F.explode(F.split("norm", " ")).alias("w")).where(F.length("w") > 3)
-    rows = rows.select(*key, F.xxhash64("w").alias("h"))
-    votes = rows.groupBy(*key).agg(F.count("*").alias("n"), *[F.sum(_spread(F.col("h"), 4 * f)).alias(f"v{f}") for f in range(LANE)])
-    sim = F.lit(0).cast("long")
-    spare = (F.lit(MOST) - F.floor(F.col("n") / 2)).cast("long") * F.lit(ones).cast("long")
-    for f in range(LANE):
-        sim = sim.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"v{f}") + spare, LANE - 2).bitwiseAND(F.lit(ones).cast("long")), f))
-    short = votes.where(F.col("n") <= MOST).select(*key, sim.alias("sim"))
-    # longer lines, whose lanes would overflow, one by one
-    words_ = F.filter(F.split("norm", " "), lambda x: F.length(x) > 3)
-    long = cut.where(F.octet_length("norm") >= 5 * MOST).select(*key, F.transform(words_, lambda x: F.xxhash64(x)).alias("h"))
-    return short.unionByName(long.where(F.size("h") > MOST).select(*key, simhash(F.col("h")).alias("sim")))
-
-
-def _masks(blocks: int, bits: int) -> list[Column]:
-    """The bits of each choice of blocks - bits blocks."""
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
+def line_blocks(cut: DataFrame, key: list[str]) -> DataFrame:
+    """key and s0, s1, ... of the lines (key, pieces): the SimHash block of
+    each class, -1 for a class without a feature.  A feature's class is the
+    last two bits of its hash, its votes are the 16 bits before."""
+    ones = F.lit(0x0001000100010001).cast("long")
+    rows = cut.select(*key, F.explode("pieces").alias("w")).select(*key, F.xxhash64("w").alias("h"))
+    mine = [F.col("h").bitwiseAND(F.lit(3).cast("long")) == c for c in range(CLASSES)]
+    none = F.lit(0).cast("long")
+    sums = [F.sum(F.when(mine[c], _spread(F.col("h"), 2 + 4 * f)).otherwise(none)).alias(f"v{c}{f}") for c in range(CLASSES) for f in range(4)]
+    votes = rows.groupBy(*key).agg(*[F.count_if(mine[c]).alias(f"n{c}") for c in range(CLASSES)], *sums)
+    blocks = []
+    for c in range(CLASSES):
+        spare = (F.lit(MOST) - F.floor(F.col(f"n{c}") / 2)).cast("long") * ones
+        block = none
+        for f in range(4):
+            block = block.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"v{c}{f}") + spare, LANE - 2).bitwiseAND(ones), f))
+        blocks.append(F.when(F.col(f"n{c}") == 0, F.lit(-1).cast("long")).otherwise(block).alias(f"s{c}"))
+    return votes.select(*key, *blocks)
+
+
+def block_keys(blocks: list[Column]) -> Column:
+    """Join keys of a SimHash: every choice of all blocks but two, hashed with
+    the number of the choice; a choice of empty classes is none."""
+    keys = [F.when(F.array_max(F.array(*[(blocks[c] != -1).cast("int") for c in chosen])) == 1, F.xxhash64(F.lit(i), *[blocks[c] for c in chosen]))
+            for i, chosen in enumerate(combinations(range(CLASSES), CLASSES - 2))]
+    return F.array_compact(F.array(*keys))
+
+
+def half_keys(norm: Column) -> Column:
+    """Join keys of a short line: the front and the back half, of two lengths
+    each, as texts one character apart have halves of different length."""
+    n = F.length(norm)
     out = []
-    for chosen in combinations(range(blocks), blocks - bits):
-        mask = sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in chosen)
-        out.append(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
-    return out
-
-
-def block_keys(sim: Column, blocks: int = BLOCKS, bits: int = BITS) -> Column:
-    """Array of join keys: the bits of each choice of blocks, hashed with the
-    number of the choice."""
-    return F.array(*[F.xxhash64(F.lit(i), sim.bitwiseAND(m)) for i, m in enumerate(_masks(blocks, bits))])
-
-
-def first_key(difference: Column, blocks: int = BLOCKS, bits: int = BITS) -> Column:
-    """Number of the first choice of blocks on which two values agree, so
-    that a pair with several common keys is taken once."""
-    out = F.lit(None).cast("int")
-    for i, m in reversed(list(enumerate(_masks(blocks, bits)))):
-        out = F.when(difference.bitwiseAND(m) == 0, F.lit(i)).otherwise(out)
-    return out
+    for i, half in enumerate([F.floor(n / 2), F.floor((n - 1) / 2)]):
+        half = half.cast("int")
+        front, back = F.substring(norm, F.lit(1), half), F.substring(norm, n - half + 1, half)
+        out += [F.xxhash64(F.lit(-1), half, front), F.xxhash64(F.lit(-2), half, back)]
+    return F.array_distinct(F.array(*out))
 
 
 def similar_text(a: str, b: str, edits_in: int) -> Column:
@@ -119,61 +124,72 @@ def similar_text(a: str, b: str, edits_in: int) -> Column:
                   f"else levenshtein({a}, {b}, {most}) >= 0 end")
 
 
-def line_groups(lines: DataFrame, texts: DataFrame, *, edits_in: int = 10, blocks: int = BLOCKS,
-                bits: int = BITS) -> DataFrame:
-    """lines (line, sim), one row per distinct normalised line, and texts
-    (line, norm), any number of equal rows each -> (id, component) of the
-    lines linked to another one."""
-    member = lines.select(F.col("line").alias("id"), "sim", F.posexplode(block_keys(F.col("sim"), blocks, bits)).alias("no", "bucket"))
-    several = materialise(member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"), "ld-buckets")
-    member = materialise(member.join(broadcast_if_small(several), "bucket"), "ld-members")
-    near = F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))) <= bits
-    kind = lines.schema["line"].dataType.simpleString()
-    edges = lines.sparkSession.createDataFrame([], f"src {kind}, dst {kind}")
-    labels = None
-    kept = []
+def _cells(member: DataFrame, edits_in: int) -> DataFrame:
+    """(id, cell, len): a bucket cut by length, so that lengths within one in
+    ``edits_in`` of each other meet in a cell: each line is in the band of its
+    length and in the next one."""
+    band = F.floor(F.log(F.col("len").cast("double")) / (-math.log(1 - 1 / edits_in) * 1.000001)).cast("int")
+    cells = F.array(F.xxhash64("bucket", band), F.xxhash64("bucket", band + 1))
+    return member.select("id", "len", F.explode(cells).alias("cell"))
+
+
+def _shared(member: DataFrame, by: str, name: str) -> DataFrame:
+    """Members of groups that hold more than one line, each once."""
+    several = member.groupBy(by).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+    several = materialise(several.select(by), f"{name}-shared")
+    kept = materialise(member.join(broadcast_if_small(several), by).distinct(), name)
+    drop(several)
+    return kept
+
+
+def line_groups(member: DataFrame, texts: DataFrame, *, edits_in: int = 10) -> DataFrame:
+    """member (id, len, bucket) and texts (line, norm), any number of equal
+    rows each -> (id, component) of the lines linked to another one."""
+    spark = member.sparkSession
+    first = _shared(member, "bucket", "ld-members")
+    cells = _shared(_cells(first, edits_in), "cell", "ld-cells")
+    wanted = materialise(cells.select(F.col("id").alias("line")).distinct(), "ld-wanted")
+    text = texts.join(broadcast_if_small(wanted), "line").groupBy("line").agg(F.first("norm").alias("norm"))
+    text = materialise(text.withColumnRenamed("line", "id"), "ld-texts")
+    drop(first, wanted)
+    kind = member.schema["id"].dataType.simpleString()
+    edges = spark.createDataFrame([], f"src {kind}, dst {kind}")
+    labels, kept = None, []
+    close = F.abs(F.col("len") - F.col("len2")) <= F.floor(F.greatest("len", "len2") / edits_in)
     for step in range(ROUNDS + 1):
-        now = member
+        now = cells.withColumn("component", F.col("id"))
         if labels is not None:
-            now = member.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-            open_ = materialise(open_.select("bucket"), "ld-open")
-            now = materialise(now.join(broadcast_if_small(open_), "bucket"), "ld-left")
+            now = cells.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            open_ = now.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+            open_ = materialise(open_.select("cell"), "ld-open")
+            now = materialise(now.join(broadcast_if_small(open_), "cell"), "ld-left")
             kept += [open_, now]
-        else:
-            now = now.withColumn("component", F.col("id"))
         if step < ROUNDS:
-            centre = now.groupBy("bucket").agg(F.min_by(F.struct("id", "sim", "component"), F.xxhash64("id", F.lit(step))).alias("c"))
-            other = centre.select("bucket", F.col("c.id").alias("id2"), F.col("c.sim").alias("sim2"), F.col("c.component").alias("component2"))
-            pairs = now.join(other, "bucket").where(near & (F.col("component") != F.col("component2")))
+            centre = now.groupBy("cell").agg(F.min_by(F.struct("id", "len", "component"), F.xxhash64("id", F.lit(step))).alias("c"))
+            other = centre.select("cell", F.col("c.id").alias("id2"), F.col("c.len").alias("len2"), F.col("c.component").alias("component2"))
+            pairs = now.join(other, "cell").where((F.col("component") != F.col("component2")) & close)
         else:
-            other = now.select("bucket", F.col("id").alias("id2"), F.col("sim").alias("sim2"), F.col("component").alias("component2"))
-            once = first_key(F.col("sim").bitwiseXOR(F.col("sim2")), blocks, bits) == F.col("no")
-            pairs = now.join(other, "bucket").where(near & (F.col("component") != F.col("component2")) & (F.col("id") < F.col("id2")) & once)
+            other = now.select("cell", F.col("id").alias("id2"), F.col("len").alias("len2"), F.col("component").alias("component2"))
+            pairs = now.join(other, "cell").where((F.col("component") != F.col("component2")) & (F.col("id") < F.col("id2")) & close)
         pairs = materialise(pairs.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2")).distinct(), "ld-pairs")
-        if is_empty(pairs):
-            drop(pairs)
-            if step == ROUNDS:
-                break
-            continue
-        wanted = materialise(pairs.select(F.col("id").alias("line")).union(pairs.select("id2")).distinct(), "ld-wanted")
-        text = texts.join(broadcast_if_small(wanted), "line").groupBy("line").agg(F.first("norm").alias("norm"))
-        text = materialise(text.withColumnRenamed("line", "id"), "ld-texts")
         found = (pairs.join(text, "id").join(text.select(F.col("id").alias("id2"), F.col("norm").alias("norm2")), "id2")
                  .where(similar_text("norm", "norm2", edits_in)).select(F.col("id").alias("src"), F.col("id2").alias("dst")))
         found = materialise(found, "ld-links")
-        kept += [pairs, found, wanted, text]
+        drop(pairs)
+        kept.append(found)
+        if is_empty(found):
+            continue
         edges = edges.unionByName(found)
         old, labels = labels, components(edges)
         drop(*([old] if old is not None else []))
     if labels is None:
         labels = edges.select(F.col("src").alias("id"), F.col("dst").alias("component"))
-    drop(several, member, *kept)
+    drop(cells, text, *kept)
     return labels
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, edits_in: int = 10,
-                blocks: int = BLOCKS, bits: int = BITS, carry: list[str] | None = None) -> DataFrame:
+                carry: list[str] | None = None) -> DataFrame:
     """Documents without the repeated lines: doc_id, text (cleaned), n_lines,
     n_removed and, if ``carry`` names input columns, those as the struct
     ``rest``; one row per input row.
@@ -181,13 +197,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are what stands between ``\\n``.  A line is normalised to its words
     (in lower case, separated by ASCII characters other than letters and
     digits) joined by one blank.  Lines are linked if their normalised forms
-    are equal, or if both have words of more than three characters, the
-    SimHashes of those differ in at most ``bits`` bits, and at most one edit
-    in ``edits_in`` characters turns one form into the other.  ``blocks``
-    sets the length of the join keys (more blocks, longer keys) and never
-    changes the result.  Of each connected group the first occurrence stays, by
-    (doc_id, hash of the text, line number), null ids last.  Defined cases:
-    lines without a word always stay; a null text stays null with 0 lines;
+    are equal, or if they share a join key and at most one edit in
+    ``edits_in`` characters turns one form into the other.  Lines one word or
+    one edit apart share a key; of others that the edits would allow, some do.
+    Of each connected group the first occurrence stays, by (doc_id, hash of the
+    text, line number), null ids last.  Defined cases: lines without
+    a word always stay; a null text stays null with 0 lines;
     rows equal in id and text are the same occurrence and keep the same
     lines; other columns are ignored, whatever their names.
     """
@@ -197,17 +212,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     cut = cut.where(F.lower("raw").rlike(WORD)).select("doc_id", "th", "pos", words(F.col("raw")).alias("w"))
     cut = cut.select("doc_id", "th", "pos", F.array_join("w", " ").alias("norm"))
-    cut = materialise(cut.select("doc_id", "th", "pos", "norm", F.xxhash64("norm").alias("line")), "ld-lines")
+    cut = cut.select("doc_id", "th", "pos", "norm", F.xxhash64("norm").alias("line"), F.length("norm").alias("len"), F.size(pieces(F.col("norm"))).alias("n"))
+    cut = materialise(cut, "ld-lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "pos")
-    sims = line_hashes(cut, ["line", "doc_id", "th", "pos"])
-    # every occurrence counts, those without a SimHash as well
-    seen = sims.unionByName(cut.select("line", "doc_id", "th", "pos", F.lit(None).cast("long").alias("sim")))
-    classes = materialise(seen.select("line", "sim", place.alias("place")).groupBy("line").agg(
-        F.min("place").alias("place"), F.max("sim").alias("sim"), F.count("*").alias("n"), F.count("sim").alias("m")), "ld-classes")
-    classes = classes.withColumn("n", F.col("n") - F.col("m")).drop("m")
-
-    labels = line_groups(classes.where("sim is not null").select("line", "sim"), cut.select("line", "norm"),
-                         edits_in=edits_in, blocks=blocks, bits=bits)
+    key = ["line", "len", "doc_id", "th", "pos"]
+    s = [f"s{c}" for c in range(CLASSES)]
+    hashed = F.col("n").between(FEW, MOST)
+    blocks = line_blocks(cut.where(hashed).select(*key, pieces(F.col("norm")).alias("pieces")), key)
+    plain = cut.where(~hashed).select(*key, *[F.lit(None).cast("long").alias(c) for c in s])
+    seen = blocks.unionByName(plain).select("line", "len", place.alias("place"), *s)
+    classes = materialise(seen.groupBy("line").agg(F.min("place").alias("place"), F.max("len").alias("len"),
+                                                   *[F.max(c).alias(c) for c in s], F.count("*").alias("n")), "ld-classes")
+    by_blocks = classes.where("s0 is not null").select(F.col("line").alias("id"), "len", F.explode(block_keys([F.col(c) for c in s])).alias("bucket"))
+    # shorter lines have no other line within an edit
+    halved = cut.where(~F.col("n").between(FEW + BOTH, MOST) & (F.col("len") >= edits_in))
+    by_halves = halved.select(F.col("line").alias("id"), "len", F.explode(half_keys(F.col("norm"))).alias("bucket"))
+    labels = line_groups(by_blocks.unionByName(by_halves), cut.select("line", "norm"), edits_in=edits_in)
     grouped = classes.join(labels, classes["line"] == labels["id"]).select("line", "component", "place")
     keeper = grouped.groupBy("component").agg(F.min("place").alias("keep"))
     grouped = grouped.join(keeper, "component").select("line", "keep")
@@ -225,7 +245,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = out.select("doc_id", "text", *rest, "lines", "gone", stay.alias("stay"))
     text = F.when(F.size("gone") == 0, F.col("text")).otherwise(
         F.array_join(F.transform("stay", lambda i: F.col("lines")[i]), "\n"))
-    drop(classes, labels, repeated)
+    drop(cut, classes, labels, repeated)
     return out.select("doc_id", text.alias("text"), F.size("lines").cast("long").alias("n_lines"),
                       F.size("gone").cast("long").alias("n_removed"), *rest)
 

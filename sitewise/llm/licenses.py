@@ -10,9 +10,10 @@ of a unit count in its length with the weight of a word no template has.
 By Cauchy-Schwarz a unit's cosine to any template is at most the share of the
 unit's own length that lies on template words.  That share is bounded within
 the unit's row (a bitmap of the template words, sorted words, run lengths;
-m other words weigh at least as m different ones), and only units where it
-reaches the threshold are taken apart, equal ones once.  The join on words is
-with the templates' weights alone, whose number is fixed by the parameter.
+m other words weigh at least as m different ones).  Where it reaches the
+threshold, the unit's exact length and its template words are written, equal
+units are scored once, and the join is of those words with the templates'
+weights, whose number is fixed by the parameter.
 """
 
 from __future__ import annotations
@@ -88,38 +89,51 @@ def vectors(spark, templates=None) -> tuple[DataFrame, dict[str, float], float]:
     return t, idf, math.log(1.0 + n) + 1.0
 
 
+def _starts(sorted_words: str) -> Column:
+    """Places where another word begins in a sorted array."""
+    n = F.size(sorted_words)
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(at, lambda i: (i == 0) | (F.get(sorted_words, i) != F.get(sorted_words, i - 1)))
+
+
+def _run(starts: str, sorted_words: str, s: Column, j: Column) -> Column:
+    return F.coalesce(F.get(starts, j + 1), F.size(sorted_words)) - s
+
+
 def within_reach(units: DataFrame, keep: list[str], bitmap: Column, idf: dict[str, float], other_idf: float,
                  threshold: float) -> DataFrame:
     """Units (keep, w: array of words) whose length lies on template words as
-    far as the threshold needs.  Each step is a column that the next uses more
-    than once, so that none is evaluated per element."""
+    far as the threshold needs -> keep, known (word, tf) and norm2, the
+    squared length.  Each step is a column that the next uses more than once,
+    so that none is evaluated per element."""
     weight = F.create_map(*[F.lit(x) for word, v in sorted(idf.items()) for x in (word, v)])
     u = units.select(*keep, "w", F.sort_array(F.filter("w", lambda x: in_bitmap(bitmap, F.xxhash64(x)))).alias("_s"))
-    at = F.when(F.size("_s") > 0, F.sequence(F.lit(0), F.size("_s") - 1)).otherwise(F.array().cast("array<int>"))
-    first = F.filter(at, lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
     # a filter is not moved below a column that is not deterministic, where it
     # would repeat the columns' expressions inside each other
-    u = u.select(*keep, "w", "_s", first.alias("_i"), F.monotonically_increasing_id().alias("_no"))
+    u = u.select(*keep, "w", "_s", _starts("_s").alias("_i"), F.monotonically_increasing_id().alias("_no"))
     # a word that only shares its bit weighs nothing here: the bound grows
-    lengths = F.transform("_i", lambda s, j: (F.coalesce(F.get("_i", j + 1), F.size("_s")) - s) * F.coalesce(weight[F.get("_s", s)], F.lit(0.0)))
+    lengths = F.transform("_i", lambda s, j: _run("_i", "_s", s, j) * F.coalesce(weight[F.get("_s", s)], F.lit(0.0)))
     on = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x * x)
     off = (F.size("w") - F.size("_s")) * other_idf * other_idf
     t2 = threshold * threshold
-    return u.where((F.col("_no") >= 0) & (on > 0) & (on * (1 - t2) + SLACK >= t2 * off)).select(*keep, "w")
-
-
-def best_matches(units: DataFrame, keys: list[str], weights: DataFrame, other_idf: float) -> DataFrame:
-    """units (keys, w: array of words) -> keys, license, score: the most
-    similar template of each unit, ties to the first one."""
-    tf = units.select(*keys, F.explode("w").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("tf"))
-    idf = weights.select("word", "idf").distinct()
-    tf = materialise(tf.join(F.broadcast(idf), "word", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(other_idf))), "lc-words")
-    norm = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    dot = (tf.where("idf is not null").join(F.broadcast(weights.select("template", "license", "word", "w")), "word")
-           .groupBy(*keys, "template", "license").agg(F.sum(F.col("v") * F.col("w")).alias("dot")))
-    score = dot.join(norm, keys).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
-    best = score.groupBy(*keys).agg(F.max_by(F.struct("license", "score"), F.struct("score", -F.col("template"))).alias("m"))
-    return best.select(*keys, "m.license", "m.score")
+    u = u.where((F.col("_no") >= 0) & (on > 0) & (on * (1 - t2) + SLACK >= t2 * off))
+    runs = F.transform("_i", lambda s, j: F.struct(F.get("_s", s).alias("word"), _run("_i", "_s", s, j).alias("tf"), weight[F.get("_s", s)].alias("idf")))
+    u = u.select(*keep, F.filter(runs, lambda r: r["idf"].isNotNull()).alias("known"), F.sort_array("w").alias("_a"))
+    u = u.select(*keep, "known", "_a", _starts("_a").alias("_b"))
+    squares = F.aggregate(F.transform("_b", lambda s, j: _run("_b", "_a", s, j).cast("double")), F.lit(0.0), lambda a, x: a + x * x)
+    more = F.aggregate("known", F.lit(0.0), lambda a, r: a + r["tf"] * r["tf"] * (r["idf"] * r["idf"] - other_idf * other_idf))
+    return u.select(*keep, "known", (squares * other_idf * other_idf + more).alias("norm2"))
+
+
+def best_matches(units: DataFrame, key: str, weights: DataFrame) -> DataFrame:
+    """units (key, known, norm2) -> key, license, score: the most similar
+    template of each unit, ties to the first one."""
+    rows = units.select(key, "norm2", F.explode("known").alias("k")).select(key, "norm2", "k.word", (F.col("k.tf") * F.col("k.idf")).alias("v"))
+    dot = (rows.join(F.broadcast(weights.select("template", "license", "word", "w")), "word")
+           .groupBy(key, "template", "license").agg(F.sum(F.col("v") * F.col("w")).alias("dot"), F.max("norm2").alias("norm2")))
+    score = dot.withColumn("score", F.round(F.col("dot") / F.sqrt("norm2"), 9))
+    best = score.groupBy(key).agg(F.max_by(F.struct("license", "score"), F.struct("score", -F.col("template"))).alias("m"))
+    return best.select(key, "m.license", "m.score")
 
 
 def ancestors(directory: Column) -> Column:
@@ -159,10 +173,10 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     none = F.array().cast("array<struct<pos:int,raw:string>>")
     units = docs.where("text is not null").select("doc_id", "th", F.explode(F.concat(*[F.coalesce(x, none) for x in unit])).alias("u"))
     units = units.select("doc_id", "th", "u.pos", words(F.col("u.raw")).alias("w"))
-    units = within_reach(units, ["doc_id", "th", "pos"], bitmap, idf, other_idf, threshold)
-    units = materialise(units.select(F.to_json(F.struct("doc_id")).alias("id"), "th", "pos", "w", F.sha2(F.array_join("w", " "), 256).alias("unit")), "lc-units")
+    units = units.select(F.to_json(F.struct("doc_id")).alias("id"), "th", "pos", F.sha2(F.array_join("w", " "), 256).alias("unit"), "w")
+    units = materialise(within_reach(units, ["id", "th", "pos", "unit"], bitmap, idf, other_idf, threshold), "lc-units")
     # equal units are scored once
-    scored = best_matches(units.groupBy("unit").agg(F.first("w").alias("w")), ["unit"], weights, other_idf)
+    scored = best_matches(units.groupBy("unit").agg(F.first("known").alias("known"), F.first("norm2").alias("norm2")), "unit", weights)
     scored = materialise(scored.where(F.col("score") >= threshold), "lc-scored")
     hits = units.select("id", "th", "pos", "unit").distinct().join(broadcast_if_small(scored), "unit")
     scored = materialise(hits.select("id", "th", "pos", "license", "score"), "lc-hits")

@@ -96,7 +96,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_quality")
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
-    return quality(table(spark, sf_dir, "documents"))
+    return quality(table(spark, sf_dir, "documents"), with_text=False)
 
 
 SHARD_BYTES = 1 << 20

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +41,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    for made in _open:
+        made.append(out)
     return out
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def tables():
+    """A list of the tables that ``materialise`` writes inside the block, to
+    be dropped once nothing reads them any more."""
+    made: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open[:] = [x for x in _open if x is not made]
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete the files of materialised frames that nothing reads any more."""
     for df in frames:

@@ -1,10 +1,16 @@
 """Corpus pipeline: documents through the cleaning stages and into packed
 sequences, each stage's result written and read again as the next one's
 documents.  A stage works on all rows its predecessor kept.  Ids name
-documents: rows that share one share the verdict of a stage."""
+documents: rows that share one share the verdict of a stage, and rows without
+one stay but for the line stage, which does without ids.  Null and empty texts
+go with the language stage (those that have an id); an empty table stays one;
+all columns are kept, whatever their names, ``n_chars`` follows the text where
+there is such a column."""
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +20,7 @@ from sitewise.llm.langid import identify
 from sitewise.llm.line_dedup import dedup_lines
 from sitewise.llm.near_dup import near_duplicates
 from sitewise.llm.packing import pack
-from sitewise.llm.scratch import broadcast_if_small, materialise
+from sitewise.llm.scratch import broadcast_if_small, drop, materialise, tables
 
 # Language ID by a trained network, SimHash and MinHash groups and packing by
 # a tokenizer are not SQL; the stages are tested against brute force.
@@ -23,12 +29,30 @@ ORACLE_SQL = None
 MIN_SCORE = 0.5  # of the predicted language
 
 
+_left: list[DataFrame] = []  # tables that the last stage's result still reads
+
+
+def frees(stage):
+    """A stage whose tables are dropped when the next one starts, as its
+    result is written by then."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(*[t for t in _left if t.sparkSession.sparkContext is spark.sparkContext])
+        _left.clear()
+        with tables() as made:
+            out = stage(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+    return run
+
+
 def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """Documents whose id is not among ``ids``; null ids stay."""
     ids = materialise(ids.select("doc_id").distinct(), f"{name}-out")
     return docs.join(broadcast_if_small(ids), "doc_id", "left_anti").select(docs.columns)
 
 
+@frees
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or without a clear one, go; a missing
     label is filled with the prediction."""
@@ -42,26 +66,32 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.where(F.col("lang").isNotNull() | F.col("doc_id").isNull()).unionByName(named)
 
 
+@frees
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and documents of which no word is left."""
     out = dedup_lines(docs, carry=[c for c in docs.columns if c != "text"])
     out = out.where((F.col("n_removed") == 0) | (F.size(words(F.col("text"))) > 0))
-    chars = F.when(F.col("n_removed") == 0, F.col("rest.n_chars")).otherwise(F.length("text"))
-    new = {"text": F.col("text"), "n_chars": chars.cast(docs.schema["n_chars"].dataType)}
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        chars = F.when(F.col("n_removed") == 0, F.col("rest.n_chars")).otherwise(F.length("text"))
+        new["n_chars"] = chars.cast(docs.schema["n_chars"].dataType)
     return out.select(*[new.get(c, F.col(f"rest.{c}")).alias(c) for c in docs.columns])
 
 
+@frees
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the smallest id."""
     return _without(docs, near_duplicates(docs).where(~F.col("kept")), "near")
 
 
+@frees
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _without(docs, decontaminate(docs, items).where("contaminated"), "bench")
 
 
+@frees
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
     return digest_pieces(pack(docs))
@@ -73,5 +103,6 @@ STAGES = [("language", language), ("lines", lines), ("near_dup", near_dup), ("be
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

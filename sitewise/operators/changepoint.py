@@ -381,8 +381,10 @@ def _joint_fit(src: DataFrame, ks, cost, penalty, penalty_factor, min_seg, bucke
         raise ValueError(f"buckets must be a power of two up to {LEAVES}")
     # the points are dealt by group once; sizes, joins and the fits in one
     # task keep that partitioning
-    src = src.withColumn("_g", F.to_json(F.struct(*ks), {"ignoreNullFields": "false"})).withColumn(
-        "_leaf", F.pmod(F.xxhash64("_s"), F.lit(LEAVES)).cast("int")).repartition("_g")
+    src = src.withColumn("_leaf", F.pmod(F.xxhash64("_s"), F.lit(LEAVES)).cast("int"))
+    # tied to a column, so that constant keys are not folded into a plan
+    # without keys
+    src = src.withColumn("_g", F.when(F.col("_leaf") >= 0, F.to_json(F.struct(*ks), {"ignoreNullFields": "false"}))).repartition("_g")
     none = F.when(F.col("_s").isNull(), 1).otherwise(0)
     sizes = src.groupBy("_g").agg((F.size(F.collect_set("_d")) * (F.count_distinct("_s") + F.max(none))).alias("_cells"))
     out = "_g string, cost double, n_cpts long, n_grid long, locs array<int>"

@@ -2,13 +2,14 @@
 only: SimHash of normalised lines, candidate pairs from pigeonhole blocks,
 edit similarity to verify, one occurrence kept of each connected group.
 
-A line's features are its words, long ones cut into pieces by their own
-characters, so that scripts without blanks have features too.  The features
-fall into ``CLASSES`` classes by their hash, and each class votes for one block
+A line's features are its different words of more than three bytes, long
+ones cut into pieces by their own characters, so that scripts without blanks
+have features too.  (Shorter words are much the same in all lines of a language
+and would decide the votes.)  The features fall into ``CLASSES`` classes by their hash, and each class votes for one block
 of the SimHash.  A changed word takes a feature out of one class and puts one
 into another, so at least CLASSES - 2 blocks stay as they are, whatever the
 line's length, and every choice of that many blocks is a join key.  Few words
-make weak blocks; a line of fewer than ``FEW`` pieces takes the halves of its
+make weak blocks; a line of fewer than ``FEW`` features takes the halves of its
 text as blocks instead: one edit leaves the front or the back half alone.
 Either way two lines one word or one edit apart share a key; lines further
 apart share one the less, the more blocks their changes touch.
@@ -35,11 +36,12 @@ from .components import components
 from .scratch import broadcast_if_small, drop, is_empty, materialise
 
 CLASSES = 4  # of the features, a block of 16 bits each
-FEW = 12  # pieces from which on the SimHash makes the keys
-BOTH = 2  # more pieces up to which the halves do as well
+FEW = 12  # features from which on the SimHash makes the keys
+BOTH = 3  # more features up to which the halves do as well
+LEAST = 4  # bytes of a word that counts
 PIECE = 12  # characters a word may have as one feature
 LANE = 16  # bits of a vote lane in the aggregate
-MOST = (1 << (LANE - 2)) - 1  # pieces a line may have there
+MOST = (1 << (LANE - 2)) - 1  # features a line may have there
 ROUNDS = 2  # rounds of one centre a cell before the exhaustive one
 
 
@@ -53,15 +55,16 @@ def words(text: Column) -> Column:
 
 
 def pieces(norm: Column) -> Column:
-    """Features of a normalised line: its words, those of more than
-    ``PIECE`` characters cut behind each character whose hash says so."""
+    """Features of a normalised line: its different words of ``LEAST``
+    bytes or more, those of more than ``PIECE`` cut behind each character
+    whose hash says so."""
     def cut(w: Column) -> Column:
         marked = F.transform(F.split(w, ""), lambda c: F.when(F.pmod(F.xxhash64(c), F.lit(4)) == 0, F.concat(c, F.lit(" "))).otherwise(c))
         return F.trim(F.array_join(marked, ""))
 
-    whole = F.split(norm, " ")
+    whole = F.filter(F.split(norm, " "), lambda w: F.octet_length(w) >= LEAST)
     long = F.transform(whole, lambda w: F.when(F.length(w) > PIECE, cut(w)).otherwise(w))
-    return F.when(norm.rlike(f"[^ ]{{{PIECE + 1}}}"), F.split(F.array_join(long, " "), " ")).otherwise(whole)
+    return F.array_distinct(F.when(norm.rlike(f"[^ ]{{{PIECE + 1}}}"), F.split(F.array_join(long, " "), " ")).otherwise(whole))
 
 
 def _spread(h: Column, shift: int) -> Column:

@@ -65,7 +65,7 @@ def test_targets_hold_while_sources_last(docs):
 
 
 def test_mixture_of_every_window(docs):
-    pieces = check(docs, window=4096)
+    pieces = check(docs, window=4096, grain=1)
     total, per = defaultdict(int), defaultdict(lambda: defaultdict(int))
     for p in pieces:
         total[p.source] += p.length
@@ -76,6 +76,48 @@ def test_mixture_of_every_window(docs):
             assert abs(per[s][k] - 4096 * t / n) <= len(total) + 2
 
 
+def test_mixture_with_grains(docs):
+    pieces = check(docs)
+    total, per = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for p in pieces:
+        total[p.source] += p.length
+        per[p.sequence_id][p.source] += p.length
+    n, sent = sum(total.values()), defaultdict(int)
+    for s in range(max(per)):  # what a source is owed at the end of a window stays below a grain
+        for k, t in total.items():
+            sent[k] += per[s][k]
+            assert abs(sent[k] - (s + 1) * 4096 * t / n) <= 64 * 2 + len(total)
+
+
+def many_sources(spark, n):
+    rows = [(i, " ".join(f"word{(i * 7 + j) % 50}" for j in range(150)), f"s{i % n}" if i % n else None) for i in range(2 * n)]
+    rows += [(2 * n + i, "some common words of a large source " * 30, "big") for i in range(n // 20)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_sources_beyond_the_queues(spark):
+    """3,000 sources for 64 queues: a target in the tail is kept, the others
+    go on in proportion to their sizes."""
+    pieces = check(many_sources(spark, 3000), max_queues=64, targets={"s17": 0.01, "s2999": 0.02, "absent": 0.3})
+    last = max(p.sequence_id for p in pieces)
+    total, half, early = defaultdict(int), defaultdict(int), defaultdict(int)
+    for p in pieces:
+        total[p.source] += p.length
+        half[p.source] += p.length if p.sequence_id < last // 2 else 0
+        early[p.source] += p.length if p.sequence_id < 4 else 0
+    for s, share in (("s17", 0.01), ("s2999", 0.02)):  # to a quantum and a grain, while the source lasts
+        assert abs(early[s] - min(share * 4 * 4096, total[s])) <= share * 4096 + 64
+    n, cut = sum(total.values()), defaultdict(list)
+    for p in pieces:
+        cut[p.doc_id, p.doc_tokens].append(p.length)
+    for (_, tokens), parts in cut.items():  # whatever the number of sources
+        assert len(parts) <= 2 * (tokens / 64 + 2) + tokens / 4096 + 1
+    for s, t in total.items():
+        if s not in ("s17", "s2999"):
+            assert abs(half[s] - t / 2) <= 64 * 3 + 0.02 * t, (s, half[s], t)
+    assert n > 1_000_000
+
+
 def test_empty(empty):
     assert pack(empty).count() == 0
 
@@ -93,5 +135,23 @@ def test_rounds_cover_every_token_once():
     assert (seen == 1).all()
 
 
+def test_rounds_of_tiny_shares_and_grains():
+    for grain in (1, 7, 64):
+        totals = [5, 1000, 37, 0, 400, 2000]
+        r = Rounds(totals, [5, 1000, 37, 1, 3000, 1e-9], 64, grain)
+        seen = np.zeros(sum(totals), int)
+        for q, n in enumerate(totals):
+            for x in range(0, n, 90):
+                for start, k, place in r.runs(q, x, min(90, n - x), block=3):
+                    seen[place:place + k] += 1
+        assert (seen == 1).all()
+
+
+def test_rounds_of_very_long_queues():
+    r = Rounds([10**15, 10**15, 10], [1e-9, 1, 1], 4096, 64)
+    whole = list(r.runs(0, 10**15 - 500, 500))
+    assert whole == [(0, 500, 2 * 10**15 + 10 - 500)]
+
+
 def test_crc():
     assert zlib.crc32(np.array([2], "<u4").tobytes()) == zlib.crc32(b"\x02\0\0\0")

@@ -173,9 +173,11 @@ def predict(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fit) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
+             carry: list[str] | None = None, **fit) -> DataFrame:
     """Predicted language of every whole text: doc_id, held_out, lang_pred,
-    score; one row per input row.
+    score and, if ``carry`` names input columns, those as the struct
+    ``rest``; one row per input row.
 
     Learns from text and label of rows whose crc32(id as text) mod 4 is not
     2; those with 2, and null ids, are held out.  Predictions see the text
@@ -184,8 +186,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     table gives an empty result; rows are independent, so repeated rows get
     equal results; other columns are ignored, whatever their names.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rest = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), *rest)
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     net = train(docs, fold != 2, **fit)
+    if carry:  # the id goes with what is carried through the network
+        out = predict(docs.withColumn("doc_id", F.struct("doc_id", "rest")), net).select("doc_id.*", "lang_pred", "score")
+        return out.select("doc_id", F.coalesce(fold == 2, F.lit(True)).alias("held_out"), "lang_pred", "score", "rest")
     out = predict(docs, net)
     return out.select("doc_id", F.coalesce(fold == 2, F.lit(True)).alias("held_out"), "lang_pred", "score")

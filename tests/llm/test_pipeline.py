@@ -9,6 +9,9 @@ import test_packing
 from sitewise.llm.scratch import materialise
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def test_stages(spark, both):
     """Each stage against what its rule says of its own input."""
     names = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,7 +25,7 @@ def test_stages(spark, both):
         docs = out
     before, after = seen["language"]
     gone = {r[0] for r in before} - {r[0] for r in after}
-    assert {40, 41, 42, 43, 62} <= gone and len(gone) < 12 and all(r[2] for r in after if r[0] is not None)
+    assert {40, 41, 42, 43, 62} <= gone and len(gone) < 12 and all(r[2] for r in after)
     before, after = seen["lines"]
     assert len(after) < len(before) and sum(len(r[1] or "") for r in after) < sum(len(r[1] or "") for r in before)
     before, after = seen["near_dup"]
@@ -37,6 +40,32 @@ def test_stages(spark, both):
     assert {p.doc_id for p in pieces} == {r[0] for r in after}
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    """Null and shared ids follow the verdict of their own row."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").first()["text"]
+    long = [" ".join(f"word{(7 * i + 3 * j * j) % 211}" for j in range(90)) for i in range(9)]
+    near = long[0].replace("word3 ", "other ", 1)
+    rows = [(1, long[0], "a"), (None, long[0], "b"), (None, near, "c"), (None, long[1], "d"), (None, long[1], "e"),
+            (5, long[2], "f"), (5, long[3], "g"), (5, bench, "h"), (6, long[4], "i"), (6, long[4], "j"), (9, long[4], "k"),
+            (None, bench, "l"), (None, None, "m"), (7, "", "n"), (7, "", "o"), (8, long[3], "p")]
+    docs = spark.createDataFrame([(d, t, None, x, x) for d, t, x in rows],
+                                 "doc_id long, text string, lang string, out_key string, `a.b` string")
+    assert corpus_pipeline.language(spark, docs.limit(0), SF).count() == 0
+
+    def ids(out):
+        assert out.columns == docs.columns
+        return "".join(sorted(r[3] for r in out.collect()))
+
+    kept = ids(corpus_pipeline.near_dup(spark, docs, SF))
+    # of h and l, of d and e, and of i, j and k one stays; b and c go with a, and g with p
+    assert len(kept) == 9 and set("afmnopk") <= set(kept) and set(kept) & set("de") and set(kept) & set("hl"), kept
+    assert ids(corpus_pipeline.benchmark(spark, docs, SF)) == "abcdefgijkmnop"
+    assert corpus_pipeline.near_dup(spark, docs.limit(0), SF).count() == 0
+    labelled = docs.withColumn("lang", F.when(F.col("out_key") != "d", F.lit("en")))
+    out = corpus_pipeline.language(spark, labelled, SF)
+    assert ids(out) == "abcdefghijklp" and {r.lang for r in out.collect()} == {"en"}
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)

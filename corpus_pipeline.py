@@ -1,17 +1,17 @@
 """Corpus pipeline: documents through the cleaning stages and into packed
 sequences, each stage's result written and read again as the next one's
-documents.  A stage works on all rows its predecessor kept.  Ids name
-documents: rows that share one share the verdict of a stage, and rows without
-one stay but for the line stage, which does without ids.  Null and empty texts
-go with the language stage (those that have an id); an empty table stays one;
-all columns are kept, whatever their names, ``n_chars`` follows the text where
-there is such a column."""
+documents.  A stage works on all rows its predecessor kept, and each row
+follows its own verdict, whether its id is null, shared or its own: language
+and benchmark judge a row by its text, lines works on rows, and near_dup gives
+the rows that an id does not tell apart keys of their own.  An empty table
+stays one; all columns are kept, whatever their names; ``n_chars`` follows the
+text where there is such a column."""
 
 from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewise.llm.catalog import digest_pieces
@@ -46,24 +46,35 @@ def frees(stage):
     return run
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """Documents whose id is not among ``ids``; null ids stay."""
-    ids = materialise(ids.select("doc_id").distinct(), f"{name}-out")
-    return docs.join(broadcast_if_small(ids), "doc_id", "left_anti").select(docs.columns)
+def _key(text: Column) -> Column:
+    """Digest of a text, 16 bytes; of no bytes for null."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
+def _without(docs: DataFrame, verdicts: DataFrame, name: str) -> DataFrame:
+    """Rows whose text is not among those of ``verdicts`` (out_key)."""
+    out = broadcast_if_small(materialise(verdicts.select("out_key").distinct(), f"{name}-out"))
+    return docs.join(out, _key(docs["text"]) == out["out_key"], "left_anti").select(*_all(docs))
+
+
+def _all(docs: DataFrame) -> list[Column]:
+    return [docs[f"`{c}`"] for c in docs.columns]
 
 
 @frees
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or without a clear one, go; a missing
-    label is filled with the prediction."""
-    found = materialise(identify(docs).select(F.col("doc_id").alias("pid"), "lang_pred", "score"), "lang")
-    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < MIN_SCORE))
-    kept = _without(docs, bad.select(F.col("pid").alias("doc_id")), "lang")
-    unlabelled = kept.where(F.col("lang").isNull() & F.col("doc_id").isNotNull())
-    label = found.groupBy("pid").agg(F.max_by("lang_pred", "score").alias("lang_pred"))
-    named = (unlabelled.join(label, F.col("doc_id") == F.col("pid"), "left")
-             .withColumn("lang", F.col("lang_pred")).select(docs.columns))
-    return kept.where(F.col("lang").isNotNull() | F.col("doc_id").isNull()).unionByName(named)
+    label is filled with the prediction.  Null and empty texts, and those
+    without a letter, have no language."""
+    rows = docs.select("doc_id", "text", "lang", _key(F.col("text")).alias("out_key"))
+    found = materialise(identify(rows, carry=["out_key"]).select("rest.out_key", "lang_pred", "score"), "lang")
+    kept = _without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < MIN_SCORE)), "lang")
+    label = found.groupBy("out_key").agg(F.max_by("lang_pred", "score").alias("out_lang"))
+    unlabelled = kept.where(kept["lang"].isNull())
+    named = unlabelled.join(label, _key(unlabelled["text"]) == label["out_key"], "left")
+    lang = label["out_lang"].cast(docs.schema["lang"].dataType).alias("lang")
+    named = named.select(*[lang if c == "lang" else unlabelled[f"`{c}`"] for c in docs.columns])
+    return kept.where(kept["lang"].isNotNull()).unionByName(named)
 
 
 @frees
@@ -80,15 +91,37 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @frees
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the smallest id."""
-    return _without(docs, near_duplicates(docs).where(~F.col("kept")), "near")
+    """One document of each near-duplicate group stays, the smallest id.
+    Rows with a null id, or with one that other rows have, come after all
+    ids and are told apart by their text; of those equal in id and text one
+    stays, whichever.  Texts without a word are in no group and stay."""
+    shared = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1 or doc_id is null")
+                         .select(F.col("doc_id").alias("shared_id")), "near-shared")
+    same_id = docs["doc_id"].eqNullSafe(shared["shared_id"])
+    last = docs.agg(F.max("doc_id")).first()[0] or 0
+    fresh = (docs.join(broadcast_if_small(shared), same_id, "left_semi")
+             .select(F.col("doc_id").alias("shared_id"), _key(F.col("text")).alias("shared_text")).distinct())
+    fresh = materialise(fresh.withColumn("fresh", F.monotonically_increasing_id() + last + 1), "near-fresh")
+    few = broadcast_if_small(fresh)
+    same_row = docs["doc_id"].eqNullSafe(few["shared_id"]) & (_key(docs["text"]) == few["shared_text"])
+    rows = docs.join(few, same_row, "left").select(
+        F.struct(*_all(docs)).alias("row"), docs["text"].alias("text"), few["fresh"].alias("fresh"),
+        F.coalesce(few["fresh"], docs["doc_id"]).alias("key"))
+    gone = materialise(near_duplicates(rows, id_col="key").where(~F.col("kept")).select(
+        F.col("doc_id").alias("gone")).distinct(), "near-out")
+    left = rows.join(broadcast_if_small(gone), F.col("key") == F.col("gone"), "left_anti")
+    alone = F.col("fresh").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = left.where(~alone).groupBy("fresh").agg(F.first("row").alias("row"))
+    return left.where(alone).select("row").unionByName(one.select("row")).select("row.*")
 
 
 @frees
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go; null texts and those without a word stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate(docs, items).where("contaminated"), "bench")
+    rows = docs.select(_key(F.col("text")).alias("out_key"), "text")
+    found = decontaminate(rows, items, id_col="out_key").where("contaminated")
+    return _without(docs, found.select(F.col("doc_id").alias("out_key")), "bench")
 
 
 @frees

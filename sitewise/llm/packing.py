@@ -42,7 +42,9 @@ GRAIN = 64  # tokens a queue saves up at least
 
 
 class Rounds:
-    """Tokens sent by all queues up to a round."""
+    """Tokens sent by all queues up to a round.  Rounds are 64-bit numbers:
+    at the least share, 1 of ``SCALE``, and 4096 tokens a round a queue may
+    hold 3e13 tokens; beyond that numpy raises an OverflowError."""
 
     def __init__(self, totals: list[int] | np.ndarray, shares: list[float] | np.ndarray, round_tokens: int, grain: int = 1):
         self.totals = np.asarray(totals, np.int64)
@@ -58,7 +60,7 @@ class Rounds:
         # rounds after which a queue is empty for sure; no product below goes beyond its total
         per = self.w.astype(object) * round_tokens
         done = -(-(self.totals.astype(object) + self.grain) * self.sum // per)
-        self.done = np.minimum(done, 1 << 62).astype(np.int64)
+        self.done = np.minimum(done, (1 << 63) - 1).astype(np.int64)
 
     def sent(self, t: np.ndarray) -> np.ndarray:
         """(rounds, queues): tokens each queue has sent by the end of round t."""

@@ -76,8 +76,9 @@ RUNS = runs_sql("station")
 BR = with_(OBS, CLEAN, RUNS) + "\n"
 
 
-def _runs(spark, d):
-    return missing_runs(missing_days(clean(spark, d), ["station"], "DATE", "VALUE"), ["station"], "DATE")
+def _runs(spark, d, days: bool = True):
+    stretches = missing_days(clean(spark, d), ["station"], "DATE", "VALUE", spans=True)
+    return missing_runs(stretches, ["station"], "DATE", spans=True, days=days)
 
 
 @register("c6_missing_days", BR + "SELECT station, DATE FROM miss")
@@ -97,7 +98,7 @@ def c7_missing_runs(spark, d):
 WHERE rank <= 10""")
 def c8_top_missing_runs(spark, d):
     """The 10 longest unsampled periods of each station."""
-    return top_missing_runs(_runs(spark, d), ["station"], 10)
+    return top_missing_runs(_runs(spark, d, days=False), ["station"], 10, days=False)
 
 
 def _spread_sql(zero_fill: bool) -> str:

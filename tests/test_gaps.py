@@ -115,3 +115,47 @@ def test_multi_site_with_checkpointed_daily_grid(spark):
              "SITECODE", "DATETIME", "decomp_deseason")
     assert len(a) > 0 and len(a) == len(b)
     assert all(x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-9 for x, y in zip(a, b))
+
+
+def _gap_frame(spark):
+    """Random days of keys, one key null, one with a single day."""
+    import random
+    rng = random.Random(5)
+    data = [("one", dt.date(2001, 1, 1), "x", None)]
+    for k in ("A", "B", None):
+        for i in range(150):
+            if rng.random() < 0.6:
+                data.append((k, dt.date(2001, 1, 1) + dt.timedelta(days=i), "x", None if rng.random() < 0.2 else float(i % 7)))
+    return spark.createDataFrame(data, "k string, DATE date, FIELDNAME string, VALUE double")
+
+
+def test_stretches_give_the_runs_of_days(spark):
+    obs = _gap_frame(spark)
+    args = ["k"], "DATE", "VALUE"
+    by_day = missing_runs(missing_days(obs, *args), ["k"])
+    by_stretch = missing_runs(missing_days(obs, *args, spans=True), ["k"], spans=True)
+    assert by_day.columns == by_stretch.columns and rows(by_day) == rows(by_stretch)
+    whole = missing_runs(missing_days(obs, *args, spans=True), ["k"], spans=True, days=False)
+    assert rows(top_missing_runs(whole, ["k"], 3, days=False)) == rows(top_missing_runs(by_day, ["k"], 3))
+    # plain count of the days
+    seen, null = {}, set()
+    for r in obs.collect():
+        seen.setdefault(r.k, set()).add(r.DATE)
+        if r.VALUE is None:
+            null.add((r.k, r.DATE))
+    want = [(k, lo + dt.timedelta(days=i)) for k, ds in seen.items() for lo in [min(ds)] for i in range((max(ds) - lo).days + 1)
+            if lo + dt.timedelta(days=i) not in ds or (k, lo + dt.timedelta(days=i)) in null]
+    assert sorted(map(str, want)) == sorted(str((r.k, r.DATE)) for r in missing_days(obs, *args).collect())
+
+
+def test_gap_queries_sort_recorded_days_only(spark):
+    """Days are written out above every sort and window, not below."""
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    for name in ("c6_missing_days", "c7_missing_runs", "c8_top_missing_runs", "c9_spread_over_gaps", "c10_spread_zero_fill",
+                 "g4_monthly_totals", "g17_zero_days"):
+        plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        if "Generate" in plan:
+            assert not any(w in plan.split("Generate")[0] for w in ("Window", "Sort")), name
+        else:
+            assert name == "c8_top_missing_runs"

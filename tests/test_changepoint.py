@@ -336,3 +336,27 @@ def test_joint_daily_and_sparse_series_equal_exhaustive_search():
         grid, cps, total = solve([(d1, y1), (d2, y2)], ["normal_meanvar", "poisson_meanvar"], [beta, beta])
         b_total, b_cps = brute_joint([(d1, y1), (d2, y2)], ["normal_meanvar", "poisson_meanvar"], [beta, beta])
         assert abs(total - b_total) < 1e-6 and cps == b_cps
+
+
+def test_side_by_side_equals_alone():
+    """Series of several lengths, costs and scales, constant ones and ones
+    with repeated dates among them: the same fits to the last bit."""
+    from sitewise.operators.changepoint import solve_all
+    rng = np.random.default_rng(31)
+    names = ("normal_meanvar", "normal_var", "poisson_meanvar")
+    for min_seg in (1, 2, 5):
+        dates, values, costs, betas = [], [], [], []
+        for i in range(400):
+            n = int(rng.integers(1, 60)) if i % 50 else 300
+            d = np.sort(rng.choice(900, n, replace=i % 17 == 0)).astype(np.int64)
+            y = rng.integers(0, rng.choice([1, 3, 9]) + 1, n) * rng.choice([1e-5, 1e-4, 0.3, 40.0]) + (rng.random(n) if i % 3 else 0)
+            dates.append(d), values.append(y), costs.append(names[i % 3]), betas.append(float(rng.choice([0.1, 2.0, 9.0])))
+        for got, d, y, c, b in zip(solve_all(dates, values, costs, betas, min_seg), dates, values, costs, betas):
+            grid, cps, total = solve([(d, y)], [c], [b], min_seg)
+            assert list(got[0]) == list(grid) and got[1:] == (cps, total), (c, b, min_seg, len(d))
+
+
+def test_univariate_fits_run_in_batches(spark):
+    """Many groups per call of Python, and one evaluation for all its uses."""
+    plan = changepoints(_frame(spark), ["k"], "d", "v")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "FlatMapGroupsInPandas" not in plan

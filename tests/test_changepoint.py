@@ -360,3 +360,22 @@ def test_univariate_fits_run_in_batches(spark):
     """Many groups per call of Python, and one evaluation for all its uses."""
     plan = changepoints(_frame(spark), ["k"], "d", "v")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "FlatMapGroupsInPandas" not in plan
+
+
+def test_sparse_series_cost_their_own_dates(monkeypatch):
+    """Monthly series beside a daily one: the cost of their segments is worked
+    out between their own dates only, and the fit is that of the plain
+    program."""
+    from sitewise.operators import changepoint as module
+    rng = np.random.default_rng(17)
+    group = _random_group(rng, [1] + [30] * 40, 600)
+    group[1:] = [(np.sort(d[keep]), y[keep]) for d, y in group[1:] for keep in [rng.permutation(len(d))[:int(rng.integers(9, len(d)))]]]
+    costs, betas = ["normal_meanvar"] + ["poisson_meanvar"] * 20 + ["normal_var"] * 20, [0.2] * 41
+    cells, plain = [], module.segment_cost
+    monkeypatch.setattr(module, "segment_cost", lambda c, n, *a: (cells.append(np.size(n)), plain(c, n, *a))[1])
+    leaves = sorted(int(x) for x in rng.integers(0, 64, 41))
+    grid, cps, total = solve(group, costs, betas, 2, leaves)
+    assert sum(cells) < 600 * 600 / 2 + 41 * 22 * 22  # of 41 times as many
+    monkeypatch.undo()
+    want, cost = full_program(group, costs, betas)
+    assert cps == want and cps and abs(total - cost) < 1e-6

@@ -39,3 +39,9 @@ def test_stack_series(spark):
     b = spark.createDataFrame([(D(2000, 12, 31), 7.5)], "DATETIME date, ANNUAL double")
     out = rows(stack_series({"moth": (a, "station", "date", "value"), "perch": (b, None, "DATETIME", "ANNUAL")}))
     assert out == [("moth", "x", D(2000, 1, 31), 1.0), ("perch", "perch", D(2000, 12, 31), 7.5)]
+
+
+def test_weather_join_is_not_gathered_in_one_task(spark):
+    """The months of the stations are few bytes and many results."""
+    weather, obs = _inputs(spark)
+    assert weather_for_stations(weather, obs).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -117,7 +117,8 @@ def write_order(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """
     tok = tokenizer or default_path()
     body = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
-    seqs = materialise(sequences(body, length, tok), "or-sequences")
+    # ids shrink little by snappy; the table, its shuffle and the shards are on disk at once
+    seqs = materialise(sequences(body, length, tok), "or-sequences", "zstd")
     parts = seqs.groupBy("part").agg(F.count("*").alias("m"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = materialise(parts.select(F.col("part").alias("bp"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"), "m"), "or-base")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
 import gc
 import os
 import sys
 import types
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -22,6 +24,7 @@ def default_path() -> str:
 # ones for themselves, the others from 256 on; the blank stays a blank
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)} | {32: 32}
+_CHARACTERS = "".join(chr(_BYTES.get(b, b)) for b in range(256))
 
 
 class ChunkIds:
@@ -53,7 +56,8 @@ class ChunkIds:
         groups = [words[i:i + 512] for i in range(0, len(words), 512)]
         for at in range(0, len(groups), 8):
             part = groups[at:at + 8]
-            texts = [b" ".join(g).decode("latin-1").translate(_BYTES) if tok is self.simple else b" ".join(g).decode() for g in part]
+            texts = [b" ".join(g) for g in part]
+            texts = [codecs.charmap_decode(x, "strict", _CHARACTERS)[0] if tok is self.simple else x.decode() for x in texts]
             for group, e in zip(part, tok.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(e.ids, self.dtype)
                 cut = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
@@ -126,16 +130,15 @@ class ChunkIds:
             split.append(b.split() if b"<|" in b else b.lower().split())
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
-        found = [list(map(self.new.get, chunks)) for chunks in split]
         missing = []
-        for c in {c for chunks, got in zip(split, found) if None in got for c, x in zip(chunks, got) if x is None}:
+        for c in set(chain.from_iterable(split)).difference(self.new):
             if c in self.old:
                 self.new[c] = self.old[c]
             else:
                 missing.append(c)
         self._encode(missing)
         look = self.new.__getitem__
-        return [b"".join([*(map(look, chunks) if None in got else got), self.end]) for chunks, got in zip(split, found)]
+        return [b"".join([*map(look, chunks), self.end]) for chunks in split]
 
 
 def chunk_ids(path: str) -> ChunkIds:

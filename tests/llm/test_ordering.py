@@ -51,3 +51,15 @@ def test_same_key_same_order_and_empty(odd, empty, tmp_path):
     assert a == sorted(map(str, write_order(odd, str(tmp_path / "b"), key=3, length=64, per_shard=8).collect()))
     assert a != sorted(map(str, write_order(odd, str(tmp_path / "c"), key=4, length=64, per_shard=8).collect()))
     assert write_order(empty, str(tmp_path / "d")).count() == 0
+
+
+def test_sequences_wait_compressed_for_their_order(spark):
+    """The table of the sequences, its shuffle and the shards are on disk at
+    once; a table can be written with a codec of its own."""
+    import glob
+
+    from sitewise.llm.scratch import drop, materialise
+    made = materialise(spark.range(1000).selectExpr("id", "cast('abc' as binary) b"), "codec", "zstd")
+    files = [f for f in glob.glob(made._scratch_path.removeprefix("file:") + "/*.parquet")]
+    assert files and all(f.endswith(".zstd.parquet") for f in files) and made.count() == 1000
+    drop(made)

@@ -20,3 +20,9 @@ def test_ids_are_those_of_the_tokenizer():
         got = [np.frombuffer(x, memory.dtype).tolist() for i in range(0, len(texts), 7)
                for x in memory.documents([t.encode() for t in texts[i:i + 7]])]
         assert got == want
+
+
+def test_characters_that_stand_for_bytes():
+    """One table for all bytes, the same as the byte-level alphabet."""
+    from sitewise.llm.tokens import _BYTES, _CHARACTERS
+    assert _CHARACTERS == bytes(range(256)).decode("latin-1").translate(_BYTES) and len(set(_CHARACTERS)) == 256

@@ -20,7 +20,7 @@ from sitewise.llm.langid import identify
 from sitewise.llm.line_dedup import dedup_lines
 from sitewise.llm.near_dup import near_duplicates
 from sitewise.llm.packing import pack
-from sitewise.llm.scratch import broadcast_if_small, drop, materialise, tables
+from sitewise.llm.scratch import broadcast_if_small, drop, materialise, short_batches, tables
 
 # Language ID by a trained network, SimHash and MinHash groups and packing by
 # a tokenizer are not SQL; the stages are tested against brute force.
@@ -34,12 +34,13 @@ _left: list[DataFrame] = []  # tables that the last stage's result still reads
 
 def frees(stage):
     """A stage whose tables are dropped when the next one starts, as its
-    result is written by then."""
+    result is written by then.  What it writes itself goes to Python in short
+    batches."""
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop(*[t for t in _left if t.sparkSession.sparkContext is spark.sparkContext])
         _left.clear()
-        with tables() as made:
+        with tables() as made, short_batches(spark):
             out = stage(spark, docs, sf_dir)
         _left.extend(made)
         return out

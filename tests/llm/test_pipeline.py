@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,29 @@ def test_rows_without_an_id_of_their_own(spark):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.where(F.col("length") <= 0).count() == 0 and out.count() > 100
+
+
+def test_stages_give_python_short_batches(spark):
+    """What a stage writes itself goes to Python in short batches; the
+    session's own size holds again afterwards, also after a failure."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    docs = spark.range(0, 5000, numPartitions=1)
+
+    def stage(spark, docs, sf_dir):
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+        return materialise(docs.mapInArrow(sizes, "n long"), "test-sizes")
+
+    got = [r["n"] for r in corpus_pipeline.frees(stage)(spark, docs, SF).collect()]
+    assert sum(got) == 5000 and max(got) <= 1000
+    assert spark.conf.get(name) == usual
+
+    def fails(spark, docs, sf_dir):
+        raise ValueError("no")
+
+    with pytest.raises(ValueError):
+        corpus_pipeline.frees(fails)(spark, docs, SF)
+    assert spark.conf.get(name) == usual

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions._util import as_list, col
-from sitewise.operators._window import after, ahead, by_key, running
+from sitewise.operators._window import after, ahead, by_key, dealt, running
 from sitewise.operators.calendar import gap_fill
 from sitewise.operators.filters import between_dates
 
 
 def missing_days(df: DataFrame, keys, idx: str = "DATE", v: str = "VALUE",
-                 lo=None, hi=None, spans: bool = False) -> DataFrame:
+                 lo=None, hi=None, spans: bool = False, deal: bool = False) -> DataFrame:
     """Days between a key's first and last record with no record, or with a
     null value in any record of that day (C6).  One row per key and day.
 
@@ -31,13 +31,14 @@ def missing_days(df: DataFrame, keys, idx: str = "DATE", v: str = "VALUE",
     aggregation before the shuffle).  Such a day, if it has a null value, and
     the days up to the next one are a stretch; with ``spans`` the stretches
     themselves are returned, as ``_first`` and ``_last`` day beside the
-    recorded day they belong to (for ``missing_runs``).
+    recorded day they belong to (for ``missing_runs``).  ``deal``: see
+    ``share_over_gaps``.
     """
     ks = as_list(keys)
     day = (between_dates(df, idx, lo, hi).groupBy(*ks, idx)
            .agg(F.bool_or(col(v).isNull()).alias("_anynull")))
     before_next = F.coalesce(F.date_sub(F.lead(idx).over(by_key(ks, idx)), 1), col(idx))
-    s = day.withColumn("_last", before_next).filter(F.col("_anynull") | (F.col("_last") > col(idx)))
+    s = (dealt(day, ks) if deal else day).withColumn("_last", before_next).filter(F.col("_anynull") | (F.col("_last") > col(idx)))
     s = s.select(*ks, idx, F.when(F.col("_anynull"), col(idx)).otherwise(F.date_add(idx, 1)).alias("_first"), "_last")
     return s if spans else s.select(*ks, F.explode(_days("_first", "_last")).alias(idx))
 
@@ -115,9 +116,8 @@ def spread_over_gaps(counts: DataFrame, runs: DataFrame, keys, idx: str = "DATE"
     facts = runs.select(*ks, F.col(runs_idx).alias(idx), "duration")
     ends = (runs.filter(F.col(runs_idx) == F.col("ENDDATE"))
             .select(*ks, F.date_add(runs_idx, 1).alias(idx), F.col("duration").alias("_prev_dur")))
-    u = (grid.unionByName(facts, allowMissingColumns=True)
-         .unionByName(ends, allowMissingColumns=True)
-         .repartition(*ks))
+    u = dealt(grid.unionByName(facts, allowMissingColumns=True)
+              .unionByName(ends, allowMissingColumns=True), ks)
     wd = by_key(ks + [idx])
     u = (u.withColumns({c: F.first(c, ignorenulls=True).over(wd) for c in ("duration", "_prev_dur")})
          .filter(F.col("_g").isNotNull()))
@@ -139,7 +139,8 @@ def spread_over_gaps(counts: DataFrame, runs: DataFrame, keys, idx: str = "DATE"
 
 def share_over_gaps(facts: DataFrame, keys, idx: str = "DATE", v: str = "counts",
                     anynull: str = "_anynull", has: str = "has_taxon", max_gap: int = 3,
-                    zero_fill: bool = True, null_after_long_gap: bool = True, carry=()) -> DataFrame:
+                    zero_fill: bool = True, null_after_long_gap: bool = True, carry=(),
+                    deal: bool = False) -> DataFrame:
     """``spread_over_gaps`` in one chain of windows over a per-day aggregate
     (``counts.daily_facts``), with the same rules.
 
@@ -152,13 +153,17 @@ def share_over_gaps(facts: DataFrame, keys, idx: str = "DATE", v: str = "counts"
     sort forwards and one backwards, and the days are written out at the end.
     Nothing is joined or unioned, so the plan keeps one hash partitioning by
     the keys from the aggregate to the result.  ``carry``: columns of the
-    aggregate to keep as they are (null on days it does not have).
+    aggregate to keep as they are (null on days it does not have).  ``deal``:
+    many series of rows that are not stored by their keys are dealt to all
+    shuffle partitions, so a task sorts few of them.
     """
     ks = as_list(keys)
     w, back, on, on_next = by_key(ks, idx), running(ks, idx), ahead(ks, idx), after(ks, idx)
     seen, own = F.col("_seen"), F.col("_own")
     g = facts.select(*ks, idx, *carry, F.coalesce(F.col(has), F.lit(False)).alias("_seen"),
                      F.coalesce(F.col(anynull), F.lit(False)).alias("_own"), F.col(v).alias("_x"))
+    if deal:
+        g = dealt(g, ks)
     x = F.when(seen, F.col("_x"))
     if zero_fill:
         x = F.when(x.isNull() & ~own, F.lit(0.0)).otherwise(x)

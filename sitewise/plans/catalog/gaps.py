@@ -77,14 +77,14 @@ BR = with_(OBS, CLEAN, RUNS) + "\n"
 
 
 def _runs(spark, d, days: bool = True):
-    stretches = missing_days(clean(spark, d), ["station"], "DATE", "VALUE", spans=True)
+    stretches = missing_days(clean(spark, d), ["station"], "DATE", "VALUE", spans=True, deal=True)
     return missing_runs(stretches, ["station"], "DATE", spans=True, days=days)
 
 
 @register("c6_missing_days", BR + "SELECT station, DATE FROM miss")
 def c6_missing_days(spark, d):
     """Days without a record, or with a null value, per station."""
-    return missing_days(clean(spark, d), ["station"], "DATE", "VALUE")
+    return missing_days(clean(spark, d), ["station"], "DATE", "VALUE", deal=True)
 
 
 @register("c7_missing_runs", BR + "SELECT * FROM runs")
@@ -110,7 +110,7 @@ def _spread_sql(zero_fill: bool) -> str:
 def _spread(spark, d, zero_fill: bool):
     """The site pipeline's daily grid, keyed by station, for one group."""
     out = site_daily(clean(spark, d), ["station"], taxa=Taxa(group=TAXON),
-                     groups=standin.groups(spark, d), max_gap=MAX_GAP, zero_fill=zero_fill)
+                     groups=standin.groups(spark, d), max_gap=MAX_GAP, zero_fill=zero_fill, deal=True)
     return out.select("station", "DATE", "counts", "duration")
 
 
@@ -134,7 +134,7 @@ def _spread_all_sql() -> str:
 
 def _spread_all(spark, d):
     """The daily grid of all taxa together."""
-    return site_daily(clean(spark, d), ["station"], max_gap=MAX_GAP)
+    return site_daily(clean(spark, d), ["station"], max_gap=MAX_GAP, deal=True)
 
 
 @register("g4_monthly_totals", _spread_all_sql() + f"""SELECT station, date_trunc('month', DATE)::DATE AS DATETIME,

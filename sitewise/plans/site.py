@@ -26,7 +26,7 @@ from sitewise.session import cut_lineage
 
 def site_daily(clean: DataFrame, keys=("SITECODE",), taxa=None, groups: DataFrame | None = None,
                traits: DataFrame | None = None, lo=None, hi=None, avg_missing_data: bool = True,
-               max_gap: int = 3, zero_fill: bool = True) -> DataFrame:
+               max_gap: int = 3, zero_fill: bool = True, deal: bool = False) -> DataFrame:
     """Daily grid per key: total and species number of the taxon, with the
     catch shared over short unsampled runs (C6-C10 composed): keys, DATE,
     counts, duration (null if nothing is shared) and n_species (null on days
@@ -36,7 +36,8 @@ def site_daily(clean: DataFrame, keys=("SITECODE",), taxa=None, groups: DataFram
     is counted.  Both come from one aggregate per key and day
     (``daily_facts``), and the sharing is one chain of windows over it
     (``share_over_gaps``): the observations are scanned once and the plan
-    has one shuffle for the aggregate and one for the key windows.
+    has one shuffle for the aggregate and one for the key windows (``deal``:
+    over all shuffle partitions).
     """
     ks = as_list(keys)
     df = between_dates(clean, "DATE", lo, hi)
@@ -49,7 +50,8 @@ def site_daily(clean: DataFrame, keys=("SITECODE",), taxa=None, groups: DataFram
     if not avg_missing_data:
         return complete_days(counts, ks, "DATE").withColumn("duration", F.lit(None).cast("long"))
     facts = facts.withColumn("n_species", F.when(F.col("has_taxon"), F.col("n_species")))
-    return share_over_gaps(facts, ks, "DATE", "counts", max_gap=max_gap, zero_fill=zero_fill, carry=["n_species"])
+    return share_over_gaps(facts, ks, "DATE", "counts", max_gap=max_gap, zero_fill=zero_fill, carry=["n_species"],
+                           deal=deal)
 
 
 def multi_site(clean: DataFrame, keys=("SITECODE",), checkpoint_daily: bool = False, **kw) -> DataFrame:

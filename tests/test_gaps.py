@@ -1,7 +1,8 @@
 import datetime as dt
 
 from conftest import rows
-from sitewise.operators.gaps import missing_days, missing_runs, spread_over_gaps, top_missing_runs
+from sitewise.operators.counts import daily_facts, monthly_totals
+from sitewise.operators.gaps import missing_days, missing_runs, share_over_gaps, spread_over_gaps, top_missing_runs
 
 D = dt.date
 
@@ -159,3 +160,23 @@ def test_gap_queries_sort_recorded_days_only(spark):
             assert not any(w in plan.split("Generate")[0] for w in ("Window", "Sort")), name
         else:
             assert name == "c8_top_missing_runs"
+
+
+def test_series_are_not_gathered_in_few_tasks(spark):
+    """The recorded days are few bytes, and each task holds the sorts of all its series."""
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert parts > 1
+    obs = _gap_frame(spark)
+    miss = missing_days(obs, ["k"], "DATE", "VALUE", spans=True, deal=True)
+    assert miss.rdd.getNumPartitions() == parts
+    assert rows(miss) == rows(missing_days(obs, ["k"], "DATE", "VALUE", spans=True))
+    for fill in (True, False):
+        shared, plain = (share_over_gaps(daily_facts(obs, ["k"]), ["k"], "DATE", "counts", zero_fill=fill, deal=x) for x in (True, False))
+        assert shared.rdd.getNumPartitions() == parts
+        assert monthly_totals(shared, ["k"], "DATE", "counts").rdd.getNumPartitions() == parts
+        assert rows(shared) == rows(plain)
+    for name in ("c6_missing_days", "c7_missing_runs", "c8_top_missing_runs", "c9_spread_over_gaps", "c10_spread_zero_fill",
+                 "g4_monthly_totals", "g17_zero_days"):
+        assert E.queries()[name](spark, SF_SMALL).rdd.getNumPartitions() == parts, name

@@ -45,26 +45,41 @@ MOST = (1 << (LANE - 2)) - 1  # features a line may have there
 ROUNDS = 2  # rounds of one centre a cell before the exhaustive one
 
 
-# ASCII that separates words, and a word character
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+# ASCII that separates words within a line
+SEPARATORS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+FIRST = 3 * (FEW + BOTH)  # words of a line that are looked at to see that it has many features
 
 
-def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
+def _words(norm: Column) -> Column:
+    """The words that count, with repeats."""
+    return F.filter(F.split(norm, " "), lambda w: F.octet_length(w) >= LEAST)
+
+
+def _pieces(words: Column) -> Column:
+    def cut(w: Column) -> Column:
+        marked = F.transform(F.split(w, ""), lambda c: F.when(F.pmod(F.xxhash64(c), F.lit(4)) == 0, F.concat(c, F.lit(" "))).otherwise(c))
+        return F.trim(F.array_join(marked, ""))
+
+    long = F.transform(F.filter(words, lambda w: F.length(w) > PIECE), cut)
+    both = F.concat(F.filter(words, lambda w: F.length(w) <= PIECE), F.split(F.array_join(long, " "), " "))
+    return F.array_distinct(F.when(F.exists(words, lambda w: F.length(w) > PIECE), both).otherwise(words))
 
 
 def pieces(norm: Column) -> Column:
     """Features of a normalised line: its different words of ``LEAST``
     bytes or more, those of more than ``PIECE`` cut behind each character
     whose hash says so."""
-    def cut(w: Column) -> Column:
-        marked = F.transform(F.split(w, ""), lambda c: F.when(F.pmod(F.xxhash64(c), F.lit(4)) == 0, F.concat(c, F.lit(" "))).otherwise(c))
-        return F.trim(F.array_join(marked, ""))
+    return _pieces(_words(norm))
+
 
-    whole = F.filter(F.split(norm, " "), lambda w: F.octet_length(w) >= LEAST)
-    long = F.transform(whole, lambda w: F.when(F.length(w) > PIECE, cut(w)).otherwise(w))
-    return F.array_distinct(F.when(norm.rlike(f"[^ ]{{{PIECE + 1}}}"), F.split(F.array_join(long, " "), " ")).otherwise(whole))
+def n_pieces(norm: Column) -> Column:
+    """Number of features, or ``FEW + BOTH`` for that many up to ``MOST``: it
+    is enough that the first words show them, and that no line of this length
+    has more than ``MOST``."""
+    first = F.slice(F.split(norm, " ", FIRST + 1), 1, FIRST)
+    known = F.array_distinct(F.filter(first, lambda w: (F.octet_length(w) >= LEAST) & (F.length(w) <= PIECE)))
+    many = (F.length(norm) <= MOST) & (F.size(known) >= FEW + BOTH)
+    return F.when(many, F.lit(FEW + BOTH)).otherwise(F.size(pieces(norm)))
 
 
 def _spread(h: Column, shift: int) -> Column:
@@ -212,16 +227,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = [F.struct(*carry).alias("rest")] if carry else []
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *rest).withColumn("th", F.xxhash64("text"))
     rest = ["rest"] if carry else []
-    cut = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    cut = cut.where(F.lower("raw").rlike(WORD)).select("doc_id", "th", "pos", words(F.col("raw")).alias("w"))
-    cut = cut.select("doc_id", "th", "pos", F.array_join("w", " ").alias("norm"))
-    cut = cut.select("doc_id", "th", "pos", "norm", F.xxhash64("norm").alias("line"), F.length("norm").alias("len"), F.size(pieces(F.col("norm"))).alias("n"))
+    # a whole text at a time, its lines stay apart
+    plain = F.regexp_replace(F.lower("text"), SEPARATORS, " ")
+    cut = docs.select("doc_id", "th", F.posexplode(F.split(plain, "\n")).alias("pos", "raw"))
+    cut = cut.select("doc_id", "th", "pos", F.trim("raw").alias("norm")).where("norm <> ''")
+    cut = cut.select("doc_id", "th", "pos", "norm", F.xxhash64("norm").alias("line"), F.length("norm").alias("len"), n_pieces(F.col("norm")).alias("n"))
     cut = materialise(cut, "ld-lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "pos")
     key = ["line", "len", "doc_id", "th", "pos"]
     s = [f"s{c}" for c in range(CLASSES)]
     hashed = F.col("n").between(FEW, MOST)
-    blocks = line_blocks(cut.where(hashed).select(*key, pieces(F.col("norm")).alias("pieces")), key)
+    several = cut.where(hashed).select(*key, _words(F.col("norm")).alias("words"))
+    blocks = line_blocks(several.select(*key, _pieces(F.col("words")).alias("pieces")), key)
     plain = cut.where(~hashed).select(*key, *[F.lit(None).cast("long").alias(c) for c in s])
     seen = blocks.unionByName(plain).select("line", "len", place.alias("place"), *s)
     classes = materialise(seen.groupBy("line").agg(F.min("place").alias("place"), F.max("len").alias("len"),

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from corpus_data import both, docs, empty, odd  # noqa: F401  (fixtures)
-from sitewise.llm.line_dedup import BOTH, CLASSES, FEW, LEAST, MOST, PIECE, dedup_lines, line_blocks, line_groups, pieces
+from sitewise.llm.line_dedup import BOTH, CLASSES, FEW, LEAST, MOST, PIECE, dedup_lines, line_blocks, line_groups, n_pieces, pieces
 from test_decontam import WORD
 
 
@@ -192,3 +192,32 @@ def test_a_round_without_pairs_is_not_the_last(spark):
     texts = spark.createDataFrame(list(text.items()), "line long, norm string")
     got = line_groups(lines, texts).collect()
     assert {r.id for r in got} == set(first[1:]) and len({r.component for r in got}) == 1
+
+
+def test_features_of_mixed_lines(spark):
+    """Long words among others, and the number of features where the first
+    words do not show it."""
+    short = [f"word{i}" for i in range(FEW + BOTH)]
+    long = ["abcdefghijklmnop", "elcióncióndoraañ", "日本語の長い行です日本語の"]
+    mixed = [short + long, long + short[:8], short[:5] * 20, ["word0"] * 200 + short, short[:-1] + ["abc"] * 99, long * 9, long * 9 + short,
+             [f"word{i}" for i in range(MOST)], [f"{i:04x}" for i in range(MOST + 1)], ["ab"]]
+    rows = [(" ".join(x),) for x in mixed]
+    df = spark.createDataFrame(rows, "norm string")
+    for r in df.select("norm", pieces(F.col("norm")).alias("p"), n_pieces(F.col("norm")).alias("n")).collect():
+        want = pieces_of(r.norm)
+        assert sorted(r.p) == sorted(want)
+        assert r.n == len(want) or r.n == FEW + BOTH <= len(want) <= MOST
+
+
+def test_long_lines_are_not_cut_twice(spark):
+    """The number of features of a usual line is known from its first words."""
+    line = " ".join(f"word{i}" for i in range(200))
+    assert spark.createDataFrame([(line,)], "norm string").select(n_pieces(F.col("norm"))).first()[0] == FEW + BOTH
+
+
+def test_lines_of_any_separators(spark):
+    """Words and line numbers as they are in each line by itself."""
+    texts = ["A b\tC\r\nd..E\n\n \x00 \n--\nf'g", "ΟΔΟΣ\nΟΔΟΣ x\nÀ, é", "\n", "", "a\u2028b\u0085c\n\x0b\x0ca", None]
+    rows = [(i, t) for i, t in enumerate(texts + texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in dedup_lines(df).collect()) == expected(rows)

@@ -197,3 +197,57 @@ def test_trap_columns_in_slices(spark):
             for r in p.collect():
                 joined.setdefault(r.FIELDNAME, {}).update(r.asDict())
         assert joined == whole
+
+
+def _expressions(df):
+    """Expressions in the optimised plan, but for the names of columns: what the driver holds beside the schema."""
+    n, todo = 0, [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        found = node.expressions()
+        n += sum(found.apply(i).nodeName() != "AttributeReference" for i in range(found.size()))
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return n
+
+
+def test_each_trap_costs_no_expression(spark, tmp_path):
+    """Columns of the report are a schema, not expressions: at 60,000 traps
+    one expression a trap, copied by each step, filled the driver."""
+    from sitewise.plans import registry
+    import __spark_entry__  # noqa: F401
+    day, sizes = dt.datetime(2001, 2, 3), {}
+    for n in (150, 300):
+        lines = [(i * 7 % n, i % 13, 1.0 + i % 20, "N" if i % 5 == 0 else "A", i % 7, day) for i in range(1000)] + [(n + 5, 1, 2.0, "A", 1, day), (None, 1, 2.0, "A", 1, day), (1, None, 2.0, "A", 1, day)]
+        d = str(tmp_path / str(n))
+        spark.createDataFrame([(i, i % 25) for i in range(n)] + [(None, 3)], "s_suppkey long, s_nationkey int").write.parquet(d + "/supplier.parquet")
+        spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double, l_returnflag string, l_linenumber int, l_shipdate timestamp").write.parquet(d + "/lineitem.parquet")
+        df = registry.finished(registry.QUERIES["g13_species_by_each_trap"])(spark, d)
+        assert df.columns == ["FIELDNAME", *sorted(f"trap_{i}" for i in range(n))] and set(dict(df.dtypes).values()) == {"string", "bigint"}
+        want: dict = {}
+        for s, p, _, flag, line, _ in lines:
+            if s is not None and s < n:
+                row = want.setdefault(f"Q{line % 5 + 1}" if flag == "N" else None if p is None else str(p), dict.fromkeys(range(n), 0))
+                row[s] += 1
+        got = [r.asDict() for r in df.collect()]
+        assert len(got) == len(want)
+        for r in got:
+            assert {k: r[f"trap_{k}"] for k in range(n)} == want[r["FIELDNAME"]]
+        sizes[n] = _expressions(df)
+    assert sizes[150] == sizes[300] < 100
+
+
+def test_slices_fill_and_odd_names(spark):
+    from sitewise.operators.counts import species_by_trap_slices
+    names = ["a b", "c`d", "e,f", '"g"', "ü"]
+    df = spark.createDataFrame([(None, "c`d"), (None, "c`d"), ("x", "ü"), ("x", "?"), ("x", None), ("y", "?"), ('z,"1', "a b"), ('z,"1', '"g"')], "FIELDNAME string, TRAP string")
+    want = {None: [0, 2, 0, 0, 0, 0], "x": [0, 0, 0, 0, 1, 2], "y": [0, 0, 0, 0, 0, 1], 'z,"1': [1, 0, 0, 1, 0, 0]}
+    [w] = species_by_trap_slices(df, names, fill=0)
+    assert w.columns == ["FIELDNAME", *names, "other"] and {r[0]: list(r[1:]) for r in w.collect()} == want
+    [w] = species_by_trap_slices(df, names, fill=0, other=False)
+    assert w.columns == ["FIELDNAME", *names] and {r[0]: list(r[1:]) for r in w.collect()} == {k: v[:-1] for k, v in want.items()}
+    parts = species_by_trap_slices(df, names, 2)
+    assert [p.columns[1:] for p in parts] == [names[:2], names[2:4], [names[4], "other"]]
+    for i, p in enumerate(parts):
+        assert {r[0]: list(r[1:]) for r in p.collect()} == {k: [x or None for x in v[2 * i:2 * i + 2]] for k, v in want.items()}
+    [w] = species_by_trap_slices(df, [])
+    assert {r[0]: r.other for r in w.collect()} == {None: 2, "x": 3, "y": 1, 'z,"1': 2}
